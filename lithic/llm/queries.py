@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lithic.llm import quality, secrets, sharding, token_counts, url_filter
+from lithic.llm import near_dup, quality, secrets, sharding, token_counts, url_filter
 from lithic.llm.common import table
 
 #: Where public vocabulary files are; never copied into the repository.
@@ -41,6 +41,11 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge_quality(table(spark, sf_dir, "documents"))
 
 
+def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components of all documents: three-word shingles, similarity 0.85."""
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Best-fit-decreasing placement of every document in 16 shards of near equal bytes."""
     placed = sharding.shard_documents(table(spark, sf_dir, "documents"))
@@ -82,6 +87,7 @@ QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op4_secret_scans": op4_secret_scans,
     "op5_quality_rules": op5_quality_rules,
+    "op6_near_duplicates": op6_near_duplicates,
     "op8_sharding": op8_sharding,
     "op9_url_filters": op9_url_filters,
 }
