@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -35,13 +36,22 @@ def content_key(text: Column) -> Column:
     return F.md5(text.cast("binary"))
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut lineage with files in the shared folder that the session names.
-
-    A folder of our own is set only when the session has none, as in tests on one machine.
-    """
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder that the session names; one of our own only where it names none."""
     context = spark.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir", "/tmp/checkpoints"))
+        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir", "/tmp/checkpoints"))
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cut lineage with files in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
+
+
+def written(df: DataFrame) -> DataFrame:
+    """Cut lineage with a Parquet table in the shared folder: smaller than a checkpoint."""
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

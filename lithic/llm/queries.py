@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lithic.llm import near_dup, quality, secrets, sharding, token_counts, url_filter
+from lithic.llm import near_dup, quality, secrets, sharding, substrings, token_counts, url_filter
 from lithic.llm.common import table
 
 #: Where public vocabulary files are; never copied into the repository.
@@ -46,6 +46,12 @@ def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without strings of 400 bytes that occur again."""
+    left = substrings.remove_repeats(table(spark, sf_dir, "documents"))
+    return left.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Best-fit-decreasing placement of every document in 16 shards of near equal bytes."""
     placed = sharding.shard_documents(table(spark, sf_dir, "documents"))
@@ -88,6 +94,7 @@ QUERIES = {
     "op4_secret_scans": op4_secret_scans,
     "op5_quality_rules": op5_quality_rules,
     "op6_near_duplicates": op6_near_duplicates,
+    "op7_suffix_array_dedup": op7_suffix_array_dedup,
     "op8_sharding": op8_sharding,
     "op9_url_filters": op9_url_filters,
 }
