@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lithic.llm import near_dup, quality, secrets, sharding, substrings, token_counts, url_filter
+from lithic.llm import line_dedup, near_dup, quality, secrets, sharding, substrings, token_counts, url_filter
 from lithic.llm.common import table
 
 #: Where public vocabulary files are; never copied into the repository.
@@ -64,6 +64,12 @@ def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of every document without those that repeat an earlier line up to one edit."""
+    cut = line_dedup.drop_lines(table(spark, sf_dir, "documents"))
+    return cut.select("doc_id", F.col("n_lines_").alias("n_lines"), F.col("n_dropped_").alias("n_dropped"), F.sha2("text", 256).alias("kept_sha256"))
+
+
 def _url_sql() -> str:
     blocked = " OR ".join(f"regexp_matches(low, '{r.pattern}')" for r in url_filter.PATTERNS)
     listed = ", ".join(f"('{r.name.partition('/')[0]}', '/{r.name.partition('/')[2]}', '{r.verdict}')" for r in URL_RULES)
@@ -97,6 +103,7 @@ QUERIES = {
     "op7_suffix_array_dedup": op7_suffix_array_dedup,
     "op8_sharding": op8_sharding,
     "op9_url_filters": op9_url_filters,
+    "op10_line_dedup": op10_line_dedup,
 }
 
 ORACLE = {"op9_url_filters": _url_sql()}
