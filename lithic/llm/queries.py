@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lithic.llm import line_dedup, near_dup, quality, secrets, sharding, substrings, token_counts, url_filter
+from lithic.llm import line_dedup, near_dup, quality, secrets, sentencepiece_arrays, sharding, substrings, token_counts, url_filter
 from lithic.llm.common import table
 
 #: Where public vocabulary files are; never copied into the repository.
@@ -21,6 +21,14 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/word_bpe_49k.json")
 
 
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every document, and whether decoding them restores its text."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    coded = sentencepiece_arrays.encode_documents(docs, f"{TOKENIZERS}/piece_bpe_32k.model", decoded_col="decoded")
+    marked = F.translate(F.coalesce("text", F.lit("")), "\u2581", " ")
+    return coded.select("doc_id", "n_tokens", "token_ids", (F.col("decoded") == marked).alias("restored"))
+
+
 def _kept(spans: str, kinds: tuple[str, ...]):
     return F.filter(F.col(spans), lambda s: s["kind"].isin(*kinds))
 
@@ -97,6 +105,7 @@ FROM parts LEFT JOIN best USING (r)
 
 QUERIES = {
     "op1_token_counts": op1_token_counts,
+    "op2_sentencepiece": op2_sentencepiece,
     "op4_secret_scans": op4_secret_scans,
     "op5_quality_rules": op5_quality_rules,
     "op6_near_duplicates": op6_near_duplicates,
