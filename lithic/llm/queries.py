@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lithic.llm import line_dedup, near_dup, quality, secrets, sentencepiece_arrays, sharding, substrings, token_counts, url_filter
+from lithic.llm import decontaminate, line_dedup, near_dup, quality, secrets, sentencepiece_arrays, sharding, substrings, token_counts, url_filter
 from lithic.llm.common import table
 
 #: Where public vocabulary files are; never copied into the repository.
@@ -29,6 +29,11 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", "n_tokens", "token_ids", (F.col("decoded") == marked).alias("restored"))
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document and benchmark item that it holds, copied or reworded."""
+    return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).withColumn("cosine", F.round("cosine", 4))
+
+
 def _kept(spans: str, kinds: tuple[str, ...]):
     return F.filter(F.col(spans), lambda s: s["kind"].isin(*kinds))
 
@@ -106,6 +111,7 @@ FROM parts LEFT JOIN best USING (r)
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_sentencepiece": op2_sentencepiece,
+    "op3_decontamination": op3_decontamination,
     "op4_secret_scans": op4_secret_scans,
     "op5_quality_rules": op5_quality_rules,
     "op6_near_duplicates": op6_near_duplicates,
