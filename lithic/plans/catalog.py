@@ -1,6 +1,8 @@
-"""The registered queries of the engine and the SQL that states the same results."""
+"""All registered queries: importing a module of plans registers what it holds."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from lithic.plans import answers, evaluation, ingestion, learning, registry, retrieval, tabular  # noqa: F401
+from lithic.plans.base import ORACLE, QUERIES
+
+__all__ = ["ORACLE", "QUERIES"]
