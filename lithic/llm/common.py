@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -9,6 +10,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Where public vocabulary files are; they are never copied into the repository.
+TOKENIZERS = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -19,14 +23,25 @@ def text_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
+#: Bytes of a batch that are turned into Python objects at a time, about.
+SLICE_BYTES = 4 << 20
+
+
+def sliced(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """A batch in parts of about SLICE_BYTES, so that a task's memory doesn't grow with batches."""
+    rows = max(1, int(batch.num_rows * SLICE_BYTES / max(1, batch.nbytes)))
+    for i in range(0, batch.num_rows, rows):
+        yield batch.slice(i, rows)
+
+
 def map_batches(rows: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema: str) -> DataFrame:
     """Run ``make()`` once a task and its result on every Arrow batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = make()
         for batch in batches:
-            if batch.num_rows:
-                yield step(batch)
+            for part in sliced(batch):
+                yield step(part)
 
     return rows.mapInArrow(run, schema)
 

@@ -2,16 +2,12 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from lithic.llm import decontaminate, line_dedup, near_dup, quality, secrets, sentencepiece_arrays, sharding, substrings, token_counts, url_filter
-from lithic.llm.common import table
-
-#: Where public vocabulary files are; never copied into the repository.
-TOKENIZERS = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
+from lithic.llm.common import TOKENIZERS, table
 
 URL_RULES = tuple(url_filter.host_rule(*r) for r in (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")))
 
@@ -119,6 +115,7 @@ QUERIES = {
     "op8_sharding": op8_sharding,
     "op9_url_filters": op9_url_filters,
     "op10_line_dedup": op10_line_dedup,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLE = {"op9_url_filters": _url_sql()}
