@@ -11,6 +11,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 TOKEN = r"[a-z0-9]+(?:[.\-/][a-z0-9]+)*"
 
@@ -78,13 +79,13 @@ def plain_characters(text: Column) -> Column:
     return text
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def fold(texts: pd.Series) -> pd.Series:
     """NFKC normal form (A-CL9)."""
     return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def residue(texts: pd.Series) -> pd.Series:
     """Unknown footnote marks with 20 characters before and 30 after; contexts may overlap (A-CL6)."""
     mark = re.compile(r"\[F\s*o", re.IGNORECASE)

@@ -1 +1,154 @@
+"""Queries of the ingestion family over documents cut into lines: cleaning, sections, chunks."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lithic.functions import text as tx
+from lithic.operators import ingest
+from lithic.plans.base import query, table
+
+LINES_SQL = "lines AS (SELECT doc_id, (generate_subscripts(l, 1) - 1)::INT AS idx, unnest(l) AS text FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents))"
+TRIM = "regexp_replace(regexp_replace({}, '^[\\s\\x0B]+', ''), '[\\s\\x0B]+$', '')"
+
+
+def lines(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents as items: a line each."""
+    return table(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("idx", "text"))
+
+
+CLEAN_SQL = f"WITH {LINES_SQL}, c AS (SELECT doc_id, idx, text, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '(?i)\\d*\\[Footnote\\s*', ' ', 'g'), '(?i)\\[F\\s*o\\s*t?\\s*n\\s*\\d*\\s*o?\\s*e\\s*', ' ', 'g'), '\\{{\\{{\\s*([^{{}}]{{1,40}}?)\\s*\\}}\\}}', '\\1', 'g'), '[ \\t]{{2,}}', ' ', 'g')) AS clean FROM lines)"
+
+
+@query("clean_counts", CLEAN_SQL + " SELECT doc_id, count(*) AS n_in, count(*) FILTER (length(clean) > 0) AS n_out, sum(length(text))::BIGINT AS chars_in, sum(length(clean))::BIGINT AS chars_out FROM c GROUP BY doc_id")
+def clean_counts(spark, sf):
+    c = lines(spark, sf).withColumn("clean", tx.squeezed(tx.unbraced(tx.unmarked(F.col("text")))))
+    return c.groupBy("doc_id").agg(F.count("*").alias("n_in"), F.count_if(F.length("clean") > 0).alias("n_out"), F.sum(F.length("text")).alias("chars_in"), F.sum(F.length("clean")).alias("chars_out"))
+
+
+@query("clean_fold")
+def clean_fold(spark, sf):
+    """Lines that Unicode folding and plain characters change (A-CL8, 9)."""
+    c = lines(spark, sf).withColumn("plain", tx.fold(tx.plain_characters(F.col("text"))))
+    return c.groupBy("doc_id").agg(F.count_if(F.col("plain") != F.col("text")).alias("n_changed"))
+
+
+@query("clean_report", f"WITH {LINES_SQL} SELECT doc_id, list_sort(list(length(text)))[count(*) // 2 + 1]::INT AS upper_median, max(length(text))::INT AS longest FROM lines WHERE length(text) > 0 GROUP BY doc_id")
+def clean_report(spark, sf):
+    n = F.length("text")
+    return lines(spark, sf).filter(n > 0).groupBy("doc_id").agg(ingest.upper_median(F.collect_list(n)).alias("upper_median"), F.max(n).alias("longest"))
+
+
+@query("parse_quality", "SELECT lang, source, count(*) AS n, round(avg((text LIKE '%' || chr(10) || '%')::INT), 6)::DOUBLE AS several_lines FROM documents GROUP BY ALL")
+def parse_quality(spark, sf):
+    """Histogram of labels and how many carry a property (A-CL16)."""
+    return table(spark, sf, "documents").groupBy("lang", "source").agg(F.count("*").alias("n"), F.round(F.avg(F.contains("text", F.lit("\n")).cast("int")), 6).alias("several_lines"))
+
+
+@query("prototype_clean", f"WITH {LINES_SQL} SELECT doc_id, count(*) AS n FROM lines WHERE trim(text) <> '' AND NOT regexp_matches(trim(text), '^[0-9]+$') AND NOT regexp_matches(trim(text), '^[•·\\-]+$') GROUP BY doc_id")
+def prototype_clean(spark, sf):
+    """Lines left without empty, numeric and bullet-only ones (A-CL17)."""
+    t = F.trim("text")
+    return lines(spark, sf).filter((t != "") & ~t.rlike("^[0-9]+$") & ~t.rlike(r"^[•·\-]+$")).groupBy("doc_id").agg(F.count("*").alias("n"))
+
+
+HEAD_SQL = "(length(text) < 40 AND text LIKE '%.')"
+
+
+def is_head():
+    """A short line stands for a heading."""
+    return (F.length("text") < 40) & F.col("text").endswith(".")
+
+
+@query("section_intervals", f"WITH {LINES_SQL} SELECT doc_id, text AS code, idx AS start_idx, coalesce(lead(idx) OVER (PARTITION BY doc_id ORDER BY idx), n)::INT AS end_idx FROM (SELECT *, max(idx) OVER (PARTITION BY doc_id) + 1 AS n FROM lines) WHERE {HEAD_SQL}")
+def section_intervals(spark, sf):
+    return ingest.sections(lines(spark, sf), is_head(), F.col("text"))
+
+
+@query("section_coverage", f"WITH {LINES_SQL}, s AS (SELECT doc_id, idx AS a, coalesce(lead(idx) OVER (PARTITION BY doc_id ORDER BY idx), n) AS b, n FROM (SELECT *, max(idx) OVER (PARTITION BY doc_id) + 1 AS n FROM lines) WHERE {HEAD_SQL}) SELECT doc_id, count(*) AS n_sections, sum(b - a)::BIGINT AS covered, (max(n) - min(a))::INT AS due FROM s GROUP BY doc_id")
+def section_coverage(spark, sf):
+    items = lines(spark, sf)
+    found = ingest.sections(items, is_head(), F.col("text"))
+    return found.groupBy("doc_id").agg(F.count("*").alias("n_sections"), F.sum(F.col("end_idx") - F.col("start_idx")).alias("covered"), (F.max("end_idx") - F.min("start_idx")).alias("due"))
+
+
+@query("chapter_forward_fill", f"WITH {LINES_SQL} SELECT doc_id, idx, last_value(CASE WHEN {HEAD_SQL} THEN text END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY idx) AS header FROM lines")
+def chapter_forward_fill(spark, sf):
+    return ingest.carried(lines(spark, sf), F.when(is_head(), F.col("text"))).select("doc_id", "idx", "header")
+
+
+@query("grouped_sections", f"WITH {LINES_SQL}, h AS (SELECT *, last_value(CASE WHEN {HEAD_SQL} THEN text END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY idx) AS header FROM lines) SELECT doc_id, header, min(idx)::INT AS first_idx, count(*) AS n_items, sha256(string_agg(text, chr(10) || chr(10) ORDER BY idx)) AS text_sha FROM h WHERE header IS NOT NULL GROUP BY 1, 2")
+def grouped_sections(spark, sf):
+    """Items joined under the header they stand below, in order (A-SE13)."""
+    h = ingest.carried(lines(spark, sf), F.when(is_head(), F.col("text"))).filter("header is not null")
+    joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("idx", "text"))), lambda x: x["text"]), "\n\n")
+    return h.groupBy("doc_id", "header").agg(F.min("idx").alias("first_idx"), F.count("*").alias("n_items"), F.sha2(joined, 256).alias("text_sha"))
+
+
+@query("landmark_context", f"WITH {LINES_SQL}, m AS (SELECT doc_id, idx AS mark FROM lines WHERE {HEAD_SQL}) SELECT doc_id, mark, count(*) AS n, min(idx)::INT AS lo, max(idx)::INT AS hi FROM m JOIN lines USING (doc_id) WHERE idx BETWEEN mark - 2 AND mark + 7 GROUP BY 1, 2")
+def landmark_context(spark, sf):
+    """Lines from two before to seven after each landmark (A-SE11): an equi-join on document and place."""
+    items = lines(spark, sf)
+    marks = items.filter(is_head()).select("doc_id", F.col("idx").alias("mark"), F.explode(F.sequence(F.col("idx") - 2, F.col("idx") + 7)).alias("idx"))
+    return marks.join(items, ["doc_id", "idx"]).groupBy("doc_id", "mark").agg(F.count("*").alias("n"), F.min("idx").alias("lo"), F.max("idx").alias("hi"))
+
+
+@query("parent_headings", f"WITH {LINES_SQL}, s AS (SELECT *, sum({HEAD_SQL}::INT) OVER (PARTITION BY doc_id ORDER BY idx) AS k FROM lines) SELECT doc_id, k::INT AS span, min(idx)::INT AS start_idx, (max(idx) + 1)::INT AS end_idx, sum(length(text))::BIGINT AS n_chars, CASE WHEN k = 0 THEN '' ELSE substr(arg_min(text, idx), 1, 120) END AS heading FROM s GROUP BY doc_id, k HAVING sum(length(text)) > 0")
+def parent_headings(spark, sf):
+    return ingest.heading_spans(lines(spark, sf), is_head())
+
+
+@query("noise_filter", f"WITH {LINES_SQL} SELECT doc_id, count(*) AS n_noise FROM lines WHERE regexp_matches(trim(text), '^(?i:FAQ\\s*\\d*|Footnotes?|Page\\s+\\d+|\\d{{1,4}}|[·■•\\-–—]|n/?a\\.?|\\(?[a-z]\\)?|[ivxlc]{{1,5}}\\.?)$') GROUP BY doc_id")
+def noise_filter(spark, sf):
+    return lines(spark, sf).filter(tx.is_noise(F.trim("text"))).groupBy("doc_id").agg(F.count("*").alias("n_noise"))
+
+
+@query("locator_extract", f"WITH n AS (SELECT doc_id, (doc_id % 40)::VARCHAR || '.' || (doc_id % 7)::VARCHAR || CASE WHEN doc_id % 3 = 0 THEN '.' || (doc_id % 5)::VARCHAR ELSE '' END || ' ' || substr(text, 1, 30) AS t FROM documents) SELECT doc_id, CASE WHEN regexp_extract(t, '^(\\d{{1,3}}\\.\\d{{1,3}}\\.\\d{{1,3}})\\s', 1) <> '' THEN regexp_extract(t, '^(\\d{{1,3}}\\.\\d{{1,3}}\\.\\d{{1,3}})\\s', 1) WHEN regexp_extract(t, '^(\\d{{1,3}}\\.\\d{{1,3}})\\.?\\s', 1) <> '' THEN 'CRE' || regexp_extract(t, '^(\\d{{1,3}}\\.\\d{{1,3}})\\.?\\s', 1) END AS locator FROM n".replace("{{", "{").replace("}}", "}"))
+def locator_extract(spark, sf):
+    """Locators of texts that are numbered by their id, in a chapter named CRE36."""
+    number = F.concat((F.col("doc_id") % 40).cast("string"), F.lit("."), (F.col("doc_id") % 7).cast("string"), F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("."), (F.col("doc_id") % 5).cast("string"))).otherwise(""), F.lit(" "), F.substring("text", 1, 30))
+    return table(spark, sf, "documents").select("doc_id", tx.locator(number, F.lit("CRE36")).alias("locator"))
+
+
+@query("chunk_report", f"WITH {LINES_SQL} SELECT doc_id, count(*) AS n, s[least(len(s) - 1, floor(0.5 * len(s)))::INT + 1]::INT AS p50, s[least(len(s) - 1, floor(0.9 * len(s)))::INT + 1]::INT AS p90, any_value(under)::BIGINT AS under_120 FROM (SELECT doc_id, list_sort(list(length(text))) AS s, count(*) FILTER (length(text) < 120) AS under, unnest(range(count(*))) FROM lines GROUP BY doc_id) GROUP BY doc_id, s")
+def chunk_report(spark, sf):
+    n = F.length("text")
+    sizes = F.collect_list(n)
+    return lines(spark, sf).groupBy("doc_id").agg(F.count("*").alias("n"), ingest.nearest_rank(sizes, 0.5).alias("p50"), ingest.nearest_rank(sizes, 0.9).alias("p90"), F.count_if(n < 120).alias("under_120"))
+
+
+@query("sentence_repair")
+def sentence_repair(spark, sf):
+    """Children a document after repair and splitting (A-CH9, 10)."""
+    made = ingest.children(lines(spark, sf))
+    return made.groupBy("doc_id").agg(F.count("*").alias("n_children"), F.max(F.length("text")).alias("longest"))
+
+
+@query("recursive_split")
+def recursive_split(spark, sf):
+    """Chunks of up to 800 characters of every document (A-CH16)."""
+    import pandas as pd
+
+    def cut(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: ingest.split_recursively(t or ""))
+
+    cut.__annotations__ = {"texts": pd.Series, "return": pd.Series}
+    chunks = table(spark, sf, "documents").select("doc_id", F.pandas_udf(cut, "array<string>")("text").alias("c"))
+    return chunks.select("doc_id", F.size("c").alias("n_chunks"), F.array_max(F.transform("c", lambda x: F.length(x))).alias("longest"))
+
+
+@query("paragraph_split", "SELECT doc_id, len(list_filter(string_split(text, chr(10) || chr(10)), lambda p: trim(p) <> '')) AS n_paragraphs FROM documents")
+def paragraph_split(spark, sf):
+    """Paragraphs between blank lines (A-CH18)."""
+    return table(spark, sf, "documents").select("doc_id", F.size(F.filter(F.split("text", "\n\n"), lambda p: F.trim(p) != "")).cast("long").alias("n_paragraphs"))
+
+
+@query("tiny_chunks", f"WITH {LINES_SQL}, n AS (SELECT doc_id, idx, text, trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')) AS k FROM lines WHERE length(text) BETWEEN 1 AND 59), g AS (SELECT k, count(DISTINCT doc_id) AS docs FROM n GROUP BY k) SELECT CASE WHEN docs > 1 THEN 'duplicate' WHEN k NOT LIKE '% %' THEN 'fragment' ELSE 'real' END AS kind, count(*) AS n FROM n JOIN g USING (k) GROUP BY 1")
+def tiny_chunks(spark, sf):
+    """Short lines that repeat in another document, fragments, and the rest."""
+    k = F.trim(F.regexp_replace(F.lower("text"), "[^a-z0-9]+", " "))
+    short = lines(spark, sf).filter(F.length("text").between(1, 59)).withColumn("k", k)
+    docs = short.select("k", "doc_id").distinct().groupBy("k").agg(F.count("*").alias("docs"))
+    kind = F.when(F.col("docs") > 1, "duplicate").when(~F.contains("k", F.lit(" ")), "fragment").otherwise("real")
+    return short.join(docs, "k").groupBy(kind.alias("kind")).agg(F.count("*").alias("n"))
