@@ -1,7 +1,7 @@
 """SentencePiece encoding and decoding by suffix-array matching.
 
-For a batch, the distinct words that are not remembered are laid end to end and indexed: their
-suffixes are sorted by as many characters as the longest piece has. Every piece of the model is
+For a batch, the distinct words that are not remembered are cut where no piece of the model crosses,
+and the distinct parts that are not remembered are laid end to end and indexed: their suffixes are sorted by as many characters as the longest piece has. Every piece of the model is
 binary-searched in that order; its range of suffixes is its occurrences. Each occurrence is an
 edge from its first to its last character; edges are sorted by where they end and relaxed in
 that order, all words at once.
@@ -25,16 +25,21 @@ bounded and changes speed only.
 
 from __future__ import annotations
 
+import gc
 import heapq
 import re
+from array import array
+from operator import add
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from lithic.llm.common import sliced
+
 SPACE = "▁"
-REMEMBERED, PAIRS, BLOCK_CHARS = 300_000, 1_000_000, 400_000
+REMEMBERED, PAIRS, BLOCK_CHARS = 700_000, 1_000_000, 400_000
 PACK = 5  # characters of 12 bits in a key
 
 
@@ -71,8 +76,12 @@ class Model:
         self.low = _packed_rows(codes, width)
         codes[np.arange(width * PACK) >= self.lengths[:, None]] = 4095
         self.high = _packed_rows(codes, width)
+        #: Neighbouring characters that stand in some piece; no piece crosses any other boundary.
+        self.inside = {t[k : k + 2] for t in self.score for k in range(len(t) - 1)}
         self.words: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
         self.pairs: dict[int, bool] = {}
+        self.sorted_pairs, self.sorted_goes = np.empty(0, np.int64), np.empty(0, bool)
 
     def merge(self, text: str) -> list[int]:
         """Piece ids by merging the best adjacent pair again and again; ``other`` where none is."""
@@ -107,6 +116,20 @@ class Model:
             self.pairs[pair] = known
         return known
 
+    def all_go(self, pairs: np.ndarray) -> np.ndarray:
+        """``goes`` for an array of different pairs: known ones by binary search, new ones merged."""
+        if len(self.pairs) - len(self.sorted_pairs) > 20_000 or len(self.pairs) < len(self.sorted_pairs):
+            keys = np.fromiter(self.pairs, np.int64, len(self.pairs))
+            order = np.argsort(keys)
+            self.sorted_pairs, self.sorted_goes = keys[order], np.fromiter(self.pairs.values(), bool, len(keys))[order]
+        out = np.zeros(len(pairs), bool)
+        at = np.searchsorted(self.sorted_pairs, pairs)
+        held = at < len(self.sorted_pairs)
+        held[held] = self.sorted_pairs[at[held]] == pairs[held]
+        out[held] = self.sorted_goes[at[held]]
+        out[~held] = [self.goes(p) for p in pairs[~held].tolist()]
+        return out
+
     def edges(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(start, end, piece) of every occurrence of every piece in words laid end to end."""
         width = self.low.shape[1]
@@ -150,7 +173,7 @@ class Model:
             reached = left >= 0
             s, e, p, left = s[reached], e[reached], p[reached], left[reached]
             pairs, back = np.unique(left * (self.other + 1) + p, return_inverse=True)
-            ok = np.fromiter(map(self.goes, pairs.tolist()), bool, len(pairs))[back]
+            ok = self.all_go(pairs)[back]
             last[e[ok]], size[e[ok]] = p[ok], (e - s)[ok]
 
         # Walk all words back from their ends at once.
@@ -171,27 +194,36 @@ class Model:
             out[i] = self.merge(words[i])
         return out
 
+    def cut(self, word: str) -> list[str]:
+        """A word in parts at the boundaries that no piece crosses."""
+        inside = self.inside
+        at = [k for k, pair in enumerate(map(add, word, word[1:]), 1) if pair not in inside]
+        return [word[i:j] for i, j in zip([0, *at], [*at, len(word)], strict=True)] if at else [word]
+
     def remember(self, words: set[str]) -> None:
-        """Encode the words that are not remembered yet."""
-        new = sorted(words)
-        tied = [w for w in new if SPACE in w[1:]]
-        plain = [w for w in new if SPACE not in w[1:]]
+        """Encode the words that are not remembered yet, by the parts that are not."""
+        cuts = [(w, self.cut(w)) for w in words]
+        if len(self.parts) > REMEMBERED:
+            self.parts.clear()
+        known = self.parts
+        new = sorted({p for _, parts in cuts for p in parts if p not in known})
         block: list[str] = []
         size = 0
-        for w in [*plain, None]:
-            if w is None or size > BLOCK_CHARS:
+        for p in [*(p for p in new if SPACE not in p[1:]), None]:
+            if p is None or size > BLOCK_CHARS:
                 if block:
-                    self.words.update(zip(block, map(self.packed, block, self.encode_words(block)), strict=True))
+                    known.update(zip(block, map(self.packed, block, self.encode_words(block)), strict=True))
                 block, size = [], 0
-            if w is not None:
-                block.append(w)
-                size += len(w) + 1
-        self.words.update((w, self.packed(w, self.merge(w))) for w in tied)
+            if p is not None:
+                block.append(p)
+                size += len(p) + 1
+        known.update((p, self.packed(p, self.merge(p))) for p in new if SPACE in p[1:])
+        self.words.update((w, known[parts[0]] if len(parts) == 1 else b"".join(map(known.__getitem__, parts))) for w, parts in cuts)
 
     def packed(self, word: str, pieces: list[int]) -> bytes:
         """Ids as bytes of int32, with byte pieces for other characters."""
         if self.other not in pieces:
-            return np.array(pieces, np.int32).tobytes()
+            return array("i", pieces).tobytes()
         out, at = [], 0
         for p in pieces:
             if p == self.other:
@@ -200,10 +232,19 @@ class Model:
             else:
                 out.append(p)
                 at += len(self.text[p])
-        return np.array(out, np.int32).tobytes()
+        return array("i", out).tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of whole texts as bytes of int32."""
+        collecting = gc.isenabled()
+        gc.disable()  # millions of small objects and no cycles
+        try:
+            return self._encode(texts)
+        finally:
+            if collecting:
+                gc.enable()
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
         cut = [words_of(t) for t in texts]
         if len(self.words) > REMEMBERED:
             self.words.clear()
@@ -265,7 +306,7 @@ def encode_documents(docs: DataFrame, model_file: str, text_col: str = "text", i
 
     def run(batches):
         held = model(model_file)
-        for batch in batches:
+        for batch in (part for whole in batches for part in sliced(whole)):
             texts = [t or "" for t in batch.column(text_col).to_pylist()]
             ids = held.encode(texts)
             sizes = np.fromiter((len(x) // 4 for x in ids), np.int64, len(ids))
@@ -286,7 +327,7 @@ def decode_documents(encoded: DataFrame, model_file: str, ids_col: str = "token_
 
     def run(batches):
         held = model(model_file)
-        for batch in batches:
+        for batch in (part for whole in batches for part in sliced(whole)):
             texts = [None if x is None else held.decode(np.array(x, np.int64)) for x in batch.column(ids_col).to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(texts, pa.string())], [*kept, decoded_col])
 
