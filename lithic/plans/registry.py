@@ -1 +1,131 @@
+"""Queries over registries and questions: integrity, families, grids, plans and gate decisions."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lithic.operators import planning as pl
+from lithic.plans.base import query, table
+
+#: Suppliers play a registry: rank and status from their keys, successors the next key.
+REG_SQL = """reg AS (
+  SELECT s_suppkey::VARCHAR AS doc_id, 'DOC ' || (s_suppkey - CASE WHEN s_suppkey % 17 = 0 THEN 1 ELSE 0 END)::VARCHAR AS short_name,
+         CASE s_suppkey % 4 WHEN 0 THEN 'superseded' WHEN 3 THEN 'partially_revised' ELSE 'in_force' END AS status,
+         CASE WHEN s_suppkey % 4 = 0 AND s_suppkey % 8 <> 0 THEN [(s_suppkey + 1)::VARCHAR] ELSE [] END AS superseded_by,
+         CASE WHEN s_suppkey % 4 = 1 AND s_suppkey % 8 <> 1 THEN [(s_suppkey - 1)::VARCHAR] ELSE [] END AS supersedes,
+         (s_suppkey % 6)::INT AS authority_rank, CASE WHEN s_suppkey % 5 = 0 THEN 'rule' ELSE 'guidance' END AS doc_type,
+         s_nationkey % 5 AS framework, n_regionkey AS volume, CASE s_nationkey % 3 WHEN 0 THEN 'US' WHEN 1 THEN 'UK' ELSE 'GLOBAL' END AS jurisdiction,
+         CASE n_regionkey WHEN 0 THEN 'capital_adequacy' WHEN 1 THEN 'data_quality' WHEN 2 THEN 'stress_testing' ELSE 'model_risk_management' END AS subject
+  FROM supplier JOIN nation ON s_nationkey = n_nationkey)"""
+
+
+def registry(spark: SparkSession, sf: str) -> DataFrame:
+    k, n = F.col("s_suppkey"), F.col("s_nationkey")
+    none = F.array().cast("array<string>")
+    joined = table(spark, sf, "supplier").join(table(spark, sf, "nation"), n == F.col("n_nationkey"))
+    return joined.select(
+        k.cast("string").alias("doc_id"), F.concat(F.lit("DOC "), (k - F.when(k % 17 == 0, 1).otherwise(0)).cast("string")).alias("short_name"),
+        F.when(k % 4 == 0, "superseded").when(k % 4 == 3, "partially_revised").otherwise("in_force").alias("status"),
+        F.when((k % 4 == 0) & (k % 8 != 0), F.array((k + 1).cast("string"))).otherwise(none).alias("superseded_by"),
+        F.when((k % 4 == 1) & (k % 8 != 1), F.array((k - 1).cast("string"))).otherwise(none).alias("supersedes"),
+        none.alias("revises"), none.alias("revised_by"), (k % 6).cast("int").alias("authority_rank"), F.when(k % 5 == 0, "rule").otherwise("guidance").alias("doc_type"),
+        F.lit(None).cast("date").alias("effective_from"), F.lit(None).cast("date").alias("effective_to"), F.lit(True).alias("verified"), (n % 5).alias("framework"), F.col("n_regionkey").alias("volume"), F.lit(None).cast("string").alias("applicability"),
+        F.when(n % 3 == 0, "US").when(n % 3 == 1, "UK").otherwise("GLOBAL").alias("jurisdiction"),
+        F.when(F.col("n_regionkey") == 0, "capital_adequacy").when(F.col("n_regionkey") == 1, "data_quality").when(F.col("n_regionkey") == 2, "stress_testing").otherwise("model_risk_management").alias("subject"))
+
+
+def _one_sided(a: str, b: str) -> str:
+    return f"SELECT 'one_sided_{a}', doc_id FROM (SELECT doc_id, unnest({a}) AS t FROM reg) x WHERE NOT EXISTS (SELECT 1 FROM (SELECT doc_id, unnest({b}) AS t FROM reg) y WHERE y.doc_id = x.t AND y.t = x.doc_id)"
+
+
+@query("registry_violations", f"""WITH {REG_SQL}
+SELECT 'superseded_without_successor' AS rule, doc_id AS key FROM reg WHERE status = 'superseded' AND len(superseded_by) = 0
+UNION ALL SELECT 'successor_of_document_in_force', doc_id FROM reg WHERE status = 'in_force' AND len(superseded_by) > 0
+UNION ALL SELECT 'reference_data_as_requirement', doc_id FROM reg WHERE authority_rank = 0 AND doc_type = 'rule'
+UNION ALL SELECT 'duplicate_short_name', short_name FROM reg GROUP BY short_name HAVING count(*) > 1
+UNION ALL SELECT 'dangling_superseded_by', doc_id FROM (SELECT doc_id, unnest(superseded_by) AS t FROM reg) WHERE t NOT IN (SELECT doc_id FROM reg)
+UNION ALL SELECT 'dangling_supersedes', doc_id FROM (SELECT doc_id, unnest(supersedes) AS t FROM reg) WHERE t NOT IN (SELECT doc_id FROM reg)
+UNION ALL {_one_sided("supersedes", "superseded_by")} UNION ALL {_one_sided("superseded_by", "supersedes")}
+UNION ALL SELECT 'several_current_in_family', framework || '/' || volume FROM reg WHERE status IN ('in_force', 'partially_revised') AND authority_rank > 0 GROUP BY framework, volume HAVING count(*) > 1""")
+def registry_violations(spark, sf):
+    return pl.violations(registry(spark, sf))
+
+
+@query("version_families", f"WITH {REG_SQL} SELECT framework, volume, count(*) AS n, count(*) FILTER (status IN ('in_force', 'partially_revised')) AS n_current FROM reg GROUP BY ALL")
+def version_families(spark, sf):
+    return registry(spark, sf).groupBy("framework", "volume").agg(F.count("*").alias("n"), F.count_if(F.col("status").isin(*pl.CURRENT)).alias("n_current"))
+
+
+@query("corpus_grid", f"WITH {REG_SQL} SELECT subject, jurisdiction, array_to_string(list_sort(list(short_name)), '|') AS names FROM reg GROUP BY ALL")
+def corpus_grid(spark, sf):
+    return pl.corpus_grid(registry(spark, sf)).select("subject", "jurisdiction", F.array_join("names", "|").alias("names"))
+
+
+@query("status_view", f"WITH {REG_SQL} SELECT subject, jurisdiction, CASE WHEN status = 'superseded' THEN 'historic' ELSE 'current' END AS bucket, count(*) AS n FROM reg GROUP BY ALL")
+def status_view(spark, sf):
+    bucket = F.when(F.col("status").isin(*pl.CURRENT), "current").when(F.col("status").isin(*pl.HISTORIC), "historic")
+    return registry(spark, sf).withColumn("bucket", bucket).filter("bucket is not null").groupBy("subject", "jurisdiction", "bucket").agg(F.count("*").alias("n"))
+
+
+@query("empty_cells", f"WITH {REG_SQL} SELECT s.subject, j.jurisdiction FROM (SELECT DISTINCT subject FROM reg) s, (SELECT DISTINCT jurisdiction FROM reg) j EXCEPT SELECT subject, jurisdiction FROM reg")
+def empty_cells(spark, sf):
+    """Subjects by jurisdictions that nothing is held for (E49): two vocabularies of a few values."""
+    reg = registry(spark, sf)
+    every = reg.agg(F.collect_set("subject").alias("s"), F.collect_set("jurisdiction").alias("j")).select(F.explode("s").alias("subject"), "j").select("subject", F.explode("j").alias("jurisdiction"))
+    return every.join(reg.select("subject", "jurisdiction").distinct(), ["subject", "jurisdiction"], "left_anti")
+
+
+@query("alias_index", f"WITH {REG_SQL}, a AS (SELECT doc_id, lower(short_name) AS alias FROM reg UNION ALL SELECT doc_id, regexp_replace(lower(short_name), '[^a-z0-9]', '', 'g') FROM reg) SELECT doc_id, alias FROM a WHERE alias IN (SELECT alias FROM a GROUP BY alias HAVING count(DISTINCT doc_id) = 1)")
+def alias_index(spark, sf):
+    return pl.alias_index(registry(spark, sf)).select("doc_id", "alias")
+
+
+ASK = {"0": "What is the latest capital guidance in the US and the UK?", "1": "How has the guidance changed?", "2": "model validation", "3": "What does the PRA say about stress testing?", "4": "thus must because", "5": "Compare the rules", "6": "Was the former standard replaced in Basel?", "7": "expected credit losses"}
+#: Fixed results of the eight questions by the seven rules.
+MODES = {"0": ("jurisdiction_fanout", False), "1": ("version_fanout", False), "2": ("jurisdiction_fanout", True), "3": ("single_jurisdiction", False), "4": ("fallback", True), "5": ("version_fanout", False), "6": ("version_fanout", False), "7": ("jurisdiction_fanout", True)}
+
+
+def asked(spark: SparkSession, sf: str) -> DataFrame:
+    """Conversation turns as questions, each one of eight wordings by its number."""
+    at = F.element_at(F.array(*(F.lit(ASK[k]) for k in sorted(ASK))), (F.col("conv_id") % 8 + 1).cast("int"))
+    return table(spark, sf, "conversations").select("conv_id", "turn", at.alias("q"))
+
+
+@query("plan_modes", "SELECT conv_id, turn, CASE conv_id % 8 " + " ".join(f"WHEN {k} THEN '{m}'" for k, (m, _) in MODES.items()) + " END AS mode, conv_id % 8 IN (2, 4, 7) AS inferred FROM conversations")
+def plan_modes(spark, sf):
+    rows = asked(spark, sf).withColumn("key", F.struct("conv_id", "turn"))
+    return pl.plan_modes(rows, "key", "q").select("key.conv_id", "key.turn", "mode", "inferred")
+
+
+@query("plan_mode_tally", "SELECT CASE conv_id % 8 " + " ".join(f"WHEN {k} THEN '{m}'" for k, (m, _) in MODES.items()) + " END AS mode, count(*) AS n FROM conversations GROUP BY 1")
+def plan_mode_tally(spark, sf):
+    """Plans by mode."""
+    rows = asked(spark, sf).withColumn("key", F.struct("conv_id", "turn"))
+    return pl.plan_modes(rows, "key", "q").groupBy("mode").agg(F.count("*").alias("n"))
+
+
+@query("plan_facets", "SELECT conv_id, turn, count(*) AS n_facets FROM (SELECT conv_id, turn, unnest(range(CASE conv_id % 8 WHEN 0 THEN 2 WHEN 1 THEN 2 WHEN 3 THEN 1 WHEN 5 THEN 2 WHEN 6 THEN 2 ELSE 3 END)) FROM conversations) GROUP BY ALL")
+def plan_facets(spark, sf):
+    rows = asked(spark, sf).withColumn("key", F.struct("conv_id", "turn"))
+    return pl.facets(pl.plan_modes(rows, "key", "q"), "key").groupBy("key").agg(F.count("*").alias("n_facets")).select("key.conv_id", "key.turn", "n_facets")
+
+
+GATE_SQL = f"""WITH {REG_SQL}, g AS (SELECT subject, jurisdiction, count(*) AS n FROM reg GROUP BY ALL),
+x AS (SELECT c_custkey AS id, c_custkey % 11 <> 0 AS banking, CASE c_custkey % 6 WHEN 0 THEN 'capital_adequacy' WHEN 1 THEN 'data_quality' WHEN 2 THEN 'GLOBAL' WHEN 3 THEN 'other' ELSE 'model_risk_management' END AS subject,
+  CASE c_custkey % 5 WHEN 0 THEN 'US' WHEN 1 THEN 'UK' WHEN 2 THEN 'MARS' END AS jurisdiction, CASE c_custkey % 13 WHEN 0 THEN 'EXACT' WHEN 1 THEN 'ABSENT' WHEN 2 THEN 'FAMILY' ELSE 'NONE' END AS name_kind, c_custkey % 2 = 0 AS document_seen FROM customer),
+y AS (SELECT *, CASE WHEN subject IN (SELECT subject FROM g) THEN subject END AS su, CASE WHEN jurisdiction IN (SELECT jurisdiction FROM g) THEN jurisdiction
+  WHEN subject NOT IN (SELECT subject FROM g) AND subject IN (SELECT jurisdiction FROM g) THEN subject END AS ju FROM x)
+SELECT id, CASE WHEN NOT banking THEN 'OUT_OF_DOMAIN' WHEN name_kind = 'EXACT' THEN 'ANSWERABLE' WHEN name_kind = 'ABSENT' AND document_seen THEN 'OUT_OF_CORPUS'
+  WHEN su IS NULL THEN 'INCOMPLETE' WHEN ju IS NULL AND (SELECT count(*) FROM g WHERE g.subject = su) = 1 THEN 'ANSWERABLE' WHEN ju IS NULL THEN 'INCOMPLETE'
+  WHEN EXISTS (SELECT 1 FROM g WHERE g.subject = su AND g.jurisdiction = ju) THEN 'ANSWERABLE' ELSE 'INCOMPLETE' END AS decision FROM y"""
+
+
+@query("gate_decide", GATE_SQL)
+def gate_decide(spark, sf):
+    k = F.col("c_custkey")
+    x = table(spark, sf, "customer").select(
+        k.alias("id"), (k % 11 != 0).alias("banking"), F.when(k % 6 == 0, "capital_adequacy").when(k % 6 == 1, "data_quality").when(k % 6 == 2, "GLOBAL").when(k % 6 == 3, "other").otherwise("model_risk_management").alias("subject"),
+        F.when(k % 5 == 0, "US").when(k % 5 == 1, "UK").when(k % 5 == 2, "MARS").alias("jurisdiction"), F.array().cast("array<string>").alias("jurisdictions"), F.lit(True).alias("subject_read"),
+        F.when(k % 13 == 0, "EXACT").when(k % 13 == 1, "ABSENT").when(k % 13 == 2, "FAMILY").otherwise("NONE").alias("name_kind"), (k % 2 == 0).alias("document_seen"))
+    return pl.decide(x, pl.corpus_grid(registry(spark, sf))).select("id", "decision")
