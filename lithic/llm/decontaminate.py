@@ -16,8 +16,8 @@ is bounded for any benchmark; documents are read whole, in one narrow pass for f
 for the search, and nothing of them is shuffled but counts a term and the leaks found.
 
 Terms in more than COMMON of all passages have no weight, except in items with under three other
-terms. Words are runs without ASCII white space, A-Z lower-cased, without punctuation at
-either end. Defined cases: null and empty texts and items hold no words and match nothing;
+terms. Words are runs of bytes other than ASCII white space and the punctuation of CUTS,
+A-Z lower-cased. Defined cases: null and empty texts and items hold no words and match nothing;
 repeated rows are judged each on their own, repeated items match each; equal scores are all kept; an
 empty table gives no rows; other columns are passed through by ``drop_leaks``.
 """
@@ -27,6 +27,7 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
+from itertools import repeat
 from typing import NamedTuple
 
 import numpy as np
@@ -38,35 +39,25 @@ from pyspark.sql import functions as F
 from lithic.llm.common import sliced
 
 STRIDE, COMMON, SPREAD, BLOCK_ITEMS, OVERSAMPLE = 32, 0.05, 1.4, 1024, 16
-REMEMBERED = 400_000
-EDGES = b".,;:!?\"'()[]{}<>*#%&$|-_/"
+#: Bytes that part words beside ASCII white space; A-Z become a-z.
+CUTS = b".,;:!?\"'()[]{}<>*#%&$|-_/"
+TABLE = bytes(ord(" ") if b in CUTS else b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
-class Terms(dict):
-    """The number of each word as it stands in a text; -1 for words that no item has."""
+def words_of(text: str) -> list[bytes]:
+    return text.encode().translate(TABLE).split()
 
-    def __init__(self, numbers: dict[bytes, int]):
-        super().__init__()
-        self.numbers = numbers
 
-    def __missing__(self, word: bytes) -> int:
-        number = self.numbers.get(word.strip(EDGES), -1)
-        if len(self) >= REMEMBERED:
-            self.clear()
-        if len(word) <= 64:
-            self[word] = number
-        return number
-
-    def of(self, text: str) -> np.ndarray:
-        words = text.encode().lower().split()
-        return np.fromiter(map(self.__getitem__, words), np.int32, len(words))
+def term_numbers(text: str, numbers: dict[bytes, int]) -> np.ndarray:
+    """The number of each word of a text; -1 for words that no item has."""
+    words = words_of(text)
+    return np.fromiter(map(numbers.get, words, repeat(-1)), np.int32, len(words))
 
 
 def item_words(text: str) -> tuple[list[bytes], list[bytes]]:
     """The words of an item, and those of its last sentence if it has several."""
-    words = lambda t: [w for w in (x.strip(EDGES) for x in t.encode().lower().split()) if w]
-    sentences = [s for s in re.split(r"(?<=[.!?])\s+", text) if words(s)]
-    return words(text), words(sentences[-1]) if len(sentences) > 1 else []
+    sentences = [s for s in re.split(r"(?<=[.!?])\s+", text) if words_of(s)]
+    return words_of(text), words_of(sentences[-1]) if len(sentences) > 1 else []
 
 
 class Item(NamedTuple):
@@ -89,11 +80,11 @@ def passage_counts(docs: DataFrame, numbers: dict[bytes, int], text_col: str) ->
     n_terms = len(numbers)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        terms, held, passages = Terms(numbers), np.zeros(n_terms, np.int64), 0
+        held, passages = np.zeros(n_terms, np.int64), 0
         for batch in batches:
             for part in sliced(batch):
                 for text in part.column("text").to_pylist():
-                    ids = terms.of(text)
+                    ids = term_numbers(text, numbers)
                     passages += -(-len(ids) // STRIDE)
                     at = np.flatnonzero(ids >= 0)
                     if len(at):
@@ -209,7 +200,7 @@ class Search:
 
     def __init__(self, numbers: dict[bytes, int], items: list[Item], weight: np.ndarray, latent: np.ndarray, limits: Limits):
         self.numbers, self.items, self.weight, self.limits = numbers, items, weight.astype(np.float32), limits
-        self.latent = latent.astype(np.float32)
+        self.latent = (latent * weight[:, None]).astype(np.float32)
         folded = np.zeros((len(items), latent.shape[1]), np.float32)
         for i, item in enumerate(items):
             t, v = item_vector(item, weight)
@@ -225,19 +216,23 @@ class Search:
             return []
         # A window is two neighbouring stretches: a word lies in the one that its stretch begins,
         # and in the one before, if there is one.
-        stretch = at // STRIDE
+        stretch, term = at // STRIDE, ids[at]
+        opens = np.flatnonzero(np.diff(stretch, prepend=-1))
+        parts = np.add.reduceat(self.latent[term], opens, axis=0)
+        here = stretch[opens]
         later = stretch > 0
-        window, terms = np.concatenate([stretch, stretch[later] - 1]), np.concatenate([ids[at], ids[at[later]]])
-        keys, times = np.unique(window * len(self.weight) + terms, return_counts=True)
-        window, term = keys // len(self.weight), keys % len(self.weight)
-        values = times * self.weight[term]
+        keys, times = np.unique(np.concatenate([stretch, stretch[later] - 1]) * len(self.weight) + np.concatenate([term, term[later]]), return_counts=True)
+        window = keys // len(self.weight)
         first = np.flatnonzero(np.diff(window, prepend=-1))
-        norm = np.sqrt(np.add.reduceat(values**2, first))
-        vectors = np.add.reduceat(self.latent[term] * values[:, None].astype(np.float32), first, axis=0)
+        norm = np.sqrt(np.add.reduceat((times * self.weight[keys % len(self.weight)]) ** 2, first))
+        window = window[first]
+        vectors = np.zeros((len(window), parts.shape[1]), np.float32)
+        vectors[np.searchsorted(window, here)] = parts
+        vectors[np.searchsorted(window, here[here > 0] - 1)] += parts[here > 0]
         scores = (vectors @ self.folded) / norm[:, None]
         found: dict[int, tuple[int, int, float]] = {}
         for w, i in zip(*np.nonzero(scores >= self.limits.cosine), strict=True):
-            start = int(window[first[w]]) * STRIDE
+            start = int(window[w]) * STRIDE
             hit = self.verified(ids, start, self.items[i])
             if hit and (i not in found or hit[1] > found[i][1]):
                 found[i] = (*hit, float(scores[w, i]))
@@ -286,12 +281,11 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, rank: int = 256, limits: L
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             held = shared.value
-            terms = Terms(held.numbers)
             for batch in batches:
                 rows = []
                 for part in sliced(batch):
                     for doc_id, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), strict=True):
-                        rows += [(doc_id, held.items[i].item_id, first, common, len(held.items[i].words), score) for i, first, common, score in held.leaks(terms.of(text))]
+                        rows += [(doc_id, held.items[i].item_id, first, common, len(held.items[i].words), score) for i, first, common, score in held.leaks(term_numbers(text, held.numbers))]
                 columns = list(zip(*rows, strict=True)) or [()] * 6
                 kinds = [pa.int64()] * 5 + [pa.float64()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], [x.split()[0] for x in out.split(", ")])
@@ -313,8 +307,7 @@ def _clean(shared):
 
     def clean(texts: pd.Series) -> pd.Series:
         held = shared.value
-        terms = Terms(held.numbers)
-        return pd.Series([not held.leaks(terms.of(t)) for t in texts], dtype="bool")
+        return pd.Series([not held.leaks(term_numbers(t, held.numbers)) for t in texts], dtype="bool")
 
     clean.__annotations__ = {"texts": pd.Series, "return": pd.Series}
     return F.pandas_udf(clean, "boolean")
