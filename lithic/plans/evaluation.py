@@ -1 +1,176 @@
+"""Evaluation queries: recall, citations, precision, agreement, separation, drift, timing."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from lithic.plans import answers, retrieval
+from lithic.plans.base import query, table
+
+BM, UNITS = retrieval.BM25_SQL, answers.UNITS_SQL
+
+
+@query("literal_recall", f"WITH {BM}, want AS (SELECT item_id, list_distinct(regexp_extract_all(lower(text), '[a-z]{{6,}}')) AS w FROM benchmark), blob AS (SELECT item_id, string_agg(lower(text), ' ' ORDER BY rank) AS b FROM lex JOIN documents USING (doc_id) WHERE rank < 5 GROUP BY 1) SELECT item_id, round(CASE WHEN len(w) > 0 THEN len(list_filter(w, lambda x: contains(b, x))) / len(w) END, 6)::DOUBLE AS recall FROM want JOIN blob USING (item_id)")
+def literal_recall(spark, sf):
+    """Share of a question's long words found in what was retrieved for it."""
+    want = table(spark, sf, "benchmark").select("item_id", F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{6,}"), F.lit(0))).alias("w"))
+    found = retrieval.bm25_top20(spark, sf).filter("rank < 5").join(table(spark, sf, "documents").select("doc_id", F.lower("text").alias("t")), "doc_id")
+    blob = found.groupBy("item_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rank", "t"))), lambda x: x["t"]), " ").alias("b"))
+    share = F.try_divide(F.size(F.filter("w", lambda x: F.contains("b", x))), F.nullif(F.size("w"), F.lit(0)))
+    return want.join(blob, "item_id").select("item_id", F.round(share, 6).alias("recall"))
+
+
+def judged(spark: SparkSession, sf: str) -> DataFrame:
+    """Delivered documents with a relevance label: quality of the labelled ones."""
+    labels = table(spark, sf, "labels").select("doc_id", F.col("quality").alias("relevant"))
+    return retrieval.bm25_top20(spark, sf).join(labels, "doc_id")
+
+
+JUDGED = f"WITH {BM}, j AS (SELECT item_id, doc_id, score, rank, quality AS relevant FROM lex JOIN labels USING (doc_id))"
+
+
+@query("precision_mrr", JUDGED + ", q AS (SELECT item_id, avg(relevant) AS p, max(relevant) AS hit, arg_min(relevant, rank) AS p1, min(CASE WHEN relevant = 1 THEN k END) AS first FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY rank) AS k FROM j) GROUP BY 1) SELECT item_id, round(p, 6) AS precision, hit::INT AS hit, p1::INT AS p_at_1, round(coalesce(1 / first, 0), 6)::DOUBLE AS rr FROM q")
+def precision_mrr(spark, sf):
+    """Precision, hit, first place and reciprocal rank of each question."""
+    k = F.row_number().over(Window.partitionBy("item_id").orderBy("rank"))
+    q = judged(spark, sf).withColumn("k", k).groupBy("item_id").agg(F.avg("relevant").alias("p"), F.max("relevant").alias("hit"), F.min_by("relevant", "rank").alias("p_at_1"), F.min(F.when(F.col("relevant") == 1, F.col("k"))).alias("first"))
+    return q.select("item_id", F.round("p", 6).alias("precision"), F.col("hit").cast("int").alias("hit"), F.col("p_at_1").cast("int").alias("p_at_1"), F.round(F.coalesce(1.0 / F.col("first"), F.lit(0.0)), 6).alias("rr"))
+
+
+@query("headline", JUDGED + ", q AS (SELECT item_id, avg(relevant) AS p, max(relevant) AS hit, min(CASE WHEN relevant = 1 THEN k END) AS first FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY rank) AS k FROM j) GROUP BY 1) SELECT round(avg(hit), 6) AS hit_rate, round(avg(p), 6) AS precision, round(avg(coalesce(1 / first, 0)), 6) AS mrr FROM q")
+def headline(spark, sf):
+    """Means of the per-question measures."""
+    return precision_mrr_raw(spark, sf).agg(F.round(F.avg("hit"), 6).alias("hit_rate"), F.round(F.avg("p"), 6).alias("precision"), F.round(F.avg("rr"), 6).alias("mrr"))
+
+
+def precision_mrr_raw(spark: SparkSession, sf: str) -> DataFrame:
+    k = F.row_number().over(Window.partitionBy("item_id").orderBy("rank"))
+    q = judged(spark, sf).withColumn("k", k).groupBy("item_id").agg(F.avg("relevant").alias("p"), F.max("relevant").alias("hit"), F.min(F.when(F.col("relevant") == 1, F.col("k"))).alias("first"))
+    return q.withColumn("rr", F.coalesce(1.0 / F.col("first"), F.lit(0.0)))
+
+
+@query("label_coverage", f"WITH {BM}, c AS (SELECT item_id, count(*) AS n, count(quality) AS labelled FROM lex LEFT JOIN labels USING (doc_id) GROUP BY 1) SELECT CASE WHEN labelled = n THEN 'full' WHEN labelled = 0 THEN 'none' ELSE 'partial' END AS coverage, count(*) AS n FROM c GROUP BY 1")
+def label_coverage(spark, sf):
+    """Questions whose hits are all, partly or not labelled."""
+    c = retrieval.bm25_top20(spark, sf).join(table(spark, sf, "labels"), "doc_id", "left").groupBy("item_id").agg(F.count("*").alias("n"), F.count("quality").alias("labelled"))
+    return c.groupBy(F.when(F.col("labelled") == F.col("n"), "full").when(F.col("labelled") == 0, "none").otherwise("partial").alias("coverage")).agg(F.count("*").alias("n"))
+
+
+@query("separation_test", "WITH s AS (SELECT quality AS relevant, length(text) AS score FROM labels JOIN documents USING (doc_id)) SELECT relevant::INT AS relevant, round(quantile_cont(score::DOUBLE, 0.1), 4) AS p10, round(quantile_cont(score::DOUBLE, 0.5), 4) AS p50, round(quantile_cont(score::DOUBLE, 0.9), 4) AS p90, count(*) AS n FROM s GROUP BY 1")
+def separation_test(spark, sf):
+    """How a score is spread among relevant and other rows."""
+    s = table(spark, sf, "labels").join(table(spark, sf, "documents").select("doc_id", F.length("text").alias("score")), "doc_id")
+    return s.groupBy(F.col("quality").cast("int").alias("relevant")).agg(*(F.round(F.percentile("score", p / 100), 4).alias(f"p{p}") for p in (10, 50, 90)), F.count("*").alias("n"))
+
+
+@query("agreement", "SELECT count(*) AS n, round(avg((quality = 1 - toxic)::INT), 6)::DOUBLE AS rate, avg((quality = 1 - toxic)::INT) >= 0.85 AS passes FROM labels")
+def agreement(spark, sf):
+    """Share of rows on which two raters agree, against a bar of 0.85."""
+    same = F.avg((F.col("quality") == 1 - F.col("toxic")).cast("int"))
+    return table(spark, sf, "labels").agg(F.count("*").alias("n"), F.round(same, 6).alias("rate"), (same >= 0.85).alias("passes"))
+
+
+@query("confusion_counts", "SELECT quality::INT AS truth, (length(text) > 1500)::INT AS got, count(*) AS n FROM labels JOIN documents USING (doc_id) GROUP BY 1, 2")
+def confusion_counts(spark, sf):
+    """Truth by decision."""
+    s = table(spark, sf, "labels").join(table(spark, sf, "documents").select("doc_id", (F.length("text") > 1500).cast("int").alias("got")), "doc_id")
+    return s.groupBy(F.col("quality").cast("int").alias("truth"), "got").agg(F.count("*").alias("n"))
+
+
+@query("citation_layers", "SELECT event_type AS mode, count(*) AS n, count(*) FILTER (user_id % 7 <> 0) AS cited, count(*) FILTER (user_id % 7 <> 0 AND value > 0) AS valid, count(*) FILTER (value IS NULL) AS unmeasured FROM events GROUP BY 1")
+def citation_layers(spark, sf):
+    """Claims cited and valid by plan mode; what cannot be measured is counted apart."""
+    cited = F.col("user_id") % 7 != 0
+    return table(spark, sf, "events").groupBy(F.col("event_type").alias("mode")).agg(F.count("*").alias("n"), F.count_if(cited).alias("cited"), F.count_if(cited & (F.col("value") > 0)).alias("valid"), F.count_if(F.col("value").isNull()).alias("unmeasured"))
+
+
+@query("verdict_pivot", "SELECT o_orderpriority AS mode, count(*) FILTER (o_orderstatus = 'F') AS f, count(*) FILTER (o_orderstatus = 'O') AS o, count(*) FILTER (o_orderstatus = 'P') AS p FROM orders GROUP BY 1")
+def verdict_pivot(spark, sf):
+    """Grades by mode, a column a verdict."""
+    wide = table(spark, sf, "orders").groupBy(F.col("o_orderpriority").alias("mode")).pivot("o_orderstatus", ["F", "O", "P"]).count()
+    return wide.select("mode", *(F.coalesce(c, F.lit(0)).cast("long").alias(c.lower()) for c in ("F", "O", "P")))
+
+
+@query("index_drift", "WITH a AS (SELECT doc_id, text FROM documents WHERE doc_id % 10 <> 0), b AS (SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN text || '!' ELSE text END AS text FROM documents WHERE doc_id % 11 <> 0) SELECT CASE WHEN a.doc_id IS NULL THEN 'extra' WHEN b.doc_id IS NULL THEN 'missing' WHEN a.text = b.text THEN 'same' ELSE 'changed' END AS state, count(*) AS n FROM a FULL JOIN b ON a.doc_id = b.doc_id GROUP BY 1")
+def index_drift(spark, sf):
+    """A table against its index: rows missing, extra, changed and the same, by content hash."""
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    a = docs.filter("doc_id % 10 <> 0").select("doc_id", F.xxhash64("text").alias("a"))
+    b = docs.filter("doc_id % 11 <> 0").select("doc_id", F.xxhash64(F.when(F.col("doc_id") % 7 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text"))).alias("b"))
+    state = F.when(F.col("a").isNull(), "extra").when(F.col("b").isNull(), "missing").when(F.col("a") == F.col("b"), "same").otherwise("changed")
+    return a.join(b, "doc_id", "full").groupBy(state.alias("state")).agg(F.count("*").alias("n"))
+
+
+@query("cut_loss_summary", f"WITH {BM}, d AS (SELECT qid, chunk_id, 'relevance_floor' AS cut FROM kept WHERE NOT above AND NOT rescued UNION ALL SELECT qid, chunk_id, 'facet_margin' FROM margin WHERE NOT in_margin) SELECT cut, count(*) AS n, count(*) FILTER (quality = 1) AS relevant FROM d LEFT JOIN labels ON doc_id = chunk_id GROUP BY 1")
+def cut_loss_summary(spark, sf):
+    """What each cut took and how much of it was relevant."""
+    margin, left = retrieval.asm.facet_margin(retrieval.hits(spark, sf)), retrieval.kept(spark, sf)
+    rows = left.filter("not above and not rescued").select("chunk_id", F.lit("relevance_floor").alias("cut")).union(margin.filter("not in_margin").select("chunk_id", F.lit("facet_margin")))
+    labels = table(spark, sf, "labels").select(F.col("doc_id").alias("chunk_id"), "quality")
+    return rows.join(labels, "chunk_id", "left").groupBy("cut").agg(F.count("*").alias("n"), F.count_if(F.col("quality") == 1).alias("relevant"))
+
+
+@query("gap_to_best", f"WITH {BM} SELECT item_id, doc_id, round(max(score) OVER (PARTITION BY item_id) - score, 6) AS gap FROM lex")
+def gap_to_best(spark, sf):
+    """Distance of each hit from its question's best."""
+    return retrieval.bm25_top20(spark, sf).select("item_id", "doc_id", F.round(F.max("score").over(Window.partitionBy("item_id")) - F.col("score"), 6).alias("gap"))
+
+
+@query("facet_probe", f"WITH {BM}, f AS (SELECT item_id AS qid, lang AS facet, count(*) AS n, max(score) AS best, avg(CASE WHEN k <= 5 THEN score END) AS top5 FROM (SELECT *, row_number() OVER (PARTITION BY item_id, lang ORDER BY score DESC, doc_id) AS k FROM lex JOIN documents USING (doc_id)) GROUP BY 1, 2) SELECT qid, facet, n, best, round(top5, 6) AS top5, best = max(best) OVER (PARTITION BY qid) AS wins FROM f")
+def facet_probe(spark, sf):
+    """Best and mean of the best five scores of each facet, and which facet wins."""
+    rows = retrieval.bm25_top20(spark, sf).join(table(spark, sf, "documents").select("doc_id", "lang"), "doc_id")
+    k = F.row_number().over(Window.partitionBy("item_id", "lang").orderBy(F.desc("score"), "doc_id"))
+    f = rows.withColumn("k", k).groupBy(F.col("item_id").alias("qid"), F.col("lang").alias("facet")).agg(F.count("*").alias("n"), F.max("score").alias("best"), F.avg(F.when(F.col("k") <= 5, F.col("score"))).alias("top5"))
+    return f.select("qid", "facet", "n", "best", F.round("top5", 6).alias("top5"), (F.col("best") == F.max("best").over(Window.partitionBy("qid"))).alias("wins"))
+
+
+@query("rerank_changes", f"WITH {BM}, a AS (SELECT item_id, doc_id, rank AS p FROM lex WHERE rank < 5), b AS (SELECT item_id, doc_id, rank AS p FROM cover WHERE rank < 5) SELECT item_id, count(*) FILTER (a.p IS NOT NULL AND b.p IS NOT NULL AND a.p <> b.p) AS moved, count(*) FILTER (b.p IS NULL) AS dropped, count(*) FILTER (a.p IS NULL) AS new FROM a FULL JOIN b USING (item_id, doc_id) GROUP BY 1")
+def rerank_changes(spark, sf):
+    """Places moved, dropped and new between two orders."""
+    a = retrieval.bm25_top20(spark, sf).filter("rank < 5").select("item_id", "doc_id", F.col("rank").alias("a"))
+    b = retrieval.coverage_top20(spark, sf).filter("rank < 5").select("item_id", "doc_id", F.col("rank").alias("b"))
+    return a.join(b, ["item_id", "doc_id"], "full").groupBy("item_id").agg(F.count_if(F.col("a") != F.col("b")).alias("moved"), F.count_if(F.col("b").isNull()).alias("dropped"), F.count_if(F.col("a").isNull()).alias("new"))
+
+
+@query("rate_medians", "WITH r AS (SELECT event_type, user_id % 5 AS size, value FROM events), m AS (SELECT event_type, median(value) AS m FROM r GROUP BY 1) SELECT event_type, round(m, 6) AS median_rate, (SELECT count(*) FROM r WHERE r.event_type = m.event_type AND value > 3 * m.m) AS n_cached FROM m")
+def rate_medians(spark, sf):
+    """Median rates and readings over three times the median, as cached runs look."""
+    e = table(spark, sf, "events")
+    m = e.groupBy("event_type").agg(F.percentile("value", 0.5).alias("m"))
+    return e.join(F.broadcast(m), "event_type").groupBy("event_type", "m").agg(F.count_if(F.col("value") > 3 * F.col("m")).alias("n_cached")).select("event_type", F.round("m", 6).alias("median_rate"), "n_cached")
+
+
+@query("refusal_classes", "SELECT CASE WHEN regexp_matches(lower(text), '(cannot|unable to|do not) (answer|find|hold)') THEN 'refused' WHEN regexp_matches(text, '\\?\\s*$') THEN 'asks' ELSE 'answered' END AS kind, role, count(*) AS n FROM conversations GROUP BY 1, 2")
+def refusal_classes(spark, sf):
+    """Replies by wording."""
+    kind = F.when(F.lower("text").rlike("(cannot|unable to|do not) (answer|find|hold)"), "refused").when(F.col("text").rlike(r"\?\s*$"), "asks").otherwise("answered")
+    return table(spark, sf, "conversations").groupBy(kind.alias("kind"), "role").agg(F.count("*").alias("n"))
+
+
+@query("reproducibility", "SELECT source, count(*) AS n, count(DISTINCT text) AS n_texts, count(DISTINCT text) = 1 AS same FROM documents GROUP BY 1")
+def reproducibility(spark, sf):
+    """Whether repeated runs gave one text."""
+    return table(spark, sf, "documents").select("source", F.xxhash64("text").alias("t"), F.length("text").alias("n")).groupBy("source").agg(F.count("*").alias("n_"), F.count_distinct("t", "n").alias("n_texts")).select("source", F.col("n_").alias("n"), "n_texts", (F.col("n_texts") == 1).alias("same"))
+
+
+@query("table_lines", "SELECT page_id, len(list_filter(string_split(html, chr(10)), lambda l: length(l) - length(replace(l, '|', '')) >= 2)) AS n_table_lines FROM pages")
+def table_lines(spark, sf):
+    """Lines with two bars or more, as tables in plain text have."""
+    return table(spark, sf, "pages").select("page_id", F.size(F.filter(F.split("html", "\n"), lambda x: F.length(x) - F.length(F.replace(x, F.lit("|"), F.lit(""))) >= 2)).cast("long").alias("n_table_lines"))
+
+
+@query("claim_margin", f"WITH {UNITS} SELECT qid, claim_no, round(max(score) OVER (PARTITION BY qid) - score, 6) AS gap, max(score) OVER (PARTITION BY qid) - score > 0.6 AS far FROM best WHERE k = 1")
+def claim_margin(spark, sf):
+    """Distance of a claim from the best claim of its answer."""
+    best = answers.cl.align(answers.claims(spark, sf), answers.units(spark, sf))
+    gap = F.max("best").over(Window.partitionBy("qid")) - F.col("best")
+    return best.select("qid", "claim_no", F.round(gap, 6).alias("gap"), (gap > 0.6).alias("far"))
+
+
+@query("vocabulary_check", "SELECT count(*) AS n, count(*) FILTER (event_type IN ('click', 'view', 'purchase')) AS in_vocabulary, count(*) FILTER (json_valid(props)) AS parsed FROM events")
+def vocabulary_check(spark, sf):
+    """Extractions whose values lie in the vocabulary and whose JSON parses."""
+    e = table(spark, sf, "events")
+    return e.agg(F.count("*").alias("n"), F.count_if(F.col("event_type").isin("click", "view", "purchase")).alias("in_vocabulary"), F.count_if(F.expr("try_parse_json(props) is not null")).alias("parsed"))
