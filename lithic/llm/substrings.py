@@ -12,8 +12,11 @@ strings of the stretch cover together.
 
 1. inner unique: no string that starts in the stretch occurs again; dropped.
 2. outer found twice: all of them do.
-3. else the stretch is open: its starts are named at full length one by one, as are those of one
-   text for every other outer with the same inner, and these names are counted.
+3. else the stretch is open, and is looked at again in runs of at most GRAIN starts, and at last
+   start by start. Of the stretches with one outer only one text's is carried on.
+
+A run's own inner and outer are again what all its strings share and what they cover; runs are
+cut by their distance from the anchor, so equal strings fall in equal runs.
 
 All steps count names with partial sums, so a string in a third of all texts costs a row a task.
 Results are kept by content: rows with equal texts have equal results. The bytes that repeated
@@ -27,6 +30,8 @@ collision needs 128 equal bits.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -34,7 +39,7 @@ from pyspark.sql import functions as F
 
 from lithic.llm.common import map_batches, written
 
-BLOCK = 256
+BLOCK, GRAIN = 256, 12
 #: Tables of found places are broadcast up to so many entries (16 to 24 bytes each).
 BROADCAST_ENTRIES = 2_000_000
 
@@ -85,28 +90,41 @@ def sliding_least(values: np.ndarray, width: int) -> np.ndarray:
     return low
 
 
-def stretches(data: bytes, length: int) -> tuple[np.ndarray, ...]:
-    """(first start, starts, inner, outer) of every stretch of a text of ``length`` bytes or more."""
-    names = Names(data)
+def ranges(counts: np.ndarray) -> np.ndarray:
+    """0, 1, ... up to each count, one after the other."""
+    return np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+
+
+def stretches(texts: list[bytes], length: int) -> tuple[np.ndarray, ...]:
+    """(text, first start, starts, anchor less first, inner, outer) of every stretch of the texts.
+
+    Texts are laid end to end, so that short ones share the array operations; only starts whose
+    string ends within its own text are kept.
+    """
+    sizes = np.array([len(t) for t in texts], np.int64)
+    begin = np.cumsum(sizes) - sizes
+    names = Names(b"".join(texts))
     block = names.power(BLOCK)
     window = length - BLOCK + 1
     low = sliding_least(block, window)
-    # The first place at or after each start that holds the window's least name: where the least
-    # value changes, or the place that held it has been passed, another anchor begins.
-    places = np.arange(len(block), dtype=np.int64)
+    room = np.maximum(sizes - length + 1, 0)
+    of = np.repeat(np.arange(len(texts)), room)
+    starts = ranges(room) + begin[of]
+    least = low[starts]
+    # The first place at or after each start that holds its window's least name.
     lead = np.flatnonzero(_is_least(block, low, window))
-    nxt = np.searchsorted(lead, places[: len(low)])
+    nxt = np.searchsorted(lead, starts)
     anchor = lead[nxt]
-    wrong = np.flatnonzero(block[anchor] != low)
+    wrong = np.flatnonzero(block[anchor] != least)
     while len(wrong):  # a least of another window came first
         nxt[wrong] += 1
         anchor[wrong] = lead[nxt[wrong]]
-        wrong = wrong[block[anchor[wrong]] != low[wrong]]
-    first = np.flatnonzero(np.diff(anchor, prepend=-1))
-    count = np.diff(first, append=len(anchor))
-    at = anchor[first]
+        wrong = wrong[block[anchor[wrong]] != least[wrong]]
+    new = np.flatnonzero((np.diff(anchor, prepend=-1) != 0) | (np.diff(of, prepend=-1) != 0))
+    count = np.diff(new, append=len(anchor))
+    first, at, text = starts[new], anchor[new], of[new]
     outer = _paired(names.at(first, count - 1 + length), (at - first).astype(np.uint64))
-    return first, count, block[at], outer
+    return text, first - begin[text], count, at - first, block[at].view(np.int64), outer.view(np.int64)
 
 
 def _is_least(block: np.ndarray, low: np.ndarray, window: int) -> np.ndarray:
@@ -116,11 +134,29 @@ def _is_least(block: np.ndarray, low: np.ndarray, window: int) -> np.ndarray:
     return highest == block
 
 
-def full_names(data: bytes, runs: list[tuple[int, int, int]], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(start, inner, name) of all starts of the (first, starts, inner) runs of a text."""
-    first, count, inner = (np.array(x, np.int64) for x in zip(*runs, strict=True))
-    starts = np.repeat(first - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
-    return starts, np.repeat(inner, count), Names(data).at(starts, np.full(len(starts), length)).view(np.int64)
+def finer_runs(texts: list[bytes], runs: list[list[dict]], size: int, length: int) -> tuple[np.ndarray, ...]:
+    """The same values for runs cut into at most ``size`` starts, by distance from the anchor.
+
+    Only the bytes that the runs' strings cover are named, laid end to end.
+    """
+    flat = [(i, r["first"], r["starts"], r["back"], r["inner"]) for i, held in enumerate(runs) for r in held]
+    text, first, count, back, inner = (np.array(x, np.int64) for x in zip(*flat, strict=True))
+    pieces = [texts[i][f : f + n - 1 + length] for i, f, n, _, _ in flat]
+    sizes = np.array([len(x) for x in pieces], np.int64)
+    moved = np.cumsum(sizes) - sizes - first  # from a place in the text to one in the pieces
+    lo, hi = (back - count + 1) // size, back // size
+    many = hi - lo + 1
+    of = np.repeat(np.arange(len(flat)), many)
+    k = ranges(many) + lo[of]
+    far, near = np.minimum(k * size + size - 1, back[of]), np.maximum(k * size, (back - count + 1)[of])
+    anchor = (first + back)[of]
+    begin, n = anchor - far, far - near + 1
+    names = Names(b"".join(pieces))
+    # What all strings of the uncut run share, which lies within any of them.
+    share = names.at(anchor - k * size + moved[of], np.full(len(k), length - size + 1))
+    mixed = _paired(_paired(inner[of].view(np.uint64), share), k.astype(np.uint64))
+    outer = _paired(names.at(begin + moved[of], n - 1 + length), far.astype(np.uint64))
+    return text[of], begin, n, far, mixed.view(np.int64), outer.view(np.int64)
 
 
 def merged(runs: list[tuple[int, int]], length: int) -> list[tuple[int, int]]:
@@ -148,46 +184,62 @@ def with_found(rows: DataFrame, found: DataFrame, entries: int, how: str) -> Dat
     return rows.join(F.broadcast(found) if entries <= BROADCAST_ENTRIES else found, CONTENT, how)
 
 
-def repeated_runs(rows: DataFrame, length: int) -> DataFrame:
-    """(content, n_bytes, first, starts): starts of strings that also start anywhere else."""
+RUN = ["first", "starts", "back", "inner", "outer"]
 
-    def make_stretches():
-        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            found = [stretches(d, length) for d in batch.column("data").to_pylist()]
-            many = [len(f[0]) for f in found]
-            repeat = lambda c: pa.array(np.repeat(batch.column(c).to_numpy(), many))
-            joined = [np.concatenate([f[k] for f in found]) for k in range(4)]
-            return pa.RecordBatch.from_arrays([repeat("content"), repeat("n_bytes"), pa.array(joined[0], pa.int64()), pa.array(joined[1], pa.int64()), pa.array(joined[2].view(np.int64)), pa.array(joined[3].view(np.int64))], [*CONTENT, "first", "starts", "inner", "outer"])
 
-        return step
+#: Bytes of texts that are named together.
+TOGETHER = 1 << 17
 
-    long_enough = rows.filter(F.col("n_bytes") >= length)
-    every = written(map_batches(long_enough.select("data", *CONTENT), make_stretches, "content long, n_bytes long, first long, starts long, inner long, outer long"))
-    twice = every.groupBy("inner").agg(F.count("*").alias("times"), F.min("outer").alias("lo"), F.max("outer").alias("hi")).filter("times > 1")
-    again = written(every.join(twice.select("inner", "lo", "hi"), "inner"))
-    mixed = again.filter("lo != hi")
-    outers = mixed.groupBy("inner", "outer").agg(F.count("*").alias("times"), F.min("content").alias("sample"))
-    told = written(mixed.join(outers, ["inner", "outer"]).drop("lo", "hi", "outer"))
-    sure = again.filter("lo = hi").select(*CONTENT, "first", "starts").union(told.filter("times > 1").select(*CONTENT, "first", "starts")).distinct()
 
-    named = told.filter("times = 1 or content = sample").select(*CONTENT, "first", "starts", "inner").distinct()
-    by_text = written(named.groupBy(*CONTENT).agg(F.collect_list(F.struct("first", "starts", "inner")).alias("runs")))
-    entries = by_text.agg(F.sum(F.size("runs"))).first()[0] or 0
+def run_rows(texts: DataFrame, cut, columns: list[str]) -> DataFrame:
+    """CONTENT and RUN of what ``cut`` makes of texts and their ``columns``."""
 
-    def make_names():
+    def parts(data: list[bytes]) -> Iterator[slice]:
+        begin = size = 0
+        for i, d in enumerate(data):
+            size += len(d)
+            if size >= TOGETHER or i == len(data) - 1:
+                yield slice(begin, i + 1)
+                begin, size = i + 1, 0
+
+    def make():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            named = [full_names(d, [(r["first"], r["starts"], r["inner"]) for r in runs], length) for d, runs in zip(batch.column("data").to_pylist(), batch.column("runs").to_pylist(), strict=True)]
-            many = [len(x[0]) for x in named]
-            repeat = lambda c: pa.array(np.repeat(batch.column(c).to_numpy(), many))
-            return pa.RecordBatch.from_arrays([repeat("content"), repeat("n_bytes"), *(pa.array(np.concatenate([x[k] for x in named])) for k in range(3))], [*CONTENT, "first", "inner", "name"])
+            held = [batch.column(c).to_pylist() for c in columns]
+            keys = [batch.column(c).to_numpy() for c in CONTENT]
+            found = []
+            for part in parts(held[0]):
+                text, *values = cut(*(h[part] for h in held))
+                found.append([*(k[part][text] for k in keys), *values])
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found, strict=True)], [*CONTENT, *RUN])
 
         return step
 
-    texts = with_found(long_enough.select("data", *CONTENT), by_text, entries, "inner")
-    names = written(map_batches(texts.select("data", *CONTENT, "runs"), make_names, "content long, n_bytes long, first long, inner long, name long"))
-    common = names.groupBy("inner", "name").agg(F.count("*").alias("times")).filter("times > 1").select("inner", "name")
-    single = names.join(common, ["inner", "name"]).select(*CONTENT, "first", F.lit(1).cast("long").alias("starts")).distinct()
-    return sure.union(single)
+    return map_batches(texts.select(*CONTENT, *columns), make, ", ".join(f"{c} long" for c in [*CONTENT, *RUN]))
+
+
+def resolved(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of runs: those whose strings all occur again, and the open ones to look at more finely."""
+    every = written(rows)
+    twice = every.groupBy("inner").agg(F.count("*").alias("times"), F.min("outer").alias("lo"), F.max("outer").alias("hi")).filter("times > 1")
+    again = written(every.join(twice.select("inner", (F.col("lo") == F.col("hi")).alias("one")), "inner"))
+    mixed = again.filter("not one")
+    outers = mixed.groupBy("inner", "outer").agg(F.count("*").alias("times"), F.min("content").alias("sample"))
+    told = written(mixed.join(outers, ["inner", "outer"]).drop("one", "outer"))
+    sure = again.filter("one").select(*CONTENT, "first", "starts").union(told.filter("times > 1").select(*CONTENT, "first", "starts")).distinct()
+    return sure, told.filter("times = 1 or content = sample").select(*CONTENT, "first", "starts", "back", "inner").distinct()
+
+
+def repeated_runs(rows: DataFrame, length: int) -> DataFrame:
+    """(content, n_bytes, first, starts): starts of strings that also start anywhere else."""
+    long_enough = rows.filter(F.col("n_bytes") >= length)
+    sure, still = resolved(run_rows(long_enough, lambda texts: stretches(texts, length), ["data"]))
+    for size in (GRAIN, 1):
+        by_text = written(still.groupBy(*CONTENT).agg(F.collect_list(F.struct("first", "starts", "back", "inner")).alias("runs")))
+        entries = by_text.agg(F.sum(F.size("runs"))).first()[0] or 0
+        met = with_found(long_enough, by_text, entries, "inner")
+        more, still = resolved(run_rows(met, lambda texts, runs, size=size: finer_runs(texts, runs, size, length), ["data", "runs"]))
+        sure = sure.union(more)
+    return sure
 
 
 def covered_spans(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
