@@ -1 +1,49 @@
+"""Queries that fit models: out-of-fold scores, tree importances, regression."""
 
+from __future__ import annotations
+
+from pyspark.ml.feature import VectorAssembler
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lithic.operators import curves
+from lithic.operators import learning as ml
+from lithic.plans.base import query
+from lithic.plans.tabular import known, lines
+
+NUMERIC, CATEGORIES = ["amount", "balance"], ["segment", "priority"]
+
+
+def weighed(spark: SparkSession, sf: str) -> DataFrame:
+    return ml.balanced(known(spark, sf).withColumn("year", F.year("issued").cast("double")), "y")
+
+
+@query("logreg_oof")
+def logreg_oof(spark, sf):
+    """Area under the curve of out-of-fold scores of a balanced logistic regression."""
+    df = weighed(spark, sf)
+    scored = ml.out_of_fold(df, ml.features([*NUMERIC, "year"], CATEGORIES), ml.classifier("logistic", "y", "weight", maxIter=20), "loan_id", "y", k=3)
+    return curves.roc_auc(scored, "y", "score")
+
+
+@query("boosted_oof")
+def boosted_oof(spark, sf):
+    """The same for boosted trees."""
+    df = weighed(spark, sf)
+    scored = ml.out_of_fold(df, ml.features([*NUMERIC, "year"], []), ml.classifier("boosted", "y", "weight", maxIter=5, maxDepth=3), "loan_id", "y", k=2)
+    return curves.roc_auc(scored, "y", "score")
+
+
+@query("tree_importance")
+def tree_importance(spark, sf):
+    """Importances of a decision tree."""
+    df = weighed(spark, sf)
+    return ml.importances(df, ml.features([*NUMERIC, "year"], []), ml.classifier("tree", "y", "weight", maxDepth=5), [*NUMERIC, "year"])
+
+
+@query("linear_fit")
+def linear_fit(spark, sf):
+    """R squared and errors of a linear regression of price on quantity, discount and tax."""
+    cols = ["l_quantity", "l_discount", "l_tax"]
+    model = ml.linear(lines(spark, sf), [VectorAssembler(inputCols=cols, outputCol="features")], "l_extendedprice")
+    return curves.regression_metrics(model.transform(lines(spark, sf)), "l_extendedprice", "prediction")
