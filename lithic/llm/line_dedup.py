@@ -13,10 +13,11 @@ lines differ in that one place, and under the key (variant) a line meets those o
 longer, so the earliest of each side stands for all of them and a key that very many lines
 share costs each of them one comparison.
 
-Emitting variants of every line would cost a row a character. Two narrowing joins come first,
-both exact: a line takes part only if it equals some other line outside one of its halves, then
-outside one of its eighths, with the segments of the longer line shifted by one; every pair
-within the bound passes both.
+Emitting variants of every line would cost a row a character. Narrowing joins come first, all
+exact: a line takes part only if it equals some other line outside one of its halves, then
+outside an eighth of it within that half, then outside a 64th within that eighth, the longer of two
+lines being cut like the shorter one. Variants then lack a character of such a segment; every
+pair within the bound passes, as its edit lies in some segment at each step.
 
 Defined cases: a null text stays null and has no lines; an empty text has one empty line; rows
 without an id come before all others; repeated rows are at the same place and keep the same
@@ -33,19 +34,22 @@ from lithic.llm.common import checkpointed, written
 #: Line numbers to drop are broadcast for up to so many texts (16 bytes and a few numbers each).
 BROADCAST_TEXTS = 500_000
 FIRST = -(1 << 63)
+#: Segments of the further narrowing joins.
+NARROWER = (8, 64)
 LINE = ["k1", "k2"]
 PLACE = ["rid", "line_no", "content"]
 
 
-def segment_keys(line: Column, parts: int) -> Column:
-    """Keys of a line less each of its ``parts`` segments, on its own and as the longer of two."""
-    n = F.length(line)
+def segment_key(line: Column, parts: int, j: Column, longer: Column | int) -> Column:
+    """A key of a line less its j-th of ``parts`` segments; ``longer`` 1 for the longer of two lines,
+    which is cut like the shorter one and loses one character more."""
+    n = F.length(line) - longer
+    start, stop = F.floor(n * j / parts).cast("int"), F.floor(n * (j + 1) / parts).cast("int") + longer
+    return F.xxhash64(n, j, F.substring(line, F.lit(1), start), F.substring(line, stop + 1, F.length(line)))
 
-    def key(length: Column, j: int, longer: int) -> Column:
-        start, stop = F.floor(length * j / parts).cast("int"), F.floor(length * (j + 1) / parts).cast("int") + longer
-        return F.xxhash64(length, F.lit(j), F.substring(line, F.lit(1), start), F.substring(line, stop + 1, n))
 
-    return F.array(*(key(n - longer, j, longer) for longer in (0, 1) for j in range(parts)))
+def halves_of(line: Column) -> Column:
+    return F.array(*(segment_key(line, 2, F.lit(j), longer) for longer in (0, 1) for j in (0, 1)))
 
 
 def line_rows(docs: DataFrame, min_chars: int, id_col: str, text_col: str) -> DataFrame:
@@ -59,11 +63,17 @@ def rid(id_col: str) -> Column:
     return F.coalesce(F.col(id_col).cast("long"), F.lit(FIRST).cast("long"))
 
 
-def in_company(lines: DataFrame, keys: str) -> DataFrame:
-    """The lines (k1, k2, ...) that share one of the keys in the named column with another line."""
-    spread = lines.select(*LINE, F.explode(keys).alias("key"))
+def in_company(spread: DataFrame) -> DataFrame:
+    """The rows of (..., key) whose key stands in another row too."""
     many = spread.groupBy("key").agg(F.count("*").alias("many")).filter("many > 1").select("key")
-    return spread.join(many, "key").select(*LINE).distinct()
+    return spread.join(many, "key").drop("key")
+
+
+def narrowed(segments: DataFrame, text: DataFrame, parts: int, finer: int) -> DataFrame:
+    """Of (k1, k2, longer, j): the ``finer`` segments within them outside which lines agree."""
+    within = F.explode(F.sequence(F.col("j") * (finer // parts), (F.col("j") + 1) * (finer // parts) - 1)).alias("j")
+    rows = segments.join(text.select(*LINE, "line"), LINE).select(*LINE, "line", "longer", within)
+    return in_company(rows.select(*LINE, "longer", "j", segment_key(F.col("line"), finer, F.col("j"), F.col("longer")).alias("key")))
 
 
 def texts_of(docs: DataFrame, wanted: DataFrame, min_chars: int, id_col: str, text_col: str) -> DataFrame:
@@ -82,32 +92,41 @@ def bounded(by_text: DataFrame) -> DataFrame:
 
 def near_lines(docs: DataFrame, lines: DataFrame, min_chars: int, id_col: str, text_col: str) -> DataFrame:
     """(k1, k2, before): lines with an earlier line one edit away, and the earliest such place."""
-    halves = in_company(lines, "halves")
-    some = lines.join(halves, LINE).select(*LINE, "place.*")
+    spread = lines.select(*LINE, F.posexplode("halves").alias("seg", "key"))
+    segments = checkpointed(in_company(spread).select(*LINE, F.floor(F.col("seg") / 2).cast("int").alias("longer"), (F.col("seg") % 2).alias("j")))
+    some = lines.join(segments.select(*LINE).distinct(), LINE).select(*LINE, "place.*")
     text = checkpointed(texts_of(docs, some, min_chars, id_col, text_col).join(some, PLACE))
-    eighths = in_company(text.withColumn("keys", segment_keys(F.col("line"), 8)), "keys")
-    few = checkpointed(text.join(eighths, LINE).select(*LINE, F.struct(*PLACE).alias("place"), "line"))
-
-    at = F.posexplode(F.sequence(F.lit(1), F.length("line"))).alias("no", "i")
-    less = few.select("place", F.length("line").alias("n"), "line", at).select("place", "n", "i", F.xxhash64(F.concat(F.expr("substring(line, 1, i - 1)"), F.expr("substring(line, i + 1)"))).alias("variant"))
-    whole = few.select("place", F.length("line").alias("n"), F.xxhash64("line").alias("variant"))
-    same = less.withColumn("key", F.xxhash64("n", "i", "variant")).select("key", F.lit(0).alias("side"), "place")
-    longer = less.withColumn("key", F.xxhash64(F.col("n") - 1, F.lit(0), "variant")).select("key", F.lit(1).alias("side"), "place")
-    shorter = whole.withColumn("key", F.xxhash64("n", F.lit(0), "variant")).select("key", F.lit(2).alias("side"), "place")
-    emitted = checkpointed(same.union(longer).union(shorter).distinct())
-    earliest = emitted.groupBy("key", "side").agg(F.min("place").alias("before"))
+    parts = 2
+    for finer in NARROWER:
+        segments = checkpointed(narrowed(segments, text, parts, finer))
+        parts = finer
+    few = text.join(segments.select(*LINE).distinct(), LINE).select(*LINE, F.struct(*PLACE).alias("place"), "line")
+    # Numbers that rise with the place stand for the lines.
+    few = checkpointed(few.orderBy("place").withColumn("no", F.monotonically_increasing_id()))
+
+    # The character that a variant lacks lies in a segment outside which the line agrees with another.
+    n = F.length("line") - F.col("longer")
+    first, last = F.floor(n * F.col("j") / parts).cast("int") + 1, F.floor(n * (F.col("j") + 1) / parts).cast("int") + F.col("longer")
+    lacking = segments.join(few, LINE).filter(first <= last).select("no", "longer", "line", F.explode(F.sequence(first, last)).alias("i")).distinct()
+    variant = F.xxhash64(F.expr("concat(substring(line, 1, i - 1), substring(line, i + 1))"))
+    # Side 0: lines less the character at one place; 1: lines less any character; 2: whole lines.
+    key = F.when(F.col("longer") == 0, F.xxhash64(F.length("line"), "i", variant)).otherwise(F.xxhash64(F.length("line") - 1, F.lit(0), variant))
+    less = lacking.select("no", key.alias("key"), F.col("longer").alias("side"))
+    whole = few.select("no", F.xxhash64(F.length("line"), F.lit(0), F.xxhash64("line")).alias("key"), F.lit(2).alias("side"))
+    emitted = written(less.union(whole))
+    earliest = emitted.groupBy("key", "side").agg(F.min("no").alias("before"))
     met = earliest.select("key", F.when(F.col("side") == 0, 0).otherwise(3 - F.col("side")).alias("side"), "before")
-    pairs = emitted.join(met, ["key", "side"]).filter("before < place").select("place", "before").distinct()
-    mine = few.select(*LINE, "place", F.col("line").alias("mine"))
-    theirs = few.select(F.col("place").alias("before"), F.col("line").alias("theirs"))
-    checked = pairs.join(mine, "place").join(theirs, "before").filter(F.levenshtein("mine", "theirs") <= 1)
-    return checked.groupBy(*LINE).agg(F.min("before").alias("before"))
+    pairs = emitted.join(met, ["key", "side"]).filter("before < no").select("no", "before").distinct()
+    mine = few.select(*LINE, "no", F.col("line").alias("mine"))
+    theirs = few.select(F.col("no").alias("before"), F.col("line").alias("theirs"), "place")
+    checked = pairs.join(mine, "no").join(theirs, "before").filter(F.levenshtein("mine", "theirs") <= 1)
+    return checked.groupBy(*LINE).agg(F.min("place").alias("before"))
 
 
 def dropped_lines(docs: DataFrame, min_chars: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(rid, content, dropped): the numbers of the lines to drop, for texts that lose any."""
     text = F.col("line")
-    keyed = line_rows(docs, min_chars, id_col, text_col).select(*PLACE, F.xxhash64(text).alias("k1"), F.xxhash64(F.lit("second"), text).alias("k2"), segment_keys(text, 2).alias("halves"))
+    keyed = line_rows(docs, min_chars, id_col, text_col).select(*PLACE, F.xxhash64(text).alias("k1"), F.xxhash64(F.lit("second"), text).alias("k2"), halves_of(text).alias("halves"))
     every = written(keyed)
     lines = written(every.groupBy(*LINE).agg(F.min(F.struct(*PLACE)).alias("place"), F.count("*").alias("times"), F.first("halves").alias("halves")))
     near = near_lines(docs, lines, min_chars, id_col, text_col)
