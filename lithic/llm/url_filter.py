@@ -87,8 +87,9 @@ def rule_index(urls: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     """The rules, each with the token that the fewest of ``urls`` hold."""
     spark = urls.sparkSession
     listed = spark.createDataFrame([(i, *r) for i, r in enumerate(rules)], "rule_no int, verdict string, name string, pattern string, tokens array<string>, on string")
-    wanted = listed.select(F.explode("tokens").alias("token")).distinct()
-    held = urls.select(F.explode(tokens_of(F.col("url"))).alias("token")).join(wanted, "token", "left_semi").groupBy("token").agg(F.count("*").alias("urls"))
+    # Only tokens of rules are counted, and they are picked before the rows are spread.
+    wanted = F.lit(sorted({t for r in rules for t in r.tokens}) or [EVERY])
+    held = urls.select(F.explode(F.array_intersect(tokens_of(F.col("url")), wanted)).alias("token")).groupBy("token").agg(F.count("*").alias("urls"))
     spread = listed.select("*", F.explode_outer("tokens").alias("token")).join(held, "token", "left")
     rarest = F.min(F.struct(F.coalesce("urls", F.lit(0)).alias("urls"), F.coalesce("token", F.lit(EVERY)).alias("token"))).alias("rarest")
     chosen = spread.groupBy("rule_no", "verdict", "name", "pattern", "on").agg(rarest)
