@@ -174,3 +174,81 @@ def vocabulary_check(spark, sf):
     """Extractions whose values lie in the vocabulary and whose JSON parses."""
     e = table(spark, sf, "events")
     return e.agg(F.count("*").alias("n"), F.count_if(F.col("event_type").isin("click", "view", "purchase")).alias("in_vocabulary"), F.count_if(F.expr("try_parse_json(props) is not null")).alias("parsed"))
+
+
+@query("document_hits", f"WITH {BM}, want AS (SELECT item_id, item_id % 20 AS s FROM benchmark), got AS (SELECT item_id, max((source = 'src' || (item_id % 20)::VARCHAR)::INT) AS hit FROM lex JOIN documents USING (doc_id) WHERE rank < 5 GROUP BY 1) SELECT s AS scenario, count(*) AS n, round(avg(hit), 6) AS hit_rate FROM want JOIN got USING (item_id) GROUP BY 1")
+def document_hits(spark, sf):
+    """Whether an expected source is among the first five, by scenario."""
+    expected = F.concat(F.lit("src"), (F.col("item_id") % 20).cast("string"))
+    got = retrieval.bm25_top20(spark, sf).filter("rank < 5").join(table(spark, sf, "documents").select("doc_id", "source"), "doc_id")
+    hits = got.groupBy("item_id").agg(F.max((F.col("source") == expected).cast("int")).alias("hit"))
+    return hits.groupBy((F.col("item_id") % 20).alias("scenario")).agg(F.count("*").alias("n"), F.round(F.avg("hit"), 6).alias("hit_rate"))
+
+
+@query("missed_citations", "SELECT event_id, CASE WHEN user_id % 7 = 0 THEN 'no citation' WHEN value <= 0 THEN 'invalid' END AS reason FROM events WHERE user_id % 7 = 0 OR value <= 0")
+def missed_citations(spark, sf):
+    """Claims that fail a layer, with the first reason."""
+    reason = F.when(F.col("user_id") % 7 == 0, "no citation").when(F.col("value") <= 0, "invalid")
+    return table(spark, sf, "events").select("event_id", reason.alias("reason")).filter("reason is not null")
+
+
+@query("carried_labels", "WITH new AS (SELECT doc_id, quality FROM labels WHERE doc_id % 2 = 0) SELECT doc_id, coalesce(n.quality, l.toxic)::INT AS label FROM labels l LEFT JOIN new n USING (doc_id)")
+def carried_labels(spark, sf):
+    """Labels of an earlier run where a new one has none."""
+    labels = table(spark, sf, "labels")
+    new = labels.filter("doc_id % 2 = 0").select("doc_id", F.col("quality").alias("new"))
+    return labels.join(new, "doc_id", "left").select("doc_id", F.coalesce("new", "toxic").cast("int").alias("label"))
+
+
+@query("label_budget", f"WITH {BM} SELECT qid, facet, chunk_id, row_number() OVER (PARTITION BY qid, facet ORDER BY pos) <= 3 AS to_label FROM kept WHERE NOT above AND NOT rescued")
+def label_budget(spark, sf):
+    """The first few of what a cut took from each facet are to be labelled."""
+    cut = retrieval.kept(spark, sf).filter("not above and not rescued")
+    k = F.row_number().over(Window.partitionBy("qid", "facet").orderBy("pos"))
+    return cut.select("qid", "facet", "chunk_id", (k <= 3).alias("to_label"))
+
+
+@query("size_caps", "SELECT lang, count(*) AS n, count(*) FILTER (length(text) > 5000) AS over_5000, count(*) FILTER (length(text) > 25000) AS over_25000, median(length(text))::DOUBLE AS middle FROM documents GROUP BY 1")
+def size_caps(spark, sf):
+    """Sizes against the caps, with the true median."""
+    n = F.length("text")
+    return table(spark, sf, "documents").groupBy("lang").agg(F.count("*").alias("n"), F.count_if(n > 5000).alias("over_5000"), F.count_if(n > 25000).alias("over_25000"), F.percentile(n, 0.5).alias("middle"))
+
+
+@query("locator_audit", "SELECT CASE WHEN regexp_matches(text, '^\\d{1,3}\\.\\d{1,3}\\s') THEN 'A1' WHEN regexp_matches(text, '^\\d{1,3}\\.\\s') THEN 'A2' WHEN length(text) < 200 THEN 'B' ELSE 'C' END AS bucket, count(*) AS n FROM documents GROUP BY 1")
+def locator_audit(spark, sf):
+    """How precisely a text can be cited."""
+    t = F.col("text")
+    bucket = F.when(t.rlike(r"^\d{1,3}\.\d{1,3}\s"), "A1").when(t.rlike(r"^\d{1,3}\.\s"), "A2").when(F.length(t) < 200, "B").otherwise("C")
+    return table(spark, sf, "documents").groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n"))
+
+
+@query("fell_out", f"WITH {BM}, want AS (SELECT item_id, min(doc_id) AS doc_id FROM bm WHERE score > 0 GROUP BY 1) SELECT item_id, CASE WHEN w.doc_id IN (SELECT chunk_id FROM turns t WHERE t.qid = w.item_id) THEN 'delivered' WHEN w.doc_id IN (SELECT chunk_id FROM kept k WHERE k.qid = w.item_id AND (above OR rescued)) THEN 'quota' WHEN w.doc_id IN (SELECT chunk_id FROM hits h WHERE h.qid = w.item_id) THEN 'cut' ELSE 'not found' END AS stage FROM want w")
+def fell_out(spark, sf):
+    """The stage at which a wanted document was lost."""
+    want = retrieval.scores(spark, sf).filter("score > 0").groupBy("item_id").agg(F.min("doc_id").alias("doc_id"))
+    key = lambda df, name: df.select(F.col("qid").alias("item_id"), F.col("chunk_id").alias("doc_id"), F.lit(True).alias(name)).distinct()
+    found = want.join(key(retrieval.served(spark, sf), "a"), ["item_id", "doc_id"], "left").join(key(retrieval.kept(spark, sf).filter("above or rescued"), "b"), ["item_id", "doc_id"], "left").join(key(retrieval.hits(spark, sf), "c"), ["item_id", "doc_id"], "left")
+    return found.select("item_id", F.when(F.col("a"), "delivered").when(F.col("b"), "quota").when(F.col("c"), "cut").otherwise("not found").alias("stage"))
+
+
+@query("completeness_probe", "SELECT page_id, len(list_filter(['<p>', '<div', '<title>'], lambda x: NOT contains(html, x))) AS n_missing FROM pages")
+def completeness_probe(spark, sf):
+    """Expected values that an extraction does not hold."""
+    expected = F.array(*(F.lit(x) for x in ("<p>", "<div", "<title>")))
+    return table(spark, sf, "pages").select("page_id", F.size(F.filter(expected, lambda x: ~F.contains("html", x))).cast("long").alias("n_missing"))
+
+
+@query("in_scope", "SELECT role, count(*) AS n FROM conversations WHERE role <> 'system' GROUP BY 1")
+def in_scope(spark, sf):
+    """Rows of a run without those out of scope."""
+    return table(spark, sf, "conversations").filter("role <> 'system'").groupBy("role").agg(F.count("*").alias("n"))
+
+
+@query("filter_ablation", f"WITH {BM}, j AS (SELECT h.*, d.source FROM hits h JOIN documents d ON doc_id = chunk_id) SELECT 'all' AS setting, count(DISTINCT source) AS families FROM j UNION ALL SELECT 'named', count(DISTINCT source) FROM j WHERE NOT inferred UNION ALL SELECT 'above', count(DISTINCT source) FROM j WHERE rerank >= 0 UNION ALL SELECT 'first', count(DISTINCT source) FROM j WHERE pos = 0")
+def filter_ablation(spark, sf):
+    """Families that are reached under each setting, in one pass."""
+    h = retrieval.hits(spark, sf)
+    family = F.col("parent_id")
+    wide = h.agg(F.count_distinct(family).alias("all"), F.count_distinct(F.when(~F.col("inferred"), family)).alias("named"), F.count_distinct(F.when(F.col("rerank") >= 0, family)).alias("above"), F.count_distinct(F.when(F.col("pos") == 0, family)).alias("first"))
+    return wide.select(F.explode(F.array(*(F.struct(F.lit(c).alias("setting"), F.col(c).alias("families")) for c in ("all", "named", "above", "first")))).alias("x")).select("x.*")
