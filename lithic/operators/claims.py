@@ -87,3 +87,35 @@ def parsed_claims(replies: DataFrame, text: str) -> DataFrame:
     shape = "struct<claims:array<struct<text:string,source:string>>>"
     read = replies.select("qid", F.from_json(text, shape).alias("j"))
     return read.select("qid", F.posexplode("j.claims").alias("claim_no", "c")).select("qid", "claim_no", F.col("c.text").alias("text"), F.col("c.source").alias("label"))
+
+
+def user_message(question: Column, context: Column) -> Column:
+    """A-GE3."""
+    return F.concat(F.lit("EXCERPTS\n\n"), context, F.lit("\n\n---\n\nQUESTION\n"), question)
+
+
+def labelled(claims: DataFrame, labels: DataFrame) -> DataFrame:
+    """``claims`` with ``valid``: labels of the right form that stand in the table (A-GE5)."""
+    known = labels.select("qid", "label", F.lit(True).alias("known_")).distinct()
+    return claims.join(known, ["qid", "label"], "left").withColumn("valid", F.col("label").rlike(r"^S\d+$") & F.coalesce("known_", F.lit(False))).drop("known_")
+
+
+def truncated(prompt_tokens: Column, context_tokens: int) -> Column:
+    """Whether a prompt came so near the window that its end may be lost (A-GE16)."""
+    return prompt_tokens >= context_tokens - 64
+
+
+def filled(body: str, sources: str, width: int = 92) -> str:
+    """An answer as plain text (A-GE17)."""
+    import textwrap
+
+    text = textwrap.fill(body, width)
+    return f"{text}\n\nSOURCES\n{textwrap.indent(sources, '  ')}" if sources else text
+
+
+def answers(claims: DataFrame, units: DataFrame, citations: DataFrame) -> DataFrame:
+    """From claims to rendered answers: aligned, cited by what they moved to, numbered (A-GE7, A-GE15)."""
+    aligned = align(claims, units).select("qid", "claim_no", "moved_to")
+    cited = claims.join(aligned, ["qid", "claim_no"]).join(citations.select("qid", "label", "citation"), ["qid", "label"], "left")
+    whole = F.when(F.col("moved_to").isNotNull(), F.concat_ws(", ", "citation", "moved_to")).otherwise(F.col("citation"))
+    return format_answers(cited.select("qid", "claim_no", "text", whole.alias("citation")))

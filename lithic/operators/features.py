@@ -186,3 +186,32 @@ def sample_rows(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
 def ranked(df: DataFrame, part: Sequence[str], order: Sequence[Column], k: int, rank: str = "rank") -> DataFrame:
     """The first k rows of each part; ties must be settled by ``order``."""
     return df.withColumn(rank, F.row_number().over(Window.partitionBy(*part).orderBy(*order))).filter(F.col(rank) <= k)
+
+
+def prepared(df: DataFrame, rename: dict[str, str] | None = None, drop: Sequence[str] = (), required: Sequence[str] = (), logged: Sequence[str] = ()) -> DataFrame:
+    """Renamed, without dropped columns and rows that lack a required value, log1p taken, booleans
+    as integers (B-P1, B-P3, B-P5, B-P13, B-P16)."""
+    out = df.withColumnsRenamed(rename or {}).drop(*drop)
+    out = out.dropna(subset=list(required)) if required else out
+    ints = {c: F.col(c).cast("int") for c, t in out.dtypes if t == "boolean"}
+    return out.withColumns(ints | {c: F.log1p(F.col(c)) for c in logged}) if ints or logged else out
+
+
+def missing_flags(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """A 0/1 column for each column's missing values (B-P12)."""
+    return df.withColumns({f"{c}_missing": F.col(c).isNull().cast("int") for c in cols})
+
+
+def clipped(col: Column, low: float, high: float) -> Column:
+    """Within bounds, NULL staying NULL (B-P18)."""
+    return F.when(col.isNotNull(), F.least(F.lit(high), F.greatest(F.lit(low), col)))
+
+
+def joined_columns(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
+    """Columns of two tables side by side by their row id (B-P20)."""
+    return a.join(b, key)
+
+
+def unscaled(col: Column, mean: float, std: float) -> Column:
+    """Back from standard scores, for display (B-M35)."""
+    return col * std + mean

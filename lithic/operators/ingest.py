@@ -234,3 +234,98 @@ def children(items: DataFrame, ceiling: int = MERGE_CEILING, limit: int = CHILD_
     cut.__annotations__ = {"parts": pd.Series, "return": pd.Series}
     ordered = usable.groupBy("doc_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("idx", "text"))), lambda x: x["text"]).alias("parts"))
     return ordered.select("doc_id", F.posexplode(F.pandas_udf(cut, "array<string>")("parts")).alias("child_no", "text"))
+
+
+def chapter_starts(items: DataFrame, volume: str) -> DataFrame:
+    """(doc_id, start_idx, code): lines that open a chapter of a volume (A-SE2).
+
+    A volume whose own name ends in a digit is one chapter, which its first mention opens (A-SE3).
+    """
+    if volume[-1:].isdigit():
+        return items.filter(F.contains("text", F.lit(volume))).groupBy("doc_id").agg(F.min("idx").alias("start_idx")).withColumn("code", F.lit(volume))
+    code = F.regexp_extract("text", rf"^\s*({re.escape(volume)}\d{{2}})(?![\w.])", 1)
+    return items.withColumn("code", code).filter("code <> ''").select("doc_id", F.col("idx").alias("start_idx"), "code")
+
+
+def without_chapters(documents: DataFrame, starts: DataFrame) -> DataFrame:
+    """Documents that should have chapters and have none (A-SE8)."""
+    return documents.join(starts.select("doc_id").distinct(), "doc_id", "left_anti")
+
+
+def page_spans(items: DataFrame, sections_: DataFrame) -> DataFrame:
+    """``sections_`` with the pages they reach over (A-SE6)."""
+    within = sections_.join(items.select("doc_id", "idx", "page"), "doc_id").filter((F.col("idx") >= F.col("start_idx")) & (F.col("idx") < F.col("end_idx")))
+    return sections_.join(within.groupBy("doc_id", "start_idx").agg(F.min("page").alias("page_from"), F.max("page").alias("page_to")), ["doc_id", "start_idx"], "left")
+
+
+def overlaid(sections_: DataFrame, documents: DataFrame) -> DataFrame:
+    """A section's date over its document's; a missing one never wipes a date (A-SE9)."""
+    own = documents.select("doc_id", F.col("effective_from").alias("whole_"))
+    return sections_.join(own, "doc_id", "left").withColumn("effective_from", F.coalesce("effective_from", "whole_")).drop("whole_")
+
+
+def sections_report(sections_: DataFrame) -> DataFrame:
+    """Codes, different dates and covered items of each document (A-SE10)."""
+    return sections_.groupBy("doc_id").agg(F.array_sort(F.collect_set("code")).alias("codes"), F.count_distinct("effective_from").alias("n_dates"), F.sum(F.col("end_idx") - F.col("start_idx")).alias("covered"))
+
+
+def without_heading_line(items: DataFrame, part: list[str]) -> DataFrame:
+    """Parts without a short first line, where they have other lines (A-CH6)."""
+    order = Window.partitionBy(*part).orderBy("idx")
+    n = F.count("*").over(Window.partitionBy(*part))
+    return items.withColumns({"k_": F.row_number().over(order), "n_": n}).filter(~((F.col("k_") == 1) & (F.col("n_") > 1) & (F.length("text") < 120))).drop("k_", "n_")
+
+
+def streams(items: DataFrame, part: list[str]) -> DataFrame:
+    """(part, first_idx, is_footnote, text): body and footnotes repaired apart, merged by place (A-CH8)."""
+
+    def join(rows: pd.Series) -> pd.Series:
+        def one(found: list) -> list:
+            out: list[list] = []
+            for r in found:
+                last = out[-1][1] if out else ""
+                if last and not last.endswith((".", "?", "!", ";", ":")) and r["text"][:1].islower() and len(last) + len(r["text"]) <= MERGE_CEILING:
+                    out[-1][1] = f"{last} {r['text']}"
+                else:
+                    out.append([r["idx"], r["text"]])
+            return [{"first_idx": i, "text": t} for i, t in out]
+
+        return rows.map(one)
+
+    join.__annotations__ = {"rows": pd.Series, "return": pd.Series}
+    grouped = items.groupBy(*part, "is_footnote").agg(F.sort_array(F.collect_list(F.struct("idx", "text"))).alias("rows"))
+    made = F.pandas_udf(join, "array<struct<first_idx:int,text:string>>")
+    return grouped.select(*part, "is_footnote", F.inline(made("rows")))
+
+
+def assembled(items: DataFrame, spans: DataFrame, children_: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Parents and chunks with their ids (A-CH12, A-CH13).
+
+    spans(doc_id, chapter, start_idx, end_idx, heading); children_(doc_id, idx, text). A parent's
+    number counts all spans of its chapter; its text is all its items, with blank lines between.
+    """
+    number = F.row_number().over(Window.partitionBy("doc_id", "chapter").orderBy("start_idx")) - 1
+    named = spans.withColumn("parent_id", F.format_string("%s::%s::%04d", F.col("doc_id").cast("string"), F.coalesce("chapter", F.lit("doc")), number))
+    inside = lambda df: df.join(named.select("doc_id", "parent_id", "start_idx", "end_idx"), "doc_id").filter((F.col("idx") >= F.col("start_idx")) & (F.col("idx") < F.col("end_idx")))
+    kids = inside(children_).withColumn("c_", F.row_number().over(Window.partitionBy("parent_id").orderBy("idx")) - 1)
+    chunks = kids.select(F.format_string("%s::%03d", "parent_id", "c_").alias("chunk_id"), "doc_id", "parent_id", "idx", "text")
+    whole = inside(items.filter(tx.strip(F.col("text")) != "")).groupBy("parent_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("idx", "text"))), lambda x: x["text"]), "\n\n").alias("text"))
+    counts = chunks.groupBy("parent_id").agg(F.count("*").alias("n_children"))
+    parents = named.join(whole, "parent_id").join(counts, "parent_id").select("parent_id", "doc_id", "chapter", "heading", "text", F.length("text").alias("n_chars"), "n_children")
+    return parents, chunks
+
+
+def parents_report(parents: DataFrame) -> DataFrame:
+    """Sizes of parents against their caps (A-CH15)."""
+    sizes = F.collect_list("n_chars")
+    return parents.groupBy("doc_id").agg(F.count("*").alias("n"), nearest_rank(sizes, 0.5).alias("p50"), nearest_rank(sizes, 0.9).alias("p90"), F.max("n_chars").alias("longest"), F.count_if(F.col("n_chars") > 8_000).alias("over_8000"), F.count_if(F.col("n_chars") > 12_000).alias("over_12000"))
+
+
+STRATEGIES = ("recursive", "semantic", "parentdoc")
+
+
+def collection_name(strategy: str, version: str = "v1") -> str:
+    """The table that a chunking strategy writes to (A-CH19)."""
+    if strategy not in STRATEGIES:
+        raise ValueError(f"{strategy!r} is none of {STRATEGIES}")
+    return f"chunks_{strategy}_{version}"

@@ -190,3 +190,56 @@ def decide(extractions: DataFrame, grid: DataFrame) -> DataFrame:
         .when(in_cell(F.col("ju")) > 0, "ANSWERABLE").otherwise("INCOMPLETE")
     )
     return x.withColumn("decision", decision).select(*extractions.columns, "decision")
+
+
+def by_id(registry: DataFrame, doc_id: str) -> DataFrame:
+    """The row of an id; an error that names the known ids if there is none."""
+    found = registry.filter(F.col("doc_id") == doc_id)
+    if found.limit(1).count() == 0:
+        raise KeyError(f"{doc_id}: not one of {sorted(r[0] for r in registry.select('doc_id').limit(1000).collect())}")
+    return found
+
+
+def current(registry: DataFrame, **family) -> DataFrame:
+    """The first row in force of a version family; several are an error but for reference data."""
+    rows = select(registry, verified_only=True, **family).filter(F.col("status").isin(*CURRENT))
+    if rows.filter("authority_rank > 0").limit(2).count() > 1:
+        raise ValueError(f"several current documents in {family}")
+    return rows.orderBy("row_ord").limit(1)
+
+
+def version_families(registry: DataFrame) -> DataFrame:
+    """All documents by version family, unverified ones too."""
+    return registry.groupBy("framework", "volume", "applicability").agg(F.array_sort(F.collect_list("doc_id")).alias("doc_ids"))
+
+
+def requirement_sources(registry: DataFrame) -> DataFrame:
+    """R14, and the base filter of requirement look-ups (A-PL7)."""
+    return registry.filter(F.col("doc_type").isin("standard", "rule"))
+
+
+def gap_for(gaps: DataFrame, instrument: str) -> DataFrame:
+    """A known gap by its instrument, whatever the case."""
+    return gaps.filter(F.lower(F.trim("instrument")) == instrument.strip().lower())
+
+
+def gaps_mentioned(texts: DataFrame, gaps: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, instrument): texts that name a known gap (R16); gaps are a curated list."""
+    return texts.select(key, F.lower(text).alias("t_")).join(gaps.select("instrument", "short_name"), F.expr("contains(t_, lower(instrument)) or contains(t_, lower(short_name))")).select(key, "instrument")
+
+
+def payload(registry: DataFrame) -> DataFrame:
+    """What each chunk carries of its document, dates as ISO text."""
+    dates = {c: F.date_format(c, "yyyy-MM-dd") for c in ("effective_from", "effective_to")}
+    return registry.drop("file", "notes", "source_url", "row_ord").withColumns(dates)
+
+
+def status_view(registry: DataFrame) -> DataFrame:
+    """(subject, jurisdiction, bucket, names): what is current and what is historic."""
+    bucket = F.when(F.col("status").isin(*CURRENT), "current").when(F.col("status").isin(*HISTORIC), "historic")
+    return registry.withColumn("bucket", bucket).filter("bucket is not null").groupBy("subject", "jurisdiction", "bucket").agg(F.array_sort(F.collect_list("short_name")).alias("names"))
+
+
+def answerable(facets_: DataFrame, registry: DataFrame) -> DataFrame:
+    """Facets that some registry row can match, whatever its status (A-PL8)."""
+    return facets_.join(registry.select("jurisdiction").distinct(), "jurisdiction", "left_semi").unionByName(facets_.filter("jurisdiction is null"))
