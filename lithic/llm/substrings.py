@@ -95,7 +95,7 @@ def ranges(counts: np.ndarray) -> np.ndarray:
     return np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
 
 
-def stretches(texts: list[bytes], length: int) -> tuple[np.ndarray, ...]:
+def stretches(texts: list[bytes], rows: pa.RecordBatch | None, length: int) -> tuple[np.ndarray, ...]:
     """(text, first start, starts, anchor less first, inner, outer) of every stretch of the texts.
 
     Texts are laid end to end, so that short ones share the array operations; only starts whose
@@ -134,19 +134,21 @@ def _is_least(block: np.ndarray, low: np.ndarray, window: int) -> np.ndarray:
     return highest == block
 
 
-def finer_runs(texts: list[bytes], runs: list[list[dict]], size: int, length: int) -> tuple[np.ndarray, ...]:
+def finer_runs(texts: list[bytes], rows: pa.RecordBatch, size: int, length: int) -> tuple[np.ndarray, ...]:
     """The same values for runs cut into at most ``size`` starts, by distance from the anchor.
 
     Only the bytes that the runs' strings cover are named, laid end to end.
     """
-    flat = [(i, r["first"], r["starts"], r["back"], r["inner"]) for i, held in enumerate(runs) for r in held]
-    text, first, count, back, inner = (np.array(x, np.int64) for x in zip(*flat, strict=True))
-    pieces = [texts[i][f : f + n - 1 + length] for i, f, n, _, _ in flat]
+    runs = rows.column("runs")
+    text = np.repeat(np.arange(len(texts)), runs.value_lengths().to_numpy())
+    first, count, back, inner = (x.to_numpy() for x in runs.flatten().flatten())
+    ends = first + count - 1 + length
+    pieces = [texts[i][f:e] for i, f, e in zip(text.tolist(), first.tolist(), ends.tolist(), strict=True)]
     sizes = np.array([len(x) for x in pieces], np.int64)
     moved = np.cumsum(sizes) - sizes - first  # from a place in the text to one in the pieces
     lo, hi = (back - count + 1) // size, back // size
     many = hi - lo + 1
-    of = np.repeat(np.arange(len(flat)), many)
+    of = np.repeat(np.arange(len(pieces)), many)
     k = ranges(many) + lo[of]
     far, near = np.minimum(k * size + size - 1, back[of]), np.maximum(k * size, (back - count + 1)[of])
     anchor = (first + back)[of]
@@ -159,16 +161,16 @@ def finer_runs(texts: list[bytes], runs: list[list[dict]], size: int, length: in
     return text[of], begin, n, far, mixed.view(np.int64), outer.view(np.int64)
 
 
-def merged(runs: list[tuple[int, int]], length: int) -> list[tuple[int, int]]:
-    """The maximal covered byte runs of (first start, starts)."""
-    out: list[tuple[int, int]] = []
-    for first, count in sorted(runs):
-        end = first + count - 1 + length
-        if out and first <= out[-1][1]:
-            out[-1] = (out[-1][0], max(out[-1][1], end))
-        else:
-            out.append((first, end))
-    return out
+def merged(of: np.ndarray, first: np.ndarray, count: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, start, stop) of the maximal covered byte runs of runs (text, first start, starts)."""
+    order = np.lexsort((first, of))
+    of, start, stop = of[order], first[order], (first + count - 1 + length)[order]
+    # Ends of one text never reach into the next: texts are laid apart by more than any length.
+    apart = of * (int(stop.max(initial=0)) + 1)
+    reach = np.maximum.accumulate(stop + apart)
+    opens = np.flatnonzero(np.concatenate([[True], (start + apart)[1:] > reach[:-1]]) | (np.diff(of, prepend=-1) != 0))
+    closes = np.concatenate([opens[1:] - 1, [len(of) - 1]]) if len(of) else opens
+    return of[opens], start[opens], (reach - apart)[closes]
 
 
 CONTENT = ["content", "n_bytes"]
@@ -192,7 +194,7 @@ TOGETHER = 1 << 17
 
 
 def run_rows(texts: DataFrame, cut, columns: list[str]) -> DataFrame:
-    """CONTENT and RUN of what ``cut`` makes of texts and their ``columns``."""
+    """CONTENT and RUN of what ``cut`` makes of texts and the rows that they stand in."""
 
     def parts(data: list[bytes]) -> Iterator[slice]:
         begin = size = 0
@@ -204,11 +206,11 @@ def run_rows(texts: DataFrame, cut, columns: list[str]) -> DataFrame:
 
     def make():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            held = [batch.column(c).to_pylist() for c in columns]
+            data = batch.column("data").to_pylist()
             keys = [batch.column(c).to_numpy() for c in CONTENT]
             found = []
-            for part in parts(held[0]):
-                text, *values = cut(*(h[part] for h in held))
+            for part in parts(data):
+                text, *values = cut(data[part], batch.slice(part.start, part.stop - part.start))
                 found.append([*(k[part][text] for k in keys), *values])
             return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found, strict=True)], [*CONTENT, *RUN])
 
@@ -232,12 +234,12 @@ def resolved(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
 def repeated_runs(rows: DataFrame, length: int) -> DataFrame:
     """(content, n_bytes, first, starts): starts of strings that also start anywhere else."""
     long_enough = rows.filter(F.col("n_bytes") >= length)
-    sure, still = resolved(run_rows(long_enough, lambda texts: stretches(texts, length), ["data"]))
+    sure, still = resolved(run_rows(long_enough, lambda texts, rows: stretches(texts, rows, length), ["data"]))
     for size in (GRAIN, 1):
         by_text = written(still.groupBy(*CONTENT).agg(F.collect_list(F.struct("first", "starts", "back", "inner")).alias("runs")))
         entries = by_text.agg(F.sum(F.size("runs"))).first()[0] or 0
         met = with_found(long_enough, by_text, entries, "inner")
-        more, still = resolved(run_rows(met, lambda texts, runs, size=size: finer_runs(texts, runs, size, length), ["data", "runs"]))
+        more, still = resolved(run_rows(met, lambda texts, rows, size=size: finer_runs(texts, rows, size, length), ["data", "runs"]))
         sure = sure.union(more)
     return sure
 
@@ -253,11 +255,14 @@ def covered_spans(docs: DataFrame, length: int = 400, id_col: str = "doc_id", te
 
 
 def _merge_step(length: int):
-    kind = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
-
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-        spans = [[{"start": a, "stop": b} for a, b in merged([(r["first"], r["starts"]) for r in runs], length)] for runs in batch.column("runs").to_pylist()]
-        return pa.RecordBatch.from_arrays([batch.column("content"), batch.column("n_bytes"), pa.array(spans, kind)], [*CONTENT, "spans"])
+        runs = batch.column("runs")
+        sizes = runs.value_lengths().to_numpy().astype(np.int64)
+        first, count = (x.to_numpy() for x in runs.flatten().flatten())
+        of, start, stop = merged(np.repeat(np.arange(len(sizes)), sizes), first, count, length)
+        offsets = np.concatenate([[0], np.cumsum(np.bincount(of, minlength=len(sizes)))]).astype(np.int32)
+        spans = pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays([pa.array(start), pa.array(stop)], ["start", "stop"]))
+        return pa.RecordBatch.from_arrays([batch.column("content"), batch.column("n_bytes"), spans], [*CONTENT, "spans"])
 
     return step
 
