@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lithic.llm.common import sliced
+from lithic.llm.common import give_back, sliced
 
 STRIDE, COMMON, SPREAD, BLOCK_ITEMS, OVERSAMPLE = 32, 0.05, 1.4, 1024, 16
 #: Bytes that part words beside ASCII white space; A-Z become a-z.
@@ -91,6 +91,7 @@ def passage_counts(docs: DataFrame, numbers: dict[bytes, int], text_col: str) ->
                         held += np.bincount(np.unique((at // STRIDE) * n_terms + ids[at]) % n_terms, minlength=n_terms)
         some = np.flatnonzero(held)
         numbered = np.concatenate([some, [-1]])
+        give_back()
         yield pa.RecordBatch.from_arrays([pa.array(numbered, pa.int64()), pa.array(np.concatenate([held[some], [passages]]), pa.int64())], ["term", "n"])
 
     texts = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"))

@@ -36,10 +36,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from lithic.llm.common import sliced
+from lithic.llm.common import give_back, sliced
 
 SPACE = "▁"
-REMEMBERED, PAIRS, BLOCK_CHARS = 700_000, 1_000_000, 400_000
+#: Bounds of what is remembered: words within a task, their parts and pairs of pieces between tasks.
+REMEMBERED, PARTS, PAIRS, BLOCK_CHARS = 300_000, 200_000, 300_000, 400_000
 PACK = 5  # characters of 12 bits in a key
 
 
@@ -203,7 +204,7 @@ class Model:
     def remember(self, words: set[str]) -> None:
         """Encode the words that are not remembered yet, by the parts that are not."""
         cuts = [(w, self.cut(w)) for w in words]
-        if len(self.parts) > REMEMBERED:
+        if len(self.parts) > PARTS:
             self.parts.clear()
         known = self.parts
         new = sorted({p for _, parts in cuts for p in parts if p not in known})
@@ -316,6 +317,9 @@ def encode_documents(docs: DataFrame, model_file: str, text_col: str = "text", i
             if decoded_col:
                 arrays.append(pa.array([held.decode(np.frombuffer(x, np.int32)) for x in ids], pa.string()))
             yield pa.RecordBatch.from_arrays(arrays, [*kept, *new])
+            del batch, texts, ids, values, arrays
+        held.words.clear()  # parts and pairs, which cost more to find, stay for the next task
+        give_back()
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *(T.StructField(n, kind) for n, kind in new.items())]))
 

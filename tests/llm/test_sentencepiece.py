@@ -29,6 +29,7 @@ def test_random_texts_equal_the_library(library):
 
 def test_bounds_do_not_change_results(library, monkeypatch):
     monkeypatch.setattr(sa, "REMEMBERED", 50)
+    monkeypatch.setattr(sa, "PARTS", 40)
     monkeypatch.setattr(sa, "PAIRS", 50)
     monkeypatch.setattr(sa, "BLOCK_CHARS", 200)
     held, rng = sa.Model(FILE), random.Random(11)
