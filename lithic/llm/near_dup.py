@@ -10,11 +10,13 @@ Candidates are found in rounds, and every link is confirmed on the full shingle
    the largest over all trees;
 3. crowded regions are split at greater depth until they hold at most CROWD texts, adapting the
    depth to the region; each text meets the most central one of every sub-region;
-4. in every region and sub-region that still holds several components, the texts outside the
-   main one meet the HEADS most central texts.
+4. in every region that still holds several components, of any size, all pairs of texts in
+   different components meet: the texts outside the main component against all others. Their
+   signatures are compared in arrays, BLOCK texts against BLOCK, and only pairs whose signatures
+   leave the threshold within reach become rows; the closest of each text are confirmed first.
 
-Later rounds take only pairs in different components, so their work is linear in what is left,
-and a copy group of any size costs a few comparisons a text. The chance that a pair at
+Rounds before the last are linear in the texts and join what is plainly alike; the last one
+leaves no pair of a region open. The chance that a pair at
 the threshold s meets in no tree is (1 - s**depth)**trees: 7e-6 at 0.85 with the defaults.
 A candidate whose sizes cannot reach s, or whose signatures agree in far fewer values than s
 (five standard errors), is not carried to the full sets.
@@ -35,7 +37,7 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lithic.llm.common import checkpointed, map_batches, written
@@ -44,8 +46,8 @@ HASHES, CROWD = 64, 32
 DEEPER = (6, 9, 14, 22, 36, HASHES)
 #: Ids that may be broadcast at once (32 MB), and bytes of signatures or shingle sets.
 BROADCAST_IDS, BROADCAST_BYTES = 1_000_000, 48 << 20
-#: Most central texts of a region that those outside the main component meet.
-HEADS = 12
+#: Texts of a region whose signatures are compared at once, and pairs of a text confirmed first.
+BLOCK, CLOSEST = 4096, 4
 #: Texts a task where links between them are handled, and edges that one task may join.
 ROWS_A_TASK, EDGES_A_TASK = 8_000, 500_000
 
@@ -198,9 +200,9 @@ def confirmed(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, forest: Fores
 
     sets = written(map_batches(wanted, make_sets, "node long, shingles binary").dropDuplicates(["node"]).coalesce(forest.parts))
     heads = sets.join(pairs.select(F.col("b").alias("node")).distinct(), "node")
-    size = heads.agg(F.sum(F.octet_length("shingles") + 16)).first()[0] or 0
+    bytes_of = lambda of: of.agg(F.sum(F.octet_length("shingles") + 16)).first()[0] or 0
     side = lambda x, of: of.select(F.col("node").alias(x), F.col("shingles").alias(f"s_{x}"))
-    both = pairs.join(if_small(side("b", heads), size), "b").join(side("a", sets), "a")
+    both = pairs.join(if_small(side("b", heads), bytes_of(heads)), "b").join(if_small(side("a", sets), bytes_of(sets)), "a")
 
     def make():
         def similar(a: bytes, b: bytes) -> bool:
@@ -243,24 +245,61 @@ def apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     return both.filter(F.coalesce("c_a", "a") != F.coalesce("c_b", "b")).select("a", "b")
 
 
-REGION = ["level", "tree", "key"]
+REGION = ["tree", "key"]
+
+
+def open_pairs(regions: DataFrame, labels: DataFrame, nodes: DataFrame, forest: Forest, closest: int = 0) -> DataFrame:
+    """(a, b): all pairs of texts that share a region, lie in different components, and whose
+    sizes and signatures leave the threshold within reach; each once, from the first tree they share.
+    With ``closest``, only so many of each text in a unit, those whose signatures agree most.
+
+    A region is dealt in blocks and every pair of its blocks is a row of its own, so a region of
+    any size is spread over tasks."""
+    placed = regions.select(*REGION, "node", "many").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    mixed = placed.groupBy(*REGION).agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.mode("component").alias("main")).filter("lo < hi")
+    blocks = F.ceil(F.col("many") / BLOCK).cast("int")
+    rows = placed.filter("many > 2").join(mixed.select(*REGION, "main"), REGION)
+    rows = rows.join(nodes.select("node", "n", "signed"), "node").withColumn("i", F.pmod(F.xxhash64("node"), blocks).cast("int"))
+    dealt = rows.withColumn("j", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    units = dealt.groupBy(*REGION, F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j")).agg(
+        F.first("main").alias("main"), F.collect_list(F.struct("node", "component", "n", F.col("i").alias("block"), "signed")).alias("texts")
+    )
+    least, percent, tree_at, depth = forest.least_agree, forest.percent, forest.tree_at, forest.depth
+    orders = [np.arange(at, at + depth) % HASHES for at in tree_at]
+
+    def unit_pairs(tree: int, i: int, j: int, main: int, texts: list[dict]) -> list[np.ndarray]:
+        node, component, n, block = (np.array([t[c] for t in texts], np.int64) for c in ("node", "component", "n", "block"))
+        signed = np.frombuffer(b"".join(t["signed"] for t in texts), np.uint32).reshape(-1, HASHES)
+        stray = component != main
+        out = []
+        for k in np.flatnonzero(stray):
+            # Of two strays the one with the lower number looks, a stray looks at all of the main component.
+            at = np.flatnonzero((component != component[k]) & (~stray | (node > node[k])) & (np.minimum(n, n[k]) * 100 >= np.maximum(n, n[k]) * percent))
+            if i != j:
+                at = at[block[at] != block[k]]
+            if not len(at):
+                continue
+            same = signed[at] == signed[k]
+            agree = same.sum(axis=1)
+            near = agree >= least
+            for order in orders[:tree]:
+                near &= ~same[:, order].all(axis=1)
+            if near.any():
+                most = np.argsort(-agree[near], kind="stable")[: closest or None]
+                out.append(np.stack([np.full(len(most), node[k]), node[at[near]][most]]))
+        return out
 
+    def make():
+        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+            out = [np.empty((2, 0), np.int64)]
+            for row in range(batch.num_rows):
+                out += unit_pairs(*(batch.column(c)[row].as_py() for c in ("tree", "i", "j", "main", "texts")))
+            a, b = np.concatenate(out, axis=1)
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
-def _region_rows(rows: DataFrame, level: int) -> DataFrame:
-    return rows.select(F.lit(level).alias("level"), "tree", "key", "node", "central")
-
+        return step
 
-def open_pairs(regions: DataFrame, labels: DataFrame) -> DataFrame:
-    """In regions of several components: the texts outside the most central one's component,
-    each against the HEADS most central texts."""
-    placed = regions.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    order = F.struct("central", -F.col("node"))
-    mixed = placed.groupBy(*REGION).agg(F.max_by("component", order).alias("main"), F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("many")).filter("lo < hi and many > 2")
-    rows = checkpointed(placed.join(mixed.select(*REGION, "main"), REGION))
-    top = Window.partitionBy(*REGION).orderBy(F.desc("central"), "node")
-    heads = rows.withColumn("rank", F.row_number().over(top)).filter(F.col("rank") <= HEADS).select(*REGION, F.col("node").alias("b"), F.col("component").alias("c_b"))
-    strays = rows.filter("component != main").select(*REGION, F.col("node").alias("a"), F.col("component").alias("c_a"))
-    return strays.join(heads, REGION).filter("c_a != c_b").select("a", "b")
+    return map_batches(units, make, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 85, trees: int = 16, depth: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -280,26 +319,25 @@ def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 85, trees: i
     links = forest.gathered(verify(star_pairs(first)))
     labels = components(links)
 
-    # Sub-regions of crowded regions, each level only for what is still crowded.
-    level = first.filter(F.col("many") > CROWD).join(nodes.select("node", "signed"), "node")
-    parts, stars = [_region_rows(first.filter(F.col("many") <= CROWD), 0)], []
-    crowded = level.limit(1).count() > 0
-    if crowded:
-        parts += [_region_rows(first.filter(F.col("many") > CROWD), -1)]
-    for k, deep in enumerate(DEEPER, 1):
-        if not crowded:
+    # Stars of the sub-regions of crowded regions, each level only for what is still crowded.
+    level, stars = first.filter(F.col("many") > CROWD).join(nodes.select("node", "signed"), "node"), []
+    for deep in DEEPER:
+        if level.limit(1).count() == 0:
             break
         here = forest.gathered(shared(deeper_keys(level, forest, deep)))
         stars.append(star_pairs(here))
-        parts.append(_region_rows(here.filter(F.col("many") <= CROWD), k))
         level = here.filter(F.col("many") > CROWD)
-        crowded = level.limit(1).count() > 0
     if stars:
         links = forest.gathered(links.union(verify(apart(reduce(DataFrame.union, stars), labels))))
         labels = components(links)
 
-    more = forest.gathered(verify(open_pairs(reduce(DataFrame.union, parts), labels)))
-    labels = components(links.union(more)) if more.limit(1).count() else labels
+    # Each text's closest open pairs join most; then all pairs that are still open are confirmed.
+    for closest in (CLOSEST, 0):
+        pairs = forest.gathered(open_pairs(first, labels, nodes, forest, closest))
+        if pairs.limit(1).count() == 0:
+            break
+        links = forest.gathered(links.union(confirmed(pairs, docs, nodes, forest, id_col, text_col)))
+        labels = components(links)
 
     of_class = classes.join(labels, "node", "left").select("set_key", F.coalesce("component", "node").alias("class_component"))
     out = signed.select("doc_id", "n", "set_key").join(of_class, "set_key", "left")

@@ -52,6 +52,30 @@ def test_crowd_chain_and_strays(spark):
     assert got == similar_groups(rows)
 
 
+def test_families_of_several_components(spark):
+    """Texts of one template share regions, but only pairs of them are near: no central text links them."""
+    rng = random.Random(8)
+    rows = []
+    for family in range(4):
+        template = [f"f{family}w{k}" for k in range(120)]
+        for _ in range(40):
+            one = template.copy()
+            for k in rng.sample(range(120), 2):
+                one[k] = f"own{rng.randrange(10**9)}"
+            two = one.copy()
+            for k in rng.sample(range(120), 2):
+                two[k] = f"own{rng.randrange(10**9)}"
+            rows += [(len(rows), " ".join(one)), (len(rows) + 1, " ".join(two))]
+    rng.shuffle(rows)
+    assert result(near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))) == similar_groups(rows)
+
+
+def test_blocks_of_open_pairs(spark, monkeypatch):
+    """A crowded region dealt in several blocks gives the links of comparing all pairs."""
+    monkeypatch.setattr(near_dup, "BLOCK", 16)
+    test_families_of_several_components(spark)
+
+
 def test_components_of_random_graphs(spark):
     rng = random.Random(7)
     edges = [(i, i + 1) for i in range(100, 160)] + [(rng.randrange(80), rng.randrange(80)) for _ in range(45)] + [(500, 500 + i) for i in range(1, 40)]
