@@ -10,9 +10,9 @@ the candidates. A candidate is a leak when its longest common subsequence of wor
 within the best stretch of SPREAD times the item's length, holds ``copied`` of the item's words;
 or, for paraphrases, ``reworded`` of them together with ``answered`` of the item's last sentence.
 
-With no more items in a block than ``rank``, the latent space loses nothing, and the cosine is that
-of the TF-IDF vectors. Benchmarks are taken in blocks of BLOCK_ITEMS, so what is sent to tasks
-is bounded for any benchmark; documents are read whole, in one narrow pass for frequencies and one
+Benchmarks are taken in blocks of BLOCK_ITEMS, and of ``rank`` items at most: so the latent space
+loses nothing, the cosine is that of the TF-IDF vectors, the size of the benchmark does not change
+results, and what is sent to tasks is bounded for any benchmark; documents are read whole, in one narrow pass for frequencies and one
 for the search, and nothing of them is shuffled but counts a term and the leaks found.
 
 Terms in more than COMMON of all passages have no weight, except in items with under three other
@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from lithic.llm.common import give_back, sliced
 
-STRIDE, COMMON, SPREAD, BLOCK_ITEMS, OVERSAMPLE = 32, 0.05, 1.4, 1024, 16
+STRIDE, COMMON, SPREAD, BLOCK_ITEMS, OVERSAMPLE = 32, 0.05, 1.4, 256, 16
 #: Bytes that part words beside ASCII white space; A-Z become a-z.
 CUTS = b".,;:!?\"'()[]{}<>*#%&$|-_/"
 TABLE = bytes(ord(" ") if b in CUTS else b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -261,8 +261,9 @@ def searches(docs: DataFrame, benchmark: DataFrame, rank: int, limits: Limits, t
     """One search a block of the benchmark."""
     spark = docs.sparkSession
     items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).alias("text")).orderBy("item_id", "text")
-    for begin in range(0, items.count(), BLOCK_ITEMS):
-        rows = items.offset(begin).limit(BLOCK_ITEMS).collect()
+    block = max(1, min(BLOCK_ITEMS, rank))
+    for begin in range(0, items.count(), block):
+        rows = items.offset(begin).limit(block).collect()
         numbers: dict[bytes, int] = {}
         held_items = [x for x in number_items([(r["item_id"], r["text"]) for r in rows], numbers) if x.words]
         if held_items:

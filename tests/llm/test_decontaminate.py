@@ -80,6 +80,17 @@ def test_blocks_do_not_change_results(spark, monkeypatch):
     assert pairs() == whole
 
 
+def test_more_items_than_rank(spark):
+    """Copies of a benchmark that fills several blocks are all found, short items too."""
+    rng = random.Random(15)
+    items = [" ".join(f"w{rng.randrange(3000)}" for _ in range(rng.choice([16, 24, 48]))) for _ in range(700)]
+    text = lambda n: " ".join(f"w{rng.randrange(3000)}" for _ in range(n))
+    docs = spark.createDataFrame([(i, f"{text(40)} {x} {text(40)}") for i, x in enumerate(items)], "doc_id long, text string")
+    benchmark = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in dc.find_leaks(docs, benchmark).collect()}
+    assert got >= {(i, i) for i in range(len(items))}
+
+
 def test_corpus_against_plain_search(spark):
     """Every item whose words stand in a text one after the other is found, and nothing far from that."""
     strip = cut_words
