@@ -6,7 +6,11 @@ SVD of these vectors gives a latent space of at most ``rank`` dimensions: a rand
 its Gram matrix summed over partitions for an orthonormal basis, the basis times the vectors
 summed a term, and a small eigenproblem. Windows of 2 * STRIDE words of every document are
 folded in, and the cosine of a window's vector with each item as the latent space holds it gives
-the candidates. A candidate is a leak when its longest common subsequence of words with the item,
+candidates. So do windows that follow the item's length: in as many stretches as surely hold SPREAD
+times the item, a copy that the limits accept gives the window's vector a product with the item of at
+least the sum over the item's least weighty words, as many as the limits ask for. No such copy stays
+under that bound, whatever the item's length and the text around it. Where those words have no
+weight at all, the words of the item in the window are counted instead. A candidate is a leak when its longest common subsequence of words with the item,
 within the best stretch of SPREAD times the item's length, holds ``copied`` of the item's words;
 or, for paraphrases, ``reworded`` of them together with ``answered`` of the item's last sentence.
 
@@ -116,6 +120,16 @@ def term_weights(items: list[Item], total: int, held: np.ndarray) -> np.ndarray:
     return np.where(common, 0.0, weight)
 
 
+def reach_of(n: int) -> int:
+    """Words of the stretch within which an item of ``n`` words must be found."""
+    return int(SPREAD * n) + 4
+
+
+def item_vector_values(item: Item, weight: np.ndarray) -> np.ndarray:
+    terms, times = np.unique(np.array(item.words, np.int64), return_counts=True)
+    return times * weight[terms]
+
+
 def item_vector(item: Item, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Terms and values of an item's TF-IDF vector of length 1."""
     terms, times = np.unique(np.array(item.words, np.int64), return_counts=True)
@@ -208,18 +222,39 @@ class Search:
             folded[i] = v @ latent[t]
         length = np.linalg.norm(folded, axis=1, keepdims=True)
         self.folded = np.divide(folded, length, out=np.zeros_like(folded), where=length > 0).T
+        # Products need the items as they are; one column more of ``holds`` stands for words of no item.
+        self.plain = folded.T
+        self.holds = np.zeros((len(items), len(numbers) + 1), bool)
+        self.bound, self.asked = np.zeros(len(items)), np.zeros(len(items))
+        self.spans = np.zeros(len(items), np.int64)
+        for i, item in enumerate(items):
+            n = len(item.words)
+            self.holds[i, item.words] = True
+            self.asked[i] = min(limits.copied, limits.reworded) * n if item.answer else limits.copied * n
+            squares = np.sort(weight[item.words] ** 2)[: math.ceil(self.asked[i] - 1e-9)]
+            norm = math.sqrt(float((item_vector_values(item, weight) ** 2).sum())) or 1.0
+            self.bound[i] = float(squares.sum()) / norm * 0.999 - 1e-6
+            self.spans[i] = (reach_of(n) - 2) // STRIDE + 2
 
     def leaks(self, ids: np.ndarray) -> list[tuple[int, int, int, float]]:
         """(item, first word, words in common, cosine) of each item's best leak in a text."""
         at = np.flatnonzero(ids >= 0)
-        at = at[self.weight[ids[at]] > 0] if len(at) else at
         if not len(at):
             return []
+        found: dict[int, tuple[int, int, float]] = {}
+        at = at[self.weight[ids[at]] > 0]
+        opens = np.flatnonzero(np.diff(at // STRIDE, prepend=-1))
+        parts = np.add.reduceat(self.latent[ids[at]], opens, axis=0) if len(at) else self.latent[:0]
+        if len(at):
+            self.by_cosine(ids, at, opens, parts, found)
+        self.by_bound(ids, at[opens] // STRIDE, parts, found)
+        return [(int(i), *found[i]) for i in sorted(found)]
+
+    def by_cosine(self, ids: np.ndarray, at: np.ndarray, opens: np.ndarray, parts: np.ndarray, found: dict[int, tuple[int, int, float]]) -> None:
+        """Leaks around windows of two stretches whose cosine with an item is high."""
         # A window is two neighbouring stretches: a word lies in the one that its stretch begins,
         # and in the one before, if there is one.
         stretch, term = at // STRIDE, ids[at]
-        opens = np.flatnonzero(np.diff(stretch, prepend=-1))
-        parts = np.add.reduceat(self.latent[term], opens, axis=0)
         here = stretch[opens]
         later = stretch > 0
         keys, times = np.unique(np.concatenate([stretch, stretch[later] - 1]) * len(self.weight) + np.concatenate([term, term[later]]), return_counts=True)
@@ -231,20 +266,55 @@ class Search:
         vectors[np.searchsorted(window, here)] = parts
         vectors[np.searchsorted(window, here[here > 0] - 1)] += parts[here > 0]
         scores = (vectors @ self.folded) / norm[:, None]
-        found: dict[int, tuple[int, int, float]] = {}
         for w, i in zip(*np.nonzero(scores >= self.limits.cosine), strict=True):
             start = int(window[w]) * STRIDE
             hit = self.verified(ids, start, self.items[i])
             if hit and (i not in found or hit[1] > found[i][1]):
                 found[i] = (*hit, float(scores[w, i]))
-        return [(int(i), *found[i]) for i in sorted(found)]
+
+    def by_bound(self, ids: np.ndarray, here: np.ndarray, parts: np.ndarray, found: dict[int, tuple[int, int, float]]) -> None:
+        """Leaks of items not found yet, in windows of each item's own length that reach its bound."""
+        n = -(-len(ids) // STRIDE)
+        summed = np.zeros((n + 1, len(self.items)))
+        if len(here):
+            summed[here + 1] = parts @ self.plain
+            summed = summed.cumsum(axis=0)
+        first = np.arange(n)
+        for span in np.unique(self.spans):
+            some = np.flatnonzero(self.spans == span)
+            product = summed[np.minimum(first + span, n)][:, some] - summed[:n, some]
+            over = product >= self.bound[some]
+            for k in np.flatnonzero(over.any(axis=0)):
+                i = int(some[k])
+                if i in found:
+                    continue
+                item = self.items[i]
+                inside = np.concatenate([[0], np.cumsum(self.holds[i][ids])])
+                held = inside[np.minimum((first + span) * STRIDE, len(ids))] - inside[first * STRIDE]
+                for w in np.flatnonzero(over[:, k] & (held >= self.asked[i] - 1e-9)):
+                    start = int(w) * STRIDE
+                    hit = self.held_in(ids, start, start + int(span) * STRIDE, item)
+                    if hit and (i not in found or hit[1] > found[i][1]):
+                        found[i] = (*hit, self.cosine_at(ids, hit[0], i))
+
+    def cosine_at(self, ids: np.ndarray, start: int, i: int) -> float:
+        """The cosine of the stretch from ``start`` that an item may fill."""
+        held = ids[start : start + reach_of(len(self.items[i].words))]
+        terms, times = np.unique(held[held >= 0], return_counts=True)
+        norm = float(np.sqrt(((times * self.weight[terms]) ** 2).sum()))
+        return float((times @ self.latent[terms]) @ self.folded[:, i]) / norm if norm else 0.0
 
     def verified(self, ids: np.ndarray, start: int, item: Item) -> tuple[int, int] | None:
         """(first word, words in common) if the text around a window holds the item."""
-        n = len(item.words)
-        reach = int(SPREAD * n) + 4
+        reach = reach_of(len(item.words))
         low = max(0, start - reach)
-        region = ids[low : start + 2 * STRIDE + reach]
+        return self.held_in(ids, low, start + 2 * STRIDE + reach, item)
+
+    def held_in(self, ids: np.ndarray, low: int, stop: int, item: Item) -> tuple[int, int] | None:
+        """(first word, words in common) if the best stretch of ids[low:stop] holds the item."""
+        n = len(item.words)
+        reach = reach_of(n)
+        region = ids[low:stop]
         inside = np.concatenate([[0], np.cumsum(np.isin(region, item.words))])
         starts = np.arange(max(1, len(region) - reach + 1))
         best = int(np.argmax(inside[np.minimum(starts + reach, len(region))] - inside[starts]))

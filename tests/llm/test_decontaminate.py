@@ -91,6 +91,17 @@ def test_more_items_than_rank(spark):
     assert got >= {(i, i) for i in range(len(items))}
 
 
+def test_long_and_diluted_copies(spark):
+    """Copies of long items, and of short ones among benchmark words, are found at any offset."""
+    rng = random.Random(16)
+    text = lambda n: " ".join(f"w{rng.randrange(3000)}" for _ in range(n))
+    items = [text(n) for n in (6, 12, 16, 48, 200, 400, 600) for _ in range(12)]
+    docs = spark.createDataFrame([(i, f"{text(31 + i)} {x} {text(90)}") for i, x in enumerate(items)], "doc_id long, text string")
+    benchmark = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in dc.find_leaks(docs, benchmark).collect()}
+    assert got == {(i, i) for i in range(len(items))}
+
+
 def test_corpus_against_plain_search(spark):
     """Every item whose words stand in a text one after the other is found, and nothing far from that."""
     strip = cut_words
