@@ -25,9 +25,21 @@ SPACES = " \t\n\r\x0b\x0c"
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
 
-#: Least and greatest ratio of compressed to plain bytes, for texts up to so many bytes.
-BANDS = ((64, 0.0, 9.0), (256, 0.25, 1.25), (1024, 0.20, 0.95), (4096, 0.18, 0.80), (16384, 0.15, 0.75), (1 << 62, 0.12, 0.72))
-CHUNK_BYTES, CHUNK_BAND, BAD_CHUNK_SHARE = 2048, (0.18, 0.80), 0.2
+#: Least and greatest ratio of compressed to plain bytes, for texts up to so many bytes. The greatest
+#: ones lie between the measured range of good text and the ratios of base64 and alphanumeric words.
+BANDS = (
+    (64, 0.0, 9.0),
+    (128, 0.25, 0.97),
+    (192, 0.25, 0.915),
+    (256, 0.25, 0.87),
+    (512, 0.20, 0.79),
+    (1024, 0.20, 0.74),
+    (2048, 0.18, 0.68),
+    (4096, 0.18, 0.62),
+    (16384, 0.15, 0.57),
+    (1 << 62, 0.12, 0.52),
+)
+CHUNK_BYTES, CHUNK_BAND, BAD_CHUNK_SHARE = 2048, (0.18, 0.63), 0.2
 
 
 def repeated_words(words: list[bytes]) -> int:

@@ -1,10 +1,12 @@
 """Token counts, secret scans and quality rules against libraries and plain restatements."""
 
+import base64
 import random
 import re
 from collections import Counter
 
 import pytest
+import zstandard
 from tokenizers import Tokenizer
 
 from lithic.llm import quality, secrets, token_counts
@@ -116,3 +118,21 @@ def test_compression_bands(spark):
     kept = {r["doc_id"] for r in quality.keep_good(spark.read.parquet(f"{SF}/documents.parquet")).collect()}
     assert kept == {r["doc_id"] for r in verdicts if r["kept"]}
     assert quality.judge_quality(nothing(spark)).count() == 0
+
+
+@pytest.mark.parametrize("size", [100, 128, 160, 192, 240, 256, 400, 512, 700, 1000, 1024, 1500, 2000, 3000, 4000, 8000, 12000, 16000, 40000])
+def test_incompressible_text_of_every_length(size):
+    rng, press = random.Random(size), zstandard.ZstdCompressor(level=3)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    for _ in range(30):
+        lines = base64.encodebytes(rng.randbytes(size))[:size]
+        words = " ".join("".join(rng.choices(letters, k=rng.randint(3, 10))) for _ in range(size // 3)).encode()[:size]
+        assert not quality.band_verdict(lines, press)[-1]
+        assert not quality.band_verdict(words, press)[-1]
+
+
+def test_good_text_of_every_length_passes(spark):
+    sf = "/root/testdata/sf0.1"
+    good = spark.read.parquet(f"{sf}/labels.parquet").filter("quality = 1").select("doc_id")
+    judged = quality.judge_quality(spark.read.parquet(f"{sf}/documents.parquet").join(good, "doc_id"))
+    assert judged.filter("not kept and not base_failed").count() == 0
