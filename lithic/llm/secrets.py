@@ -31,7 +31,7 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")
 ASSIGN_MIN, ACCESS_MIN = 12, 18
 
-LOOSE = re.compile(r"(?<![A-Za-z0-9+/_-])(?=[^\s]{0,200}[0-9])[A-Za-z0-9+/_-]{24,200}={0,2}(?![A-Za-z0-9+/_-])")
+LOOSE = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{24,}={0,2}(?![A-Za-z0-9+/_-])")
 IDENT = re.compile(r"""(?:client|user|account|access)[_-]?(?:id|name|key)["']?\x20*[:=]\x20*["']?[A-Za-z0-9._@-]{4,}""", re.I | re.A)
 ENDPOINT = re.compile(r"\b[a-z][a-z0-9+.-]{1,20}://[^\s\"'<>]{4,}")
 

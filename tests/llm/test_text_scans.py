@@ -75,6 +75,13 @@ def test_weak_parts_need_their_complement():
     assert kinds("user_name: robot7 and nothing else") == []
 
 
+def test_long_secrets_are_linked():
+    rng = random.Random(5)
+    long = "aB3" + "".join(rng.choices("ghijkGHIJK0123456789+/_-", k=900))
+    kinds = [k for _, _, k in secrets.find_spans(f"https://db.host/x client_id=robot7 {long}", 200)[1]]
+    assert kinds == ["endpoint", "ident", "loose"]
+
+
 def plain_quality(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", text)
     windows = [tuple(words[i : i + 8]) for i in range(len(words) - 7)]
