@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import ctypes
-import os
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -11,8 +10,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Where public vocabulary files are; they are never copied into the repository.
-TOKENIZERS = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
+
+def vocabulary(name: str) -> str:
+    """Where a public vocabulary file is; such files are never copied into the repository."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,7 +28,7 @@ def text_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 
 
 #: Bytes of a batch that are turned into Python objects at a time, about.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 
 def sliced(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -63,10 +66,13 @@ def content_key(text: Column) -> Column:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The checkpoint folder that the session names; one of our own only where it names none."""
+    """The checkpoint folder that the session names; one of our own only in a local session."""
     context = spark.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir", "/tmp/checkpoints"))
+        named = context.getConf().get("spark.checkpoint.dir")
+        if not named and not (context.master == "local" or context.master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(named or "/tmp/checkpoints")
     return context._jsc.sc().getCheckpointDir().get()
 
 
@@ -76,8 +82,24 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def written(df: DataFrame) -> DataFrame:
-    """Cut lineage with a Parquet table in the shared folder: smaller than a checkpoint."""
-    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+def written(df: DataFrame, *spent: DataFrame) -> DataFrame:
+    """Cut lineage with a Parquet table in the shared folder: smaller than a checkpoint.
+
+    ``spent`` are earlier such tables that nothing reads once this one is there; they are deleted.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    for old in spent:
+        discard(old)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.held_in = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``written`` made and that nothing reads any more."""
+    for table in tables:
+        spark = table.sparkSession
+        place = spark._jvm.org.apache.hadoop.fs.Path(table.held_in)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
