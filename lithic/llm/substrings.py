@@ -1,14 +1,15 @@
-"""Removal of long repeated byte strings by distributed prefix doubling.
+"""Removal of long repeated byte strings by doubling names at growing lengths.
 
 Names take the place of ranks: a string's name is a 64-bit key put together from the names of its
 halves, so names of strings of 2, 4, 8 ... bytes double from those before, and Spark groups
 the names (where a rank array would be sorted and numbered anew) to see which occur again.
-Positions whose string has become unique are dropped before longer strings are looked at.
+Lengths grow from ``passage`` to ``length`` bytes; texts without a repeated string of the shorter
+length are dropped before the longer one is looked at, and so are positions found unique.
 
-Not every position takes part until the last round. Every string of ``length`` bytes has one
-anchor: the first of the least 256-byte names in it. Neighbouring starts with the same anchor
-are a *stretch*; ``inner`` names the anchor's 256 bytes and ``outer`` all bytes that the
-strings of the stretch cover together.
+Not every position takes part until the last round. Every string of a level's length has one
+anchor: the first of the least names of BLOCK bytes in it (the greatest power of two within two
+thirds of the length). Neighbouring starts with the same anchor are a *stretch*; ``inner`` names the
+anchor's bytes and ``outer`` all bytes that the strings of the stretch cover together.
 
 1. inner unique: no string that starts in the stretch occurs again; dropped.
 2. outer found twice: all of them do.
@@ -18,18 +19,20 @@ strings of the stretch cover together.
 A run's own inner and outer are again what all its strings share and what they cover; runs are
 cut by their distance from the anchor, so equal strings fall in equal runs.
 
-All steps count names with partial sums, so a string in a third of all texts costs a row a task.
-Results are kept by content: rows with equal texts have equal results. The bytes that repeated
-strings cover are then cut from each text.
+One of equal texts stands for all of them, so copies cost a row each and no more. All steps count
+names with partial sums; names found twice are written before rows are joined with them, by
+broadcast up to a counted bound and beyond it in a join whose hot keys are split. Beyond the bound
+the distinct texts are dealt once into buckets by their key, where every round meets them.
 
 Defined cases: a null text is an empty one; texts shorter than ``length`` lose nothing; a text
 that repeats itself loses those bytes too; repeated rows are further texts; an empty table gives
-no rows; other columns are ignored. Names count together with the inner name, so a chance
-collision needs 128 equal bits.
+no rows; other columns are ignored. Texts are told apart by 128-bit keys, and names count together
+with the inner name, so a chance collision needs 128 equal bits.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,11 +40,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lithic.llm.common import map_batches, written
+from lithic.llm.common import discard, map_batches, shared_folder, written
 
-BLOCK, GRAIN = 256, 12
-#: Tables of found places are broadcast up to so many entries (16 to 24 bytes each).
-BROADCAST_ENTRIES = 2_000_000
+GRAIN = 12
+#: Tables of names or found places are broadcast up to so many entries (16 to 40 bytes each).
+BROADCAST_ENTRIES = 1_000_000
 
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _BYTES = np.random.default_rng(400).integers(1 << 63, size=256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -58,20 +61,20 @@ def _paired(left: np.ndarray, right: np.ndarray) -> np.ndarray:
 class Names:
     """Names of all strings of a text whose length is a power of two, doubled as needed."""
 
-    def __init__(self, data: bytes):
-        self.of = {1: _BYTES[np.frombuffer(data, np.uint8)]}
+    def __init__(self, data: bytes, block: int):
+        self.of, self.block = {1: _BYTES[np.frombuffer(data, np.uint8)]}, block
 
     def power(self, size: int) -> np.ndarray:
         if size not in self.of:
             half = self.power(size // 2)
             self.of[size] = _paired(half[: -(size // 2)], half[size // 2 :])
-            if size <= BLOCK // 2:
-                del self.of[size // 2]  # longer names come from BLOCK on
+            if size <= self.block:
+                del self.of[size // 2]  # longer names come from a block on
         return self.of[size]
 
     def at(self, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-        """Names of strings of BLOCK bytes or more: two overlapping powers of two, and the length."""
-        self.power(BLOCK)
+        """Names of strings of a block or more: two overlapping powers of two, and the length."""
+        self.power(self.block)
         out = np.empty(len(starts), np.uint64)
         exponents = np.frexp(lengths.astype(np.float64))[1] - 1
         for e in np.unique(exponents):
@@ -95,6 +98,10 @@ def ranges(counts: np.ndarray) -> np.ndarray:
     return np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
 
 
+def block_of(length: int) -> int:
+    return 1 << (max(1, 2 * length // 3).bit_length() - 1)
+
+
 def stretches(texts: list[bytes], rows: pa.RecordBatch | None, length: int) -> tuple[np.ndarray, ...]:
     """(text, first start, starts, anchor less first, inner, outer) of every stretch of the texts.
 
@@ -103,9 +110,9 @@ def stretches(texts: list[bytes], rows: pa.RecordBatch | None, length: int) -> t
     """
     sizes = np.array([len(t) for t in texts], np.int64)
     begin = np.cumsum(sizes) - sizes
-    names = Names(b"".join(texts))
-    block = names.power(BLOCK)
-    window = length - BLOCK + 1
+    names = Names(b"".join(texts), block_of(length))
+    block = names.power(names.block)
+    window = length - names.block + 1
     low = sliding_least(block, window)
     room = np.maximum(sizes - length + 1, 0)
     of = np.repeat(np.arange(len(texts)), room)
@@ -153,7 +160,7 @@ def finer_runs(texts: list[bytes], rows: pa.RecordBatch, size: int, length: int)
     far, near = np.minimum(k * size + size - 1, back[of]), np.maximum(k * size, (back - count + 1)[of])
     anchor = (first + back)[of]
     begin, n = anchor - far, far - near + 1
-    names = Names(b"".join(pieces))
+    names = Names(b"".join(pieces), block_of(length))
     # What all strings of the uncut run share, which lies within any of them.
     share = names.at(anchor - k * size + moved[of], np.full(len(k), length - size + 1))
     mixed = _paired(_paired(inner[of].view(np.uint64), share), k.astype(np.uint64))
@@ -173,17 +180,34 @@ def merged(of: np.ndarray, first: np.ndarray, count: np.ndarray, length: int) ->
     return of[opens], start[opens], (reach - apart)[closes]
 
 
-CONTENT = ["content", "n_bytes"]
+CONTENT = ["content", "second"]
 
 
 def byte_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     data = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), data.alias("data"), F.xxhash64(data).alias("content"), F.octet_length(data).cast("long").alias("n_bytes"))
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), data.alias("data"), F.xxhash64(data).alias("content"), F.xxhash64(F.lit("second"), data).alias("second"))
+
+
+def few(table: DataFrame, entries: int) -> DataFrame:
+    return F.broadcast(table) if entries <= BROADCAST_ENTRIES else table
 
 
-def with_found(rows: DataFrame, found: DataFrame, entries: int, how: str) -> DataFrame:
-    """Rows of texts met with what was found by content; texts move only beyond a checked size."""
-    return rows.join(F.broadcast(found) if entries <= BROADCAST_ENTRIES else found, CONTENT, how)
+class Texts:
+    """The distinct texts, met with what was found by their keys; moved once, beyond the bound only."""
+
+    def __init__(self, rows: DataFrame):
+        self.rows, self.dealt = rows, None
+
+    def met(self, found: DataFrame, entries: int) -> DataFrame:
+        if entries <= BROADCAST_ENTRIES:
+            return self.rows.join(F.broadcast(found), CONTENT)
+        if self.dealt is None:
+            spark, name = self.rows.sparkSession, f"texts_{uuid.uuid4().hex}"
+            buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+            dealt = self.rows.repartition(buckets, *CONTENT).write.bucketBy(buckets, *CONTENT).format("parquet")
+            dealt.option("path", f"{shared_folder(spark)}/{name}").saveAsTable(name)
+            self.dealt = spark.table(name)
+        return self.dealt.join(found, CONTENT)
 
 
 RUN = ["first", "starts", "back", "inner", "outer"]
@@ -220,38 +244,69 @@ def run_rows(texts: DataFrame, cut, columns: list[str]) -> DataFrame:
 
 
 def resolved(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Of runs: those whose strings all occur again, and the open ones to look at more finely."""
+    """Of runs: those whose strings all occur again (``cross``: in another text), and the open ones."""
     every = written(rows)
-    twice = every.groupBy("inner").agg(F.count("*").alias("times"), F.min("outer").alias("lo"), F.max("outer").alias("hi")).filter("times > 1")
-    again = written(every.join(twice.select("inner", (F.col("lo") == F.col("hi")).alias("one")), "inner"))
-    mixed = again.filter("not one")
-    outers = mixed.groupBy("inner", "outer").agg(F.count("*").alias("times"), F.min("content").alias("sample"))
-    told = written(mixed.join(outers, ["inner", "outer"]).drop("one", "outer"))
-    sure = again.filter("one").select(*CONTENT, "first", "starts").union(told.filter("times > 1").select(*CONTENT, "first", "starts")).distinct()
-    return sure, told.filter("times = 1 or content = sample").select(*CONTENT, "first", "starts", "back", "inner").distinct()
-
-
-def repeated_runs(rows: DataFrame, length: int) -> DataFrame:
-    """(content, n_bytes, first, starts): starts of strings that also start anywhere else."""
-    long_enough = rows.filter(F.col("n_bytes") >= length)
-    sure, still = resolved(run_rows(long_enough, lambda texts, rows: stretches(texts, rows, length), ["data"]))
-    for size in (GRAIN, 1):
-        by_text = written(still.groupBy(*CONTENT).agg(F.collect_list(F.struct("first", "starts", "back", "inner")).alias("runs")))
+    cross = (F.min("content") != F.max("content")).alias("cross")
+    twice = written(every.groupBy("inner").agg(F.count("*").alias("times"), (F.min("outer") == F.max("outer")).alias("one"), cross).filter("times > 1").select("inner", "one", "cross"))
+    again = written(every.join(few(twice, twice.count()), "inner"), every, twice)
+    mixed = again.filter("not one").drop("one", "cross")
+    outers = written(mixed.groupBy("inner", "outer").agg(F.count("*").alias("times"), F.min("content").alias("sample"), cross).filter("times > 1").drop("times"))
+    told = written(mixed.join(few(outers, outers.count()), ["inner", "outer"], "left"))
+    place = [*CONTENT, "first", "starts", "cross"]
+    sure = written(again.filter("one").select(*place).union(told.filter("sample is not null").select(*place)).distinct(), again, outers)
+    still = written(told.filter("sample is null or content = sample").select(*CONTENT, "first", "starts", "back", "inner").distinct(), told)
+    return sure, still
+
+
+def unsettled(still: DataFrame, sure: DataFrame) -> DataFrame:
+    """Open runs whose inner name stands in some text that is not yet known to share a string."""
+    known = written(sure.filter("cross").select(*CONTENT).distinct())
+    names = written(still.join(few(known, known.count()), CONTENT, "left_anti").select("inner").distinct(), known)
+    return written(still.join(few(names, names.count()), "inner", "left_semi"), still, names)
+
+
+def repeated_runs(texts: Texts, rows: DataFrame, length: int, flags: bool = False) -> DataFrame:
+    """CONTENT, first, starts, cross: starts of strings that also start anywhere else.
+
+    With ``flags``, runs of a text that is known to share a string with another may be left out.
+    """
+    sure, still = resolved(run_rows(rows.filter(F.octet_length("data") >= length), lambda data, _: stretches(data, None, length), ["data"]))
+    for size in (min(GRAIN, length - block_of(length) + 1), 1):
+        if flags:
+            still = unsettled(still, sure)
+        by_text = written(still.groupBy(*CONTENT).agg(F.collect_list(F.struct("first", "starts", "back", "inner")).alias("runs")), still)
         entries = by_text.agg(F.sum(F.size("runs"))).first()[0] or 0
-        met = with_found(long_enough, by_text, entries, "inner")
-        more, still = resolved(run_rows(met, lambda texts, rows, size=size: finer_runs(texts, rows, size, length), ["data", "runs"]))
-        sure = sure.union(more)
+        met = texts.met(by_text, entries)
+        more, still = resolved(run_rows(met, lambda data, runs, size=size: finer_runs(data, runs, size, length), ["data", "runs"]))
+        discard(by_text)
+        sure = written(sure.union(more), sure, more)
+    discard(still)
     return sure
 
 
-def covered_spans(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, data (the text's bytes), spans (maximal runs to remove, ends exclusive) of every row."""
+def covered_spans(docs: DataFrame, length: int = 400, passage: int = 256, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, data (the text's bytes), shared, spans (maximal runs to remove, ends exclusive) of every row."""
+    if passage > length:
+        raise ValueError("passage must not be longer than length")
     rows = byte_rows(docs, id_col, text_col)
-    runs = repeated_runs(rows, length)
-    found = written(runs.groupBy(*CONTENT).agg(F.collect_list(F.struct("first", "starts")).alias("runs")))
-    spans = written(map_batches(found, lambda: _merge_step(length), "content long, n_bytes long, spans array<struct<start:bigint,stop:bigint>>"))
-    entries = spans.agg(F.sum(F.size("spans"))).first()[0] or 0
-    return with_found(rows, spans, entries, "left").select("doc_id", "data", "spans")
+    copied = written(rows.groupBy(*CONTENT).agg(F.count("*").alias("copies"), F.min("doc_id").alias("one")).filter("copies > 1"))
+    marked = rows.join(few(copied, n_copied := copied.count()), CONTENT, "left")
+    texts = Texts(marked.filter("copies is null or doc_id <=> one").select(*CONTENT, "data"))
+
+    shorter = repeated_runs(texts, texts.rows, passage, flags=True)
+    flags = written(shorter.groupBy(*CONTENT).agg(F.max("cross").alias("shared")), shorter)
+    n_flags = flags.count()
+    runs = repeated_runs(texts, texts.met(flags.select(*CONTENT), n_flags), length)
+    found = written(runs.groupBy(*CONTENT).agg(F.collect_list(F.struct("first", "starts")).alias("runs")), runs)
+    spans = written(map_batches(found, lambda: _merge_step(length), "content long, second long, spans array<struct<start:bigint,stop:bigint>>"), found)
+    entries = (spans.agg(F.sum(F.size("spans"))).first()[0] or 0) + n_flags + n_copied
+    known = flags.join(spans, CONTENT, "left").join(copied.select(*CONTENT, "copies"), CONTENT, "full")
+    out = rows.join(few(written(known, flags, spans, copied), entries), CONTENT, "left")
+    size = F.octet_length("data").cast("long")
+    whole = F.array(F.struct(F.lit(0).cast("long").alias("start"), size.alias("stop")))
+    copies = F.col("copies").isNotNull()
+    shared = F.coalesce(F.col("shared"), F.lit(False)) | (copies & (size >= passage))
+    return out.select("doc_id", "data", shared.alias("shared"), F.when(copies & (size >= length), whole).otherwise(F.col("spans")).alias("spans"))
 
 
 def _merge_step(length: int):
@@ -262,13 +317,15 @@ def _merge_step(length: int):
         of, start, stop = merged(np.repeat(np.arange(len(sizes)), sizes), first, count, length)
         offsets = np.concatenate([[0], np.cumsum(np.bincount(of, minlength=len(sizes)))]).astype(np.int32)
         spans = pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays([pa.array(start), pa.array(stop)], ["start", "stop"]))
-        return pa.RecordBatch.from_arrays([batch.column("content"), batch.column("n_bytes"), spans], [*CONTENT, "spans"])
+        return pa.RecordBatch.from_arrays([batch.column("content"), batch.column("second"), spans], [*CONTENT, "spans"])
 
     return step
 
 
-def remove_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept (the bytes that are left) of every row."""
+def remove_repeats(docs: DataFrame, length: int = 400, passage: int = 256, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept (the bytes that are left), shared of every row.
+
+    ``shared`` tells whether a string of ``passage`` bytes also stands in another row's text."""
 
     def make():
         def cut(data: bytes, spans: list[dict] | None) -> bytes:
@@ -278,9 +335,9 @@ def remove_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", t
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             data, spans = batch.column("data").to_pylist(), batch.column("spans").to_pylist()
             kept = [cut(d, s) for d, s in zip(data, spans, strict=True)]
-            arrays = [batch.column("doc_id"), pa.array(map(len, data), pa.int64()), pa.array([len(d) - len(k) for d, k in zip(data, kept, strict=True)], pa.int64()), pa.array([len(s or ()) for s in spans], pa.int64()), pa.array(kept, pa.binary())]
-            return pa.RecordBatch.from_arrays(arrays, ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
+            arrays = [batch.column("doc_id"), pa.array(map(len, data), pa.int64()), pa.array([len(d) - len(k) for d, k in zip(data, kept, strict=True)], pa.int64()), pa.array([len(s or ()) for s in spans], pa.int64()), pa.array(kept, pa.binary()), batch.column("shared")]
+            return pa.RecordBatch.from_arrays(arrays, ["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "shared"])
 
         return step
 
-    return map_batches(covered_spans(docs, length, id_col, text_col), make, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    return map_batches(covered_spans(docs, length, passage, id_col, text_col), make, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, shared boolean")

@@ -55,6 +55,38 @@ def test_against_all_strings(spark, source):
     assert got == want
 
 
+def plain_shared(texts, length):
+    """Whether a text holds a string of ``length`` bytes that stands in another row."""
+    holders = {}
+    for i, t in enumerate(texts):
+        for p in range(len(t) - length + 1):
+            holders.setdefault(hash(t[p : p + length]), set()).add(i)
+    found = {i for h in holders.values() if len(h) > 1 for i in h}
+    return [i in found for i in range(len(texts))]
+
+
+def mixed_rows():
+    rng = random.Random(18)
+    base = "".join(rng.choice("abcdefgh ") for _ in range(2500))
+    rows = []
+    for i in range(70):
+        a = rng.randrange(2000)
+        cut = base[a : a + rng.choice([200, 255, 256, 257, 300, 399, 400, 600])]
+        own = "".join(rng.choice("uvwxyz") for _ in range(rng.choice([10, 120, 500])))
+        rows.append((i, own + cut + own[::-1] + (own * 2 if rng.random() < 0.2 else "")))
+    return [*rows, rows[3], (None, rows[4][1]), (80, "x" * 255), (81, "x" * 255), (82, None), (83, "y" * 700)]
+
+
+@pytest.mark.parametrize("bound", [0, 1_000_000])
+def test_shared_passages_and_joins_beyond_the_bound(spark, monkeypatch, bound):
+    monkeypatch.setattr(substrings, "BROADCAST_ENTRIES", bound)
+    docs = spark.createDataFrame(mixed_rows(), "doc_id long, text string")
+    got = sorted((r["n_bytes"], r["n_removed"], r["n_spans"], r["kept"], r["shared"]) for r in substrings.remove_repeats(docs).collect())
+    texts = [(r["text"] or "").encode() for r in docs.collect()]
+    want = sorted((*x, y) for x, y in zip(plain(texts, 400), plain_shared(texts, 256), strict=True))
+    assert got == want
+
+
 def test_query_and_empty_table(spark):
     rows = op7_suffix_array_dedup(spark, SF).collect()
     assert len(rows) == 1000
