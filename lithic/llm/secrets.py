@@ -3,9 +3,10 @@
 Strong parts stand on their own: assignments of a value to a secret's name (``assign``), access
 identifiers (``access``) and long hexadecimal runs (``hex``). Weak candidates are reported only
 when complementary parts lie within the same scope, an interval of ``scope`` code points around
-a part: a mixed-case run (``loose``) needs an identifier in scope, a named identifier
-(``ident``) needs a secret, and an endpoint (``endpoint``) needs both. Scopes are joined with
-sorted part positions by bisection, so the cost is n log n in a document's parts.
+a part: a mixed-case run (``loose``) that overlaps no other part needs an identifier in scope, a
+named identifier (``ident``) needs a secret, and an endpoint (``endpoint``) needs both. Scopes are
+joined with parts sorted by start and the greatest end so far, so the cost is n log n in a
+document's parts, however long they are.
 
 Defined cases: a null text is an empty one, without parts; rows are scanned each on their own,
 whole; an empty table gives no rows; other columns are ignored. Spans that tie on their start
@@ -16,6 +17,7 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left, bisect_right
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -54,17 +56,29 @@ def _mixed(token: str) -> bool:
     return any(c.islower() for c in token) and any(c.isupper() for c in token) and any(c.isdigit() for c in token)
 
 
-def _near(starts: list[int], longest: int, spans: list[Span], at: Span, scope: int) -> bool:
-    """Whether one of ``spans``, sorted by start, overlaps the scope around ``at``."""
-    low, high = at[0] - scope, at[1] + scope
-    return any(spans[i][1] >= low and spans[i] is not at for i in range(bisect_left(starts, low - longest), bisect_right(starts, high)))
+class Intervals:
+    """Spans sorted by start, each with the greatest end up to it."""
+
+    def __init__(self, spans: list[Span]):
+        spans = sorted(spans)
+        self.starts = [s[0] for s in spans]
+        self.reach = list(accumulate((s[1] for s in spans), max))
+
+    def meets(self, low: int, high: int) -> bool:
+        """Whether a span starts at ``high`` or before and ends at ``low`` or after."""
+        i = bisect_right(self.starts, high)
+        return i > 0 and self.reach[i - 1] >= low
+
+    def overlaps(self, low: int, high: int) -> bool:
+        """Whether a span shares a character with [low, high)."""
+        i = bisect_left(self.starts, high)
+        return i > 0 and self.reach[i - 1] > low
 
 
 def joined(parts: list[Span], others: list[Span], scope: int) -> list[Span]:
-    """Those of ``parts`` that have one of ``others`` within their scope."""
-    spans = sorted(others)
-    starts, longest = [s[0] for s in spans], max((s[1] - s[0] for s in spans), default=0)
-    return [p for p in parts if _near(starts, longest, spans, p, scope)] if spans else []
+    """Those of ``parts`` that have one of ``others``, which are of other kinds, within their scope."""
+    held = Intervals(others)
+    return [p for p in parts if held.meets(p[0] - scope, p[1] + scope)]
 
 
 def weak_parts(text: str, strong: list[Span], scope: int) -> list[Span]:
@@ -75,13 +89,8 @@ def weak_parts(text: str, strong: list[Span], scope: int) -> list[Span]:
     named = [(*m.span(), "ident") for m in IDENT.finditer(text)] if any(w in lowered for w in ("client", "user", "account", "access")) else []
     if not access and not named:
         return []
-    taken = sorted((s[0], s[1]) for s in strong + named)
-
-    def free(span: Span) -> bool:
-        i = bisect_right(taken, (span[1],)) - 1
-        return i < 0 or all(b <= span[0] for _, b in taken[max(0, i - 3) : i + 1])
-
-    loose = [s for m in LOOSE.finditer(text) if _mixed(m[0]) and free(s := (*m.span(), "loose"))]
+    taken = Intervals(strong + named)
+    loose = [(*m.span(), "loose") for m in LOOSE.finditer(text) if _mixed(m[0]) and not taken.overlaps(*m.span())]
     loose = joined(loose, access + named, scope)
     named = joined(named, secrets + loose, scope)
     ends = [(*m.span(), "endpoint") for m in ENDPOINT.finditer(text)] if "://" in text else []

@@ -10,10 +10,11 @@ import zstandard
 from tokenizers import Tokenizer
 
 from lithic.llm import quality, secrets, token_counts
-from lithic.llm.queries import TOKENIZERS, op1_token_counts, op4_secret_scans, op5_quality_rules
+from lithic.llm.common import vocabulary
+from lithic.llm.queries import op1_token_counts, op4_secret_scans, op5_quality_rules
 from tests.llm.fixtures import nothing, odd, odd_rows
 
-VOCAB = f"{TOKENIZERS}/word_bpe_49k.json"
+VOCAB = vocabulary("word_bpe_49k.json")
 SF = "/root/testdata/sf0.001"
 
 
@@ -143,3 +144,36 @@ def test_good_text_of_every_length_passes(spark):
     good = spark.read.parquet(f"{sf}/labels.parquet").filter("quality = 1").select("doc_id")
     judged = quality.judge_quality(spark.read.parquet(f"{sf}/documents.parquet").join(good, "doc_id"))
     assert judged.filter("not kept and not base_failed").count() == 0
+
+
+def plain_weak(text, scope):
+    """Weak spans by comparing every part with every other."""
+    strong = secrets.strong_parts(text)
+    named = [(*m.span(), "ident") for m in secrets.IDENT.finditer(text)]
+    loose = [(*m.span(), "loose") for m in secrets.LOOSE.finditer(text) if secrets._mixed(m[0])]
+    loose = [x for x in loose if not any(a < x[1] and b > x[0] for a, b, _ in strong + named)]
+    near = lambda x, others: any(a <= x[1] + scope and b >= x[0] - scope for a, b, _ in others)
+    access, other = [x for x in strong if x[2] == "access"], [x for x in strong if x[2] != "access"]
+    loose = [x for x in loose if near(x, access + named)]
+    named = [x for x in named if near(x, other + loose)]
+    ends = [(*m.span(), "endpoint") for m in secrets.ENDPOINT.finditer(text)]
+    ends = [x for x in ends if near(x, [*access, *(m for m in [(*m.span(), "ident") for m in secrets.IDENT.finditer(text)] if near(m, other + loose))]) and near(x, other + loose)]
+    return sorted(loose + named + ends)
+
+
+def test_weak_spans_against_all_pairs():
+    rng = random.Random(44)
+    parts = ["AKIA" + "ABCDEFGH12345678", "client_id: someone@example", "user-key = abcd1234", "password: hunter2hunter2hunter2", "https://host.example/path", "0123456789abcdef" * 3, "aB3" * 9, "aB3dE" * 60, "f" * 900, "token=" + "AKIA" + "Z" * 30 + ".AKIA" + "Y" * 20 + "." + "aB3" * 12, "word", "secret: " + ".".join(["AKIA" + "Q" * 20] * 6 + ["aB3" * 10])]
+    for _ in range(1500):
+        text = "".join(rng.choice(parts) + rng.choice([" ", "\n", " " * 60, " " * 190, ", ", "/"]) for _ in range(rng.randint(1, 9)))
+        strong, every = secrets.find_spans(text, 200)
+        assert sorted(x for x in every if x not in strong) == plain_weak(text, 200), text
+
+
+def test_many_and_long_parts_take_linear_time():
+    import time
+
+    began = time.process_time()
+    text = "0" * 50_000 + " " + " ".join(f"client_id=user{i} {'aB3' * 9}{i} https://h{i}.example/p" for i in range(20_000))
+    assert len(secrets.find_spans(text, 200)[1]) > 50_000
+    assert time.process_time() - began < 10
