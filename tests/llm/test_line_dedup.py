@@ -75,3 +75,42 @@ def test_odd_rows(spark):
     assert line_dedup.keep_lines(nothing(spark)).count() == 0
     two = [(1, "a line that is long enough to count"), (2, "a line that is long enough to count"), (3, "")]
     assert sorted(r["doc_id"] for r in line_dedup.keep_lines(spark.createDataFrame(two, "doc_id long, text string")).collect()) == [1, 3]
+
+
+def test_clashing_names_are_passed_through(spark):
+    rows = [(i, "a line that stands here twice, it does\nand one of its own, number " + "abcdef"[i] * 9, "mine", 7, 8, 9, 10, 11) for i in range(5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, content_ string, n_dropped_ int, rid int, content int, lines int, dropped int")
+    kept = line_dedup.keep_lines(docs)
+    assert kept.columns == docs.columns
+    assert all(tuple(r)[2:] == ("mine", 7, 8, 9, 10, 11) for r in kept.collect())
+    assert sorted(r["text"].count("\n") for r in kept.collect()) == [0, 0, 0, 0, 1]
+
+
+def test_long_lines_against_all_pairs(spark):
+    rng = random.Random(19)
+    base = ["".join(rng.choice("abcd ") for _ in range(n)) for n in (2047, 2500, 9000, 40_000)] + ["ab" * 3000]
+    rows = []
+    for i in range(60):
+        x = rng.choice(base)
+        k = rng.randrange(len(x))
+        x = x[:k] + rng.choice(["", "Z", x[k]]) + x[k + rng.choice([0, 1]) :]
+        rows.append((i, x))
+    check(spark, rows)
+
+
+def test_many_lines_and_very_long_lines_take_linear_time(spark):
+    import time
+
+    rng = random.Random(20)
+    many = "\n".join(f"line {rng.random()} of a text with very many lines" for _ in range(100_000))
+    long = "".join(rng.choices("abcdefgh ", k=1_000_000))
+    rows = [(1, many), (2, many + "\none more line that is here only"), (3, long), (4, long[:500_000] + "Z" + long[500_001:])]
+    began = time.time()
+    got = {r["doc_id"]: r["text"] for r in line_dedup.drop_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: many, 2: "one more line that is here only", 3: long, 4: ""}
+    assert time.time() - began < 120
+
+
+def test_joins_beyond_the_bound(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "BROADCAST_TEXTS", 0)
+    check(spark, [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SF}/documents.parquet").limit(60).collect()])
