@@ -2,52 +2,55 @@
 
 Each text's set of distinct word shingles is signed with HASHES minima. A tree of the forest is
 one order of the signature's values (a rotation of them); texts that share the first ``depth``
-values of an order are a region of that tree, and longer common prefixes are its sub-regions.
-Candidates are found in rounds, and every link is confirmed on the full shingle sets:
+values of an order are a region of that tree. Candidates are found in rounds, and every link is
+confirmed on the full shingle sets:
 
 1. texts with equal sets are one class; what follows sees one text a class;
-2. each text of a region against the region's most central text, the one whose own regions are
-   the largest over all trees;
-3. crowded regions are split at greater depth until they hold at most CROWD texts, adapting the
-   depth to the region; each text meets the most central one of every sub-region;
-4. in every region that still holds several components, of any size, all pairs of texts in
+2. the texts of regions are sorted by every tree's order, and each text meets its neighbours there:
+   those with the longest common prefix, however deep the region is just there. Of a text's
+   neighbours over all trees the NEIGHBOURS with the longest prefixes in sum are confirmed;
+3. in every region that still holds several components, of any size, all pairs of texts in
    different components meet: the texts outside the main component against all others. Their
-   signatures are compared in arrays, BLOCK texts against BLOCK, and only pairs whose signatures
-   leave the threshold within reach become rows; the closest of each text are confirmed first.
+   signatures are compared in arrays, BLOCK texts against BLOCK; pairs whose signatures leave the
+   threshold within reach are confirmed in groups that hold each text's full set once, the closest
+   of each text first. No pair becomes a row but a link that was found.
 
-Rounds before the last are linear in the texts and join what is plainly alike; the last one
-leaves no pair of a region open. The chance that a pair at
-the threshold s meets in no tree is (1 - s**depth)**trees: 7e-6 at 0.85 with the defaults.
-A candidate whose sizes cannot reach s, or whose signatures agree in far fewer values than s
-(five standard errors), is not carried to the full sets.
+The second round is linear in the texts and joins what is plainly alike; the last one leaves no
+pair of a region open, so the neighbours chosen change the work and not the result. The chance
+that a pair at the threshold s meets in no tree is (1 - s**depth)**trees: 7e-6 at 0.85 with the
+defaults. A candidate whose sizes cannot reach s, or whose signatures agree in far fewer values
+than s (five standard errors), is not carried to the full sets.
 
 Components are found by alternating large-star and small-star steps on tables; no link, set or
 label is collected. Defined cases: a null, empty or blank text has no shingles and is linked
 with nothing; fewer words than a shingle make one shingle of the whole sequence; repeated rows
 come back as often as they went in; rows without an id get no component and are kept; texts that
-share an id are linked through it; an empty table gives no rows; other columns are ignored.
+share an id are linked through it, each with its own set; an empty table gives no rows; other
+columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
 import math
-from functools import reduce
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lithic.llm.common import checkpointed, map_batches, written
+from lithic.llm.common import checkpointed, give_back, map_batches, written
 
-HASHES, CROWD = 64, 32
-DEEPER = (6, 9, 14, 22, 36, HASHES)
+HASHES = 64
+#: Values of an order that texts are sorted by, and neighbours of a text that are confirmed at once.
+SORTED, NEIGHBOURS = 16, 3
 #: Ids that may be broadcast at once (32 MB), and bytes of signatures or shingle sets.
 BROADCAST_IDS, BROADCAST_BYTES = 1_000_000, 48 << 20
-#: Texts of a region whose signatures are compared at once, and pairs of a text confirmed first.
-BLOCK, CLOSEST = 4096, 4
+#: Texts of a region whose signatures are compared at once, pairs of a text confirmed first, and
+#: shingles on either side of a group that is confirmed at once.
+BLOCK, CLOSEST, SETS_AT_ONCE = 4096, 4, 1 << 18
 #: Texts a task where links between them are handled, and edges that one task may join.
 ROWS_A_TASK, EDGES_A_TASK = 8_000, 500_000
 
@@ -131,30 +134,41 @@ def sign_texts(docs: DataFrame, forest: Forest, id_col: str, text_col: str) -> D
     return map_batches(rows, make, "doc_id long, n long, set_key binary, signed binary, keys array<bigint>")
 
 
-def deeper_keys(regions: DataFrame, forest: Forest, depth: int) -> DataFrame:
-    """The rows (node, central, tree, key, signed) keyed by longer prefixes of their trees' orders."""
-    tree_at = forest.tree_at
-
-    def make():
-        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            signs, trees = batch.column("signed").to_pylist(), batch.column("tree").to_pylist()
-            keys = [prefix_keys(np.frombuffer(s, np.uint32), [tree_at[t]], depth)[0] for s, t in zip(signs, trees, strict=True)]
-            return pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("node", "central", "tree")), pa.array(keys, pa.int64()), batch.column("signed")], ["node", "central", "tree", "key", "signed"])
-
-        return step
-
-    return map_batches(regions.select("node", "central", "tree", "key", "signed"), make, "node long, central long, tree int, key long, signed binary")
-
-
 def shared(rows: DataFrame) -> DataFrame:
     """The rows of regions with two texts or more, and how many there are."""
     return rows.join(rows.groupBy("tree", "key").agg(F.count("*").alias("many")).filter("many > 1"), ["tree", "key"])
 
 
-def star_pairs(rows: DataFrame) -> DataFrame:
-    """Each text of a region against the region's most central text."""
-    heads = rows.groupBy("tree", "key").agg(F.max_by("node", F.struct("central", -F.col("node"))).alias("b"))
-    return rows.join(heads, ["tree", "key"]).select(F.col("node").alias("a"), "b")
+def neighbours(regions: DataFrame, nodes: DataFrame, forest: Forest) -> DataFrame:
+    """(a, b): texts that stand side by side in the order of a tree, the closest of each text.
+
+    Orders are dealt by range with the text last, so that texts of one signature part evenly; the
+    pairs at the ends of ranges are left to the round of open pairs."""
+    depth, start = forest.depth, f"int(tree * {HASHES} / {forest.trees}) * 4"
+    turned = F.expr(f"substring(concat(substring(signed, {start} + 1), substring(signed, 1, {start})), 1, {4 * SORTED})")
+    rows = regions.select("tree", "node").join(nodes.select("node", "signed"), "node").select("tree", turned.alias("order"), "node")
+    ranged = rows.repartitionByRange("tree", "order", "node").sortWithinPartitions("tree", "order", "node")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before: tuple | None = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            tree, node = (batch.column(c).to_numpy() for c in ("tree", "node"))
+            order = np.frombuffer(b"".join(batch.column("order").to_pylist()), np.uint32).reshape(-1, SORTED)
+            if before is not None:
+                tree, node, order = np.concatenate([before[0], tree]), np.concatenate([before[1], node]), np.concatenate([before[2], order])
+            same = (order[1:] == order[:-1]) & (tree[1:] == tree[:-1])[:, None]
+            prefix = np.where(same.all(axis=1), SORTED, same.argmin(axis=1))
+            at = np.flatnonzero((prefix >= depth) & (node[1:] != node[:-1]))
+            yield pa.RecordBatch.from_arrays([pa.array(node[at + 1]), pa.array(node[at]), pa.array(prefix[at], pa.int64())], ["a", "b", "prefix"])
+            before = tree[-1:], node[-1:], order[-1:]
+        give_back()
+
+    pairs = ranged.mapInArrow(run, "a long, b long, prefix long")
+    met = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"), "prefix").groupBy("a", "b").agg(F.sum("prefix").alias("prefix"))
+    best = Window.partitionBy("a").orderBy(F.desc("prefix"), "b")
+    return met.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= NEIGHBOURS).select("a", "b")
 
 
 def if_small(df: DataFrame, size: int) -> DataFrame:
@@ -182,15 +196,14 @@ def candidates(pairs: DataFrame, nodes: DataFrame, forest: Forest) -> DataFrame:
     return map_batches(near.select("a", "b", "s_a", "s_b"), make, "a long, b long")
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, forest: Forest, id_col: str, text_col: str) -> DataFrame:
-    """Those pairs whose full shingle sets are similar enough."""
-    ids = forest.gathered(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "set_key"), "node"))
-    few = ids.count() <= BROADCAST_IDS
-    width, percent = forest.width, forest.percent
+def full_sets(ids: DataFrame, docs: DataFrame, nodes: DataFrame, forest: Forest, id_col: str, text_col: str) -> DataFrame:
+    """(node, shingles) of the wanted nodes: the sorted keys of each of their sets, as bytes."""
+    ids = forest.gathered(ids.distinct().join(nodes.select("node", "set_key"), "node"))
+    width = forest.width
     texts = docs.select(F.col(id_col).cast("long").alias("node"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    wanted = texts.join(F.broadcast(ids) if few else ids, "node")
+    wanted = texts.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "node")
 
-    def make_sets():
+    def make():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             sets = [shingle_set(t, width).tobytes() for t in batch.column("text").to_pylist()]
             right = pa.array([hashlib.blake2b(s, digest_size=16).digest() == k for s, k in zip(sets, batch.column("set_key").to_pylist(), strict=True)])
@@ -198,25 +211,61 @@ def confirmed(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, forest: Fores
 
         return step
 
-    sets = written(map_batches(wanted, make_sets, "node long, shingles binary").dropDuplicates(["node"]).coalesce(forest.parts))
+    return written(map_batches(wanted, make, "node long, shingles binary").dropDuplicates(["node", "shingles"]).coalesce(forest.parts))
+
+
+def bytes_of(sets: DataFrame) -> int:
+    return sets.agg(F.sum(F.octet_length("shingles") + 16)).first()[0] or 0
+
+
+def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    common = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * common >= percent * (len(x) + len(y) - common)
+
+
+def confirmed(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, forest: Forest, id_col: str, text_col: str) -> DataFrame:
+    """Those pairs whose full shingle sets are similar enough."""
+    sets = full_sets(pairs.select(F.explode(F.array("a", "b")).alias("node")), docs, nodes, forest, id_col, text_col)
     heads = sets.join(pairs.select(F.col("b").alias("node")).distinct(), "node")
-    bytes_of = lambda of: of.agg(F.sum(F.octet_length("shingles") + 16)).first()[0] or 0
     side = lambda x, of: of.select(F.col("node").alias(x), F.col("shingles").alias(f"s_{x}"))
     both = pairs.join(if_small(side("b", heads), bytes_of(heads)), "b").join(if_small(side("a", sets), bytes_of(sets)), "a")
+    percent = forest.percent
 
     def make():
-        def similar(a: bytes, b: bytes) -> bool:
-            x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
-            common = len(np.intersect1d(x, y, assume_unique=True))
-            return 100 * common >= percent * (len(x) + len(y) - common)
-
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            keep = pa.array([similar(a, b) for a, b in zip(batch.column("s_a").to_pylist(), batch.column("s_b").to_pylist(), strict=True)])
+            sets = ([np.frombuffer(s, np.uint64) for s in batch.column(c).to_pylist()] for c in ("s_a", "s_b"))
+            keep = pa.array([similar(x, y, percent) for x, y in zip(*sets, strict=True)], pa.bool_())
             return pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], ["a", "b"])
 
         return step
 
-    return map_batches(both.select("a", "b", "s_a", "s_b"), make, "a long, b long")
+    return map_batches(both.select("a", "b", "s_a", "s_b"), make, "a long, b long").distinct()
+
+
+def linked(groups: DataFrame, docs: DataFrame, nodes: DataFrame, forest: Forest, id_col: str, text_col: str) -> DataFrame:
+    """(a, b): links that full sets confirm within groups; of a text's links with texts of a region's
+    main component, which are in one component already, one a group."""
+    sets = full_sets(groups.select("node"), docs, nodes, forest, id_col, text_col)
+    held = groups.join(if_small(sets, bytes_of(sets)), "node").select("group", "node", "main", "others", "shingles")
+    percent = forest.percent
+
+    def links(table: pa.Table) -> pa.Table:
+        rows = list(zip(*(table.column(c).to_pylist() for c in ("node", "main", "others", "shingles")), strict=True))
+        own: dict[int, list[np.ndarray]] = {}
+        for node, _, others, shingles in rows:
+            if others is None:
+                own.setdefault(node, []).append(np.frombuffer(shingles, np.uint64))
+        found, done = [], set()
+        for node, main, others, shingles in rows:
+            mine = np.frombuffer(shingles, np.uint64)
+            for a in others or ():
+                if not (main and a in done) and any(similar(mine, x, percent) for x in own[a]):
+                    found.append((a, node))
+                    if main:
+                        done.add(a)
+        return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
+
+    return held.groupBy("group").applyInArrow(links, "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -238,27 +287,22 @@ def components(edges: DataFrame) -> DataFrame:
         mark = seen
 
 
-def apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Those pairs that the labels leave in different components."""
-    side = lambda x: labels.select(F.col("node").alias(x), F.col("component").alias(f"c_{x}"))
-    both = pairs.distinct().join(side("a"), "a", "left").join(side("b"), "b", "left")
-    return both.filter(F.coalesce("c_a", "a") != F.coalesce("c_b", "b")).select("a", "b")
-
-
 REGION = ["tree", "key"]
 
 
-def open_pairs(regions: DataFrame, labels: DataFrame, nodes: DataFrame, forest: Forest, closest: int = 0) -> DataFrame:
-    """(a, b): all pairs of texts that share a region, lie in different components, and whose
-    sizes and signatures leave the threshold within reach; each once, from the first tree they share.
-    With ``closest``, only so many of each text in a unit, those whose signatures agree most.
+def open_groups(regions: DataFrame, labels: DataFrame, nodes: DataFrame, forest: Forest, closest: int = 0) -> DataFrame:
+    """(group, node, main, others): all pairs of texts that share a region, lie in different components,
+    and whose sizes and signatures leave the threshold within reach; each once, in the first tree they
+    share. A group names some texts outside the main component (others null) and the texts that are
+    to be compared with them. With ``closest``, only so many of each text in a unit, those whose
+    signatures agree most.
 
     A region is dealt in blocks and every pair of its blocks is a row of its own, so a region of
     any size is spread over tasks."""
     placed = regions.select(*REGION, "node", "many").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     mixed = placed.groupBy(*REGION).agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.mode("component").alias("main")).filter("lo < hi")
     blocks = F.ceil(F.col("many") / BLOCK).cast("int")
-    rows = placed.filter("many > 2").join(mixed.select(*REGION, "main"), REGION)
+    rows = placed.filter("many > 2").join(checkpointed(mixed.select(*REGION, "main")), REGION)
     rows = rows.join(nodes.select("node", "n", "signed"), "node").withColumn("i", F.pmod(F.xxhash64("node"), blocks).cast("int"))
     dealt = rows.withColumn("j", F.explode(F.sequence(F.lit(0), blocks - 1)))
     units = dealt.groupBy(*REGION, F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j")).agg(
@@ -267,11 +311,11 @@ def open_pairs(regions: DataFrame, labels: DataFrame, nodes: DataFrame, forest:
     least, percent, tree_at, depth = forest.least_agree, forest.percent, forest.tree_at, forest.depth
     orders = [np.arange(at, at + depth) % HASHES for at in tree_at]
 
-    def unit_pairs(tree: int, i: int, j: int, main: int, texts: list[dict]) -> list[np.ndarray]:
+    def unit_rows(tree: int, key: int, i: int, j: int, main: int, texts: list[dict]) -> list[tuple]:
         node, component, n, block = (np.array([t[c] for t in texts], np.int64) for c in ("node", "component", "n", "block"))
         signed = np.frombuffer(b"".join(t["signed"] for t in texts), np.uint32).reshape(-1, HASHES)
         stray = component != main
-        out = []
+        pairs = []
         for k in np.flatnonzero(stray):
             # Of two strays the one with the lower number looks, a stray looks at all of the main component.
             at = np.flatnonzero((component != component[k]) & (~stray | (node > node[k])) & (np.minimum(n, n[k]) * 100 >= np.maximum(n, n[k]) * percent))
@@ -285,21 +329,42 @@ def open_pairs(regions: DataFrame, labels: DataFrame, nodes: DataFrame, forest:
             for order in orders[:tree]:
                 near &= ~same[:, order].all(axis=1)
             if near.any():
-                most = np.argsort(-agree[near], kind="stable")[: closest or None]
-                out.append(np.stack([np.full(len(most), node[k]), node[at[near]][most]]))
+                most = at[near][np.argsort(-agree[near], kind="stable")[: closest or None]]
+                pairs.append(np.stack([np.full(len(most), k), most]))
+        if not pairs:
+            return []
+        a, b = np.concatenate(pairs, axis=1)
+        part = [(np.cumsum(n[some]) // SETS_AT_ONCE)[at] for some, at in (np.unique(x, return_inverse=True) for x in (a, b))]
+        order = np.lexsort((a, b, part[1], part[0]))
+        a, b, left, right = a[order], b[order], part[0][order], part[1][order]
+        out = []
+        new = lambda *keys: np.flatnonzero(np.any([np.diff(k, prepend=-1) != 0 for k in keys], axis=0)).tolist()
+        groups = new(left, right)
+        for lo, hi in zip(groups, [*groups[1:], len(a)], strict=True):
+            name = f"{tree}.{key}.{i}.{j}.{left[lo]}.{right[lo]}"
+            out += [(name, x, False, None) for x in np.unique(node[a[lo:hi]]).tolist()]
+            firsts = [lo + x for x in new(b[lo:hi])]
+            out += [(name, int(node[b[x]]), not bool(stray[b[x]]), node[a[x:y]].tolist()) for x, y in zip(firsts, [*firsts[1:], hi], strict=True)]
         return out
 
     def make():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            out = [np.empty((2, 0), np.int64)]
-            for row in range(batch.num_rows):
-                out += unit_pairs(*(batch.column(c)[row].as_py() for c in ("tree", "i", "j", "main", "texts")))
-            a, b = np.concatenate(out, axis=1)
-            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+            out = [row for k in range(batch.num_rows) for row in unit_rows(*(batch.column(c)[k].as_py() for c in ("tree", "key", "i", "j", "main", "texts")))]
+            columns = list(zip(*out, strict=True)) or [()] * 4
+            kinds = [pa.string(), pa.int64(), pa.bool_(), pa.list_(pa.int64())]
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["group", "node", "main", "others"])
 
         return step
 
-    return map_batches(units, make, "a long, b long")
+    return map_batches(units, make, "group string, node long, main boolean, others array<bigint>")
+
+
+def one_id(known: DataFrame, classes: DataFrame) -> DataFrame:
+    """(a, b): classes that hold texts of one document."""
+    of = known.select("doc_id", "set_key").distinct().groupBy("doc_id").agg(F.count("*").alias("many"), F.min("set_key").alias("one")).filter("many > 1")
+    ids = known.join(checkpointed(of), "doc_id").select("set_key", "one").distinct()
+    first = classes.select(F.col("set_key").alias("one"), F.col("node").alias("b"))
+    return ids.join(classes, "set_key").join(first, "one").filter("node != b").select(F.col("node").alias("a"), "b")
 
 
 def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 85, trees: int = 16, depth: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -309,34 +374,20 @@ def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 85, trees: i
     forest.parts = max(6, signed.count() // ROWS_A_TASK)
     known = signed.filter("set_key is not null and doc_id is not null")
     classes = known.groupBy("set_key").agg(F.min("doc_id").alias("node"))
-    nodes = checkpointed(known.join(classes, "set_key").filter("doc_id = node").dropDuplicates(["node"]).select("node", "n", "set_key", "signed", "keys"))
+    nodes = checkpointed(known.join(classes, "set_key").filter("doc_id = node").dropDuplicates(["node", "set_key"]).select("node", "n", "set_key", "signed", "keys"))
 
     rows = nodes.select("node", F.posexplode("keys").alias("tree", "key"))
-    found = checkpointed(shared(rows))
-    central = found.groupBy("node").agg(F.sum("many").alias("central"))
-    first = checkpointed(found.join(central, "node"))
-    verify = lambda pairs: confirmed(forest.gathered(candidates(pairs, nodes, forest)), docs, nodes, forest, id_col, text_col)
-    links = forest.gathered(verify(star_pairs(first)))
+    regions = checkpointed(shared(rows))
+    near = forest.gathered(candidates(neighbours(regions, nodes, forest), nodes, forest))
+    links = forest.gathered(confirmed(near, docs, nodes, forest, id_col, text_col).union(one_id(known, classes)))
     labels = components(links)
 
-    # Stars of the sub-regions of crowded regions, each level only for what is still crowded.
-    level, stars = first.filter(F.col("many") > CROWD).join(nodes.select("node", "signed"), "node"), []
-    for deep in DEEPER:
-        if level.limit(1).count() == 0:
-            break
-        here = forest.gathered(shared(deeper_keys(level, forest, deep)))
-        stars.append(star_pairs(here))
-        level = here.filter(F.col("many") > CROWD)
-    if stars:
-        links = forest.gathered(links.union(verify(apart(reduce(DataFrame.union, stars), labels))))
-        labels = components(links)
-
     # Each text's closest open pairs join most; then all pairs that are still open are confirmed.
     for closest in (CLOSEST, 0):
-        pairs = forest.gathered(open_pairs(first, labels, nodes, forest, closest))
-        if pairs.limit(1).count() == 0:
+        groups = forest.gathered(open_groups(regions, labels, nodes, forest, closest))
+        if groups.limit(1).count() == 0:
             break
-        links = forest.gathered(links.union(confirmed(pairs, docs, nodes, forest, id_col, text_col)))
+        links = forest.gathered(links.union(linked(groups, docs, nodes, forest, id_col, text_col)))
         labels = components(links)
 
     of_class = classes.join(labels, "node", "left").select("set_key", F.coalesce("component", "node").alias("class_component"))

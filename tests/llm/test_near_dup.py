@@ -33,7 +33,7 @@ def test_odd_rows(spark):
 
 
 def test_crowd_chain_and_strays(spark):
-    """A copy group far larger than CROWD, a chain of small edits, and texts just outside."""
+    """A large copy group, a chain of small edits, and texts just outside."""
     rng = random.Random(6)
     base = [f"w{rng.randrange(900)}" for _ in range(120)]
     rows = []
@@ -53,7 +53,7 @@ def test_crowd_chain_and_strays(spark):
 
 
 def test_families_of_several_components(spark):
-    """Texts of one template share regions, but only pairs of them are near: no central text links them."""
+    """Texts of one template share regions, but only pairs of them are near."""
     rng = random.Random(8)
     rows = []
     for family in range(4):
@@ -70,9 +70,20 @@ def test_families_of_several_components(spark):
     assert result(near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))) == similar_groups(rows)
 
 
+def test_one_id_with_several_texts_and_joins_beyond_the_bounds(spark, monkeypatch):
+    """Every text of an id is compared, and their links meet in the id."""
+    monkeypatch.setattr(near_dup, "BROADCAST_IDS", 0)
+    monkeypatch.setattr(near_dup, "BROADCAST_BYTES", 0)
+    text = lambda name, own="": " ".join(f"{name}{k}" for k in range(80)) + own
+    rows = [(5, text("a")), (5, text("b")), (7, text("a", " x")), (8, text("b", " y")), (9, text("c")), (10, text("d")), (11, text("d")), (11, text("e")), (12, text("e", " z"))]
+    got = near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r["doc_id"], r["component_id"]) for r in got} == {(5, 5), (7, 5), (8, 5), (9, 9), (10, 10), (11, 10), (12, 10)}
+
+
 def test_blocks_of_open_pairs(spark, monkeypatch):
     """A crowded region dealt in several blocks gives the links of comparing all pairs."""
     monkeypatch.setattr(near_dup, "BLOCK", 16)
+    monkeypatch.setattr(near_dup, "SETS_AT_ONCE", 1000)
     test_families_of_several_components(spark)
 
 
