@@ -3,7 +3,7 @@ import re
 from sentencepiece import SentencePieceProcessor
 
 import corpus_pipeline
-from lithic.llm.common import TOKENIZERS
+from lithic.llm.common import vocabulary
 from lithic.llm.quality import BAD_CHUNK_SHARE, BANDS, CHUNK_BAND, CHUNK_BYTES
 from tests.llm.brute import similar_groups
 from tests.llm.fixtures import odd
@@ -42,7 +42,7 @@ def test_stages_against_plain_restatements(spark):
         return any(words[k : k + len(x)] == x for x in items for k, w in enumerate(words) if w == x[0])
 
     rows = {i: t for i, t in rows if not leaks(t)}
-    library = SentencePieceProcessor(model_file=f"{TOKENIZERS}/piece_bpe_32k.model")
+    library = SentencePieceProcessor(model_file=vocabulary("piece_bpe_32k.model"))
     got = corpus_pipeline.run(spark, SF).collect()
     assert {r["doc_id"]: r["text"] for r in got} == rows
     for r in got:
