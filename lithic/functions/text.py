@@ -15,11 +15,13 @@ from pyspark.sql import types as T
 
 TOKEN = r"[a-z0-9]+(?:[.\-/][a-z0-9]+)*"
 
-#: Words that never count as content when claims are held against passages.
+#: Words that never count as content when claims are screened against passages.
 STOP = (
     "the a an of to in for and or is are be as that this which with on by must should may not from at it its their under section any all such other than when where have "
-    "has been were was will can could would each both same these those there here into over more most less about after before during between within without upon shall may bank banks"
+    "has been were was will can could would each both same these those there here into over more most less about after before during between within without upon"
 ).split()
+#: Further words that do not count when claims are aligned with paragraphs.
+ALIGN_STOP = [*STOP, "shall", "bank", "banks"]
 
 #: What a line that carries no meaning of its own looks like.
 NOISE = r"(?i)^(?:FAQ\s*\d*|Footnotes?|Page\s+\d+|\d{1,4}|[·■•\-–—]|n/?a\.?|\(?[a-zA-Z]\)?|[ivxlc]{1,5}\.?)$"
@@ -38,7 +40,7 @@ def tokens(text: Column) -> Column:
 def content_tokens(text: Column) -> Column:
     """Tokens of three characters or more that are no stop words, with their multiplicity (A-GE8)."""
     found = F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0))
-    return F.filter(found, lambda t: (F.length(t) > 2) & ~t.isin(*STOP))
+    return F.filter(found, lambda t: (F.length(t) > 2) & ~t.isin(*ALIGN_STOP))
 
 
 def long_words(text: Column) -> Column:

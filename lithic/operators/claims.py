@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lithic.functions.text import content_tokens
+from lithic.functions.text import content_tokens, overlap
 
 FLOOR, MARGIN, WEAK, UNIT_CHARS = 0.65, 0.05, 0.45, 40
 
@@ -100,6 +100,14 @@ def labelled(claims: DataFrame, labels: DataFrame) -> DataFrame:
     return claims.join(known, ["qid", "label"], "left").withColumn("valid", F.col("label").rlike(r"^S\d+$") & F.coalesce("known_", F.lit(False))).drop("known_")
 
 
+def screened(claims: DataFrame, passages: DataFrame) -> DataFrame:
+    """``claims`` (with ``valid``) with the overlap with their label's passage, and ``weak``: valid ones
+    under WEAK (A-GE6, A-GE7). A claim without a passage overlaps with nothing."""
+    met = claims.join(passages.select("qid", "label", "passage"), ["qid", "label"], "left")
+    share = overlap(F.col("text"), F.coalesce("passage", F.lit("")))
+    return met.withColumn("overlap", share).withColumn("weak", F.col("valid") & (F.col("overlap") < WEAK)).drop("passage")
+
+
 def truncated(prompt_tokens: Column, context_tokens: int) -> Column:
     """Whether a prompt came so near the window that its end may be lost (A-GE16)."""
     return prompt_tokens >= context_tokens - 64

@@ -123,15 +123,19 @@ def named_in(lowered: Column, tables: dict[str, Sequence[str]]) -> Column:
     return F.array_compact(F.array(*each))
 
 
-def plan_modes(questions: DataFrame, key: str, text: str, documents: DataFrame | None = None) -> DataFrame:
+def plan_modes(questions: DataFrame, key: str, text: str, documents: DataFrame | None = None, weak_version: bool = False) -> DataFrame:
     """How each question is searched: the first of seven rules that holds (A-PL6).
 
-    ``documents``: (key, n_documents) where a registry's documents are named.
+    ``documents``: (key, n_documents) where a registry's documents are named. With ``weak_version``
+    words of change together with a word for a document also ask for versions.
     """
     q = F.lower(F.col(text))
+    version = F.size(terms_in(q, STRONG_VERSION)) > 0
+    if weak_version:
+        version = version | ((F.size(terms_in(q, WEAK_VERSION)) > 0) & (F.size(terms_in(q, DOC_WORDS)) > 0))
     read = questions.select(
         key, named_in(q, JURISDICTIONS).alias("jurisdictions"), named_in(q, SUBJECTS).alias("subjects"),
-        ((F.size(terms_in(q, STRONG_VERSION)) > 0) | ((F.size(terms_in(q, WEAK_VERSION)) > 0) & (F.size(terms_in(q, DOC_WORDS)) > 0))).alias("version"),
+        version.alias("version"),
         (F.size(terms_in(q, RECENCY)) > 0).alias("recency"))
     if documents is not None:
         read = read.join(documents, key, "left")

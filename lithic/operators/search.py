@@ -38,9 +38,9 @@ def corpus_stats(corpus: DataFrame, text: str) -> DataFrame:
     return corpus.agg(F.count("*").alias("N"), F.avg(F.size(tokens(F.coalesce(F.col(text), F.lit(""))))).alias("avgdl"))
 
 
-def term_weights(posted: DataFrame, stats: DataFrame) -> DataFrame:
+def term_weights(posted: DataFrame, stats: DataFrame, counted: bool = False) -> DataFrame:
     """(token, idf): negative weights become a quarter of the mean weight of the vocabulary."""
-    df = posted.groupBy("token").agg(F.count("*").alias("df"))
+    df = posted if counted else posted.groupBy("token").agg(F.count("*").alias("df"))
     raw = df.join(F.broadcast(stats)).select("token", (F.ln(F.col("N") - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5)).alias("raw"))
     mean = raw.agg((F.avg("raw") * FLOOR).alias("floor"))
     return raw.join(F.broadcast(mean)).select("token", F.when(F.col("raw") < 0, F.col("floor")).otherwise(F.col("raw")).alias("idf"))
@@ -63,6 +63,80 @@ def bm25(questions: DataFrame, corpus: DataFrame, qkey: str, qtext: str, key: st
     return parts.join(asked, "token").groupBy(qkey, key).agg(F.round(F.sum(F.col("part") * F.col("times")), DIGITS).alias("score"))
 
 
+def lexical_arms(questions: DataFrame, corpus: DataFrame, qkey: str, qtext: str, key: str, text: str, k: int = 20) -> DataFrame:
+    """(qkey, key, score, cover): a superset of the best k documents of each question by BM25 and by
+    the weighted share of its different tokens, with both scores (A-LX3).
+
+    Questions are taken in blocks of QUERY_BLOCK, whose terms and weights every task holds; a task
+    scores its documents as arrays and hands on its best k a question and arm, so that neither
+    postings nor pairs of questions and documents are shuffled. Counts a token come from one
+    aggregate before.
+    """
+    t = tokens(F.coalesce(F.col(text), F.lit("")))
+    n_docs, mean = corpus_stats(corpus, text).first()
+    df = corpus.select(F.explode(F.array_distinct(t)).alias("token")).groupBy("token").agg(F.count("*").alias("df"))
+    weights = term_weights(df, questions.sparkSession.createDataFrame([(n_docs, mean)], "N long, avgdl double"), counted=True)
+    asked = questions.select(qkey, F.explode(tokens(F.coalesce(F.col(qtext), F.lit("")))).alias("token")).groupBy(qkey, "token").agg(F.count("*").alias("times"))
+    ordered = questions.select(qkey).orderBy(qkey)
+    out = None
+    for begin in range(0, questions.count(), QUERY_BLOCK):
+        block = ordered.offset(begin).limit(QUERY_BLOCK)
+        rows = asked.join(F.broadcast(block), qkey).join(weights, "token").select(qkey, "token", "times", "idf").orderBy(qkey, "token").collect()  # the terms of a block
+        if rows:
+            found = _lexical_block(rows, corpus.select(key, t.alias("t")), float(mean), k, qkey, key)
+            out = found if out is None else out.union(found)
+    return out if out is not None else questions.sparkSession.createDataFrame([], f"{qkey} long, {key} long, score double, cover double")
+
+
+def _lexical_block(rows: list, documents: DataFrame, mean: float, k: int, qkey: str, key: str) -> DataFrame:
+    ids, q = np.unique(np.array([r[qkey] for r in rows], np.int64), return_inverse=True)
+    terms = sorted({r["token"] for r in rows})
+    number = {x: i for i, x in enumerate(terms)}
+    term = np.array([number[r["token"]] for r in rows])
+    idf = np.array([r["idf"] for r in rows])
+    whole = np.bincount(q, weights=idf, minlength=len(ids))
+    order = np.argsort(term, kind="stable")
+    asks, plain = q[order], idf[order] / np.where(whole == 0, 1.0, whole)[q[order]]
+    weighed = (idf * np.array([r["times"] for r in rows]))[order]
+    first = np.searchsorted(term[order], np.arange(len(terms) + 1))
+    step = max(1, 2_000_000 // len(ids))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import pyarrow.compute as pc
+
+        vocabulary = pa.array(terms)
+        best = [np.full((len(ids), k, 2), -np.inf) for _ in range(2)]  # by either score: that score, the other one
+        held = [np.zeros((len(ids), k), np.int64) for _ in range(2)]
+        for batch in (whole_.slice(i, step) for whole_ in batches for i in range(0, whole_.num_rows, step)):
+            lists, keys = batch.column("t"), batch.column(key).to_numpy()
+            length = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+            found = pc.fill_null(pc.index_in(lists.flatten(), value_set=vocabulary), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+            doc = np.repeat(np.arange(len(keys)), length)
+            cells, tf = np.unique(doc[found >= 0] * len(terms) + found[found >= 0], return_counts=True)
+            d, at = cells // len(terms), cells % len(terms)
+            value = tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[d] / mean))
+            n = first[at + 1] - first[at]
+            row = np.repeat(np.arange(len(cells)), n)
+            ask = np.repeat(first[at], n) + np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+            pair = d[row] * len(ids) + asks[ask]
+            scores = [np.round(np.bincount(pair, weights=w, minlength=len(keys) * len(ids)).reshape(len(keys), len(ids)).T, DIGITS) for w in (value[row] * weighed[ask], plain[ask])]
+            for arm in (0, 1):
+                mine, other = scores[arm], scores[1 - arm]
+                both = np.concatenate([best[arm][:, :, 0], np.where(mine > 0, mine, -np.inf)], axis=1)
+                others = np.concatenate([best[arm][:, :, 1], other], axis=1)
+                names = np.concatenate([held[arm], np.broadcast_to(keys, mine.shape)], axis=1)
+                top_ = np.lexsort((names, -both), axis=1)[:, :k]
+                best[arm][:, :, 0], best[arm][:, :, 1], held[arm] = (np.take_along_axis(x, top_, 1) for x in (both, others, names))
+        out: dict[tuple[int, int], tuple[float, float]] = {}
+        for arm in (0, 1):
+            for i, j in zip(*np.nonzero(best[arm][:, :, 0] > -np.inf), strict=True):
+                pair_ = best[arm][i, j, :2].tolist()
+                out[(int(ids[i]), int(held[arm][i, j]))] = tuple(pair_ if arm == 0 else pair_[::-1])
+        yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[0] for x in out.values()], pa.float64()), pa.array([x[1] for x in out.values()], pa.float64())], [qkey, key, "score", "cover"])
+
+    return documents.mapInArrow(run, f"{qkey} long, {key} long, score double, cover double")
+
+
 def lexical_top(scores: DataFrame, qkey: str, key: str, k: int = 20) -> DataFrame:
     """The best k of each question, none with a score of 0 or less (A-LX4)."""
     return top(scores.filter("score > 0"), [qkey], [F.desc("score"), F.col(key)], k)
@@ -115,14 +189,16 @@ def _score_block(rows: list, corpus: DataFrame, k: int, same: Sequence[str], qke
     return corpus.select(key, *same, vector).mapInArrow(run, f"{qkey} long, {key} long, score double")
 
 
-def fuse(arms: dict[str, DataFrame], part: Sequence[str], key: str, k: int = 60, keep: int = 20) -> DataFrame:
-    """Reciprocal rank fusion of ranked arms; ties go by the arms' ranks in their order, then key (A-FU1, 2)."""
+def fuse(arms: dict[str, DataFrame], part: Sequence[str], key: str, k: int = 60, keep: int = 20, carry: Sequence[str] = ()) -> DataFrame:
+    """Reciprocal rank fusion of ranked arms; ties go by the arms' ranks in their order, then key (A-FU1, 2).
+
+    Columns named in ``carry`` are the same in all arms and pass through."""
     rows = None
     for name, arm in arms.items():
-        one = arm.select(*part, key, *(F.col("rank").alias(f"{n}_rank") if n == name else F.lit(None).cast("int").alias(f"{n}_rank") for n in arms))
+        one = arm.select(*part, key, *carry, *(F.col("rank").alias(f"{n}_rank") if n == name else F.lit(None).cast("int").alias(f"{n}_rank") for n in arms))
         rows = one if rows is None else rows.unionByName(one)
     ranks = [f"{n}_rank" for n in arms]
-    joined = rows.groupBy(*part, key).agg(*(F.min(r).alias(r) for r in ranks))
+    joined = rows.groupBy(*part, key).agg(*(F.min(r).alias(r) for r in ranks), *(F.first(c).alias(c) for c in carry))
     total = sum((F.coalesce(1.0 / (k + F.col(r) + 1), F.lit(0.0)) for r in ranks), F.lit(0.0))
     scored = joined.withColumn("rrf", F.round(total, 9))
     return top(scored, part, [F.desc("rrf"), *(F.asc_nulls_last(r) for r in ranks), F.col(key)], keep)

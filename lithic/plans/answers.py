@@ -11,11 +11,11 @@ from pyspark.sql import functions as F
 
 from lithic.functions import text as tx
 from lithic.operators import claims as cl
-from lithic.plans.base import query, table
+from lithic.plans.base import numbered, query, table
 
-STOP_LIST = ", ".join(f"'{w}'" for w in dict.fromkeys(tx.STOP))
+STOP_LIST, ALIGN_LIST = (", ".join(f"'{w}'" for w in dict.fromkeys(words)) for words in (tx.STOP, tx.ALIGN_STOP))
 LONG_SQL = f"list_filter(regexp_extract_all(lower({{t}}), '[a-z]{{{{{{{{4,}}}}}}}}'), lambda w: w NOT IN ({STOP_LIST}))"
-CONTENT_SQL = f"list_filter(regexp_extract_all(lower({{t}}), '[a-z0-9]+'), lambda w: length(w) > 2 AND w NOT IN ({STOP_LIST}))"
+CONTENT_SQL = f"list_filter(regexp_extract_all(lower({{t}}), '[a-z0-9]+'), lambda w: length(w) > 2 AND w NOT IN ({ALIGN_LIST}))"
 
 CLAIMS_SQL = """docs AS (SELECT doc_id, text, (doc_id % (SELECT count(*) FROM benchmark))::BIGINT AS item FROM documents),
 items AS (SELECT row_number() OVER (ORDER BY item_id) - 1 AS item, text AS passage FROM benchmark),
@@ -31,15 +31,27 @@ def claims(spark: SparkSession, sf: str) -> DataFrame:
 
 def passages(spark: SparkSession, sf: str) -> DataFrame:
     """(label, passage): benchmark items by their number; as many rows as the benchmark has."""
-    items = [r[0] for r in table(spark, sf, "benchmark").select("item_id").orderBy("item_id").collect()]
-    at = spark.createDataFrame(list(enumerate(items)), "label long, item_id long")
-    return table(spark, sf, "benchmark").join(F.broadcast(at), "item_id").select("label", F.col("text").alias("passage"))
+    return numbered(table(spark, sf, "benchmark"), "item_id", "label").select("label", F.col("text").alias("passage"))
 
 
-@query("overlap_screen", f"WITH {CLAIMS_SQL}, o AS (SELECT qid, claim_no, {LONG_SQL.format(t='text').replace('{{', '{').replace('}}', '}')} AS w, lower(passage) AS p FROM claims JOIN items USING (item)) SELECT qid, claim_no, round(CASE WHEN len(w) = 0 THEN 0 ELSE len(list_filter(w, lambda x: contains(p, x))) / len(w) END, 6)::DOUBLE AS overlap, CASE WHEN len(w) = 0 THEN 0 ELSE len(list_filter(w, lambda x: contains(p, x))) / len(w) END < 0.45 AS weak FROM o")
+OVERLAP_SQL = f"""{CLAIMS_SQL}, o AS (SELECT qid, claim_no, claim_no % 5 <> 4 AS valid, {LONG_SQL.format(t='text').replace('{{', '{').replace('}}', '}')} AS w, lower(passage) AS p FROM claims JOIN items USING (item)),
+screen AS (SELECT qid, claim_no, valid, CASE WHEN NOT valid OR len(w) = 0 THEN 0 ELSE len(list_filter(w, lambda x: contains(p, x))) / len(w) END AS o FROM o)"""
+
+
+def screened(spark: SparkSession, sf: str) -> DataFrame:
+    """Claims with their label, valid but for every fifth, held against the passage they cite."""
+    n = table(spark, sf, "benchmark").count()
+    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("qid"), (F.col("doc_id") % n).alias("item"))
+    name = F.concat(F.lit("S"), (F.col("item") + 1).cast("string"))
+    held = docs.join(passages(spark, sf).withColumnRenamed("label", "item"), "item").select("qid", name.alias("label"), "passage")
+    said = claims(spark, sf).withColumn("label", F.when(F.col("claim_no") % 5 == 4, "X1").otherwise(F.concat(F.lit("S"), (F.col("label") + 1).cast("string"))))
+    return cl.screened(cl.labelled(said, held), held)
+
+
+@query("overlap_screen", f"WITH {OVERLAP_SQL} SELECT qid, claim_no, valid, round(o, 6)::DOUBLE AS overlap, valid AND o < 0.45 AS weak FROM screen")
 def overlap_screen(spark, sf):
-    met = claims(spark, sf).join(passages(spark, sf), "label").withColumn("o", tx.overlap(F.col("text"), F.col("passage")))
-    return met.select("qid", "claim_no", F.round("o", 6).alias("overlap"), (F.col("o") < cl.WEAK).alias("weak"))
+    """Overlap of every claim with its passage; only valid claims are weak (A-GE5, 6, 7)."""
+    return screened(spark, sf).select("qid", "claim_no", "valid", F.round("overlap", 6).alias("overlap"), "weak")
 
 
 UNITS_SQL = f"""{CLAIMS_SQL},

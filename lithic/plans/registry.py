@@ -54,7 +54,9 @@ def registry_violations(spark, sf):
 
 @query("version_families", f"WITH {REG_SQL} SELECT framework, volume, count(*) AS n, count(*) FILTER (status IN ('in_force', 'partially_revised')) AS n_current FROM reg GROUP BY ALL")
 def version_families(spark, sf):
-    return registry(spark, sf).groupBy("framework", "volume").agg(F.count("*").alias("n"), F.count_if(F.col("status").isin(*pl.CURRENT)).alias("n_current"))
+    reg = registry(spark, sf)
+    families = pl.version_families(reg).select("framework", "volume", F.explode("doc_ids").alias("doc_id"))
+    return families.join(reg.select("doc_id", "status"), "doc_id").groupBy("framework", "volume").agg(F.count("*").alias("n"), F.count_if(F.col("status").isin(*pl.CURRENT)).alias("n_current"))
 
 
 @query("corpus_grid", f"WITH {REG_SQL} SELECT subject, jurisdiction, array_to_string(list_sort(list(short_name)), '|') AS names FROM reg GROUP BY ALL")
@@ -64,8 +66,7 @@ def corpus_grid(spark, sf):
 
 @query("status_view", f"WITH {REG_SQL} SELECT subject, jurisdiction, CASE WHEN status = 'superseded' THEN 'historic' ELSE 'current' END AS bucket, count(*) AS n FROM reg GROUP BY ALL")
 def status_view(spark, sf):
-    bucket = F.when(F.col("status").isin(*pl.CURRENT), "current").when(F.col("status").isin(*pl.HISTORIC), "historic")
-    return registry(spark, sf).withColumn("bucket", bucket).filter("bucket is not null").groupBy("subject", "jurisdiction", "bucket").agg(F.count("*").alias("n"))
+    return pl.status_view(registry(spark, sf)).select("subject", "jurisdiction", "bucket", F.size("names").cast("long").alias("n"))
 
 
 @query("empty_cells", f"WITH {REG_SQL} SELECT s.subject, j.jurisdiction FROM (SELECT DISTINCT subject FROM reg) s, (SELECT DISTINCT jurisdiction FROM reg) j EXCEPT SELECT subject, jurisdiction FROM reg")
@@ -82,8 +83,20 @@ def alias_index(spark, sf):
 
 
 ASK = {"0": "What is the latest capital guidance in the US and the UK?", "1": "How has the guidance changed?", "2": "model validation", "3": "What does the PRA say about stress testing?", "4": "thus must because", "5": "Compare the rules", "6": "Was the former standard replaced in Basel?", "7": "expected credit losses"}
-#: Fixed results of the eight questions by the seven rules.
-MODES = {"0": ("jurisdiction_fanout", False), "1": ("version_fanout", False), "2": ("jurisdiction_fanout", True), "3": ("single_jurisdiction", False), "4": ("fallback", True), "5": ("version_fanout", False), "6": ("version_fanout", False), "7": ("jurisdiction_fanout", True)}
+#: Fixed readings of the eight questions: jurisdictions, strong and weak version words, a subject.
+READ_SQL = "(VALUES (0, 2, false, false, true), (1, 0, false, true, false), (2, 0, false, false, true), (3, 1, false, false, true), (4, 0, false, false, false), (5, 0, false, true, false), (6, 1, true, true, false), (7, 0, false, false, true)) r(w, nj, strong, weak, subject)"
+
+
+def modes_sql(weak: str) -> str:
+    return f"""q AS (SELECT conv_id, turn, nj, strong OR (weak AND {weak}) AS v, subject, CASE WHEN conv_id % 16 >= 8 THEN (conv_id // 16) % 3 ELSE 0 END AS named FROM conversations JOIN {READ_SQL} ON conv_id % 8 = w),
+modes AS (SELECT conv_id, turn, nj, CASE WHEN named >= 2 THEN 'document_fanout' WHEN nj >= 2 THEN 'jurisdiction_fanout' WHEN v THEN 'version_fanout' WHEN named = 1 THEN 'single_document' WHEN nj = 1 THEN 'single_jurisdiction' WHEN subject THEN 'jurisdiction_fanout' ELSE 'fallback' END AS mode, named < 1 AND nj = 0 AND NOT v AS inferred FROM q)"""
+
+
+def planned(spark: SparkSession, sf: str, weak: bool = False) -> DataFrame:
+    """The plans of all questions; in half of them 0 to 2 documents are named."""
+    rows = asked(spark, sf).withColumn("key", F.struct("conv_id", "turn"))
+    named = F.when(F.col("conv_id") % 16 >= 8, F.floor(F.col("conv_id") / 16) % 3).otherwise(0).cast("int")
+    return pl.plan_modes(rows, "key", "q", rows.select("key", named.alias("n_documents")), weak)
 
 
 def asked(spark: SparkSession, sf: str) -> DataFrame:
@@ -92,40 +105,121 @@ def asked(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "conversations").select("conv_id", "turn", at.alias("q"))
 
 
-@query("plan_modes", "SELECT conv_id, turn, CASE conv_id % 8 " + " ".join(f"WHEN {k} THEN '{m}'" for k, (m, _) in MODES.items()) + " END AS mode, conv_id % 8 IN (2, 4, 7) AS inferred FROM conversations")
+@query("plan_modes", f"WITH {modes_sql('false')} SELECT conv_id, turn, mode, inferred FROM modes")
 def plan_modes(spark, sf):
-    rows = asked(spark, sf).withColumn("key", F.struct("conv_id", "turn"))
-    return pl.plan_modes(rows, "key", "q").select("key.conv_id", "key.turn", "mode", "inferred")
+    return planned(spark, sf).select("key.conv_id", "key.turn", "mode", "inferred")
+
+
+@query("plan_modes_weak", f"WITH {modes_sql('true')} SELECT conv_id, turn, mode, inferred FROM modes")
+def plan_modes_weak(spark, sf):
+    """Plans where words of change count too (A-PL6 with its switch on)."""
+    return planned(spark, sf, weak=True).select("key.conv_id", "key.turn", "mode", "inferred")
 
 
-@query("plan_mode_tally", "SELECT CASE conv_id % 8 " + " ".join(f"WHEN {k} THEN '{m}'" for k, (m, _) in MODES.items()) + " END AS mode, count(*) AS n FROM conversations GROUP BY 1")
+@query("plan_mode_tally", f"WITH {modes_sql('false')} SELECT mode, count(*) AS n FROM modes GROUP BY 1")
 def plan_mode_tally(spark, sf):
     """Plans by mode."""
-    rows = asked(spark, sf).withColumn("key", F.struct("conv_id", "turn"))
-    return pl.plan_modes(rows, "key", "q").groupBy("mode").agg(F.count("*").alias("n"))
+    return planned(spark, sf).groupBy("mode").agg(F.count("*").alias("n"))
 
 
-@query("plan_facets", "SELECT conv_id, turn, count(*) AS n_facets FROM (SELECT conv_id, turn, unnest(range(CASE conv_id % 8 WHEN 0 THEN 2 WHEN 1 THEN 2 WHEN 3 THEN 1 WHEN 5 THEN 2 WHEN 6 THEN 2 ELSE 3 END)) FROM conversations) GROUP BY ALL")
+@query("plan_facets", f"WITH {modes_sql('false')} SELECT conv_id, turn, CASE WHEN mode = 'version_fanout' THEN 2 WHEN inferred THEN 3 ELSE nj END AS n_facets FROM modes WHERE mode = 'version_fanout' OR inferred OR nj > 0".replace("CASE WHEN mode", "(CASE WHEN mode").replace("ELSE nj END AS", "ELSE nj END)::BIGINT AS"))
 def plan_facets(spark, sf):
-    rows = asked(spark, sf).withColumn("key", F.struct("conv_id", "turn"))
-    return pl.facets(pl.plan_modes(rows, "key", "q"), "key").groupBy("key").agg(F.count("*").alias("n_facets")).select("key.conv_id", "key.turn", "n_facets")
+    """Searches that each plan makes, of those that no named document settles."""
+    return pl.facets(planned(spark, sf), "key").groupBy("key").agg(F.count("*").alias("n_facets")).select("key.conv_id", "key.turn", "n_facets")
 
 
 GATE_SQL = f"""WITH {REG_SQL}, g AS (SELECT subject, jurisdiction, count(*) AS n FROM reg GROUP BY ALL),
 x AS (SELECT c_custkey AS id, c_custkey % 11 <> 0 AS banking, CASE c_custkey % 6 WHEN 0 THEN 'capital_adequacy' WHEN 1 THEN 'data_quality' WHEN 2 THEN 'GLOBAL' WHEN 3 THEN 'other' ELSE 'model_risk_management' END AS subject,
-  CASE c_custkey % 5 WHEN 0 THEN 'US' WHEN 1 THEN 'UK' WHEN 2 THEN 'MARS' END AS jurisdiction, CASE c_custkey % 13 WHEN 0 THEN 'EXACT' WHEN 1 THEN 'ABSENT' WHEN 2 THEN 'FAMILY' ELSE 'NONE' END AS name_kind, c_custkey % 2 = 0 AS document_seen FROM customer),
+  CASE c_custkey % 5 WHEN 0 THEN 'US' WHEN 1 THEN 'UK' WHEN 2 THEN 'MARS' END AS jurisdiction, CASE c_custkey % 13 WHEN 0 THEN 'EXACT' WHEN 1 THEN 'ABSENT' WHEN 2 THEN 'FAMILY' ELSE 'NONE' END AS name_kind, c_custkey % 2 = 0 AS document_seen,
+  CASE c_custkey % 7 WHEN 0 THEN ['US', 'UK'] WHEN 1 THEN ['US', 'MARS'] WHEN 2 THEN ['UK', 'GLOBAL', 'US'] ELSE [] END AS js, c_custkey % 3 <> 0 AS subject_read FROM customer),
 y AS (SELECT *, CASE WHEN subject IN (SELECT subject FROM g) THEN subject END AS su, CASE WHEN jurisdiction IN (SELECT jurisdiction FROM g) THEN jurisdiction
-  WHEN subject NOT IN (SELECT subject FROM g) AND subject IN (SELECT jurisdiction FROM g) THEN subject END AS ju FROM x)
+  WHEN subject NOT IN (SELECT subject FROM g) AND subject IN (SELECT jurisdiction FROM g) THEN subject END AS ju FROM x),
+a AS (SELECT id, count(*) AS n_asked, count(n) AS n_covered, count(*) FILTER (n > 1) AS n_several FROM (SELECT id, su, unnest(js) AS j FROM y) z LEFT JOIN g ON g.subject = su AND g.jurisdiction = j WHERE j IN (SELECT jurisdiction FROM g) GROUP BY 1)
 SELECT id, CASE WHEN NOT banking THEN 'OUT_OF_DOMAIN' WHEN name_kind = 'EXACT' THEN 'ANSWERABLE' WHEN name_kind = 'ABSENT' AND document_seen THEN 'OUT_OF_CORPUS'
+  WHEN n_asked > 1 AND NOT (su IS NOT NULL AND subject_read) THEN 'INCOMPLETE' WHEN n_asked > 1 AND n_covered > 0 AND n_several = 0 THEN 'ANSWERABLE' WHEN n_asked > 1 THEN 'INCOMPLETE'
   WHEN su IS NULL THEN 'INCOMPLETE' WHEN ju IS NULL AND (SELECT count(*) FROM g WHERE g.subject = su) = 1 THEN 'ANSWERABLE' WHEN ju IS NULL THEN 'INCOMPLETE'
-  WHEN EXISTS (SELECT 1 FROM g WHERE g.subject = su AND g.jurisdiction = ju) THEN 'ANSWERABLE' ELSE 'INCOMPLETE' END AS decision FROM y"""
+  WHEN EXISTS (SELECT 1 FROM g WHERE g.subject = su AND g.jurisdiction = ju) THEN 'ANSWERABLE' ELSE 'INCOMPLETE' END AS decision FROM y LEFT JOIN a USING (id)"""
 
 
-@query("gate_decide", GATE_SQL)
-def gate_decide(spark, sf):
+def extractions(spark: SparkSession, sf: str) -> DataFrame:
     k = F.col("c_custkey")
-    x = table(spark, sf, "customer").select(
+    several = F.when(k % 7 == 0, F.array(F.lit("US"), F.lit("UK"))).when(k % 7 == 1, F.array(F.lit("US"), F.lit("MARS"))).when(k % 7 == 2, F.array(F.lit("UK"), F.lit("GLOBAL"), F.lit("US"))).otherwise(F.array().cast("array<string>"))
+    return table(spark, sf, "customer").select(
         k.alias("id"), (k % 11 != 0).alias("banking"), F.when(k % 6 == 0, "capital_adequacy").when(k % 6 == 1, "data_quality").when(k % 6 == 2, "GLOBAL").when(k % 6 == 3, "other").otherwise("model_risk_management").alias("subject"),
-        F.when(k % 5 == 0, "US").when(k % 5 == 1, "UK").when(k % 5 == 2, "MARS").alias("jurisdiction"), F.array().cast("array<string>").alias("jurisdictions"), F.lit(True).alias("subject_read"),
+        F.when(k % 5 == 0, "US").when(k % 5 == 1, "UK").when(k % 5 == 2, "MARS").alias("jurisdiction"), several.alias("jurisdictions"), (k % 3 != 0).alias("subject_read"),
         F.when(k % 13 == 0, "EXACT").when(k % 13 == 1, "ABSENT").when(k % 13 == 2, "FAMILY").otherwise("NONE").alias("name_kind"), (k % 2 == 0).alias("document_seen"))
-    return pl.decide(x, pl.corpus_grid(registry(spark, sf))).select("id", "decision")
+
+
+@query("gate_decide", GATE_SQL)
+def gate_decide(spark, sf):
+    return pl.decide(extractions(spark, sf), pl.corpus_grid(registry(spark, sf))).select("id", "decision")
+
+
+@query("gate_stops", f"SELECT decision, count(*) AS n FROM ({GATE_SQL}) WHERE decision <> 'ANSWERABLE' GROUP BY 1")
+def gate_stops(spark, sf):
+    """Questions that the gate would have stopped, by decision."""
+    return gate_decide(spark, sf).filter("decision <> 'ANSWERABLE'").groupBy("decision").agg(F.count("*").alias("n"))
+
+
+@query("indexable_rows", f"WITH {REG_SQL} SELECT doc_id, short_name FROM reg WHERE jurisdiction = 'UK' AND status = 'in_force'")
+def indexable_rows(spark, sf):
+    """Verified rows that agree with all criteria."""
+    return pl.select(registry(spark, sf), jurisdiction="UK", status="in_force").select("doc_id", "short_name")
+
+
+@query("requirement_rows", f"WITH {REG_SQL} SELECT doc_id FROM reg WHERE doc_type IN ('standard', 'rule')")
+def requirement_rows(spark, sf):
+    """Rows that bind (R14, A-PL7)."""
+    return pl.requirement_sources(registry(spark, sf)).select("doc_id")
+
+
+@query("row_by_id", f"WITH {REG_SQL} SELECT doc_id, status FROM reg WHERE doc_id = '3'")
+def row_by_id(spark, sf):
+    """One row by its id."""
+    return pl.by_id(registry(spark, sf), "3").select("doc_id", "status")
+
+
+GAPS = [("Regulation Zeta", "REG Z"), ("Order 17", "O17"), ("the of", "and")]
+
+
+def known_gaps(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(GAPS, "instrument string, short_name string")
+
+
+@query("gaps_mentioned", "SELECT item_id, instrument FROM benchmark, (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in GAPS) + ") g(instrument, short_name) WHERE contains(lower(text), lower(instrument)) OR contains(lower(text), lower(short_name))")
+def gaps_mentioned(spark, sf):
+    """Questions that name a known gap."""
+    return pl.gaps_mentioned(table(spark, sf, "benchmark"), known_gaps(spark), "item_id", "text")
+
+
+@query("gap_for", "SELECT 'Order 17' AS instrument, 'O17' AS short_name")
+def gap_for(spark, sf):
+    """A known gap whatever the case and the white space around it."""
+    return pl.gap_for(known_gaps(spark), "  oRDER 17 ")
+
+
+@query("citation_text", f"WITH {REG_SQL} SELECT doc_id, short_name || CASE WHEN contains(short_name, volume::VARCHAR) THEN '' ELSE ', ' || volume END || ', p. ' || doc_id || ' (' || status || '; eff. 2024-01-02)' AS citation FROM reg")
+def citation_text(spark, sf):
+    """References in full (R18, A-GE2)."""
+    where = F.concat(F.lit("p. "), F.col("doc_id"))
+    return registry(spark, sf).select("doc_id", pl.citation(F.col("short_name"), F.col("volume").cast("string"), where, F.lit("a heading"), F.col("status"), F.lit("2024-01-02").cast("date")).alias("citation"))
+
+
+@query("payload_rows", f"WITH {REG_SQL} SELECT doc_id, short_name, status, doc_type, subject, jurisdiction, authority_rank, NULL::VARCHAR AS effective_from FROM reg")
+def payload_rows(spark, sf):
+    """What chunks carry of their document."""
+    return pl.payload(registry(spark, sf)).select("doc_id", "short_name", "status", "doc_type", "subject", "jurisdiction", "authority_rank", "effective_from")
+
+
+@query("facets_answerable", f"WITH {REG_SQL}, {modes_sql('false')}, f AS (SELECT conv_id, turn, unnest(['US', 'UK', 'GLOBAL']) AS jurisdiction FROM modes WHERE inferred AND mode <> 'version_fanout') SELECT conv_id, turn, count(*) AS n FROM f WHERE jurisdiction IN (SELECT jurisdiction FROM reg) GROUP BY ALL")
+def facets_answerable(spark, sf):
+    """Searches of inferred plans that some row can match (A-PL8)."""
+    wide = pl.facets(planned(spark, sf).filter("inferred and mode <> 'version_fanout'"), "key")
+    return pl.answerable(wide, registry(spark, sf)).groupBy("key").agg(F.count("*").alias("n")).select("key.conv_id", "key.turn", "n")
+
+
+@query("current_row", f"WITH {REG_SQL} SELECT doc_id FROM reg WHERE doc_id = (SELECT min(doc_id::BIGINT)::VARCHAR FROM reg WHERE authority_rank = 0 AND status IN ('in_force', 'partially_revised'))")
+def current_row(spark, sf):
+    """The first row in force of reference data, of which several may be."""
+    rows = registry(spark, sf).filter("authority_rank = 0").withColumn("row_ord", F.col("doc_id").cast("long")).withColumn("all_", F.lit("x"))
+    return pl.current(rows, all_="x").select("doc_id")

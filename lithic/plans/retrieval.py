@@ -67,28 +67,23 @@ def scores(spark: SparkSession, sf: str) -> DataFrame:
     return se.bm25(questions(spark, sf), table(spark, sf, "documents"), "item_id", "text", "doc_id", "text")
 
 
-def coverage(spark: SparkSession, sf: str) -> DataFrame:
-    """Weighted share of a question's different tokens that a document holds: stands for a dense arm."""
-    docs = table(spark, sf, "documents")
-    posted = se.postings(docs, "doc_id", "text")
-    weights = se.term_weights(posted, se.corpus_stats(docs, "text"))
-    asked = questions(spark, sf).select("item_id", F.explode(F.array_distinct(tx.tokens(F.coalesce("text", F.lit(""))))).alias("token")).join(weights, "token")
-    whole = asked.groupBy("item_id").agg(F.sum("idf").alias("whole"))
-    met = posted.select("doc_id", "token").join(asked, "token").groupBy("item_id", "doc_id").agg(F.sum("idf").alias("part"))
-    return met.join(F.broadcast(whole), "item_id").select("item_id", "doc_id", F.round(F.col("part") / F.col("whole"), 6).alias("score"))
+def arms(spark: SparkSession, sf: str) -> DataFrame:
+    """The best documents of every question by BM25 and by coverage, which stands for a dense arm."""
+    return se.lexical_arms(questions(spark, sf), table(spark, sf, "documents"), "item_id", "text", "doc_id", "text")
 
 
 def fused(spark: SparkSession, sf: str) -> DataFrame:
-    arms = {"cover": se.lexical_top(coverage(spark, sf), "item_id", "doc_id"), "lexical": se.lexical_top(scores(spark, sf), "item_id", "doc_id")}
-    return se.fuse(arms, ["item_id"], "doc_id")
+    both = arms(spark, sf).withColumn("bm25", F.col("score"))
+    ranked = {"cover": se.lexical_top(both.withColumn("score", F.col("cover")), "item_id", "doc_id"), "lexical": se.lexical_top(both, "item_id", "doc_id")}
+    return se.fuse(ranked, ["item_id"], "doc_id", carry=["bm25"])
 
 
 def hits(spark: SparkSession, sf: str) -> DataFrame:
     """Fused hits with facet, parent and a stand-in pair score; every second question's plan is inferred."""
     docs = table(spark, sf, "documents").select("doc_id", "lang", "source")
-    found = fused(spark, sf).join(docs, "doc_id").join(scores(spark, sf), ["item_id", "doc_id"], "left")
+    found = fused(spark, sf).join(docs, "doc_id")
     order = F.when(F.col("lang") == "de", 0).when(F.col("lang") == "en", 1).when(F.col("lang") == "es", 2).otherwise(3)
-    return found.select(F.col("item_id").alias("qid"), F.col("lang").alias("facet"), order.alias("facet_ord"), F.col("doc_id").alias("chunk_id"), F.col("source").alias("parent_id"), F.col("rank").alias("pos"), "rrf", F.round(F.coalesce("score", F.lit(0.0)) * 0.125 - 3, 9).alias("rerank"), (F.col("item_id") % 2 == 0).alias("inferred"))
+    return found.select(F.col("item_id").alias("qid"), F.col("lang").alias("facet"), order.alias("facet_ord"), F.col("doc_id").alias("chunk_id"), F.col("source").alias("parent_id"), F.col("rank").alias("pos"), "rrf", F.round(F.coalesce("bm25", F.lit(0.0)) * 0.125 - 3, 9).alias("rerank"), (F.col("item_id") % 2 == 0).alias("inferred"))
 
 
 def kept(spark: SparkSession, sf: str) -> DataFrame:
@@ -110,12 +105,12 @@ def tok_stats(spark, sf):
 
 @query("bm25_top20", f"WITH {BM25_SQL} SELECT item_id, doc_id, score, rank::INT AS rank FROM lex")
 def bm25_top20(spark, sf):
-    return se.lexical_top(scores(spark, sf), "item_id", "doc_id")
+    return se.lexical_top(arms(spark, sf).drop("cover"), "item_id", "doc_id")
 
 
 @query("coverage_top20", f"WITH {BM25_SQL} SELECT item_id, doc_id, score, rank::INT AS rank FROM cover")
 def coverage_top20(spark, sf):
-    return se.lexical_top(coverage(spark, sf), "item_id", "doc_id")
+    return se.lexical_top(arms(spark, sf).select("item_id", "doc_id", F.col("cover").alias("score")), "item_id", "doc_id")
 
 
 DENSE_SQL = "SELECT q.vec_id AS qid, c.vec_id AS id, round(list_dot_product(q.embedding::DOUBLE[], c.embedding::DOUBLE[]), 6) AS score, (row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_dot_product(q.embedding::DOUBLE[], c.embedding::DOUBLE[]), 6) DESC, c.vec_id) - 1)::INT AS rank FROM embeddings q JOIN embeddings c ON {on} WHERE q.vec_id % 20 = 0 QUALIFY rank < 20"
@@ -140,7 +135,7 @@ def dense_topk_filtered(spark, sf):
 
 @query("rrf_fuse", f"WITH {BM25_SQL} SELECT item_id, doc_id, cover_rank::INT AS cover_rank, lexical_rank::INT AS lexical_rank, rrf, rank::INT AS rank FROM fused")
 def rrf_fuse(spark, sf):
-    return fused(spark, sf)
+    return fused(spark, sf).drop("bm25")
 
 
 @query("fusion_arms", f"WITH {BM25_SQL} SELECT CASE WHEN cover_rank IS NULL THEN 'lexical' WHEN lexical_rank IS NULL THEN 'cover' ELSE 'both' END AS arms, count(*) AS n, round(avg(rank), 6) AS mean_rank FROM fused GROUP BY 1")
