@@ -142,3 +142,18 @@ def point_id(name: Column, namespace: str) -> Column:
     digest = F.sha1(F.concat(F.unhex(F.lit(namespace.replace("-", ""))), F.encode(name, "UTF-8")))
     variant = F.lower(F.hex(F.conv(F.substring(digest, 17, 1), 16, 10).cast("int").bitwiseAND(3).bitwiseOR(8)))
     return F.concat_ws("-", F.substring(digest, 1, 8), F.substring(digest, 9, 4), F.concat(F.lit("5"), F.substring(digest, 14, 3)), F.concat(variant, F.substring(digest, 18, 3)), F.substring(digest, 21, 12))
+
+
+def word_tokens(text: Column) -> Column:
+    """Runs of letters, digits and underscores, lower-cased: the prototypes' tokenizer (A-LX5)."""
+    return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
+
+
+def one_line(text: Column) -> Column:
+    """All white space runs to one space, ends stripped: the prototypes' normaliser (A-CL18)."""
+    return strip(F.regexp_replace(text, r"\s+", " "))
+
+
+def indexed_text(locator_: Column, text: Column) -> Column:
+    """What the lexical index reads of a chunk: its locator and its text (A-LX2)."""
+    return F.concat_ws(" ", F.nullif(locator_, F.lit("")), text)

@@ -6,6 +6,8 @@ facet's fused order, which the quota keeps. Every cut is a filter or a window ov
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -130,3 +132,9 @@ def windowed(passages: DataFrame, parent: str, child: str, cap: str) -> DataFram
 
     cut.__annotations__ = {"parents": pd.Series, "children": pd.Series, "caps": pd.Series, "return": pd.DataFrame}
     return passages.withColumn("w_", F.pandas_udf(cut, "delivered string, trimmed boolean")(parent, child, cap)).select("*", "w_.*").drop("w_")
+
+
+def swapped_parents(hits: DataFrame, part: Sequence[str], rank: str, parent: str) -> DataFrame:
+    """Each parent once, at the place of its first child: the prototypes' swap (A-AS20)."""
+    first = hits.groupBy(*part, parent).agg(F.min(rank).alias(rank))
+    return first.withColumn("place", F.row_number().over(Window.partitionBy(*part).orderBy(rank, parent)) - 1)

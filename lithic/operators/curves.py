@@ -1,8 +1,8 @@
 """Scores against outcomes: confusion, ROC, precision-recall, KS, PSI, VIF, chi-square (B-M*).
 
 A scored table has a 0/1 label and a score. Curves are built from one row a distinct score, so the
-sort that accumulates them is over distinct scores, dealt by range: partial sums a range, their
-running totals, then running sums within each range. Ties share one point, as they must.
+sort that accumulates them is over distinct scores, dealt by ranges that a sketch of the scores
+makes of like size: partial sums a range, their running totals, then running sums within each. Ties share one point, as they must.
 """
 
 from __future__ import annotations
@@ -13,6 +13,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lithic.operators.features import exact_quantiles
+
 #: Ranges of scores that are accumulated side by side.
 RANGES = 64
 
@@ -27,9 +29,8 @@ def confusion(df: DataFrame, y: str, predicted: Column) -> DataFrame:
 def cumulative(df: DataFrame, y: str, score: str) -> DataFrame:
     """One row a distinct score, from the highest: positives and negatives at or above it."""
     points = df.groupBy(F.col(score).cast("double").alias("score")).agg(F.sum(F.col(y).cast("long")).alias("pos"), F.sum(1 - F.col(y).cast("long")).alias("neg"))
-    ends = points.agg(F.min("score").alias("lo_"), F.max("score").alias("hi_"))
-    width = F.col("hi_") - F.col("lo_")
-    placed = points.join(F.broadcast(ends)).withColumn("range_", F.when(width > 0, F.least(F.lit(RANGES - 1), F.floor((F.col("hi_") - F.col("score")) / width * RANGES))).otherwise(0).cast("int")).drop("lo_", "hi_")
+    ends = points.agg(F.percentile_approx("score", F.array(*(F.lit(i / RANGES) for i in range(1, RANGES))), 2_000).alias("ends_"))
+    placed = points.join(F.broadcast(ends)).withColumn("range_", F.size(F.filter("ends_", lambda e: e > F.col("score")))).drop("ends_")
     whole = placed.groupBy("range_").agg(F.sum("pos").alias("p"), F.sum("neg").alias("n"))
     before = Window.orderBy("range_").rowsBetween(Window.unboundedPreceding, -1)  # RANGES rows
     offsets = whole.select("range_", F.coalesce(F.sum("p").over(before), F.lit(0)).alias("p0"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("n0"))
@@ -69,11 +70,31 @@ def ks(df: DataFrame, y: str, score: str) -> DataFrame:
     return with_totals(cumulative(df, y, score)).agg(F.max(gap).alias("ks"))
 
 
+def ks_p_value(statistic: float, n: int, m: int) -> float:
+    """The two-sided p-value of a two-sample statistic, by the asymptotic series (B-M29)."""
+    import math
+
+    if not n or not m:
+        return 1.0
+    root = math.sqrt(n * m / (n + m))
+    x = (root + 0.12 + 0.11 / root) * statistic
+    if x < 0.2:
+        return 1.0
+    return min(1.0, max(0.0, 2 * sum((-1) ** (k - 1) * math.exp(-2 * k * k * x * x) for k in range(1, 101))))
+
+
+def ks_test(df: DataFrame, y: str, score: str) -> DataFrame:
+    """One row: statistic, sizes and p-value of the scores of either class (B-M29)."""
+    gap = F.abs(F.try_divide("tp", "P") - F.try_divide("fp", "N"))
+    row = with_totals(cumulative(df, y, score)).agg(F.max(gap).alias("ks"), F.max("P").alias("n_pos"), F.max("N").alias("n_neg")).first()
+    p = None if row["ks"] is None else ks_p_value(row["ks"], row["n_pos"], row["n_neg"])
+    return df.sparkSession.createDataFrame([(row["ks"], row["n_pos"], row["n_neg"], p)], "ks double, n_pos long, n_neg long, p_value double")
+
+
 def psi(expected: DataFrame, actual: DataFrame, col: str, bins: int = 10, floor: float = 1e-6) -> DataFrame:
     """Population stability by quantile bins of the expected values, [lo, hi) with open ends (B-M30)."""
-    edges = expected.agg(F.percentile(col, F.array(*(F.lit(i / bins) for i in range(1, bins)))).alias("e")).first()[0]
-    if edges is None:
-        edges = []
+    row = exact_quantiles(expected, col, {f"e{i}": i / bins for i in range(1, bins)}).first()
+    edges = [e for e in row if e is not None] if row else []
 
     def binned(df: DataFrame, name: str) -> DataFrame:
         at = sum(((F.col(col) >= F.lit(float(e))).cast("int") for e in edges), F.lit(0))

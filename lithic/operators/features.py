@@ -41,23 +41,58 @@ def class_means(df: DataFrame, y: str, cols: Sequence[str]) -> DataFrame:
     return wide.select("*", diff.alias("diff"), (F.try_divide(diff, F.col("mean_0")) * 100).alias("diff_pct"))
 
 
+#: Ranges of values that are accumulated side by side.
+RANGES = 64
+
+
+def exact_quantiles(df: DataFrame, value: str, named: dict[str, float], by: Sequence[str] = ()) -> DataFrame:
+    """Interpolated quantiles of each group, a column each; NULLs and NaN are left out.
+
+    Values are counted once a distinct value, dealt into ranges whose ends come from a sketch of
+    bounded size, and accumulated within each range after the counts of the ranges before, so no
+    task holds a column's values; the sketch moves the ranges and never the result.
+    """
+    by = list(by)
+    held = df.select(*by, F.col(value).cast("double").alias("v_")).filter("v_ is not null and not isnan(v_)")
+    counts = held.groupBy(*by, "v_").agg(F.count("*").alias("n_"))
+    ends = counts.groupBy(*by).agg(F.percentile_approx("v_", F.array(*(F.lit(i / RANGES) for i in range(1, RANGES))), 2_000).alias("ends_"), F.sum("n_").alias("all_"))
+    keyed = _joined(counts, ends, by).withColumn("range_", F.size(F.filter("ends_", lambda e: e < F.col("v_"))))
+    sums = keyed.groupBy(*by, "range_").agg(F.sum("n_").alias("in_"))
+    before = Window.partitionBy(*by, F.lit(0)).orderBy("range_").rowsBetween(Window.unboundedPreceding, -1)  # RANGES rows a group
+    offsets = sums.select(*by, "range_", F.coalesce(F.sum("in_").over(before), F.lit(0)).alias("before_"))
+    within = Window.partitionBy(*by, "range_").orderBy("v_").rowsBetween(Window.unboundedPreceding, 0)
+    run = _joined(keyed.withColumn("upto_", F.sum("n_").over(within)), offsets, [*by, "range_"]).withColumn("upto_", F.col("upto_") + F.col("before_"))
+    rank = {n: (F.col("all_") - 1) * F.lit(float(q)) for n, q in named.items()}
+    found = run.groupBy(*by).agg(F.max("all_").alias("all_"), *(F.min(F.when(F.col("upto_") > F.floor(r) + k, F.col("v_"))).alias(f"{n}_{k}_") for n, r in rank.items() for k in (0, 1)))
+    low, high = (lambda n: F.col(f"{n}_0_")), (lambda n: F.coalesce(F.col(f"{n}_1_"), F.col(f"{n}_0_")))
+    return found.select(*by, *((low(n) + (high(n) - low(n)) * (r - F.floor(r))).alias(n) for n, r in rank.items()))
+
+
+def _joined(rows: DataFrame, small: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Rows with what was summed a group: NULL is a group of its own."""
+    if not by:
+        return rows.join(F.broadcast(small))
+    named = small.withColumnsRenamed({c: f"{c}_by_" for c in by})
+    on = [F.col(c).eqNullSafe(F.col(f"{c}_by_")) for c in by]
+    return rows.join(named, on).drop(*(f"{c}_by_" for c in by))
+
+
 def quantiles(df: DataFrame, col: str, **named: float) -> DataFrame:
-    return df.agg(*(F.percentile(col, q).alias(n) for n, q in named.items()))
+    return exact_quantiles(df, col, named)
 
 
 def under_quantile(df: DataFrame, col: str, q: float) -> DataFrame:
     """Rows up to a quantile of one of their columns (B-A6)."""
-    cap = df.agg(F.percentile(col, q).alias("cap_"))
+    cap = exact_quantiles(df, col, {"cap_": q})
     return df.join(F.broadcast(cap), F.col(col) <= F.col("cap_")).drop("cap_")
 
 
 def iqr_outliers(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Quartiles, fences and rows outside them for each column (B-A7)."""
-    wide = df.agg(*(F.percentile(c, F.array(F.lit(0.25), F.lit(0.75))).alias(c) for c in cols))
-    quart = wide.select(F.explode(F.array(*(F.struct(F.lit(c).alias("feature"), F.col(c)[0].alias("q1"), F.col(c)[1].alias("q3")) for c in cols))).alias("r")).select("r.*")
+    long = melt(df, cols)
+    quart = exact_quantiles(long, "value", {"q1": 0.25, "q3": 0.75}, ["feature"])
     iqr = F.col("q3") - F.col("q1")
     fences = quart.withColumns({"lo": F.col("q1") - 1.5 * iqr, "hi": F.col("q3") + 1.5 * iqr})
-    long = melt(df, cols)
     return long.join(F.broadcast(fences), "feature").groupBy("feature", "q1", "q3", "lo", "hi").agg(F.count_if((F.col("value") < F.col("lo")) | (F.col("value") > F.col("hi"))).alias("n_out"), F.count("value").alias("n"))
 
 
@@ -147,7 +182,9 @@ def levels_of(df: DataFrame, col: str, most: int = 1000) -> list[str]:
 def fitted(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """One row a column with what scalers and imputers learn (B-M2 to B-M5)."""
     long = melt(df, cols)
-    return long.groupBy("feature").agg(F.count("value").alias("n"), F.avg("value").alias("mean"), F.percentile("value", 0.5).alias("median"), F.stddev_pop("value").alias("std"), F.min("value").alias("low"), F.max("value").alias("high"), (F.percentile("value", 0.75) - F.percentile("value", 0.25)).alias("iqr"))
+    sums = long.groupBy("feature").agg(F.count("value").alias("n"), F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"), F.min("value").alias("low"), F.max("value").alias("high"))
+    middle = exact_quantiles(long, "value", {"q1_": 0.25, "median": 0.5, "q3_": 0.75}, ["feature"])
+    return sums.join(middle, "feature", "left").select("feature", "n", "mean", "median", "std", "low", "high", (F.col("q3_") - F.col("q1_")).alias("iqr"))
 
 
 def scaled(df: DataFrame, cols: Sequence[str], fit: DataFrame, how: str) -> DataFrame:
@@ -215,3 +252,18 @@ def joined_columns(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
 def unscaled(col: Column, mean: float, std: float) -> Column:
     """Back from standard scores, for display (B-M35)."""
     return col * std + mean
+
+
+def total(*cols: Column) -> Column:
+    """A derived sum, in which a missing part counts as 0 (B-P2)."""
+    return sum((F.coalesce(c, F.lit(0)) for c in cols), F.lit(0))
+
+
+def segment(col: Column, sentinel, absent: str, present: str) -> Column:
+    """Rows apart by a value that stands for "never" (B-P7)."""
+    return F.when(col == F.lit(sentinel), absent).otherwise(present)
+
+
+def converted(col: Column, factor: float, digits: int = 6) -> Column:
+    """A column in another unit (B-P17)."""
+    return F.round(col * factor, digits)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lithic.operators import evaluation as ev
+from lithic.operators.features import exact_quantiles
 from lithic.plans import answers, retrieval
 from lithic.plans.base import query, table
 
@@ -30,24 +32,32 @@ def judged(spark: SparkSession, sf: str) -> DataFrame:
 JUDGED = f"WITH {BM}, j AS (SELECT item_id, doc_id, score, rank, quality AS relevant FROM lex JOIN labels USING (doc_id))"
 
 
-@query("precision_mrr", JUDGED + ", q AS (SELECT item_id, avg(relevant) AS p, max(relevant) AS hit, arg_min(relevant, rank) AS p1, min(CASE WHEN relevant = 1 THEN k END) AS first FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY rank) AS k FROM j) GROUP BY 1) SELECT item_id, round(p, 6) AS precision, hit::INT AS hit, p1::INT AS p_at_1, round(coalesce(1 / first, 0), 6)::DOUBLE AS rr FROM q")
+SCORED = ", q AS (SELECT item_id, avg(relevant) AS p, max(relevant) AS hit, arg_min(relevant, k) AS p1, min(CASE WHEN relevant = 1 THEN k END) AS first FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY {order}) AS k FROM j) GROUP BY 1) SELECT item_id, round(p, 6) AS precision, hit::INT AS hit, p1::INT AS p_at_1, round(coalesce(1 / first, 0), 6)::DOUBLE AS rr FROM q"
+
+
+def _scores(delivered: DataFrame, *order) -> DataFrame:
+    q = ev.question_scores(delivered, "item_id", "relevant", order)
+    return q.select("item_id", F.round("precision", 6).alias("precision"), F.col("hit").cast("int").alias("hit"), F.col("p_at_1").cast("int").alias("p_at_1"), F.round("rr", 6).alias("rr"))
+
+
+@query("precision_mrr", JUDGED + SCORED.format(order="rank"))
 def precision_mrr(spark, sf):
-    """Precision, hit, first place and reciprocal rank of each question."""
-    k = F.row_number().over(Window.partitionBy("item_id").orderBy("rank"))
-    q = judged(spark, sf).withColumn("k", k).groupBy("item_id").agg(F.avg("relevant").alias("p"), F.max("relevant").alias("hit"), F.min_by("relevant", "rank").alias("p_at_1"), F.min(F.when(F.col("relevant") == 1, F.col("k"))).alias("first"))
-    return q.select("item_id", F.round("p", 6).alias("precision"), F.col("hit").cast("int").alias("hit"), F.col("p_at_1").cast("int").alias("p_at_1"), F.round(F.coalesce(1.0 / F.col("first"), F.lit(0.0)), 6).alias("rr"))
+    """Precision, hit, first place and reciprocal rank of each question in the order of delivery."""
+    return _scores(judged(spark, sf), F.col("rank"))
+
+
+@query("precision_by_rerank", JUDGED + SCORED.format(order="c DESC, doc_id").replace("FROM j) GROUP", "FROM (SELECT j.*, coalesce(cov.score, 0) AS c FROM j LEFT JOIN cov USING (item_id, doc_id))) GROUP"))
+def precision_by_rerank(spark, sf):
+    """The same measures in the order of a second score."""
+    other = retrieval.arms(spark, sf).select("item_id", "doc_id", "cover")
+    return _scores(judged(spark, sf).join(other, ["item_id", "doc_id"], "left"), F.desc("cover"), F.col("doc_id"))
 
 
 @query("headline", JUDGED + ", q AS (SELECT item_id, avg(relevant) AS p, max(relevant) AS hit, min(CASE WHEN relevant = 1 THEN k END) AS first FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY rank) AS k FROM j) GROUP BY 1) SELECT round(avg(hit), 6) AS hit_rate, round(avg(p), 6) AS precision, round(avg(coalesce(1 / first, 0)), 6) AS mrr FROM q")
 def headline(spark, sf):
     """Means of the per-question measures."""
-    return precision_mrr_raw(spark, sf).agg(F.round(F.avg("hit"), 6).alias("hit_rate"), F.round(F.avg("p"), 6).alias("precision"), F.round(F.avg("rr"), 6).alias("mrr"))
-
-
-def precision_mrr_raw(spark: SparkSession, sf: str) -> DataFrame:
-    k = F.row_number().over(Window.partitionBy("item_id").orderBy("rank"))
-    q = judged(spark, sf).withColumn("k", k).groupBy("item_id").agg(F.avg("relevant").alias("p"), F.max("relevant").alias("hit"), F.min(F.when(F.col("relevant") == 1, F.col("k"))).alias("first"))
-    return q.withColumn("rr", F.coalesce(1.0 / F.col("first"), F.lit(0.0)))
+    q = ev.question_scores(judged(spark, sf), "item_id", "relevant", [F.col("rank")])
+    return q.agg(F.round(F.avg("hit"), 6).alias("hit_rate"), F.round(F.avg("precision"), 6).alias("precision"), F.round(F.avg("rr"), 6).alias("mrr"))
 
 
 @query("label_coverage", f"WITH {BM}, c AS (SELECT item_id, count(*) AS n, count(quality) AS labelled FROM lex LEFT JOIN labels USING (doc_id) GROUP BY 1) SELECT CASE WHEN labelled = n THEN 'full' WHEN labelled = 0 THEN 'none' ELSE 'partial' END AS coverage, count(*) AS n FROM c GROUP BY 1")
@@ -57,49 +67,90 @@ def label_coverage(spark, sf):
     return c.groupBy(F.when(F.col("labelled") == F.col("n"), "full").when(F.col("labelled") == 0, "none").otherwise("partial").alias("coverage")).agg(F.count("*").alias("n"))
 
 
-@query("separation_test", "WITH s AS (SELECT quality AS relevant, length(text) AS score FROM labels JOIN documents USING (doc_id)) SELECT relevant::INT AS relevant, round(quantile_cont(score::DOUBLE, 0.1), 4) AS p10, round(quantile_cont(score::DOUBLE, 0.5), 4) AS p50, round(quantile_cont(score::DOUBLE, 0.9), 4) AS p90, count(*) AS n FROM s GROUP BY 1")
+FEATURES_SQL = "s AS (SELECT quality = 1 AS rel, unnest([{'feature': 'n_chars', 'value': length(text)::DOUBLE}, {'feature': 'n_words', 'value': len(string_split(text, ' '))::DOUBLE}, {'feature': 'graded', 'value': CASE WHEN quality = 1 THEN doc_id % 50 ELSE 60 + doc_id % 40 END::DOUBLE}, {'feature': 'early', 'value': CASE WHEN quality = 0 THEN doc_id % 10 WHEN doc_id % 12 = 0 THEN 5 ELSE 40 + doc_id % 9 END::DOUBLE}], recursive := true) FROM labels JOIN documents USING (doc_id))"
+
+
+@query("separation_test", f"WITH {FEATURES_SQL}, p AS (SELECT feature, rel, quantile_cont(value, 0.1) AS lo, quantile_cont(value, 0.9) AS hi FROM s GROUP BY ALL), c AS (SELECT a.feature, a.lo AS rel_lo, a.hi AS rel_hi, b.lo AS other_lo, b.hi AS other_hi, CASE WHEN a.hi < b.lo THEN (a.hi + b.lo) / 2 WHEN b.hi < a.lo THEN (b.hi + a.lo) / 2 END AS cut FROM p a JOIN p b USING (feature) WHERE a.rel AND NOT b.rel), l AS (SELECT feature, avg(CASE WHEN cut IS NOT NULL THEN (CASE WHEN rel_hi < other_lo THEN value > cut ELSE value < cut END)::INT END) AS lost FROM s JOIN c USING (feature) WHERE rel GROUP BY 1) SELECT feature, round(rel_lo, 4) AS rel_lo, round(rel_hi, 4) AS rel_hi, round(other_lo, 4) AS other_lo, round(other_hi, 4) AS other_hi, round(cut, 4) AS cut, round(lost, 6) AS lost, CASE WHEN cut IS NULL THEN 'overlaps' WHEN lost <= 0.05 THEN 'candidate' ELSE 'loses too much' END AS verdict FROM c JOIN l USING (feature)")
 def separation_test(spark, sf):
-    """How a score is spread among relevant and other rows."""
-    s = table(spark, sf, "labels").join(table(spark, sf, "documents").select("doc_id", F.length("text").alias("score")), "doc_id")
-    return s.groupBy(F.col("quality").cast("int").alias("relevant")).agg(*(F.round(F.percentile("score", p / 100), 4).alias(f"p{p}") for p in (10, 50, 90)), F.count("*").alias("n"))
+    """Which features part relevant from other rows, where the cut lies and what it loses."""
+    rows = table(spark, sf, "labels").join(table(spark, sf, "documents"), "doc_id")
+    k = F.col("doc_id")
+    graded = F.when(F.col("quality") == 1, k % 50).otherwise(60 + k % 40)
+    early = F.when(F.col("quality") == 0, k % 10).when(k % 12 == 0, 5).otherwise(40 + k % 9)
+    s = rows.select((F.col("quality") == 1).alias("rel"), F.length("text").alias("n_chars"), F.size(F.split("text", " ")).alias("n_words"), graded.alias("graded"), early.alias("early"))
+    out = ev.separation(s, "rel", ["n_chars", "n_words", "graded", "early"])
+    return out.select("feature", *(F.round(c, 4).alias(c) for c in ("rel_lo", "rel_hi", "other_lo", "other_hi", "cut")), F.round("lost", 6).alias("lost"), "verdict")
+
 
+RATED_SQL = "r AS (SELECT doc_id, CASE WHEN doc_id % 9 = 0 THEN 'unsure' WHEN quality = 1 THEN 'relevant' ELSE 'irrelevant' END AS a, CASE WHEN doc_id % 7 = 0 THEN NULL WHEN toxic = 0 THEN 'relevant' ELSE 'irrelevant' END AS b FROM labels)"
 
-@query("agreement", "SELECT count(*) AS n, round(avg((quality = 1 - toxic)::INT), 6)::DOUBLE AS rate, avg((quality = 1 - toxic)::INT) >= 0.85 AS passes FROM labels")
+
+def rated(spark: SparkSession, sf: str) -> DataFrame:
+    """Two raters of the labelled documents, who sometimes do not settle."""
+    k = F.col("doc_id")
+    a = F.when(k % 9 == 0, "unsure").when(F.col("quality") == 1, "relevant").otherwise("irrelevant")
+    b = F.when(k % 7 == 0, None).when(F.col("toxic") == 0, "relevant").otherwise("irrelevant")
+    return table(spark, sf, "labels").select("doc_id", a.alias("a"), b.alias("b"))
+
+
+@query("agreement", f"WITH {RATED_SQL} SELECT count(*) AS n, count(*) FILTER (a = b) AS same, round(avg((a = b)::INT), 6)::DOUBLE AS rate, avg((a = b)::INT) >= 0.85 AS passes FROM r WHERE a <> 'unsure' AND b IS NOT NULL")
 def agreement(spark, sf):
-    """Share of rows on which two raters agree, against a bar of 0.85."""
-    same = F.avg((F.col("quality") == 1 - F.col("toxic")).cast("int"))
-    return table(spark, sf, "labels").agg(F.count("*").alias("n"), F.round(same, 6).alias("rate"), (same >= 0.85).alias("passes"))
+    """Rows that both raters settled and agree on, against a bar of 0.85."""
+    return ev.agreement(rated(spark, sf), "a", "b", ["relevant", "irrelevant"]).withColumn("rate", F.round("rate", 6))
 
 
-@query("confusion_counts", "SELECT quality::INT AS truth, (length(text) > 1500)::INT AS got, count(*) AS n FROM labels JOIN documents USING (doc_id) GROUP BY 1, 2")
+@query("confusion_counts", "SELECT quality::INT AS truth, (length(text) > 1500)::INT AS got, count(*) AS n, round(median(length(text) / 1000.0::DOUBLE), 6) AS median_seconds FROM labels JOIN documents USING (doc_id) GROUP BY 1, 2")
 def confusion_counts(spark, sf):
-    """Truth by decision."""
-    s = table(spark, sf, "labels").join(table(spark, sf, "documents").select("doc_id", (F.length("text") > 1500).cast("int").alias("got")), "doc_id")
-    return s.groupBy(F.col("quality").cast("int").alias("truth"), "got").agg(F.count("*").alias("n"))
+    """Truth by decision, with the median latency of each cell."""
+    s = table(spark, sf, "labels").join(table(spark, sf, "documents"), "doc_id").select(F.col("quality").cast("int").alias("truth"), (F.length("text") > 1500).cast("int").alias("got"), (F.length("text") / 1000.0).alias("s"))
+    return ev.intent_confusion(s, "truth", "got", "s").withColumn("median_seconds", F.round("median_seconds", 6))
+
+
+GRADED_SQL = """c AS (SELECT doc_id AS qid, lang AS mode, (generate_subscripts(l, 1) - 1)::INT AS claim_no FROM (SELECT doc_id, lang, string_split(text, chr(10)) AS l FROM documents)),
+cl AS (SELECT *, CASE (qid + claim_no) % 6 WHEN 0 THEN '' WHEN 1 THEN 'S9' WHEN 2 THEN 'X1' ELSE 'S' || (1 + claim_no % 3) END AS label, CASE claim_no % 4 WHEN 0 THEN '' WHEN 1 THEN '1.1' WHEN 2 THEN '2.1' ELSE '9.9' END AS locator FROM c),
+g AS (SELECT *, label <> '' AS cited, label IN ('S1', 'S2', 'S3') AS valid, CASE WHEN label = 'S1' THEN locator IN ('1.1', '1.2') WHEN label = 'S3' THEN locator = '2.1' END AS in_window FROM cl)"""
+
 
+def graded(spark: SparkSession, sf: str) -> DataFrame:
+    """Lines of documents as claims, each with a label and a locator, some of which are not there."""
+    docs = table(spark, sf, "documents")
+    lines = docs.select(F.col("doc_id").alias("qid"), F.col("lang").alias("mode"), F.posexplode(F.split("text", "\n")).alias("claim_no", "text"))
+    at, no = (F.col("qid") + F.col("claim_no")) % 6, F.col("claim_no")
+    label = F.when(at == 0, "").when(at == 1, "S9").when(at == 2, "X1").otherwise(F.concat(F.lit("S"), (1 + no % 3).cast("string")))
+    place = F.when(no % 4 == 0, "").when(no % 4 == 1, "1.1").when(no % 4 == 2, "2.1").otherwise("9.9")
+    units = F.array(F.array(F.lit("1.1"), F.lit("1.2")), F.array(F.lit(""), F.lit("")), F.array(F.lit("2.1")))
+    runs = docs.select(F.col("doc_id").alias("qid"), F.array(*map(F.lit, ("S1", "S2", "S3"))).alias("labels"), units.alias("unit_locators"))
+    return ev.graded_claims(lines.select("qid", "mode", "claim_no", label.alias("label"), place.alias("locator")), runs)
 
-@query("citation_layers", "SELECT event_type AS mode, count(*) AS n, count(*) FILTER (user_id % 7 <> 0) AS cited, count(*) FILTER (user_id % 7 <> 0 AND value > 0) AS valid, count(*) FILTER (value IS NULL) AS unmeasured FROM events GROUP BY 1")
+
+@query("citation_layers", f"WITH {GRADED_SQL} SELECT mode, count(*) AS n, count(*) FILTER (cited) AS cited, count(*) FILTER (valid) AS valid, count(in_window) AS checkable, count(*) FILTER (in_window) AS in_window, count(*) FILTER (valid AND in_window IS NULL) AS unmeasurable FROM g GROUP BY 1")
 def citation_layers(spark, sf):
-    """Claims cited and valid by plan mode; what cannot be measured is counted apart."""
-    cited = F.col("user_id") % 7 != 0
-    return table(spark, sf, "events").groupBy(F.col("event_type").alias("mode")).agg(F.count("*").alias("n"), F.count_if(cited).alias("cited"), F.count_if(cited & (F.col("value") > 0)).alias("valid"), F.count_if(F.col("value").isNull()).alias("unmeasured"))
+    """Claims that are cited, valid and in the window by plan mode; what cannot be checked is apart."""
+    return ev.citation_rates(graded(spark, sf), "mode")
+
+
+@query("graded_claims", f"WITH {GRADED_SQL} SELECT qid, claim_no, cited, valid, in_window FROM g")
+def graded_claims(spark, sf):
+    """The three layers of every claim."""
+    return graded(spark, sf).select("qid", "claim_no", "cited", "valid", "in_window")
 
 
-@query("verdict_pivot", "SELECT o_orderpriority AS mode, count(*) FILTER (o_orderstatus = 'F') AS f, count(*) FILTER (o_orderstatus = 'O') AS o, count(*) FILTER (o_orderstatus = 'P') AS p FROM orders GROUP BY 1")
+@query("verdict_pivot", f"WITH {RATED_SQL} SELECT lang AS mode, count(*) AS n, count(*) FILTER (a = 'relevant') AS relevant, count(*) FILTER (a = 'irrelevant') AS irrelevant, count(*) FILTER (a = 'unsure') AS unsure, count(*) FILTER (a <> 'relevant') AS wrong FROM r JOIN documents USING (doc_id) GROUP BY 1")
 def verdict_pivot(spark, sf):
-    """Grades by mode, a column a verdict."""
-    wide = table(spark, sf, "orders").groupBy(F.col("o_orderpriority").alias("mode")).pivot("o_orderstatus", ["F", "O", "P"]).count()
-    return wide.select("mode", *(F.coalesce(c, F.lit(0)).cast("long").alias(c.lower()) for c in ("F", "O", "P")))
+    """Hand grades by mode, a column a verdict."""
+    rows = rated(spark, sf).join(table(spark, sf, "documents").select("doc_id", F.col("lang").alias("mode")), "doc_id")
+    return ev.tally(rows, "mode", "a", ["relevant", "irrelevant", "unsure"])
+
+
+DRIFT_SQL = "a AS (SELECT doc_id, source, text FROM documents WHERE doc_id % 10 <> 0), b AS (SELECT doc_id, source, CASE WHEN doc_id % 7 = 0 THEN text || '!' ELSE text END AS text FROM documents WHERE doc_id % 11 <> 0), p AS (SELECT source FROM documents WHERE doc_id % 3 = 0 AND source NOT LIKE '%1')"
 
 
-@query("index_drift", "WITH a AS (SELECT doc_id, text FROM documents WHERE doc_id % 10 <> 0), b AS (SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN text || '!' ELSE text END AS text FROM documents WHERE doc_id % 11 <> 0) SELECT CASE WHEN a.doc_id IS NULL THEN 'extra' WHEN b.doc_id IS NULL THEN 'missing' WHEN a.text = b.text THEN 'same' ELSE 'changed' END AS state, count(*) AS n FROM a FULL JOIN b ON a.doc_id = b.doc_id GROUP BY 1")
+@query("index_drift", f"WITH {DRIFT_SQL} SELECT count(a.doc_id) AS n_made, count(b.doc_id) AS n_indexed, count(*) FILTER (b.doc_id IS NULL) AS missing, count(*) FILTER (a.doc_id IS NULL) AS extra, count(*) FILTER (a.text = b.text) AS same, (SELECT count(*) FROM b WHERE source NOT IN (SELECT source FROM p)) AS dangling, (SELECT count(*) FROM (SELECT source FROM p GROUP BY 1 HAVING count(*) > 1)) AS parents_twice FROM a FULL JOIN b ON a.doc_id = b.doc_id")
 def index_drift(spark, sf):
-    """A table against its index: rows missing, extra, changed and the same, by content hash."""
-    docs = table(spark, sf, "documents").select("doc_id", "text")
-    a = docs.filter("doc_id % 10 <> 0").select("doc_id", F.xxhash64("text").alias("a"))
-    b = docs.filter("doc_id % 11 <> 0").select("doc_id", F.xxhash64(F.when(F.col("doc_id") % 7 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text"))).alias("b"))
-    state = F.when(F.col("a").isNull(), "extra").when(F.col("b").isNull(), "missing").when(F.col("a") == F.col("b"), "same").otherwise("changed")
-    return a.join(b, "doc_id", "full").groupBy(state.alias("state")).agg(F.count("*").alias("n"))
+    """What the code makes against what the index holds, down to parents that are not there."""
+    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("parent_id"), "text")
+    held = docs.filter("chunk_id % 11 <> 0").withColumn("text", F.when(F.col("chunk_id") % 7 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text")))
+    return ev.index_drift(docs.filter("chunk_id % 10 <> 0"), held, docs.filter("chunk_id % 3 = 0 and parent_id not like '%1'"))
 
 
 @query("cut_loss_summary", f"WITH {BM}, d AS (SELECT qid, chunk_id, 'relevance_floor' AS cut FROM kept WHERE NOT above AND NOT rescued UNION ALL SELECT qid, chunk_id, 'facet_margin' FROM margin WHERE NOT in_margin) SELECT cut, count(*) AS n, count(*) FILTER (quality = 1) AS relevant FROM d LEFT JOIN labels ON doc_id = chunk_id GROUP BY 1")
@@ -134,25 +185,30 @@ def rerank_changes(spark, sf):
     return a.join(b, ["item_id", "doc_id"], "full").groupBy("item_id").agg(F.count_if(F.col("a") != F.col("b")).alias("moved"), F.count_if(F.col("b").isNull()).alias("dropped"), F.count_if(F.col("a").isNull()).alias("new"))
 
 
-@query("rate_medians", "WITH r AS (SELECT event_type, user_id % 5 AS size, value FROM events), m AS (SELECT event_type, median(value) AS m FROM r GROUP BY 1) SELECT event_type, round(m, 6) AS median_rate, (SELECT count(*) FROM r WHERE r.event_type = m.event_type AND value > 3 * m.m) AS n_cached FROM m")
+@query("rate_medians", "WITH m AS (SELECT event_type, median(value) AS m FROM events GROUP BY 1) SELECT event_type, round(m, 6) AS median_rate, (SELECT count(*) FROM events r WHERE r.event_type = m.event_type AND value > 3 * m.m) AS n_cached FROM m")
 def rate_medians(spark, sf):
     """Median rates and readings over three times the median, as cached runs look."""
     e = table(spark, sf, "events")
-    m = e.groupBy("event_type").agg(F.percentile("value", 0.5).alias("m"))
+    m = exact_quantiles(e, "value", {"m": 0.5}, ["event_type"])
     return e.join(F.broadcast(m), "event_type").groupBy("event_type", "m").agg(F.count_if(F.col("value") > 3 * F.col("m")).alias("n_cached")).select("event_type", F.round("m", 6).alias("median_rate"), "n_cached")
 
 
-@query("refusal_classes", "SELECT CASE WHEN regexp_matches(lower(text), '(cannot|unable to|do not) (answer|find|hold)') THEN 'refused' WHEN regexp_matches(text, '\\?\\s*$') THEN 'asks' ELSE 'answered' END AS kind, role, count(*) AS n FROM conversations GROUP BY 1, 2")
+REPLY_SQL = "t AS (SELECT conv_id, turn, CASE (conv_id + turn) % 6 WHEN 0 THEN '' WHEN 1 THEN 'NOT_IN_SOURCES: ' || text WHEN 2 THEN 'The excerpts do not cover this. ' || text WHEN 3 THEN 'There is insufficient detail [S2]. ' || text WHEN 4 THEN text || ' [S1]' ELSE text END AS t FROM conversations)"
+
+
+@query("refusal_classes", f"WITH {REPLY_SQL}, c AS (SELECT trim(t) AS t, regexp_matches(left(trim(t), 400), '{ev.DECLINES.replace(chr(39), chr(39) * 2)}', 'i') AS hit, regexp_matches(t, '\[S\d+\]') AS cited, contains(lower(left(trim(t), 200)), 'not_in_sources') AS marked FROM t) SELECT (t = '' OR marked OR hit) AS refused, (t = '' OR (NOT marked AND hit AND cited)) AS ambiguous, count(*) AS n FROM c GROUP BY 1, 2")
 def refusal_classes(spark, sf):
-    """Replies by wording."""
-    kind = F.when(F.lower("text").rlike("(cannot|unable to|do not) (answer|find|hold)"), "refused").when(F.col("text").rlike(r"\?\s*$"), "asks").otherwise("answered")
-    return table(spark, sf, "conversations").groupBy(kind.alias("kind"), "role").agg(F.count("*").alias("n"))
+    """Replies that refuse, and those that a human must judge."""
+    k, text = (F.col("conv_id") + F.col("turn")) % 6, F.col("text")
+    reply = F.when(k == 0, "").when(k == 1, F.concat(F.lit("NOT_IN_SOURCES: "), text)).when(k == 2, F.concat(F.lit("The excerpts do not cover this. "), text)).when(k == 3, F.concat(F.lit("There is insufficient detail [S2]. "), text)).when(k == 4, F.concat(text, F.lit(" [S1]"))).otherwise(text)
+    refused, ambiguous = ev.reply_class(F.col("reply"))
+    return table(spark, sf, "conversations").select(reply.alias("reply")).groupBy(refused.alias("refused"), ambiguous.alias("ambiguous")).agg(F.count("*").alias("n"))
 
 
-@query("reproducibility", "SELECT source, count(*) AS n, count(DISTINCT text) AS n_texts, count(DISTINCT text) = 1 AS same FROM documents GROUP BY 1")
+@query("reproducibility", "SELECT source, count(*) AS n, count(DISTINCT text) AS n_texts, count(DISTINCT text) <= 1 AS same FROM documents GROUP BY 1")
 def reproducibility(spark, sf):
     """Whether repeated runs gave one text."""
-    return table(spark, sf, "documents").select("source", F.xxhash64("text").alias("t"), F.length("text").alias("n")).groupBy("source").agg(F.count("*").alias("n_"), F.count_distinct("t", "n").alias("n_texts")).select("source", F.col("n_").alias("n"), "n_texts", (F.col("n_texts") == 1).alias("same"))
+    return ev.stable_runs(table(spark, sf, "documents"), "source", "text")
 
 
 @query("table_lines", "SELECT page_id, len(list_filter(string_split(html, chr(10)), lambda l: length(l) - length(replace(l, '|', '')) >= 2)) AS n_table_lines FROM pages")
@@ -161,12 +217,18 @@ def table_lines(spark, sf):
     return table(spark, sf, "pages").select("page_id", F.size(F.filter(F.split("html", "\n"), lambda x: F.length(x) - F.length(F.replace(x, F.lit("|"), F.lit(""))) >= 2)).cast("long").alias("n_table_lines"))
 
 
-@query("claim_margin", f"WITH {UNITS} SELECT qid, claim_no, round(max(score) OVER (PARTITION BY qid) - score, 6) AS gap, max(score) OVER (PARTITION BY qid) - score > 0.6 AS far FROM best WHERE k = 1")
+@query("claim_margin", f"WITH {UNITS} SELECT qid, claim_no, round(max(score * 10) OVER (PARTITION BY qid) - score * 10, 6) AS gap, max(score * 10) OVER (PARTITION BY qid) - score * 10 > 6 AS far FROM best WHERE k = 1")
 def claim_margin(spark, sf):
-    """Distance of a claim from the best claim of its answer."""
-    best = answers.cl.align(answers.claims(spark, sf), answers.units(spark, sf))
-    gap = F.max("best").over(Window.partitionBy("qid")) - F.col("best")
-    return best.select("qid", "claim_no", F.round(gap, 6).alias("gap"), (gap > 0.6).alias("far"))
+    """Distance of a claim from the best claim of its answer, far beyond 6."""
+    best = answers.cl.align(answers.claims(spark, sf), answers.units(spark, sf)).withColumn("score", F.col("best") * 10)
+    return ev.claim_gaps(best, "qid", "score").select("qid", "claim_no", F.round("gap", 6).alias("gap"), "far")
+
+
+@query("claim_gap_quartiles", f"WITH {UNITS}, g AS (SELECT round(max(score * 10) OVER (PARTITION BY qid) - score * 10, 4) AS gap FROM best WHERE k = 1), s AS (SELECT list_sort(list(gap)) AS l FROM g WHERE gap > 0) SELECT len(l) AS n, l[1] AS least, l[len(l) // 4 + 1] AS p25, l[len(l) // 2 + 1] AS p50, l[3 * len(l) // 4 + 1] AS p75, l[len(l)] AS most FROM s")
+def claim_gap_quartiles(spark, sf):
+    """Nearest-rank quartiles of the gaps above 0."""
+    best = answers.cl.align(answers.claims(spark, sf), answers.units(spark, sf)).withColumn("score", F.col("best") * 10)
+    return ev.rank_quartiles(ev.claim_gaps(best, "qid", "score").select(F.round("gap", 4).alias("gap")), "gap")
 
 
 @query("vocabulary_check", "SELECT count(*) AS n, count(*) FILTER (event_type IN ('click', 'view', 'purchase')) AS in_vocabulary, count(*) FILTER (json_valid(props)) AS parsed FROM events")
@@ -185,19 +247,19 @@ def document_hits(spark, sf):
     return hits.groupBy((F.col("item_id") % 20).alias("scenario")).agg(F.count("*").alias("n"), F.round(F.avg("hit"), 6).alias("hit_rate"))
 
 
-@query("missed_citations", "SELECT event_id, CASE WHEN user_id % 7 = 0 THEN 'no citation' WHEN value <= 0 THEN 'invalid' END AS reason FROM events WHERE user_id % 7 = 0 OR value <= 0")
+@query("missed_citations", f"WITH {GRADED_SQL} SELECT qid, claim_no, CASE WHEN NOT cited THEN 'no label' WHEN NOT valid THEN 'label not in table' ELSE 'locator outside the window' END AS reason FROM g WHERE NOT cited OR NOT valid OR NOT in_window")
 def missed_citations(spark, sf):
     """Claims that fail a layer, with the first reason."""
-    reason = F.when(F.col("user_id") % 7 == 0, "no citation").when(F.col("value") <= 0, "invalid")
-    return table(spark, sf, "events").select("event_id", reason.alias("reason")).filter("reason is not null")
+    return ev.misses(graded(spark, sf)).select("qid", "claim_no", "reason")
 
 
-@query("carried_labels", "WITH new AS (SELECT doc_id, quality FROM labels WHERE doc_id % 2 = 0) SELECT doc_id, coalesce(n.quality, l.toxic)::INT AS label FROM labels l LEFT JOIN new n USING (doc_id)")
+@query("carried_labels", "SELECT doc_id, (CASE WHEN doc_id % 2 = 0 THEN quality WHEN doc_id % 3 <> 0 THEN toxic END)::INT AS label FROM labels")
 def carried_labels(spark, sf):
-    """Labels of an earlier run where a new one has none."""
+    """Labels of an earlier run where the new one has none."""
     labels = table(spark, sf, "labels")
-    new = labels.filter("doc_id % 2 = 0").select("doc_id", F.col("quality").alias("new"))
-    return labels.join(new, "doc_id", "left").select("doc_id", F.coalesce("new", "toxic").cast("int").alias("label"))
+    new = labels.select("doc_id", F.when(F.col("doc_id") % 2 == 0, F.col("quality")).cast("int").alias("label"))
+    old = labels.filter("doc_id % 3 <> 0").select("doc_id", F.col("toxic").cast("int").alias("label"))
+    return ev.carried_labels(new, old, ["doc_id"], ["label"])
 
 
 @query("label_budget", f"WITH {BM} SELECT qid, facet, chunk_id, row_number() OVER (PARTITION BY qid, facet ORDER BY pos) <= 3 AS to_label FROM kept WHERE NOT above AND NOT rescued")
@@ -211,8 +273,9 @@ def label_budget(spark, sf):
 @query("size_caps", "SELECT lang, count(*) AS n, count(*) FILTER (length(text) > 5000) AS over_5000, count(*) FILTER (length(text) > 25000) AS over_25000, median(length(text))::DOUBLE AS middle FROM documents GROUP BY 1")
 def size_caps(spark, sf):
     """Sizes against the caps, with the true median."""
-    n = F.length("text")
-    return table(spark, sf, "documents").groupBy("lang").agg(F.count("*").alias("n"), F.count_if(n > 5000).alias("over_5000"), F.count_if(n > 25000).alias("over_25000"), F.percentile(n, 0.5).alias("middle"))
+    rows = table(spark, sf, "documents").select("lang", F.length("text").alias("n_"))
+    sums = rows.groupBy("lang").agg(F.count("*").alias("n"), F.count_if(F.col("n_") > 5000).alias("over_5000"), F.count_if(F.col("n_") > 25000).alias("over_25000"))
+    return sums.join(exact_quantiles(rows, "n_", {"middle": 0.5}, ["lang"]), "lang")
 
 
 @query("locator_audit", "SELECT CASE WHEN regexp_matches(text, '^\\d{1,3}\\.\\d{1,3}\\s') THEN 'A1' WHEN regexp_matches(text, '^\\d{1,3}\\.\\s') THEN 'A2' WHEN length(text) < 200 THEN 'B' ELSE 'C' END AS bucket, count(*) AS n FROM documents GROUP BY 1")
@@ -252,3 +315,68 @@ def filter_ablation(spark, sf):
     family = F.col("parent_id")
     wide = h.agg(F.count_distinct(family).alias("all"), F.count_distinct(F.when(~F.col("inferred"), family)).alias("named"), F.count_distinct(F.when(F.col("rerank") >= 0, family)).alias("above"), F.count_distinct(F.when(F.col("pos") == 0, family)).alias("first"))
     return wide.select(F.explode(F.array(*(F.struct(F.lit(c).alias("setting"), F.col(c).alias("families")) for c in ("all", "named", "above", "first")))).alias("x")).select("x.*")
+
+
+@query("judge_metrics", "WITH r AS (SELECT unnest([{'metric': 'recall', 'value': CASE WHEN event_id % 10 = 0 THEN NULL WHEN event_id % 10 = 1 THEN 'nan'::DOUBLE ELSE value END}, {'metric': 'faith', 'value': CASE WHEN event_id % 4 = 0 THEN NULL ELSE value / 2 END}], recursive := true) FROM events) SELECT metric, count(*) FILTER (value IS NOT NULL AND NOT isnan(value)) AS n, round(avg(value) FILTER (NOT isnan(value)), 6) AS mean, round(median(value) FILTER (NOT isnan(value)), 6) AS median, count(*) FILTER (isnan(value)) AS n_nan, count(*) FILTER (value IS NULL) AS n_absent FROM r GROUP BY 1")
+def judge_metrics(spark, sf):
+    """Mean and median of what a judge measured; NaN and absent values are counted apart."""
+    k, v = F.col("event_id"), F.col("value")
+    rows = table(spark, sf, "events").select(F.when(k % 10 == 0, None).when(k % 10 == 1, F.lit(float("nan"))).otherwise(v).alias("recall"), F.when(k % 4 != 0, v / 2).alias("faith"))
+    return ev.judged_metrics(rows, ["recall", "faith"]).select("metric", "n", F.round("mean", 6).alias("mean"), F.round("median", 6).alias("median"), "n_nan", "n_absent")
+
+
+@query("judge_separates", "SELECT count(*) FILTER (isnan(v)) AS n_nan, round(avg(v) FILTER (quality = 1), 6) AS good, round(avg(v) FILTER (quality = 0), 6) AS bad, avg(v) FILTER (quality = 1) - avg(v) FILTER (quality = 0) >= 0.3 AS passes FROM (SELECT quality, (doc_id % 50) / 100.0::DOUBLE + CASE WHEN quality = 1 THEN 0.4 ELSE 0 END::DOUBLE AS v FROM labels)")
+def judge_separates(spark, sf):
+    """Whether a judge tells good rows from bad ones."""
+    rows = table(spark, sf, "labels").withColumn("v", (F.col("doc_id") % 50) / 100.0 + F.when(F.col("quality") == 1, 0.4).otherwise(0.0))
+    return ev.judge_separates(rows, F.col("quality") == 1, F.col("quality") == 0, "v").select("n_nan", F.round("good", 6).alias("good"), F.round("bad", 6).alias("bad"), "passes")
+
+
+@query("claim_totals", f"WITH {answers.OVERLAP_SQL} SELECT qid, count(*) AS n, count(*) FILTER (valid) AS valid, count(*) FILTER (NOT valid) AS invalid, count(*) FILTER (valid AND o < 0.45) AS weak FROM screen GROUP BY 1")
+def claim_totals(spark, sf):
+    """Valid, invalid and weak claims of each answer."""
+    return ev.claim_totals(answers.screened(spark, sf), "qid")
+
+
+@query("score_overlap", f"WITH {BM}, o AS (SELECT max(score) FILTER (quality = 0) AS a, min(score) FILTER (quality = 1) AS b FROM lex JOIN labels USING (doc_id)) SELECT a AS other_max, b AS positive_min, a < b AS viable, CASE WHEN a < b THEN (a + b) / 2 END AS boundary, round(greatest(0.0::DOUBLE, a - b), 6) AS overlap FROM o")
+def score_overlap(spark, sf):
+    """Whether any boundary on a score parts relevant hits from the others."""
+    rows = judged(spark, sf)
+    return ev.score_overlap(rows, F.col("relevant") == 1, "score").withColumn("overlap", F.round("overlap", 6))
+
+
+@query("facet_margins", f"WITH {BM}, f AS (SELECT item_id, lang, max(score) AS s FROM lex JOIN documents USING (doc_id) GROUP BY 1, 2), k AS (SELECT item_id, s, lead(s) OVER w AS n, row_number() OVER w AS k FROM f WINDOW w AS (PARTITION BY item_id ORDER BY s DESC)) SELECT item_id, round(s - n, 6) AS margin FROM k WHERE k = 1 AND n IS NOT NULL")
+def facet_margins(spark, sf):
+    """How far the best facet of a question lies before the second."""
+    best = retrieval.bm25_top20(spark, sf).join(table(spark, sf, "documents").select("doc_id", "lang"), "doc_id").groupBy("item_id", "lang").agg(F.max("score").alias("s"))
+    return ev.facet_margins(best, "item_id", "s").select("item_id", F.round("margin", 6).alias("margin"))
+
+
+@query("auto_cite", f"WITH {answers.CLAIMS_SQL}, w AS (SELECT qid, claim_no, item, {answers.LONG_SQL.format(t='text').replace('{{', '{').replace('}}', '}')} AS w FROM claims), two AS (SELECT item, 0 AS place, lower(passage) AS p FROM items UNION ALL SELECT (item + 1) % (SELECT count(*) FROM items), 1, lower(passage) FROM items), m AS (SELECT qid, claim_no, place, CASE WHEN len(w) >= 3 THEN len(list_filter(w, lambda x: contains(p, x))) / len(w) ELSE 0 END AS s FROM w JOIN two USING (item)), b AS (SELECT qid, claim_no, max(s) AS s, arg_max(place, s - place / 1000000) AS place FROM m GROUP BY 1, 2) SELECT qid, claim_no AS no, CASE WHEN s >= 0.45 THEN place END::INT AS cited, round(s, 6)::DOUBLE AS share FROM b")
+def auto_cite(spark, sf):
+    """Lines with the passage that holds most of their long words, out of two."""
+    n = table(spark, sf, "benchmark").count()
+    said = answers.claims(spark, sf).select("qid", F.col("label").alias("item"), F.col("claim_no").alias("no"), "text")
+    held = answers.passages(spark, sf).withColumnRenamed("label", "item")
+    two = held.withColumn("place", F.lit(0)).union(held.select(((F.col("item") + 1) % n).alias("item"), "passage", F.lit(1).alias("place")))
+    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("qid"), (F.col("doc_id") % n).alias("item"))
+    return ev.auto_cited(said, docs.join(two, "item")).select("qid", "no", "cited", F.round("share", 6).alias("share"))
+
+
+@query("step_times", "SELECT event_type AS step, count(*) AS n, round(min(value), 6) AS best, round(avg(value), 6) AS mean FROM events GROUP BY 1")
+def step_times(spark, sf):
+    """Best and mean time of each step."""
+    return ev.step_times(table(spark, sf, "events").withColumnRenamed("event_type", "step"), "step", "value").select("step", "n", F.round("best", 6).alias("best"), F.round("mean", 6).alias("mean"))
+
+
+@query("expected_rank", f"WITH {BM} SELECT item_id, item_id % 200 AS doc_id, rank::INT AS rank FROM benchmark LEFT JOIN lex ON lex.item_id = benchmark.item_id AND lex.doc_id = benchmark.item_id % 200".replace("SELECT item_id, item_id % 200", "SELECT benchmark.item_id, benchmark.item_id % 200"))
+def expected_rank(spark, sf):
+    """Where an expected document stands, if it was found."""
+    want = table(spark, sf, "benchmark").select("item_id", (F.col("item_id") % 200).alias("doc_id"))
+    return ev.expected_rank(retrieval.bm25_top20(spark, sf), want, "item_id", "doc_id").select("item_id", "doc_id", "rank")
+
+
+@query("fusion_trace", f"WITH {BM} SELECT item_id, doc_id, concat_ws('+', CASE WHEN cover_rank IS NOT NULL THEN 'cover' END, CASE WHEN lexical_rank IS NOT NULL THEN 'lexical' END) AS arms, round(coalesce(1.0::DOUBLE / (61 + cover_rank), 0) / (coalesce(1.0::DOUBLE / (61 + cover_rank), 0) + coalesce(1.0::DOUBLE / (61 + lexical_rank), 0)), 6) AS cover_share FROM fused")
+def fusion_trace(spark, sf):
+    """What each arm gave to a fused hit."""
+    return ev.fusion_trace(retrieval.fused(spark, sf), "item_id", ["cover_rank", "lexical_rank"]).select("item_id", "doc_id", "arms", "cover_share")

@@ -152,3 +152,164 @@ def tiny_chunks(spark, sf):
     docs = short.select("k", "doc_id").distinct().groupBy("k").agg(F.count("*").alias("docs"))
     kind = F.when(F.col("docs") > 1, "duplicate").when(~F.contains("k", F.lit(" ")), "fragment").otherwise("real")
     return short.join(docs, "k").groupBy(kind.alias("kind")).agg(F.count("*").alias("n"))
+
+
+ITEMS_SQL = f"{LINES_SQL}, items AS (SELECT doc_id, idx, text, CASE idx % 7 WHEN 3 THEN '' WHEN 5 THEN text || '*' ELSE text END AS orig, CASE idx % 6 WHEN 0 THEN 'SECTION_HEADER' WHEN 1 THEN 'TEXT' WHEN 2 THEN 'LIST_ITEM' WHEN 3 THEN 'FOOTNOTE' WHEN 4 THEN 'PAGE_FOOTER' ELSE 'CAPTION' END AS label, (idx // 8)::INT AS page FROM lines)"
+
+
+def items(spark: SparkSession, sf: str) -> DataFrame:
+    """Lines as parsed items: labels and pages by their number, an original that differs here and there."""
+    i, text = F.col("idx"), F.col("text")
+    label = F.element_at(F.array(*map(F.lit, ("SECTION_HEADER", "TEXT", "LIST_ITEM", "FOOTNOTE", "PAGE_FOOTER", "CAPTION"))), i % 6 + 1)
+    orig = F.when(i % 7 == 3, "").when(i % 7 == 5, F.concat(text, F.lit("*"))).otherwise(text)
+    return lines(spark, sf).select("doc_id", "idx", "text", orig.alias("orig"), label.alias("label"), F.floor(i / 8).cast("int").alias("page"))
+
+
+CLEANED = "trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace({}, '(?i)\\d*\\[Footnote\\s*', ' ', 'g'), '(?i)\\[F\\s*o\\s*t?\\s*n\\s*\\d*\\s*o?\\s*e\\s*', ' ', 'g'), '\\{{\\{{\\s*([^{{}}]{{1,40}}?)\\s*\\}}\\}}', '\\1', 'g'), '[ \\t]{{2,}}', ' ', 'g'))"
+
+
+@query("clean_items", f"WITH {ITEMS_SQL}, s AS (SELECT *, CASE WHEN {TRIM.format('orig')} <> '' AND {TRIM.format('orig')} <> {TRIM.format('text')} THEN {TRIM.format('orig')} ELSE text END AS src FROM items WHERE label <> 'PAGE_FOOTER') SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY idx) - 1)::INT AS idx, idx AS orig_idx, label = 'FOOTNOTE' AS is_footnote, src LIKE '%*' AS from_orig FROM s WHERE length({TRIM.format(CLEANED.format('src'))}) > 0")
+def clean_items(spark, sf):
+    """Items that are left, numbered anew, footnotes told (A-CL1, 3, 4, 11, 12)."""
+    return ingest.clean(items(spark, sf)).select("doc_id", "idx", "orig_idx", "is_footnote", F.col("text").endswith("*").alias("from_orig"))
+
+
+TREE = ("#/texts/0", "#/texts/1", "#/tables/0", "#/texts/2", "#/texts/3")
+
+
+@query("reading_order", "SELECT doc_id::VARCHAR AS doc_id, i::INT AS idx, ref FROM documents, (VALUES " + ", ".join(f"({i}, '{r}')" for i, r in enumerate(TREE)) + ") t(i, ref)")
+def reading_order(spark, sf):
+    """Leaves of a tree of groups, depth first, a group that is named twice only once (A-CL2)."""
+    ids = table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("doc_id"))
+    body = ids.select("doc_id", F.posexplode(F.array(*map(F.lit, ("#/texts/0", "#/groups/0", "#/texts/3", "#/groups/1")))).alias("pos", "ref"))
+    groups = ids.select("doc_id", F.inline(F.array(F.struct(F.lit("#/groups/0").alias("ref"), F.array(*map(F.lit, ("#/texts/1", "#/groups/1", "#/texts/2"))).alias("children")), F.struct(F.lit("#/groups/1").alias("ref"), F.array(F.lit("#/tables/0")).alias("children")))))
+    seen = ingest.reading_order(body.filter("ref <> '#/groups/1'"), groups)
+    return seen
+
+
+@query("prose_tables", f"WITH {LINES_SQL} SELECT doc_id, doc_id % 5 + 1 <= 3 AND max(length(text)) > 120 AND count(*) FILTER (regexp_matches(text, '\\.{{4,}}|(?:\\. ){{4,}}')) < greatest(2, count(*) // 4) AS prose FROM lines GROUP BY doc_id")
+def prose_tables(spark, sf):
+    """Tables that hold running text (A-CL13)."""
+    return table(spark, sf, "documents").select("doc_id", ingest.is_prose_table(F.split("text", "\n"), F.col("doc_id") % 5 + 1).alias("prose"))
+
+
+@query("table_row_lines", "SELECT doc_id, source || ' ' || lang || ' ' || source AS line FROM documents WHERE source <> lang")
+def table_row_lines(spark, sf):
+    """Table rows as lines, a cell that repeats the last one left out (A-CL14)."""
+    cells = F.array(F.col("source"), F.col("source"), F.lit(""), F.col("lang"), F.lit(None).cast("string"), F.col("lang"), F.col("source"))
+    return table(spark, sf, "documents").filter("source <> lang").select("doc_id", ingest.table_line(cells).alias("line"))
+
+
+BOOK_SQL = f"{LINES_SQL}, book AS (SELECT doc_id, idx, (idx // 8)::INT AS page, CASE idx % 9 WHEN 0 THEN 'CRE' || (10 + idx % 80) || ' Title' WHEN 1 THEN 'Version effective as of' WHEN 3 THEN '15 Dec ' || (2010 + idx % 13) WHEN 4 THEN 'see CRE10 here' WHEN 7 THEN 'CRE101 x' ELSE text END AS text FROM lines), ch AS (SELECT doc_id, 'CRE' || (10 + idx % 80) AS code, idx AS start_idx, coalesce(lead(idx) OVER (PARTITION BY doc_id ORDER BY idx), n)::INT AS end_idx FROM (SELECT *, max(idx) OVER (PARTITION BY doc_id) + 1 AS n FROM book) WHERE idx % 9 = 0)"
+
+
+def book(spark: SparkSession, sf: str) -> DataFrame:
+    """Lines as a book: chapter lines, version stamps and their dates among them."""
+    i = F.col("idx")
+    text = F.when(i % 9 == 0, F.concat(F.lit("CRE"), (10 + i % 80).cast("string"), F.lit(" Title"))).when(i % 9 == 1, "Version effective as of").when(i % 9 == 3, F.concat(F.lit("15 Dec "), (2010 + i % 13).cast("string"))).when(i % 9 == 4, "see CRE10 here").when(i % 9 == 7, "CRE101 x").otherwise(F.col("text"))
+    return lines(spark, sf).select("doc_id", "idx", F.floor(i / 8).cast("int").alias("page"), text.alias("text"))
+
+
+def chapters(spark: SparkSession, sf: str) -> DataFrame:
+    starts = ingest.chapter_starts(book(spark, sf), "CRE")
+    opened = book(spark, sf).join(starts.select("doc_id", F.col("start_idx").alias("idx"), "code"), ["doc_id", "idx"], "left")
+    return ingest.sections(opened, F.col("code").isNotNull(), F.col("code"))
+
+
+@query("chapter_starts", f"WITH {BOOK_SQL} SELECT doc_id, start_idx, code FROM ch")
+def chapter_starts(spark, sf):
+    """Lines that open a chapter (A-SE2)."""
+    return ingest.chapter_starts(book(spark, sf), "CRE")
+
+
+@query("single_chapter", f"WITH {BOOK_SQL} SELECT doc_id, min(idx)::INT AS start_idx, 'CRE10' AS code FROM book WHERE contains(text, 'CRE10') GROUP BY 1")
+def single_chapter(spark, sf):
+    """A volume of one chapter opens at its first mention (A-SE3)."""
+    return ingest.chapter_starts(book(spark, sf), "CRE10")
+
+
+STAMPED = "CASE WHEN start_idx + 3 < end_idx THEN (2010 + (start_idx + 3) % 13)::VARCHAR || '-12-15' END"
+
+
+@query("chapter_dates", f"WITH {BOOK_SQL} SELECT doc_id, code, start_idx, {STAMPED} AS effective_from FROM ch")
+def chapter_dates(spark, sf):
+    """The date that a chapter's stamp announces (A-SE4, 5)."""
+    return ingest.stamps(book(spark, sf), chapters(spark, sf), "effective as of").select("doc_id", "code", "start_idx", F.col("effective_from").cast("string").alias("effective_from"))
+
+
+@query("chapter_pages", f"WITH {BOOK_SQL} SELECT doc_id, start_idx, (start_idx // 8)::INT AS page_from, ((end_idx - 1) // 8)::INT AS page_to FROM ch")
+def chapter_pages(spark, sf):
+    """Pages that chapters reach over (A-SE6)."""
+    return ingest.page_spans(book(spark, sf), chapters(spark, sf)).select("doc_id", "start_idx", "page_from", "page_to")
+
+
+@query("overlaid_dates", f"WITH {BOOK_SQL} SELECT doc_id, start_idx, coalesce({STAMPED}, CASE WHEN doc_id % 2 = 0 THEN '2001-02-03' END) AS effective_from FROM ch")
+def overlaid_dates(spark, sf):
+    """A chapter's date over its document's (A-SE9)."""
+    whole = table(spark, sf, "documents").select("doc_id", F.when(F.col("doc_id") % 2 == 0, F.lit("2001-02-03").cast("date")).alias("effective_from"))
+    dated = ingest.stamps(book(spark, sf), chapters(spark, sf), "effective as of")
+    return ingest.overlaid(dated, whole).select("doc_id", "start_idx", F.col("effective_from").cast("string").alias("effective_from"))
+
+
+@query("sections_report", f"WITH {BOOK_SQL} SELECT doc_id, array_to_string(list_sort(list_distinct(list(code))), '|') AS codes, count(DISTINCT {STAMPED}) AS n_dates, sum(end_idx - start_idx)::BIGINT AS covered FROM ch GROUP BY 1")
+def sections_report(spark, sf):
+    """Codes, dates and covered items of each document (A-SE10)."""
+    dated = ingest.stamps(book(spark, sf), chapters(spark, sf), "effective as of")
+    return ingest.sections_report(dated).select("doc_id", F.array_join("codes", "|").alias("codes"), "n_dates", "covered")
+
+
+@query("without_chapters", f"WITH {LINES_SQL} SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM lines WHERE idx = 9)")
+def without_chapters(spark, sf):
+    """Documents without a second chapter line (A-SE8)."""
+    later = ingest.chapter_starts(book(spark, sf).filter("idx >= 9"), "CRE")
+    return ingest.without_chapters(table(spark, sf, "documents").select("doc_id"), later)
+
+
+@query("letter_parents", f"WITH {LINES_SQL}, h AS (SELECT doc_id, idx, idx % 11 = 10 AS head FROM lines) SELECT doc_id, idx, NOT head AND coalesce(max(CASE WHEN idx % 5 = 0 AND NOT head THEN idx END) OVER w, -1) > coalesce(max(CASE WHEN head THEN idx END) OVER w, -1) AS opens FROM h WINDOW w AS (PARTITION BY doc_id ORDER BY idx)")
+def letter_parents(spark, sf):
+    """Lines whose letter continues the sequence of their document; a heading ends it (A-CH2)."""
+    i = F.col("idx")
+    lettered = F.concat(F.lit("("), F.element_at(F.array(*map(F.lit, "abcde")), i % 5 + 1), F.lit(") "), F.col("text"))
+    marked = lines(spark, sf).select("doc_id", "idx", lettered.alias("text"), (i % 11 == 10).alias("is_heading"))
+    return ingest.letter_parents(marked).select("doc_id", "idx", "opens")
+
+
+@query("child_lines", f"WITH {ITEMS_SQL}, k AS (SELECT doc_id, page, idx, text, row_number() OVER w AS k, count(*) OVER (PARTITION BY doc_id, page) AS n FROM items WHERE label IN ('TEXT', 'LIST_ITEM', 'PARAGRAPH', 'FOOTNOTE', 'CAPTION', 'FORMULA') WINDOW w AS (PARTITION BY doc_id, page ORDER BY idx)) SELECT doc_id, idx FROM k WHERE NOT (k = 1 AND n > 1 AND length(text) < 120)")
+def child_lines(spark, sf):
+    """Items that may be children, less a short line that heads a part (A-CH5, 6)."""
+    usable = items(spark, sf).filter(F.col("label").isin(*ingest.CHILD))
+    return ingest.without_heading_line(usable, ["doc_id", "page"]).select("doc_id", "idx")
+
+
+PARENTS_SQL = f"WITH {LINES_SQL}, s AS (SELECT *, sum({HEAD_SQL}::INT) OVER (PARTITION BY doc_id ORDER BY idx) AS k FROM lines), sp AS (SELECT doc_id, k, min(idx) AS a, count(*) FILTER (length(text) >= 10) AS kids, count(*) FILTER ({TRIM.format('text')} <> '') AS n_full, sum(CASE WHEN {TRIM.format('text')} <> '' THEN length(text) ELSE 0 END) AS chars FROM s GROUP BY 1, 2 HAVING sum(length(text)) > 0), p AS (SELECT doc_id, printf('%s::doc::%04d', doc_id::VARCHAR, (row_number() OVER (PARTITION BY doc_id ORDER BY a) - 1)::INT) AS parent_id, (chars + 2 * (n_full - 1))::INT AS n_chars, kids AS n_children FROM sp QUALIFY kids > 0 AND n_full > 0)"
+
+
+def assembled(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    own = lines(spark, sf)
+    spans = ingest.heading_spans(own, is_head()).withColumn("chapter", F.lit(None).cast("string"))
+    return ingest.assembled(own, spans, own.filter(F.length("text") >= 10))
+
+
+@query("parent_rows", PARENTS_SQL + " SELECT parent_id, n_chars, n_children FROM p")
+def parent_rows(spark, sf):
+    """Parents with their ids, texts and children (A-CH12, 13)."""
+    return assembled(spark, sf)[0].select("parent_id", "n_chars", "n_children")
+
+
+@query("parents_report", PARENTS_SQL + " SELECT doc_id, count(*) AS n, list_sort(list(n_chars))[least(count(*) - 1, floor(0.5 * count(*)))::INT + 1]::INT AS p50, max(n_chars) AS longest, count(*) FILTER (n_chars > 8000) AS over_8000 FROM p GROUP BY doc_id")
+def parents_report(spark, sf):
+    """Sizes of parents against their caps (A-CH15)."""
+    return ingest.parents_report(assembled(spark, sf)[0]).select("doc_id", "n", "p50", "longest", "over_8000")
+
+
+@query("bin_headings", f"WITH {LINES_SQL} SELECT doc_id, idx, trim(regexp_replace(lower(text), '[^a-z0-9 ]+', ' ', 'g')) IN ('footnotes', 'footnote', 'notes', 'table', 'tables', '') OR length(text) > 90 AS bin FROM lines")
+def bin_headings(spark, sf):
+    """Headings that open a bag of unrelated notes (A-AS13)."""
+    return lines(spark, sf).select("doc_id", "idx", tx.is_bin(F.col("text")).alias("bin"))
+
+
+@query("prototype_texts", "SELECT doc_id, len(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+')) AS n_words, len(regexp_extract_all(lower(source || ' ' || text), '[\\p{L}\\p{N}_]+')) AS n_indexed, length(regexp_replace(regexp_replace(regexp_replace(text, '[\\s\\x0B]+', ' ', 'g'), '^ ', ''), ' $', ''))::BIGINT AS n_chars FROM documents")
+def prototype_texts(spark, sf):
+    """The prototypes' tokenizer and normaliser, and the indexed text (A-LX2, A-LX5, A-CL18)."""
+    t = F.col("text")
+    return table(spark, sf, "documents").select("doc_id", F.size(tx.word_tokens(t)).cast("long").alias("n_words"), F.size(tx.word_tokens(tx.indexed_text(F.col("source"), t))).cast("long").alias("n_indexed"), F.length(tx.one_line(t)).cast("long").alias("n_chars"))

@@ -47,3 +47,39 @@ def linear_fit(spark, sf):
     cols = ["l_quantity", "l_discount", "l_tax"]
     model = ml.linear(lines(spark, sf), [VectorAssembler(inputCols=cols, outputCol="features")], "l_extendedprice")
     return curves.regression_metrics(model.transform(lines(spark, sf)), "l_extendedprice", "prediction")
+
+
+@query("network_fit")
+def network_fit(spark, sf):
+    """Area of a small feed-forward net on rows that were held out, with class weights and early stopping (B-M11)."""
+    _, _, area = ml.network(weighed(spark, sf), ml.features([*NUMERIC, "year"], ["segment"]), "y", "loan_id", (8, 4), "weight", rounds=(10, 10))
+    return spark.createDataFrame([(area,)], "auc double")
+
+
+@query("tuned_threshold")
+def tuned_threshold(spark, sf):
+    """The threshold that out-of-fold scores choose (B-M28)."""
+    return ml.tuned_threshold(weighed(spark, sf), ml.features([*NUMERIC, "year"], []), ml.classifier("logistic", "y", "weight", maxIter=10), "loan_id", "y", 3)
+
+
+@query("forest_importance")
+def forest_importance(spark, sf):
+    """Importances of a random forest (B-M12)."""
+    return ml.importances(weighed(spark, sf), ml.features([*NUMERIC, "year"], []), ml.classifier("forest", "y", "weight", numTrees=5, maxDepth=4, seed=1), [*NUMERIC, "year"])
+
+
+@query("eliminated_columns", "SELECT unnest(['l_quantity', 'l_tax']) AS feature, unnest([true, false]) AS kept")
+def eliminated_columns(spark, sf):
+    """Of two columns the one that elimination keeps (B-M14): price follows quantity by thousands."""
+    rows = lines(spark, sf).withColumn("price", F.col("l_quantity") * 1000 + F.col("l_tax"))
+    left = ml.eliminate(rows, "price", ["l_quantity", "l_tax"], 1)
+    return spark.createDataFrame([(c, c in left) for c in ("l_quantity", "l_tax")], "feature string, kept boolean")
+
+
+@query("permutation_drop", "SELECT unnest(['l_quantity', 'l_tax']) AS feature, unnest([true, false]) AS matters")
+def permutation_drop(spark, sf):
+    """Whether the error rises when a column is dealt anew (B-M17)."""
+    rows = lines(spark, sf).withColumn("price", F.col("l_quantity") * 1000.0).withColumn("row_", F.monotonically_increasing_id())
+    model = ml.linear(rows, [VectorAssembler(inputCols=["l_quantity", "l_tax"], outputCol="features")], "price")
+    fit = lambda scored: curves.regression_metrics(scored, "price", "prediction").first()["r2"]
+    return ml.permutation_importance(rows, model, fit, ["l_quantity", "l_tax"], "row_", rounds=1).select("feature", (F.col("drop") > 0.1).alias("matters"))

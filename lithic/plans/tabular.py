@@ -271,3 +271,63 @@ def champion_challenger(spark, sf):
     df = known(spark, sf).withColumn("other", 1 - F.col("score"))
     a, b = curves.roc_auc(df, "y", "score").select(F.col("auc").alias("champion")), curves.roc_auc(df, "y", "other").select(F.col("auc").alias("challenger"))
     return r(a.join(F.broadcast(b)).select("champion", "challenger", (F.col("champion") - F.col("challenger")).alias("gap")))
+
+
+@query("prepared_rows", f"WITH {LOANS_SQL} SELECT loan_id, round(ln(1 + amount), 6) AS loan_amount, y::INT AS y, (segment = 'BUILDING')::INT AS building FROM loans WHERE y IS NOT NULL AND balance IS NOT NULL")
+def prepared_rows(spark, sf):
+    """Renamed, reduced to rows with all they need, booleans as integers, logged (B-P1, 3, 5, 13, 16)."""
+    rows = loans(spark, sf).withColumn("building", F.col("segment") == "BUILDING")
+    out = ft.prepared(rows, {"amount": "loan_amount"}, ["priority", "issued"], ["y", "balance"], ["loan_amount"])
+    return out.select("loan_id", F.round("loan_amount", 6).alias("loan_amount"), "y", "building")
+
+
+@query("derived_totals", "SELECT l_orderkey, l_linenumber, round(coalesce(l_quantity, 0) + coalesce(l_tax, 0), 6) AS total, round(l_extendedprice * 0.001, 6) AS thousands FROM lineitem")
+def derived_totals(spark, sf):
+    """A derived sum and a column in another unit (B-P2, B-P17), columns chosen (B-P4)."""
+    rows = table(spark, sf, "lineitem")
+    return rows.select("l_orderkey", "l_linenumber", F.round(ft.total(F.col("l_quantity"), F.col("l_tax")), 6).alias("total"), ft.converted(F.col("l_extendedprice"), 0.001).alias("thousands"))
+
+
+@query("segment_rates", "SELECT CASE WHEN passed = -1 THEN 'never' ELSE 'before' END AS kind, count(*) AS n, round(avg(value), 6) AS mean FROM (SELECT CASE WHEN user_id % 4 = 0 THEN -1 ELSE user_id % 30 END AS passed, value FROM events) GROUP BY 1")
+def segment_rates(spark, sf):
+    """Rows apart by the value that stands for never (B-P7)."""
+    passed = F.when(F.col("user_id") % 4 == 0, -1).otherwise(F.col("user_id") % 30)
+    return table(spark, sf, "events").groupBy(ft.segment(passed, -1, "never", "before").alias("kind")).agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean"))
+
+
+@query("joined_columns", "SELECT o_orderkey, o_orderstatus, round(o_totalprice * 2, 2) AS twice FROM orders")
+def joined_columns(spark, sf):
+    """Columns of two tables side by side by their row id (B-P20)."""
+    orders = table(spark, sf, "orders")
+    return ft.joined_columns(orders.select("o_orderkey", "o_orderstatus"), orders.select("o_orderkey", F.round(F.col("o_totalprice") * 2, 2).alias("twice")), "o_orderkey")
+
+
+@query("imputed_rows", f"WITH {LOANS_SQL}, v AS (SELECT loan_id, CASE WHEN loan_id % 5 <> 0 THEN amount END AS amount FROM loans) SELECT loan_id, round(coalesce(amount, (SELECT median(amount) FROM v)), 4) AS amount FROM v")
+def imputed_rows(spark, sf):
+    """Missing values filled with the median of the others (B-M2)."""
+    rows = loans(spark, sf).select("loan_id", F.when(F.col("loan_id") % 5 != 0, F.col("amount")).alias("amount"))
+    return ft.imputed(rows, ["amount"], ft.fitted(rows, ["amount"])).select("loan_id", F.round("amount", 4).alias("amount"))
+
+
+@query("unscaled_rows", "SELECT l_orderkey, l_linenumber, round(l_quantity, 4) AS l_quantity FROM lineitem")
+def unscaled_rows(spark, sf):
+    """Standard scores and back (B-M35)."""
+    rows = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity")
+    fit = ft.fitted(rows, ["l_quantity"])
+    r = fit.first()
+    scores = ft.scaled(rows, ["l_quantity"], fit, "zscore")
+    return scores.select("l_orderkey", "l_linenumber", F.round(ft.unscaled(F.col("l_quantity_zscore"), r["mean"], r["std"]), 4).alias("l_quantity"))
+
+
+@query("sampled_rows", "SELECT 100 AS n, 100 AS n_distinct")
+def sampled_rows(spark, sf):
+    """A sample of 100 rows, the same ones every time (B-M34): the limit is the feature."""
+    picked = ft.sample_rows(table(spark, sf, "orders"), "o_orderkey", 100)
+    again = ft.sample_rows(table(spark, sf, "orders"), "o_orderkey", 100)
+    return picked.select("o_orderkey").join(again.select("o_orderkey"), "o_orderkey").agg(F.count("*").cast("int").alias("n"), F.count_distinct("o_orderkey").cast("int").alias("n_distinct"))
+
+
+@query("ks_test", CUT_SQL + ", k AS (SELECT max(abs(tp / P - fp / N)) AS ks, max(P)::BIGINT AS n_pos, max(N)::BIGINT AS n_neg FROM cum), x AS (SELECT *, sqrt(n_pos * n_neg / (n_pos + n_neg)) AS e FROM k) SELECT round(any_value(ks), 6) AS ks, any_value(n_pos) AS n_pos, any_value(n_neg) AS n_neg, round(least(1, greatest(0, 2 * sum((CASE WHEN i % 2 = 1 THEN 1 ELSE -1 END) * exp(-2 * i * i * ((e + 0.12 + 0.11 / e) * ks) ** 2)))), 6)::DOUBLE AS p_value FROM x, range(1, 101) r(i)")
+def ks_test(spark, sf):
+    """The two-sample statistic with its p-value (B-M29)."""
+    return curves.ks_test(known(spark, sf), "y", "score").select(F.round("ks", 6).alias("ks"), "n_pos", "n_neg", F.round("p_value", 6).alias("p_value"))

@@ -116,3 +116,68 @@ def generated(df: DataFrame, prompt: Column, generate: Callable[[list[str]], lis
 
     run.__annotations__ = {"prompts": pd.Series, "return": pd.Series}
     return df.withColumn(out, F.pandas_udf(run, "string")(prompt))
+
+
+def missing_files(registry: DataFrame, listing: DataFrame) -> DataFrame:
+    """Rows whose file is not in a folder's listing."""
+    return registry.join(listing.select("file").distinct(), "file", "left_anti")
+
+
+def listing(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
+    """(file, path, length) of a folder, by Spark's own reader."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder)
+    return files.select(F.element_at(F.split("path", "/"), -1).alias("file"), "path", "length")
+
+
+def replaced(df: DataFrame, path: str, keep: int = 2) -> str:
+    """Write a whole new version beside the old ones and name it last, so that readers see one or the
+    other and never a part (S6, S13)."""
+    spark = df.sparkSession
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    root = hadoop.Path(path)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    held = _versions(fs, root)
+    target = f"{path}/v{(held[-1] if held else 0) + 1:06d}"
+    df.write.mode("error").parquet(target)  # its _SUCCESS file is the name that readers look for
+    for old in held[: max(0, len(held) + 1 - keep)]:
+        fs.delete(hadoop.Path(f"{path}/v{old:06d}"), True)
+    return target
+
+
+def latest(spark: SparkSession, path: str) -> DataFrame:
+    """The last whole version of a table that ``replaced`` writes."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    root = hadoop.Path(path)
+    held = _versions(root.getFileSystem(spark._jsc.hadoopConfiguration()), root)
+    if not held:
+        raise FileNotFoundError(path)
+    return spark.read.parquet(f"{path}/v{held[-1]:06d}")
+
+
+def _versions(fs, root) -> list[int]:
+    if not fs.exists(root):
+        return []
+    names = [x.getPath() for x in fs.listStatus(root)]
+    whole = [p.getName() for p in names if p.getName().startswith("v") and fs.exists(p.suffix("/_SUCCESS"))]
+    return sorted(int(n[1:]) for n in whole)
+
+
+def prompt_text(spark: SparkSession, path: str, labels: tuple[str, ...] = (), **vocabulary: str) -> tuple[str, str]:
+    """(text, sha16) of a prompt file with vocabulary put in; a label it should have and lacks is an error."""
+    import hashlib
+
+    text = "\n".join(r[0] for r in spark.read.text(path, wholetext=True).collect())
+    for name, value in vocabulary.items():
+        text = text.replace("{" + name + "}", value)
+    if lacking := [x for x in labels if x not in text]:
+        raise ValueError(f"{path} lacks {lacking}")
+    return text, hashlib.sha256(text.encode()).hexdigest()[:16]
+
+
+def why_unavailable(probe: Callable[[], object]) -> str:
+    """Why a model cannot be asked, or an empty string."""
+    try:
+        probe()
+    except Exception as error:  # noqa: BLE001  any failure is an answer here
+        return f"{type(error).__name__}: {error}"
+    return ""
