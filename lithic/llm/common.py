@@ -38,6 +38,20 @@ def sliced(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         yield batch.slice(i, rows)
 
 
+#: Bytes of an Arrow batch on its way to a worker: both sides hold a few of them a task.
+BATCH_BYTES = 4 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def with_small_batches(df: DataFrame) -> DataFrame:
+    """The same table, in a session whose Arrow batches are bounded in bytes and not in rows only;
+    a bound that the session has already stays."""
+    conf = df.sparkSession.conf
+    if conf.get(_BATCH, None) is None:
+        conf.set(_BATCH, str(BATCH_BYTES))
+    return df
+
+
 def give_back() -> None:
     """Return freed memory to the machine at the end of a task: workers outlive tasks and stages."""
     pa.default_memory_pool().release_unused()
@@ -57,7 +71,7 @@ def map_batches(rows: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], p
         del step
         give_back()
 
-    return rows.mapInArrow(run, schema)
+    return with_small_batches(rows).mapInArrow(run, schema)
 
 
 def content_key(text: Column) -> Column:

@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lithic.llm.common import give_back, sliced
+from lithic.llm.common import give_back, sliced, with_small_batches
 
 STRIDE, COMMON, SPREAD, BLOCK_ITEMS, OVERSAMPLE = 32, 0.05, 1.4, 256, 16
 #: Bytes that part words beside ASCII white space; A-Z become a-z.
@@ -99,7 +99,7 @@ def passage_counts(docs: DataFrame, numbers: dict[bytes, int], text_col: str) ->
         yield pa.RecordBatch.from_arrays([pa.array(numbered, pa.int64()), pa.array(np.concatenate([held[some], [passages]]), pa.int64())], ["term", "n"])
 
     texts = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    summed = texts.mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()  # a row a term of the block
+    summed = with_small_batches(texts).mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()  # a row a term of the block
     out = np.zeros(n_terms, np.int64)
     total = 0
     for r in summed:
@@ -362,13 +362,13 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, rank: int = 256, limits: L
                 kinds = [pa.int64()] * 5 + [pa.float64()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], [x.split()[0] for x in out.split(", ")])
 
-        found = found.union(texts.mapInArrow(run, out))
+        found = found.union(with_small_batches(texts).mapInArrow(run, out))
     return found
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, rank: int = 256, limits: Limits = Limits(), text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that hold no item, with all their columns as they are."""
-    kept = docs
+    kept = with_small_batches(docs)
     for search in searches(docs, benchmark, rank, limits, text_col, item_col, item_text_col):
         kept = kept.filter(_clean(docs.sparkSession.sparkContext.broadcast(search))(F.coalesce(F.col(text_col), F.lit(""))))
     return kept

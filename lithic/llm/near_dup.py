@@ -41,7 +41,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lithic.llm.common import checkpointed, give_back, map_batches, written
+from lithic.llm.common import checkpointed, give_back, map_batches, with_small_batches, written
 
 HASHES = 64
 #: Values of an order that texts are sorted by, and neighbours of a text that are confirmed at once.
@@ -165,7 +165,7 @@ def neighbours(regions: DataFrame, nodes: DataFrame, forest: Forest) -> DataFram
             before = tree[-1:], node[-1:], order[-1:]
         give_back()
 
-    pairs = ranged.mapInArrow(run, "a long, b long, prefix long")
+    pairs = with_small_batches(ranged).mapInArrow(run, "a long, b long, prefix long")
     met = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"), "prefix").groupBy("a", "b").agg(F.sum("prefix").alias("prefix"))
     best = Window.partitionBy("a").orderBy(F.desc("prefix"), "b")
     return met.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= NEIGHBOURS).select("a", "b")

@@ -19,7 +19,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lithic.llm.common import map_batches, text_rows
+from lithic.llm.common import map_batches, text_rows, with_small_batches
 
 SPACES = " \t\n\r\x0b\x0c"
 SYMBOLS = "#*$%&|<>"
@@ -131,4 +131,4 @@ def keep_good(docs: DataFrame, min_words: int = 20, max_repeat_percent: int = 30
         return pd.Series([judge_text(t, press, min_words, max_repeat_percent)[-1] for t in texts], dtype="bool")
 
     passes.__annotations__ = {"texts": pd.Series, "return": pd.Series}
-    return docs.filter(F.pandas_udf(passes, "boolean")(F.coalesce(F.col(text_col), F.lit(""))))
+    return with_small_batches(docs).filter(F.pandas_udf(passes, "boolean")(F.coalesce(F.col(text_col), F.lit(""))))

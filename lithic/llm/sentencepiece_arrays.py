@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from lithic.llm.common import give_back, sliced
+from lithic.llm.common import give_back, sliced, with_small_batches
 
 SPACE = "▁"
 #: Bounds of what is remembered between batches, in parts and pairs of pieces.
@@ -382,7 +382,7 @@ def encode_documents(docs: DataFrame, model_file: str, text_col: str = "text", i
             del batch, ids, arrays
         give_back()
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *(T.StructField(n, kind) for n, kind in new.items())]))
+    return with_small_batches(docs).mapInArrow(run, T.StructType([*docs.schema.fields, *(T.StructField(n, kind) for n, kind in new.items())]))
 
 
 def decode_documents(encoded: DataFrame, model_file: str, ids_col: str = "token_ids", decoded_col: str = "decoded") -> DataFrame:
@@ -395,5 +395,6 @@ def decode_documents(encoded: DataFrame, model_file: str, ids_col: str = "token_
         for batch in (part for whole in batches for part in sliced(whole)):
             texts = [None if x is None else held.decode(np.array(x, np.int64)) for x in batch.column(ids_col).to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(texts, pa.string())], [*kept, decoded_col])
+        give_back()
 
-    return encoded.mapInArrow(run, T.StructType([*encoded.schema.fields, T.StructField(decoded_col, T.StringType())]))
+    return with_small_batches(encoded).mapInArrow(run, T.StructType([*encoded.schema.fields, T.StructField(decoded_col, T.StringType())]))
