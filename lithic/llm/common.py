@@ -90,6 +90,12 @@ def shared_folder(spark: SparkSession) -> str:
     return context._jsc.sc().getCheckpointDir().get()
 
 
+def let_go(spark: SparkSession) -> None:
+    """Collect garbage on the driver between rounds: only then Spark deletes the shuffles, broadcasts
+    and checkpoints that nothing refers to any more, and the driver's heap shrinks again."""
+    spark._jvm.java.lang.System.gc()
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut lineage with files in the shared folder."""
     shared_folder(df.sparkSession)

@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lithic.llm.common import give_back, sliced, with_small_batches
+from lithic.llm.common import give_back, let_go, sliced, with_small_batches
 
 STRIDE, COMMON, SPREAD, BLOCK_ITEMS, OVERSAMPLE = 32, 0.05, 1.4, 256, 16
 #: Bytes that part words beside ASCII white space; A-Z become a-z.
@@ -368,6 +368,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, rank: int = 256, limits: L
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, rank: int = 256, limits: Limits = Limits(), text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that hold no item, with all their columns as they are."""
+    let_go(docs.sparkSession)
     kept = with_small_batches(docs)
     for search in searches(docs, benchmark, rank, limits, text_col, item_col, item_text_col):
         kept = kept.filter(_clean(docs.sparkSession.sparkContext.broadcast(search))(F.coalesce(F.col(text_col), F.lit(""))))

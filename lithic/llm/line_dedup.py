@@ -31,7 +31,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lithic.llm.common import checkpointed, written
+from lithic.llm.common import checkpointed, let_go, written
 
 #: Line numbers to drop are broadcast for up to so many texts (16 bytes and a few numbers each).
 BROADCAST_TEXTS = 500_000
@@ -153,6 +153,7 @@ def dropped_lines(docs: DataFrame, min_chars: int = 20, id_col: str = "doc_id",
     every = written(keyed)
     lines = written(every.groupBy(*LINE).agg(F.min(F.struct(*PLACE)).alias("place"), F.count("*").alias("times"), F.first("halves").alias("halves")))
     near = near_lines(docs, lines, min_chars, id_col, text_col)
+    let_go(docs.sparkSession)
     before = lines.join(near, LINE, "left").select(*LINE, "times", "place", F.least("place", F.coalesce("before", "place")).alias("first"))
     first = checkpointed(before.filter("times > 1 or first < place").select(*LINE, "first"))
     gone = every.select(*LINE, *PLACE).join(first, LINE).filter(F.struct(*PLACE) > F.col("first"))
@@ -170,6 +171,7 @@ def unused(docs: DataFrame, name: str) -> str:
 def drop_lines(docs: DataFrame, min_chars: int = 20, id_col: str = "doc_id", text_col: str = "text", n_lines: str = "n_lines_", n_dropped: str = "n_dropped_") -> DataFrame:
     """``docs`` with shortened texts and two more columns: lines there were, lines dropped."""
     gone = dropped_lines(docs, min_chars, id_col, text_col)
+    let_go(docs.sparkSession)
     rid_, content_, lines_, dropped_ = (unused(docs, x) for x in ("rid", "content", "lines", "dropped"))
     keys = docs.withColumns({rid_: rid(id_col), content_: F.xxhash64(text_col), lines_: F.split(F.col(text_col), "\n")}).drop(text_col)
     found = bounded(gone).select(F.col("rid").alias(rid_), F.col("content").alias(content_), F.col("dropped").alias(dropped_))

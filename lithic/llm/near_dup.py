@@ -41,7 +41,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lithic.llm.common import checkpointed, give_back, map_batches, with_small_batches, written
+from lithic.llm.common import checkpointed, give_back, let_go, map_batches, with_small_batches, written
 
 HASHES = 64
 #: Values of an order that texts are sorted by, and neighbours of a text that are confirmed at once.
@@ -283,6 +283,7 @@ def components(edges: DataFrame) -> DataFrame:
         now = checkpointed(small.distinct())
         seen = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if seen == mark:
+            let_go(edges.sparkSession)
             return now.groupBy("a").agg(F.min("b").alias("component")).select(F.col("a").alias("node"), "component")
         mark = seen
 
@@ -378,6 +379,7 @@ def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 85, trees: i
 
     rows = nodes.select("node", F.posexplode("keys").alias("tree", "key"))
     regions = checkpointed(shared(rows))
+    let_go(docs.sparkSession)
     near = forest.gathered(candidates(neighbours(regions, nodes, forest), nodes, forest))
     links = forest.gathered(confirmed(near, docs, nodes, forest, id_col, text_col).union(one_id(known, classes)))
     labels = components(links)
@@ -387,6 +389,7 @@ def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 85, trees: i
         groups = forest.gathered(open_groups(regions, labels, nodes, forest, closest))
         if groups.limit(1).count() == 0:
             break
+        let_go(docs.sparkSession)
         links = forest.gathered(links.union(linked(groups, docs, nodes, forest, id_col, text_col)))
         labels = components(links)
 
