@@ -196,7 +196,7 @@ def rate_medians(spark, sf):
 REPLY_SQL = "t AS (SELECT conv_id, turn, CASE (conv_id + turn) % 6 WHEN 0 THEN '' WHEN 1 THEN 'NOT_IN_SOURCES: ' || text WHEN 2 THEN 'The excerpts do not cover this. ' || text WHEN 3 THEN 'There is insufficient detail [S2]. ' || text WHEN 4 THEN text || ' [S1]' ELSE text END AS t FROM conversations)"
 
 
-@query("refusal_classes", f"WITH {REPLY_SQL}, c AS (SELECT trim(t) AS t, regexp_matches(left(trim(t), 400), '{ev.DECLINES.replace(chr(39), chr(39) * 2)}', 'i') AS hit, regexp_matches(t, '\[S\d+\]') AS cited, contains(lower(left(trim(t), 200)), 'not_in_sources') AS marked FROM t) SELECT (t = '' OR marked OR hit) AS refused, (t = '' OR (NOT marked AND hit AND cited)) AS ambiguous, count(*) AS n FROM c GROUP BY 1, 2")
+@query("refusal_classes", f"WITH {REPLY_SQL}, c AS (SELECT trim(t) AS t, regexp_matches(left(trim(t), 400), '{ev.DECLINES.replace(chr(39), chr(39) * 2)}', 'i') AS hit, regexp_matches(t, '{ev.CITED}') AS cited, contains(lower(left(trim(t), 200)), 'not_in_sources') AS marked FROM t) SELECT (t = '' OR marked OR hit) AS refused, (t = '' OR (NOT marked AND hit AND cited)) AS ambiguous, count(*) AS n FROM c GROUP BY 1, 2")
 def refusal_classes(spark, sf):
     """Replies that refuse, and those that a human must judge."""
     k, text = (F.col("conv_id") + F.col("turn")) % 6, F.col("text")
