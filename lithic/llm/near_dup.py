@@ -46,8 +46,9 @@ from lithic.llm.common import checkpointed, give_back, let_go, map_batches, with
 HASHES = 64
 #: Values of an order that texts are sorted by, and neighbours of a text that are confirmed at once.
 SORTED, NEIGHBOURS = 16, 3
-#: Ids that may be broadcast at once (32 MB), and bytes of signatures or shingle sets.
-BROADCAST_IDS, BROADCAST_BYTES = 1_000_000, 48 << 20
+#: Ids that may be broadcast at once (16 MB), and bytes of signatures or shingle sets: the driver holds
+#: a table some four times while it makes a broadcast of it.
+BROADCAST_IDS, BROADCAST_BYTES = 300_000, 16 << 20
 #: Texts of a region whose signatures are compared at once, pairs of a text confirmed first, and
 #: shingles on either side of a group that is confirmed at once.
 BLOCK, CLOSEST, SETS_AT_ONCE = 4096, 4, 1 << 18
