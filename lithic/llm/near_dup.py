@@ -21,8 +21,8 @@ that a pair at the threshold s meets in no tree is (1 - s**depth)**trees: 7e-6 a
 defaults. A candidate whose sizes cannot reach s, or whose signatures agree in far fewer values
 than s (five standard errors), is not carried to the full sets.
 
-Components are found by alternating large-star and small-star steps on tables; no link, set or
-label is collected. Defined cases: a null, empty or blank text has no shingles and is linked
+Components are found by alternating large-star and small-star steps on tables, or in one task
+where the links have been counted and are few; no link, set or label is collected. Defined cases: a null, empty or blank text has no shingles and is linked
 with nothing; fewer words than a shingle make one shingle of the whole sequence; repeated rows
 come back as often as they went in; rows without an id get no component and are kept; texts that
 share an id are linked through it, each with its own set; an empty table gives no rows; other
@@ -269,11 +269,41 @@ def linked(groups: DataFrame, docs: DataFrame, nodes: DataFrame, forest: Forest,
     return held.groupBy("group").applyInArrow(links, "a long, b long")
 
 
+def least_reachable(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(node, component) of every node of these edges but the least one of its component."""
+    ids, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y, root = at[: len(a)], at[len(a) :], np.arange(len(ids))
+    while (root[x] != root[y]).any():
+        low = np.minimum(root[x], root[y])
+        above = root.copy()
+        np.minimum.at(above, root[x], low)
+        np.minimum.at(above, root[y], low)
+        while (above != above[above]).any():
+            above = above[above]
+        root = above
+    moved = np.flatnonzero(root != np.arange(len(ids)))
+    return ids[moved], ids[root[moved]]
+
+
+def components_in_a_task(edges: DataFrame) -> DataFrame:
+    """``components`` of edges that have been counted: one task holds them as arrays."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ends = [(batch.column("a").to_numpy(), batch.column("b").to_numpy()) for batch in batches]
+        a, b = (np.concatenate([np.empty(0, np.int64), *side]) for side in (zip(*ends, strict=True) if ends else ((), ())))
+        node, component = least_reachable(a, b)
+        yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(component, pa.int64())], ["node", "component"])
+
+    return checkpointed(edges.coalesce(1).mapInArrow(run, "node long, component long"))
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """(node, component): the least node reachable, for every node of the edges but that least one."""
+    """(node, component): the least node reachable, for every node of the edges but that least one.
+
+    Edges that one task can hold are joined there; the others by alternating star steps on tables."""
     now, mark = checkpointed(edges.select("a", "b").filter("a != b").distinct()), None
     if now.count() <= EDGES_A_TASK:
-        now = now.coalesce(1)  # so few edges need no exchange between tasks
+        return components_in_a_task(now)
     while True:
         both = now.select("a", "b").union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))

@@ -1,5 +1,7 @@
 import random
 
+import pytest
+
 from lithic.llm import near_dup
 from lithic.llm.queries import op6_near_duplicates
 from tests.llm.brute import similar_groups
@@ -87,7 +89,10 @@ def test_blocks_of_open_pairs(spark, monkeypatch):
     test_families_of_several_components(spark)
 
 
-def test_components_of_random_graphs(spark):
+@pytest.mark.parametrize("in_a_task", [500_000, 0])
+def test_components_of_random_graphs(spark, monkeypatch, in_a_task):
+    monkeypatch.setattr(near_dup, "EDGES_A_TASK", in_a_task)
+    assert near_dup.components(spark.createDataFrame([], "a long, b long")).count() == 0
     rng = random.Random(7)
     edges = [(i, i + 1) for i in range(100, 160)] + [(rng.randrange(80), rng.randrange(80)) for _ in range(45)] + [(500, 500 + i) for i in range(1, 40)]
     parent = {x: x for e in edges for x in e}
