@@ -63,32 +63,35 @@ def bm25(questions: DataFrame, corpus: DataFrame, qkey: str, qtext: str, key: st
     return parts.join(asked, "token").groupBy(qkey, key).agg(F.round(F.sum(F.col("part") * F.col("times")), DIGITS).alias("score"))
 
 
-def lexical_arms(questions: DataFrame, corpus: DataFrame, qkey: str, qtext: str, key: str, text: str, k: int = 20) -> DataFrame:
+def lexical_arms(questions: DataFrame, corpus: DataFrame, qkey: str, qtext: str, key: str, text: str, k: int = 20, cell: str | None = None, allowed: str | None = None) -> DataFrame:
     """(qkey, key, score, cover): a superset of the best k documents of each question by BM25 and by
     the weighted share of its different tokens, with both scores (A-LX3).
 
     Questions are taken in blocks of QUERY_BLOCK, whose terms and weights every task holds; a task
     scores its documents as arrays and hands on its best k a question and arm, so that neither
     postings nor pairs of questions and documents are shuffled. Counts a token come from one
-    aggregate before.
+    aggregate before. With ``cell``, a string column of the corpus, and ``allowed``, a list column of the
+    questions, a question ranks only documents of its cells; statistics stay those of the whole corpus.
     """
     t = tokens(F.coalesce(F.col(text), F.lit("")))
     n_docs, mean = corpus_stats(corpus, text).first()
     df = corpus.select(F.explode(F.array_distinct(t)).alias("token")).groupBy("token").agg(F.count("*").alias("df"))
     weights = term_weights(df, questions.sparkSession.createDataFrame([(n_docs, mean)], "N long, avgdl double"), counted=True)
     asked = questions.select(qkey, F.explode(tokens(F.coalesce(F.col(qtext), F.lit("")))).alias("token")).groupBy(qkey, "token").agg(F.count("*").alias("times"))
-    ordered = questions.select(qkey).orderBy(qkey)
+    cells = [allowed] if allowed else []
+    ordered = questions.select(qkey, *cells).orderBy(qkey)
     out = None
     for begin in range(0, questions.count(), QUERY_BLOCK):
         block = ordered.offset(begin).limit(QUERY_BLOCK)
-        rows = asked.join(F.broadcast(block), qkey).join(weights, "token").select(qkey, "token", "times", "idf").orderBy(qkey, "token").collect()  # the terms of a block
+        rows = asked.join(F.broadcast(block), qkey).join(weights, "token").select(qkey, "token", "times", "idf", *cells).orderBy(qkey, "token").collect()  # the terms of a block
         if rows:
-            found = _lexical_block(rows, corpus.select(key, t.alias("t")), float(mean), k, qkey, key)
+            documents = corpus.select(key, t.alias("t"), *([cell] if cell else []))
+            found = _lexical_block(rows, documents, float(mean), k, qkey, key, cell, allowed)
             out = found if out is None else out.union(found)
     return out if out is not None else questions.sparkSession.createDataFrame([], f"{qkey} long, {key} long, score double, cover double")
 
 
-def _lexical_block(rows: list, documents: DataFrame, mean: float, k: int, qkey: str, key: str) -> DataFrame:
+def _lexical_block(rows: list, documents: DataFrame, mean: float, k: int, qkey: str, key: str, cell: str | None, allowed: str | None) -> DataFrame:
     ids, q = np.unique(np.array([r[qkey] for r in rows], np.int64), return_inverse=True)
     terms = sorted({r["token"] for r in rows})
     number = {x: i for i, x in enumerate(terms)}
@@ -100,6 +103,13 @@ def _lexical_block(rows: list, documents: DataFrame, mean: float, k: int, qkey:
     weighed = (idf * np.array([r["times"] for r in rows]))[order]
     first = np.searchsorted(term[order], np.arange(len(terms) + 1))
     step = max(1, 2_000_000 // len(ids))
+    wanted = sorted({c for r in rows for c in r[allowed] if c is not None}) if allowed else []
+    place = {c: i for i, c in enumerate(wanted)}
+    open_to = np.zeros((len(ids), len(wanted) + 1), bool)  # the last column is for cells that nobody asks for
+    for i, r in zip(q, rows, strict=True):
+        for c in r[allowed] if allowed else ():
+            if c is not None:
+                open_to[i, place[c]] = True
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import pyarrow.compute as pc
@@ -120,9 +130,13 @@ def _lexical_block(rows: list, documents: DataFrame, mean: float, k: int, qkey:
             ask = np.repeat(first[at], n) + np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
             pair = d[row] * len(ids) + asks[ask]
             scores = [np.round(np.bincount(pair, weights=w, minlength=len(keys) * len(ids)).reshape(len(keys), len(ids)).T, DIGITS) for w in (value[row] * weighed[ask], plain[ask])]
+            fits = True
+            if cell:
+                at_cell = pc.fill_null(pc.index_in(batch.column(cell), value_set=pa.array(wanted, pa.string())), -1).to_numpy(zero_copy_only=False)
+                fits = open_to[:, at_cell]
             for arm in (0, 1):
                 mine, other = scores[arm], scores[1 - arm]
-                both = np.concatenate([best[arm][:, :, 0], np.where(mine > 0, mine, -np.inf)], axis=1)
+                both = np.concatenate([best[arm][:, :, 0], np.where((mine > 0) & fits, mine, -np.inf)], axis=1)
                 others = np.concatenate([best[arm][:, :, 1], other], axis=1)
                 names = np.concatenate([held[arm], np.broadcast_to(keys, mine.shape)], axis=1)
                 top_ = np.lexsort((names, -both), axis=1)[:, :k]
