@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lithic.llm import decontaminate, line_dedup, near_dup, quality, secrets, sentencepiece_arrays, sharding, substrings, token_counts, url_filter
+from lithic.llm import alignment, decontaminate, line_dedup, merkle, near_dup, quality, secrets, sentencepiece_arrays, sharding, substrings, token_counts, topk, url_filter
 from lithic.llm.common import table, vocabulary
 
 URL_RULES = tuple(url_filter.host_rule(*r) for r in (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")))
@@ -79,6 +79,21 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", F.col("n_lines_").alias("n_lines"), F.col("n_dropped_").alias("n_dropped"), F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op11_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of two vocabularies in every document, their common groups, and counts of linked pairs."""
+    return alignment.align(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"))
+
+
+def op12_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best candidates, by integer inner product, of every 50th vector."""
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, subroot of the source, root and proof of every document, and what tampered texts fold to."""
+    return merkle.manifest(table(spark, sf_dir, "documents"), tampered=F.crc32(F.col("doc_id").cast("string")) % 5 == 0)
+
+
 def _url_sql() -> str:
     blocked = " OR ".join(f"regexp_matches(low, '{r.pattern}')" for r in url_filter.PATTERNS)
     listed = ", ".join(f"('{r.name.partition('/')[0]}', '/{r.name.partition('/')[2]}', '{r.verdict}')" for r in URL_RULES)
@@ -104,6 +119,60 @@ FROM parts LEFT JOIN best USING (r)
 """
 
 
+def _manifest_sql() -> str:
+    def leaf(text: str) -> str:
+        return f"sha256({' || '.join(f"coalesce(strlen(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '-')" for c in ('doc_id', 'source', 'lang', 'n_chars', text))})"
+
+    crc = "xor(list_reduce(list_prepend(4294967295, list_transform(range(1, length(CAST(doc_id AS VARCHAR)) + 1), lambda i: CAST(ascii(CAST(doc_id AS VARCHAR)[i]) AS BIGINT))), lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295)"
+    return f"""
+WITH RECURSIVE leaves AS (
+  SELECT doc_id, coalesce('=' || source, '') AS grp, {leaf('text')} AS leaf,
+         CASE WHEN {crc} % 5 = 0 THEN {leaf(f"translate(text, '{merkle.UPPER}', '{merkle.LOWER}')")} ELSE {leaf('text')} END AS kept
+  FROM documents),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY grp ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY grp) AS n FROM leaves),
+nodes AS (
+  SELECT grp, 0 AS lvl, pos, leaf AS node, n FROM placed
+  UNION ALL
+  SELECT grp, lvl + 1, pos // 16, sha256(string_agg(node, '' ORDER BY pos)), (n + 15) // 16 FROM nodes WHERE n > 1 GROUP BY grp, lvl, pos // 16, n),
+subroots AS (
+  SELECT grp, lvl AS depth, node AS subroot, row_number() OVER (ORDER BY grp) - 1 AS pos, count(*) OVER () AS n FROM nodes WHERE n = 1),
+tops AS (
+  SELECT 0 AS lvl, pos, subroot AS node, n FROM subroots
+  UNION ALL
+  SELECT lvl + 1, pos // 16, sha256(string_agg(node, '' ORDER BY pos)), (n + 15) // 16 FROM tops WHERE n > 1 GROUP BY lvl, pos // 16, n),
+runs AS (SELECT grp, lvl, pos // 16 AS run, string_agg(node, '' ORDER BY pos) AS held FROM nodes WHERE n > 1 GROUP BY grp, lvl, pos // 16),
+top_runs AS (SELECT lvl, pos // 16 AS run, string_agg(node, '' ORDER BY pos) AS held FROM tops WHERE n > 1 GROUP BY lvl, pos // 16),
+steps AS (
+  SELECT p.grp, p.pos, r.lvl, held, CAST(64 * ((p.pos // CAST(pow(16, r.lvl) AS BIGINT)) % 16) AS BIGINT) AS place
+  FROM placed p JOIN runs r ON r.grp = p.grp AND r.run = p.pos // CAST(pow(16, r.lvl + 1) AS BIGINT)
+  UNION ALL
+  SELECT p.grp, p.pos, s.depth + r.lvl, held, CAST(64 * ((s.pos // CAST(pow(16, r.lvl) AS BIGINT)) % 16) AS BIGINT)
+  FROM placed p JOIN subroots s ON s.grp = p.grp JOIN top_runs r ON r.run = s.pos // CAST(pow(16, r.lvl + 1) AS BIGINT)),
+sides AS (SELECT grp, pos, lvl, substr(held, 1, place) AS l, substr(held, place + 65) AS r FROM steps),
+proofs AS (SELECT grp, pos, string_agg(l || r, '' ORDER BY lvl) AS proof, count(*) AS depth FROM sides GROUP BY grp, pos),
+folds AS (
+  SELECT grp, pos, 0 AS lvl, kept AS made FROM placed
+  UNION ALL
+  SELECT f.grp, f.pos, f.lvl + 1, sha256(s.l || f.made || s.r) FROM folds f JOIN sides s ON s.grp = f.grp AND s.pos = f.pos AND s.lvl = f.lvl)
+SELECT p.doc_id, p.leaf, s.subroot, t.node AS root, sha256(coalesce(q.proof, '')) AS proof_sha256, f.made AS folded_root, f.made = t.node AS verified
+FROM placed p JOIN subroots s ON s.grp = p.grp JOIN tops t ON t.n = 1
+LEFT JOIN proofs q ON q.grp = p.grp AND q.pos = p.pos
+JOIN folds f ON f.grp = p.grp AND f.pos = p.pos AND f.lvl = coalesce(q.depth, 0)
+"""
+
+
+TOP_K_SQL = """
+WITH parts AS (SELECT vec_id, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings),
+whole AS (SELECT vec_id, i, CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) AS x FROM parts),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(sum(q.x * c.x) AS BIGINT) AS score
+  FROM whole q JOIN whole c ON q.i = c.i AND q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0 GROUP BY q.vec_id, c.vec_id),
+ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scored)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
+"""
+
+
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_sentencepiece": op2_sentencepiece,
@@ -115,6 +184,9 @@ QUERIES = {
     "op8_sharding": op8_sharding,
     "op9_url_filters": op9_url_filters,
     "op10_line_dedup": op10_line_dedup,
+    "op11_tokenizer_alignment": op11_tokenizer_alignment,
+    "op12_exact_top_k": op12_exact_top_k,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
 
-ORACLE = {"op9_url_filters": _url_sql()}
+ORACLE = {"op9_url_filters": _url_sql(), "op12_exact_top_k": TOP_K_SQL, "op13_merkle_manifest": _manifest_sql()}
