@@ -143,8 +143,8 @@ def shared(rows: DataFrame) -> DataFrame:
 def neighbours(regions: DataFrame, nodes: DataFrame, forest: Forest) -> DataFrame:
     """(a, b): texts that stand side by side in the order of a tree, the closest of each text.
 
-    Orders are dealt by range with the text last, so that texts of one signature part evenly; the
-    pairs at the ends of ranges are left to the round of open pairs."""
+    Orders are dealt by range with the text last, so that texts of one signature part evenly; a pair
+    that the end of a range parts is an open pair of its region, however small, in the last round."""
     depth, start = forest.depth, f"int(tree * {HASHES} / {forest.trees}) * 4"
     turned = F.expr(f"substring(concat(substring(signed, {start} + 1), substring(signed, 1, {start})), 1, {4 * SORTED})")
     rows = regions.select("tree", "node").join(nodes.select("node", "signed"), "node").select("tree", turned.alias("order"), "node")
@@ -332,9 +332,10 @@ def open_groups(regions: DataFrame, labels: DataFrame, nodes: DataFrame, forest:
     A region is dealt in blocks and every pair of its blocks is a row of its own, so a region of
     any size is spread over tasks."""
     placed = regions.select(*REGION, "node", "many").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    mixed = placed.groupBy(*REGION).agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.mode("component").alias("main")).filter("lo < hi")
+    held = placed.groupBy(*REGION, "component").agg(F.count("*").alias("times"))
+    mixed = held.groupBy(*REGION).agg(F.count("*").alias("several"), F.max_by("component", F.struct("times", "component")).alias("main")).filter("several > 1")
     blocks = F.ceil(F.col("many") / BLOCK).cast("int")
-    rows = placed.filter("many > 2").join(checkpointed(mixed.select(*REGION, "main")), REGION)
+    rows = placed.join(checkpointed(mixed.select(*REGION, "main")), REGION)
     rows = rows.join(nodes.select("node", "n", "signed"), "node").withColumn("i", F.pmod(F.xxhash64("node"), blocks).cast("int"))
     dealt = rows.withColumn("j", F.explode(F.sequence(F.lit(0), blocks - 1)))
     units = dealt.groupBy(*REGION, F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j")).agg(

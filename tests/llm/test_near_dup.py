@@ -72,6 +72,25 @@ def test_families_of_several_components(spark):
     assert result(near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))) == similar_groups(rows)
 
 
+def test_pairs_that_only_regions_of_two_hold(spark):
+    """One tree, many ranges of its order: pairs of two are joined wherever an end of a range falls."""
+    rng = random.Random(9)
+    rows = []
+    for _ in range(400):
+        words = [f"p{rng.randrange(10**9)}" for _ in range(70)]
+        rows += [(len(rows), " ".join(words)), (len(rows) + 1, " ".join([*words, "more"]))]
+    parts = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "64")
+        got = result(near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), trees=1))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+    forest = near_dup.Forest(3, 85, 1, 4)
+    region = {i: near_dup.prefix_keys(near_dup.signature(near_dup.shingle_set(t, 3)), forest.tree_at, 4)[0] for i, t in rows}
+    share = [i for i in range(0, len(rows), 2) if region[i] == region[i + 1]]
+    assert len(share) > 300 and all(got[i + 1][1] == i for i in share)
+
+
 def test_one_id_with_several_texts_and_joins_beyond_the_bounds(spark, monkeypatch):
     """Every text of an id is compared, and their links meet in the id."""
     monkeypatch.setattr(near_dup, "BROADCAST_IDS", 0)
