@@ -138,13 +138,15 @@ def test_aliases(spark):
 
 
 def test_plans(spark):
-    texts = {1: ("thus must because", "fallback"), 2: ("what is the latest US capital guidance", "single_jurisdiction"), 3: ("what changes are required to the model inventory", "jurisdiction_fanout"), 4: ("how has the guidance changed", "version_fanout"), 5: ("US and UK rules", "jurisdiction_fanout"), 6: ("CRE old text", "version_fanout"), 7: ("CRE text", "single_document"), 8: ("CRE against SR 11-7", "document_fanout")}
+    texts = {1: ("thus must because", "fallback"), 2: ("what is the latest US capital guidance", "single_jurisdiction"), 3: ("what changes are required to the model inventory", "jurisdiction_fanout"), 4: ("how has the guidance changed", "fallback"), 5: ("US and UK rules", "jurisdiction_fanout"), 6: ("CRE old text", "version_fanout"), 7: ("CRE text", "single_document"), 8: ("CRE against SR 11-7", "document_fanout")}
     asked = spark.createDataFrame([(k, t) for k, (t, _) in texts.items()], "q long, t string")
     named = spark.createDataFrame([(6, 1), (7, 1), (8, 2)], "q long, n_documents int")
     planned = planning.plan_modes(asked, "q", "t", named)
     assert {r["q"]: r["mode"] for r in planned.collect()} == {k: m for k, (_, m) in texts.items()}
     counts = {r["q"]: r["count"] for r in planning.facets(planned, "q").groupBy("q").count().collect()}
-    assert counts[1] == 3 and counts[2] == 1 and counts[4] == 2 and counts[5] == 2
+    assert counts[1] == 3 and counts[2] == 1 and counts[4] == 3 and counts[5] == 2
+    weak = planning.plan_modes(asked.filter("q = 4"), "q", "t", named, weak_version=True)
+    assert weak.first()["mode"] == "version_fanout" and planning.facets(weak, "q").count() == 2
 
 
 def test_gate(spark):
