@@ -1,17 +1,13 @@
-"""What comes before a search: reading a question, the names it holds, and what is said back (A-GA*).
+"""Words of the gate that name no document, and what its results depend on (A-GA2, A-GA11).
 
-Vocabulary is the registry's and small; it is read on the driver. ``planning.decide`` is the cascade.
+``reading`` reads questions in a plan and ``planning.decide`` is the cascade.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
-from collections.abc import Callable, Iterable
 
-from pyspark.sql import DataFrame
-
-from lithic.operators.planning import JURISDICTIONS, STRONG_VERSION, SUBJECTS
+from lithic.operators.planning import JURISDICTIONS
 
 #: Words that describe a kind of document and name none.
 DESCRIPTORS = (
@@ -25,94 +21,11 @@ def words(text: str) -> list[str]:
     return re.findall(r"[a-z0-9]+", text.lower())
 
 
-def holds(text: str, term: str) -> bool:
-    return re.search(rf"(?<![a-z0-9]){re.escape(term)}(?![a-z0-9])", text.lower()) is not None
-
-
-def short_names(registry: DataFrame, most: int = 100_000) -> list[str]:
-    """Names in file order; a registry is a curated list, and beyond ``most`` it is not one."""
-    rows = registry.select("short_name").limit(most + 1).collect()
-    if len(rows) > most:
-        raise ValueError("too many names for a registry")
-    return [r[0] for r in rows]
-
-
-def ambiguous_tokens(names: Iterable[str]) -> set[str]:
-    """Tokens of two names or more, which identify none (A-GA1)."""
-    seen = Counter(t for n in names for t in set(words(n)))
-    return {t for t, n in seen.items() if n > 1}
-
-
 def generic_tokens() -> set[str]:
     """Descriptors and every word that names a jurisdiction or regulator (A-GA2)."""
     return set(DESCRIPTORS) | {t for terms in JURISDICTIONS.values() for term in terms for t in words(term)}
 
 
-def document_seen(name: str, question: str) -> bool:
-    """Whether a question holds all that tells a document's name apart (A-GA3)."""
-    content = set(words(name)) - generic_tokens()
-    return bool(content) and all(holds(question, t) for t in content)
-
-
-def name_kind(name: str, names: list[str]) -> tuple[str, str]:
-    """EXACT with the name, FAMILY, ABSENT or NONE, by tokens in common (A-GA4)."""
-    asked, shared_by_many = set(words(name)), ambiguous_tokens(names)
-    if not asked:
-        return "NONE", ""
-    common = [(asked & set(words(n)), n) for n in names]
-    telling = [(len(c), n) for c, n in common if c - shared_by_many]
-    if telling:
-        return "EXACT", max(telling, key=lambda x: x[0])[1]
-    if any(c for c, _ in common):
-        return "FAMILY", ""
-    return ("ABSENT", "") if asked - generic_tokens() else ("NONE", "")
-
-
-def read_question(question: str, names: list[str]) -> dict:
-    """What a question's own words say: subject, jurisdictions, version, documents (A-GA8)."""
-    found = {k: [n for n, terms in table.items() if any(holds(question, t) for t in terms)] for k, table in (("subjects", SUBJECTS), ("jurisdictions", JURISDICTIONS))}
-    one = lambda x: x[0] if len(x) == 1 else None
-    return {"subject": one(found["subjects"]), "jurisdiction": one(found["jurisdictions"]), "jurisdictions": found["jurisdictions"], "version": any(holds(question, t) for t in STRONG_VERSION), "documents": [n for n in names if document_seen(n, question)]}
-
-
-def classified(question: str, names: list[str], extract: Callable[[str], dict] | None = None) -> dict:
-    """An extraction in which what was read goes over what a model said; without one, it passes (A-GA9)."""
-    read = read_question(question, names)
-    if read["documents"]:
-        return read | {"banking": True, "name_kind": "EXACT", "document_seen": True, "subject_read": read["subject"] is not None}
-    try:
-        said = extract(question) if extract else {}
-    except Exception:  # noqa: BLE001  a model that is down must not stop a question
-        said = {}
-    name = str(said.get("document") or "")
-    merged = {k: said.get(k) for k in ("subject", "jurisdiction")} | {k: v for k, v in read.items() if v}
-    return merged | {"jurisdictions": read["jurisdictions"], "banking": bool(said.get("banking", True)), "name_kind": name_kind(name, names)[0], "document_seen": document_seen(name, question) if name else None, "subject_read": read["subject"] is not None}
-
-
-def locked_documents(x: dict, cells: dict[tuple[str, str], list[str]]) -> list[str]:
-    """Documents that the grid settles for a question of several jurisdictions (A-GA6)."""
-    if not x.get("subject") or not x.get("subject_read") or len(x.get("jurisdictions") or []) < 2:
-        return []
-    held = [sorted(cells.get((x["subject"], j), [])) for j in x["jurisdictions"]]
-    return [names[0] for names in held if len(names) == 1]
-
-
-def clarifying_text(x: dict, cells: dict[tuple[str, str], list[str]]) -> str:
-    """What is asked back, with the choices that the grid holds (A-GA7)."""
-    subject = x.get("subject")
-    if not subject:
-        return "Which subject do you mean: " + ", ".join(sorted({s for s, _ in cells})) + "?"
-    held = {j: sorted(n) for (s, j), n in sorted(cells.items()) if s == subject and n}
-    if not held:
-        return f"Nothing is held on {subject}. Which document or regulator do you mean?"
-    return f"On {subject}, which do you mean: " + "; ".join(f"{j} ({', '.join(n)})" for j, n in held.items()) + "?"
-
-
-def question_sent(question: str, locked: list[str]) -> str:
-    """The question with the documents that are settled (A-GA10)."""
-    return f"{question} ({', '.join(locked)})" if locked else question
-
-
 def config_text(**settings) -> str:
     """What a result depends on besides its question, as one string (A-GA11, A-GE14)."""
     return "|".join(f"{k}={settings[k]}" for k in sorted(settings))

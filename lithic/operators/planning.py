@@ -107,16 +107,6 @@ def alias_index(registry: DataFrame) -> DataFrame:
     return rows.withColumn("owners_", owners).filter("owners_ = 1").drop("owners_").withColumn("pattern", F.concat(F.lit(r"(?<![a-z0-9])\Q"), "alias", F.lit(r"\E"), tail, F.lit("(?![a-z0-9])")))
 
 
-def documents_named(questions: DataFrame, index: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, doc_id, short_name, alias): documents a question names, by their longest alias (A-PL5).
-
-    The index is a registry's, which is broadcast by the size Spark knows of it.
-    """
-    met = questions.select(key, F.lower(text).alias("q_")).join(index, F.expr("regexp_like(q_, pattern)"))
-    order = Window.partitionBy(key, "doc_id").orderBy(F.desc(F.length("alias")), "alias")
-    return met.withColumn("n_", F.row_number().over(order)).filter("n_ = 1").select(key, "doc_id", "short_name", "alias")
-
-
 def named_in(lowered: Column, tables: dict[str, Sequence[str]]) -> Column:
     """The entries of a term table that a text mentions, in the table's order."""
     each = [F.when(F.size(terms_in(lowered, terms)) > 0, F.lit(name)) for name, terms in tables.items()]
@@ -166,11 +156,12 @@ def corpus_grid(registry: DataFrame) -> DataFrame:
     return registry.groupBy("subject", "jurisdiction").agg(F.array_sort(F.collect_list("short_name")).alias("names"))
 
 
-def decide(extractions: DataFrame, grid: DataFrame) -> DataFrame:
+def decide(extractions: DataFrame, grid: DataFrame, status: DataFrame | None = None) -> DataFrame:
     """``extractions`` with the gate's decision (A-GA5): a cascade over what the registry holds.
 
     Columns: banking, subject, jurisdiction, jurisdictions (array), subject_read (from the text),
-    name_kind (EXACT, FAMILY, ABSENT or NONE), document_seen.
+    name_kind (EXACT, FAMILY, ABSENT or NONE), document_seen. With ``status`` (``status_view``) and
+    version, a question of old against new is settled where each side holds one document.
     """
     cells = grid.select("subject", "jurisdiction", F.size("names").alias("n"))
     held = cells.groupBy("subject").agg(F.map_from_entries(F.collect_list(F.struct("jurisdiction", "n"))).alias("cells"))
@@ -186,10 +177,20 @@ def decide(extractions: DataFrame, grid: DataFrame) -> DataFrame:
     many = F.size("asked") > 1
     read = F.col("su").isNotNull() & F.col("subject_read")
     n_held = F.size(F.map_keys(F.coalesce("cells", F.create_map().cast("map<string,int>"))))
+    sided = crowded = F.lit(False)
+    if status is not None:
+        names = status.select("subject", "jurisdiction", "bucket", F.explode("names").alias("name"))
+        counted = names.groupBy("subject", "bucket", "jurisdiction").agg(F.count_distinct("name").alias("n")).unionByName(names.groupBy("subject", "bucket").agg(F.count_distinct("name").alias("n")).withColumn("jurisdiction", F.lit("*")))
+        sides = counted.groupBy(F.col("subject").alias("side_subject")).agg(F.map_from_entries(F.collect_list(F.struct(F.concat("bucket", F.lit("|"), "jurisdiction"), "n"))).alias("sides"))
+        x = x.join(F.broadcast(sides), F.col("su") == F.col("side_subject"), "left")
+        now, before = (F.coalesce(F.try_element_at("sides", F.concat(F.lit(f"{b}|"), F.coalesce("ju", F.lit("*")))), F.lit(0)) for b in ("current", "historic"))
+        sided = F.coalesce(read & F.col("version") & (now > 0) & (before > 0), F.lit(False))
+        crowded = (now > 1) | (before > 1)
     decision = (
         F.when(~F.col("banking"), "OUT_OF_DOMAIN").when(F.col("name_kind") == "EXACT", "ANSWERABLE")
         .when((F.col("name_kind") == "ABSENT") & F.coalesce(F.col("document_seen"), F.lit(True)), "OUT_OF_CORPUS")
         .when(many & ~F.coalesce(read, F.lit(False)), "INCOMPLETE").when(many & (F.size(covered) > 0) & ~several, "ANSWERABLE").when(many, "INCOMPLETE")
+        .when(sided & crowded, "INCOMPLETE").when(sided, "ANSWERABLE")
         .when(F.col("su").isNull(), "INCOMPLETE").when(F.col("ju").isNull() & (n_held == 1), "ANSWERABLE").when(F.col("ju").isNull(), "INCOMPLETE")
         .when(in_cell(F.col("ju")) > 0, "ANSWERABLE").otherwise("INCOMPLETE")
     )
@@ -227,11 +228,6 @@ def gap_for(gaps: DataFrame, instrument: str) -> DataFrame:
     return gaps.filter(F.lower(F.trim("instrument")) == instrument.strip().lower())
 
 
-def gaps_mentioned(texts: DataFrame, gaps: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, instrument): texts that name a known gap (R16); gaps are a curated list."""
-    return texts.select(key, F.lower(text).alias("t_")).join(gaps.select("instrument", "short_name"), F.expr("contains(t_, lower(instrument)) or contains(t_, lower(short_name))")).select(key, "instrument")
-
-
 def payload(registry: DataFrame) -> DataFrame:
     """What each chunk carries of its document, dates as ISO text."""
     dates = {c: F.date_format(c, "yyyy-MM-dd") for c in ("effective_from", "effective_to")}

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lithic.operators import planning as pl
+from lithic.operators import reading
 from lithic.plans.base import query, table
 
 #: Suppliers play a registry: rank and status from their keys, successors the next key.
@@ -189,13 +190,15 @@ def known_gaps(spark: SparkSession) -> DataFrame:
 @query("gaps_mentioned", "SELECT item_id, instrument FROM benchmark, (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in GAPS) + ") g(instrument, short_name) WHERE contains(lower(text), lower(instrument)) OR contains(lower(text), lower(short_name))")
 def gaps_mentioned(spark, sf):
     """Questions that name a known gap."""
-    return pl.gaps_mentioned(table(spark, sf, "benchmark"), known_gaps(spark), "item_id", "text")
+    return reading.gaps_mentioned(table(spark, sf, "benchmark"), known_gaps(spark), "item_id", "text")
 
 
-@query("gap_for", "SELECT 'Order 17' AS instrument, 'O17' AS short_name")
+@query("gap_for", "SELECT p_name AS instrument, p_brand AS short_name FROM part WHERE lower(trim(p_name)) = (SELECT lower(trim(p_name)) FROM part WHERE p_partkey = 17)")
 def gap_for(spark, sf):
-    """A known gap whatever the case and the white space around it."""
-    return pl.gap_for(known_gaps(spark), "  oRDER 17 ")
+    """A known gap whatever the case and the white space around it (R15): parts play the gaps."""
+    parts = table(spark, sf, "part").select(F.col("p_name").alias("instrument"), F.col("p_brand").alias("short_name"), "p_partkey")
+    asked_for = f"  {parts.filter('p_partkey = 17').first()['instrument'].upper()} "
+    return pl.gap_for(parts.drop("p_partkey"), asked_for)
 
 
 @query("citation_text", f"WITH {REG_SQL} SELECT doc_id, short_name || CASE WHEN contains(short_name, volume::VARCHAR) THEN '' ELSE ', ' || volume END || ', p. ' || doc_id || ' (' || status || '; eff. 2024-01-02)' AS citation FROM reg")

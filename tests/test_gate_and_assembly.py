@@ -5,33 +5,68 @@ from lithic.operators import claims as cl
 from lithic.operators import features as ft
 from lithic.operators import gate, ingest, models
 from lithic.operators import planning as pl
+from lithic.operators import reading
 
 NAMES = ["SR 11-7", "SR 26-2", "Basel CRE", "Basel CAP", "SS1/23"]
 
 
-def test_names():
-    assert gate.ambiguous_tokens(NAMES) == {"sr", "basel"}
-    assert gate.name_kind("basel cre", NAMES) == ("EXACT", "Basel CRE") and gate.name_kind("Basel", NAMES)[0] == "FAMILY"
-    assert gate.name_kind("Solvency II", NAMES)[0] == "ABSENT" and gate.name_kind("US guidance", NAMES)[0] == "NONE" and gate.name_kind("", NAMES)[0] == "NONE"
-    assert gate.document_seen("Solvency II", "what does solvency ii say") and not gate.document_seen("Solvency II", "what of insolvency") and not gate.document_seen("the guidance", "the guidance")
-
-
-def test_reading_and_classifying():
-    read = gate.read_question("What do the US and the UK say on stress testing?", NAMES)
-    assert read["jurisdictions"] == ["US", "UK"] and read["subject"] == "stress_testing" and read["jurisdiction"] is None
-    wrong = lambda q: {"banking": True, "subject": "data_quality", "jurisdiction": "US", "document": "Solvency II"}
-    got = gate.classified("capital in the UK", NAMES, wrong)
-    assert got["subject"] == "capital_adequacy" and got["jurisdiction"] == "UK" and got["document_seen"] is False
-    assert gate.classified("model validation", NAMES, lambda q: 1 / 0)["banking"] is True
-    assert gate.classified("what does Basel CRE say", NAMES)["name_kind"] == "EXACT"
-
-
-def test_what_is_said_back():
-    cells = {("cap", "US"): ["A"], ("cap", "UK"): ["B", "C"], ("dq", "GLOBAL"): ["D"]}
-    x = {"subject": "cap", "subject_read": True, "jurisdictions": ["US", "UK"]}
-    assert gate.locked_documents(x, cells) == ["A"] and gate.locked_documents(x | {"jurisdictions": ["US"]}, cells) == []
-    assert "US (A)" in gate.clarifying_text(x, cells) and "dq" in gate.clarifying_text({}, cells)
-    assert gate.question_sent("q", ["A"]) == "q (A)" and gate.config_text(b=1, a=2) == "a=2|b=1"
+def names(spark):
+    return spark.createDataFrame(list(enumerate(NAMES)), "row_ord long, short_name string").withColumn("doc_id", F.col("row_ord"))
+
+
+def test_names(spark):
+    owners = {r["token"]: r["owners"] for r in reading.name_index(names(spark)).collect()}
+    assert {t for t, n in owners.items() if n > 1} == {"sr", "basel"}
+    asked = {1: "basel cre", 2: "Basel", 3: "Solvency II", 4: "US guidance", 5: "", 6: None, 7: "SR 26-2 and Basel CRE"}
+    got = {r["q"]: (r["name_kind"], r["hit"]) for r in reading.name_kinds(spark.createDataFrame(list(asked.items()), "q int, name string"), reading.name_index(names(spark)), "q", "name").collect()}
+    assert got == {1: ("EXACT", "Basel CRE"), 2: ("FAMILY", None), 3: ("ABSENT", None), 4: ("NONE", None), 5: ("NONE", None), 6: ("NONE", None), 7: ("EXACT", "SR 26-2")}
+    rows = [("Solvency II", "what does solvency ii say", True), ("Solvency II", "what of insolvency", False), ("the guidance", "the guidance", False)]
+    seen = spark.createDataFrame(rows, "name string, question string, want boolean")
+    assert seen.filter(reading.document_seen(F.col("name"), F.col("question")) != F.col("want")).count() == 0
+
+
+def test_reading_and_classifying(spark):
+    texts = {1: "What do the US and the UK say on stress testing?", 2: "capital in the UK", 3: "model validation", 4: "what does Basel CRE say", 5: "old and new capital"}
+    asked = spark.createDataFrame(list(texts.items()), "q int, t string")
+    read = {r["q"]: r for r in reading.readings(asked, "q", "t").collect()}
+    assert read[1]["jurisdictions"] == ["US", "UK"] and read[1]["subject"] == "stress_testing" and read[1]["jurisdiction"] is None and read[5]["version"]
+    said = spark.createDataFrame([(q, True, "data_quality", "US", "Solvency II") for q in (1, 2, 5)], "q int, banking boolean, subject string, jurisdiction string, document string")
+    got = {r["q"]: r for r in reading.classified(asked, said, names(spark), pl.alias_index(names(spark)), "q", "t").collect()}
+    assert (got[2]["subject"], got[2]["jurisdiction"], got[2]["document_seen"], got[2]["name_kind"]) == ("capital_adequacy", "UK", False, "ABSENT")
+    assert got[1]["jurisdiction"] is None and got[5]["jurisdiction"] == "US"
+    assert got[3]["banking"] and got[3]["name_kind"] == "EXACT" and got[4]["documents"] == ["Basel CRE"] and got[4]["name_kind"] == "EXACT"
+
+
+def test_what_is_said_back(spark):
+    grid = spark.createDataFrame([("cap", "US", ["A"]), ("cap", "UK", ["B", "C"]), ("dq", "GLOBAL", ["D"])], "subject string, jurisdiction string, names array<string>")
+    rows = [(1, "cap", True, ["US", "UK"], "INCOMPLETE"), (2, "cap", True, ["US"], "ANSWERABLE"), (3, None, False, [], "INCOMPLETE"), (4, "cap", False, ["US", "UK"], "INCOMPLETE"), (5, "dq", False, [], "INCOMPLETE"), (6, "cap", True, ["US", "GLOBAL"], "ANSWERABLE")]
+    judged = spark.createDataFrame(rows, "q int, subject string, subject_read boolean, jurisdictions array<string>, decision string").withColumn("question", F.lit("q"))
+    settled = {r["q"]: (r["locked"], r["sent"]) for r in reading.settled(judged, grid).collect()}
+    assert settled[1] == (["A"], "q") and settled[2] == ([], "q") and settled[4][0] == [] and settled[6] == (["A"], "q (A)")
+    told = {r["q"]: r["message"] for r in reading.clarified(judged, grid).collect()}
+    assert told[1] == "On cap: US: using A; UK: B, C - which one?" and told[2] is None and told[5] == "On dq: GLOBAL: using D" and told[3] == told[4] == "Which document or regulator should be used?"
+    assert gate.config_text(b=1, a=2) == "a=2|b=1"
+
+
+def test_versions_are_settled_where_each_side_holds_one(spark):
+    grid = spark.createDataFrame([("cap", "US", ["A", "B"]), ("dq", "US", ["C", "D", "E"])], "subject string, jurisdiction string, names array<string>")
+    status = spark.createDataFrame([("cap", "US", "current", ["A"]), ("cap", "US", "historic", ["B"]), ("dq", "US", "current", ["C", "D"]), ("dq", "US", "historic", ["E"])], "subject string, jurisdiction string, bucket string, names array<string>")
+    rows = [(1, "cap", None, True, True, "ANSWERABLE"), (2, "dq", None, True, True, "INCOMPLETE"), (3, "dq", None, True, False, "ANSWERABLE"), (4, "dq", "US", False, True, "ANSWERABLE")]
+    x = spark.createDataFrame(rows, "q int, subject string, jurisdiction string, subject_read boolean, version boolean, want string")
+    x = x.withColumns({"banking": F.lit(True), "jurisdictions": F.array().cast("array<string>"), "name_kind": F.lit("NONE"), "document_seen": F.lit(None).cast("boolean")})
+    assert [r["q"] for r in pl.decide(x, grid, status).collect() if r["decision"] != r["want"]] == []
+
+
+def test_no_nested_loop_between_patterns_and_texts(spark, capsys):
+    asked = spark.createDataFrame([(1, "what does CRE36 say"), (2, "see ss1/23, or CAP 10."), (3, "secret crew")], "q int, t string")
+    found = reading.documents_named(asked, pl.alias_index(names(spark)), "q", "t")
+    assert {(r["q"], r["short_name"]) for r in found.collect()} == {(1, "Basel CRE"), (2, "SS1/23"), (2, "Basel CAP")}
+    gaps = spark.createDataFrame([("Regulation Q", "REG Q"), ("x", None), (" ", "zz")], "instrument string, short_name string")
+    held = reading.gaps_mentioned(spark.createDataFrame([(1, "the preg quota"), (2, "REGULATION Q"), (3, "oxen"), (4, "none")], "q int, t string"), gaps, "q", "t")
+    assert {(r["q"], r["instrument"]) for r in held.collect()} == {(1, "Regulation Q"), (1, " "), (2, "Regulation Q"), (2, " "), (3, "x")}
+    found.explain()
+    held.explain()
+    assert "NestedLoop" not in capsys.readouterr().out
 
 
 def test_chapters_pages_and_ids(spark):
@@ -81,7 +116,7 @@ def test_registry_lookups(spark):
     gaps = spark.createDataFrame([("Reg Z", "Z rule")], "instrument string, short_name string")
     assert pl.gap_for(gaps, " reg z ").count() == 1
     asked = spark.createDataFrame([(1, "what of REG Z"), (2, "nothing")], "q long, t string")
-    assert [r["q"] for r in pl.gaps_mentioned(asked, gaps, "q", "t").collect()] == [1]
+    assert [r["q"] for r in reading.gaps_mentioned(asked, gaps, "q", "t").collect()] == [1]
 
 
 def test_whole_answers(spark):

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lithic.operators import curves, learning, planning
 from lithic.operators import features as ft
+from lithic.operators import reading
 from lithic.sources import files
 from lithic.streaming import audit
 
@@ -133,7 +134,7 @@ def test_aliases(spark):
         held.setdefault(r["doc_id"], set()).add(r["alias"])
     assert {"sr 11-7", "sr117", "sr 11", "sr11"} <= held[1] and "sr 15" not in held[2] and "cre" in held[4] and "part 252" in held[5] and "pap" in held[6]
     asked = spark.createDataFrame([(1, "what does CRE36 say"), (2, "thus and sr 11-7"), (3, "secret crew")], "q long, t string")
-    got = {(r["q"], r["doc_id"], r["alias"]) for r in planning.documents_named(asked, planning.alias_index(df), "q", "t").collect()}
+    got = {(r["q"], r["doc_id"], r["alias"]) for r in reading.documents_named(asked, planning.alias_index(df), "q", "t").collect()}
     assert got == {(1, 4, "cre"), (2, 1, "sr 11-7")}
 
 
