@@ -41,31 +41,49 @@ def class_means(df: DataFrame, y: str, cols: Sequence[str]) -> DataFrame:
     return wide.select("*", diff.alias("diff"), (F.try_divide(diff, F.col("mean_0")) * 100).alias("diff_pct"))
 
 
-#: Ranges of values that are accumulated side by side.
-RANGES = 64
+#: Entries of the sketch that brackets quantiles; its error in rank is a share of 1 / SKETCH.
+SKETCH = 10_000
 
 
 def exact_quantiles(df: DataFrame, value: str, named: dict[str, float], by: Sequence[str] = ()) -> DataFrame:
     """Interpolated quantiles of each group, a column each; NULLs and NaN are left out.
 
-    Values are counted once a distinct value, dealt into ranges whose ends come from a sketch of
-    bounded size, and accumulated within each range after the counts of the ranges before, so no
-    task holds a column's values; the sketch moves the ranges and never the result.
+    A sketch of bounded size brackets each quantile. One more pass counts the values between and
+    beside brackets, and each value within one, so that only brackets are shuffled and sorted,
+    each in a task of its own. A rank outside its bracket, which the sketch's bound rules out, is
+    an error and never another value.
     """
     by = list(by)
     held = df.select(*by, F.col(value).cast("double").alias("v_")).filter("v_ is not null and not isnan(v_)")
-    counts = held.groupBy(*by, "v_").agg(F.count("*").alias("n_"))
-    ends = counts.groupBy(*by).agg(F.percentile_approx("v_", F.array(*(F.lit(i / RANGES) for i in range(1, RANGES))), 2_000).alias("ends_"), F.sum("n_").alias("all_"))
-    keyed = _joined(counts, ends, by).withColumn("range_", F.size(F.filter("ends_", lambda e: e < F.col("v_"))))
-    sums = keyed.groupBy(*by, "range_").agg(F.sum("n_").alias("in_"))
-    before = Window.partitionBy(*by, F.lit(0)).orderBy("range_").rowsBetween(Window.unboundedPreceding, -1)  # RANGES rows a group
-    offsets = sums.select(*by, "range_", F.coalesce(F.sum("in_").over(before), F.lit(0)).alias("before_"))
-    within = Window.partitionBy(*by, "range_").orderBy("v_").rowsBetween(Window.unboundedPreceding, 0)
-    run = _joined(keyed.withColumn("upto_", F.sum("n_").over(within)), offsets, [*by, "range_"]).withColumn("upto_", F.col("upto_") + F.col("before_"))
+    wide = 3.0 / SKETCH
+    places = [min(1.0, max(0.0, q + d)) for q in named.values() for d in (-wide, wide)]
+    bounds = held.groupBy(*by).agg(F.percentile_approx("v_", F.array(*map(F.lit, places)), SKETCH).alias("edges_"), F.count("*").alias("all_"))
+    # a bracket of a small group is the whole group: there, the next rank may lie beyond an edge of the sketch
+    small = F.col("all_") <= 4 * SKETCH
+    ends = (F.when(small, F.lit(end)).otherwise(F.col("edges_")[2 * i + k]).alias(f"{side}{i}_") for i in range(len(named)) for k, (side, end) in enumerate((("lo", float("-inf")), ("hi", float("inf")))))
+    bounds = bounds.select(*by, "all_", *ends)
+    if by:
+        placed = _joined(held, bounds, by)
+        lows, highs = ([F.col(f"{side}{i}_") for i in range(len(named))] for side in ("lo", "hi"))
+    else:
+        row = bounds.first()
+        placed = held.withColumn("all_", F.lit(row["all_"]))
+        lows, highs = ([F.lit(row[f"{side}{i}_"]) for i in range(len(named))] for side in ("lo", "hi"))
+    zone = sum(((F.col("v_") >= lo).cast("int") + (F.col("v_") > hi).cast("int") for lo, hi in zip(lows, highs, strict=True)), F.lit(0))
+    inside = reduce(lambda a, b: a | b, (F.col("v_").between(lo, hi) for lo, hi in zip(lows, highs, strict=True)))
+    counted = placed.groupBy(*by, "all_", zone.alias("zone_"), F.when(inside, F.col("v_")).alias("v_")).agg(F.count("*").alias("n_"))
+    within = Window.partitionBy(*by, "zone_").orderBy("v_").rowsBetween(Window.unboundedPreceding, 0)
+    sums = counted.groupBy(*by, "zone_").agg(F.sum("n_").alias("in_"))
+    before = Window.partitionBy(*by, F.lit(0)).orderBy("zone_").rowsBetween(Window.unboundedPreceding, -1)  # two zones a quantile
+    offsets = sums.select(*by, "zone_", F.coalesce(F.sum("in_").over(before), F.lit(0)).alias("before_"))
+    run = _joined(counted.withColumn("upto_", F.sum("n_").over(within)), offsets, [*by, "zone_"]).withColumn("upto_", F.col("upto_") + F.col("before_"))
     rank = {n: (F.col("all_") - 1) * F.lit(float(q)) for n, q in named.items()}
-    found = run.groupBy(*by).agg(F.max("all_").alias("all_"), *(F.min(F.when(F.col("upto_") > F.floor(r) + k, F.col("v_"))).alias(f"{n}_{k}_") for n, r in rank.items() for k in (0, 1)))
-    low, high = (lambda n: F.col(f"{n}_0_")), (lambda n: F.coalesce(F.col(f"{n}_1_"), F.col(f"{n}_0_")))
-    return found.select(*by, *((low(n) + (high(n) - low(n)) * (r - F.floor(r))).alias(n) for n, r in rank.items()))
+    at = lambda r, k: F.least(F.floor(r) + k, F.col("all_") - 1)
+    hit = lambda r, k: (F.col("upto_") > at(r, k)) & (F.col("upto_") - F.col("n_") <= at(r, k))
+    found = run.groupBy(*by, "all_").agg(*(F.max(F.when(hit(r, k), F.col("v_"))).alias(f"{n}_{k}_") for n, r in rank.items() for k in (0, 1)))
+    sure = lambda c: F.coalesce(F.col(c), F.raise_error(F.lit("a quantile lies outside its bracket")).cast("double"))
+    out = found.select(*by, *((sure(f"{n}_0_") + (sure(f"{n}_1_") - sure(f"{n}_0_")) * (r - F.floor(r))).alias(n) for n, r in rank.items()))
+    return out if by else df.sparkSession.range(1).join(F.broadcast(out), F.lit(True), "left").select(*named)
 
 
 def _joined(rows: DataFrame, small: DataFrame, by: Sequence[str]) -> DataFrame:

@@ -13,8 +13,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from lithic.functions.text import tokens
+from lithic.functions.text import TOKEN, tokens
 
 K1, B, FLOOR = 1.5, 0.75, 0.25
 DIGITS = 6
@@ -63,89 +64,180 @@ def bm25(questions: DataFrame, corpus: DataFrame, qkey: str, qtext: str, key: st
     return parts.join(asked, "token").groupBy(qkey, key).agg(F.round(F.sum(F.col("part") * F.col("times")), DIGITS).alias("score"))
 
 
+#: Terms of a block of questions that every task holds, and documents whose bounds are taken together.
+BLOCK_TERMS, BLOCK_DOCS = 200_000, 512
+
+
+def tokenised(corpus: DataFrame, text: str, *keep: str) -> DataFrame:
+    """``keep``, dl, terms and times: the different tokens of each document and how often they occur.
+
+    The same tokens as ``functions.text.tokens`` gives, made in one pass over Arrow batches."""
+    schema = corpus.select(*keep).schema.add("dl", T.IntegerType()).add("terms", T.ArrayType(T.StringType())).add("times", T.ArrayType(T.IntegerType()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import re
+        from collections import Counter
+
+        find, split = re.compile(TOKEN).findall, re.compile(r"[.\-/]").split
+        for batch in batches:
+            lengths, ends, terms, times = [], [0], [], []
+            for t in batch.column("text_").to_pylist():
+                found = find(t.lower()) if t else []
+                for x in [x for x in found if "." in x or "-" in x or "/" in x]:
+                    found += [p for p in split(x) if p]
+                held = Counter(found)
+                lengths.append(len(found))
+                terms += held.keys()
+                times += held.values()
+                ends.append(len(terms))
+            offsets = pa.array(ends, pa.int32())
+            made = [pa.array(lengths, pa.int32()), pa.ListArray.from_arrays(offsets, pa.array(terms, pa.string())), pa.ListArray.from_arrays(offsets, pa.array(times, pa.int32()))]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *made], [*keep, "dl", "terms", "times"])
+
+    return corpus.select(*keep, F.col(text).alias("text_")).mapInArrow(run, schema)
+
+
 def lexical_arms(questions: DataFrame, corpus: DataFrame, qkey: str, qtext: str, key: str, text: str, k: int = 20, cell: str | None = None, allowed: str | None = None) -> DataFrame:
     """(qkey, key, score, cover): a superset of the best k documents of each question by BM25 and by
     the weighted share of its different tokens, with both scores (A-LX3).
 
-    Questions are taken in blocks of QUERY_BLOCK, whose terms and weights every task holds; a task
-    scores its documents as arrays and hands on its best k a question and arm, so that neither
-    postings nor pairs of questions and documents are shuffled. Counts a token come from one
-    aggregate before. With ``cell``, a string column of the corpus, and ``allowed``, a list column of the
-    questions, a question ranks only documents of its cells; statistics stay those of the whole corpus.
+    The corpus is tokenised once and stored. Questions are taken in blocks of at most BLOCK_TERMS
+    terms, which every task holds; a task scores blocks of its documents, skips those that bounds keep
+    from the best k, and hands on its best k a question and arm, so that neither postings nor
+    pairs are shuffled. With ``cell``, a string column of the corpus, and ``allowed``, a list column of
+    the questions, a question ranks only documents of its cells; statistics stay the whole corpus's.
     """
-    t = tokens(F.coalesce(F.col(text), F.lit("")))
-    n_docs, mean = corpus_stats(corpus, text).first()
-    df = corpus.select(F.explode(F.array_distinct(t)).alias("token")).groupBy("token").agg(F.count("*").alias("df"))
-    weights = term_weights(df, questions.sparkSession.createDataFrame([(n_docs, mean)], "N long, avgdl double"), counted=True)
-    asked = questions.select(qkey, F.explode(tokens(F.coalesce(F.col(qtext), F.lit("")))).alias("token")).groupBy(qkey, "token").agg(F.count("*").alias("times"))
+    from lithic.sources.shared import stored
+
+    spark = questions.sparkSession
+    documents = stored(tokenised(corpus, text, key, *([cell] if cell else [])))
+    stats = documents.agg(F.count("*").alias("N"), F.avg("dl").alias("avgdl"))
+    df = documents.select(F.explode("terms").alias("token")).groupBy("token").agg(F.count("*").alias("df"))
+    weights = term_weights(df, stats, counted=True)
     cells = [allowed] if allowed else []
-    ordered = questions.select(qkey, *cells).orderBy(qkey)
+    asked = questions.select(qkey, *cells, F.explode(tokens(F.coalesce(F.col(qtext), F.lit("")))).alias("token")).groupBy(qkey, "token", *cells).agg(F.count("*").alias("times"))
+    told = stored(asked.join(weights, "token").select(qkey, "token", "times", "idf", *cells))
+    mean = stats.first()["avgdl"]
     out = None
-    for begin in range(0, questions.count(), QUERY_BLOCK):
-        block = ordered.offset(begin).limit(QUERY_BLOCK)
-        rows = asked.join(F.broadcast(block), qkey).join(weights, "token").select(qkey, "token", "times", "idf", *cells).orderBy(qkey, "token").collect()  # the terms of a block
-        if rows:
-            documents = corpus.select(key, t.alias("t"), *([cell] if cell else []))
-            found = _lexical_block(rows, documents, float(mean), k, qkey, key, cell, allowed)
-            out = found if out is None else out.union(found)
-    return out if out is not None else questions.sparkSession.createDataFrame([], f"{qkey} long, {key} long, score double, cover double")
+    for low, high in _blocks(told.groupBy(qkey).agg(F.count("*").alias("n")), qkey):
+        rows = told.filter(F.col(qkey).between(low, high)).orderBy(qkey, "token").collect()  # at most BLOCK_TERMS, or one question's
+        found = _lexical_block(rows, documents, float(mean), k, qkey, key, cell, allowed)
+        out = found if out is None else out.union(found)
+    return out if out is not None else spark.createDataFrame([], f"{qkey} long, {key} long, score double, cover double")
+
+
+def _blocks(sizes: DataFrame, qkey: str) -> Iterator[tuple[int, int]]:
+    """Ranges of questions, in order, that hold at most BLOCK_TERMS terms, or one question."""
+    low = high = None
+    held = 0
+    for row in sizes.orderBy(qkey).toLocalIterator():
+        if low is not None and held + row["n"] > BLOCK_TERMS:
+            yield low, high
+            low, held = None, 0
+        low, high, held = row[qkey] if low is None else low, row[qkey], held + row["n"]
+    if low is not None:
+        yield low, high
+
+
+def _runs(n: np.ndarray) -> np.ndarray:
+    ends = np.cumsum(n)
+    return np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - n, n)
+
+
+class _Best:
+    """The k best documents of each question by one score, with the other score."""
+
+    def __init__(self, n: int, k: int):
+        self.k, self.score, self.other, self.name = k, np.full((n, k), -np.inf), np.zeros((n, k)), np.zeros((n, k), np.int64)
+
+    def floor(self) -> np.ndarray:
+        return self.score[:, -1]
+
+    def put(self, q: np.ndarray, names: np.ndarray, score: np.ndarray, other: np.ndarray) -> None:
+        open_ = (score > 0) & (score >= self.floor()[q])
+        q, names, score, other = q[open_], names[open_], score[open_], other[open_]
+        for i in np.unique(q):
+            at = q == i
+            s, o, n = np.r_[self.score[i], score[at]], np.r_[self.other[i], other[at]], np.r_[self.name[i], names[at]]
+            order = np.lexsort((n, -s))[: self.k]
+            self.score[i], self.other[i], self.name[i] = s[order], o[order], n[order]
 
 
 def _lexical_block(rows: list, documents: DataFrame, mean: float, k: int, qkey: str, key: str, cell: str | None, allowed: str | None) -> DataFrame:
     ids, q = np.unique(np.array([r[qkey] for r in rows], np.int64), return_inverse=True)
     terms = sorted({r["token"] for r in rows})
     number = {x: i for i, x in enumerate(terms)}
-    term = np.array([number[r["token"]] for r in rows])
-    idf = np.array([r["idf"] for r in rows])
+    term, idf, times = (np.array([f(r) for r in rows]) for f in (lambda r: number[r["token"]], lambda r: r["idf"], lambda r: r["times"]))
     whole = np.bincount(q, weights=idf, minlength=len(ids))
-    order = np.argsort(term, kind="stable")
-    asks, plain = q[order], idf[order] / np.where(whole == 0, 1.0, whole)[q[order]]
-    weighed = (idf * np.array([r["times"] for r in rows]))[order]
-    first = np.searchsorted(term[order], np.arange(len(terms) + 1))
-    step = max(1, 2_000_000 // len(ids))
+    order = np.lexsort((q, term))
+    term, q = term[order], q[order]
+    weights = (idf * times)[order], (idf[order] / np.where(whole == 0, 1.0, whole)[q])
+    first = np.searchsorted(term, np.arange(len(terms) + 1))
     wanted = sorted({c for r in rows for c in r[allowed] if c is not None}) if allowed else []
     place = {c: i for i, c in enumerate(wanted)}
     open_to = np.zeros((len(ids), len(wanted) + 1), bool)  # the last column is for cells that nobody asks for
-    for i, r in zip(q, rows, strict=True):
+    for i, r in zip(np.searchsorted(ids, [r[qkey] for r in rows]), rows, strict=True):
         for c in r[allowed] if allowed else ():
             if c is not None:
                 open_to[i, place[c]] = True
 
+    def optional(bounds: np.ndarray, floor: np.ndarray) -> np.ndarray:
+        """Terms of a question that can't reach its floor even together: the weakest ones, while their sum stays below."""
+        by = np.lexsort((bounds, q))
+        run = np.cumsum(bounds[by])
+        start = np.searchsorted(q[by], np.arange(len(ids)))
+        before = np.where(start > 0, run[start - 1], 0.0)
+        out = np.zeros(len(q), bool)
+        out[by] = run - before[q[by]] < floor[q[by]] - 2 * 10.0**-DIGITS
+        return out
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import pyarrow.compute as pc
 
-        vocabulary = pa.array(terms)
-        best = [np.full((len(ids), k, 2), -np.inf) for _ in range(2)]  # by either score: that score, the other one
-        held = [np.zeros((len(ids), k), np.int64) for _ in range(2)]
-        for batch in (whole_.slice(i, step) for whole_ in batches for i in range(0, whole_.num_rows, step)):
-            lists, keys = batch.column("t"), batch.column(key).to_numpy()
-            length = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-            found = pc.fill_null(pc.index_in(lists.flatten(), value_set=vocabulary), -1).to_numpy(zero_copy_only=False).astype(np.int64)
-            doc = np.repeat(np.arange(len(keys)), length)
-            cells, tf = np.unique(doc[found >= 0] * len(terms) + found[found >= 0], return_counts=True)
+        vocabulary, best = pa.array(terms), (_Best(len(ids), k), _Best(len(ids), k))
+        for batch in (b.slice(i, BLOCK_DOCS) for b in batches for i in range(0, b.num_rows, BLOCK_DOCS)):
+            lists, keys, length = batch.column("terms"), batch.column(key).to_numpy(), np.asarray(batch.column("dl"))
+            found = np.asarray(pc.fill_null(pc.index_in(lists.flatten(), value_set=vocabulary), -1)).astype(np.int64)
+            doc, tf = np.repeat(np.arange(len(keys)), np.asarray(lists.value_lengths())), np.asarray(batch.column("times").flatten())
+            cells = doc[found >= 0] * len(terms) + found[found >= 0]
+            by = np.argsort(cells)
+            cells, tf = cells[by], tf[found >= 0][by]
             d, at = cells // len(terms), cells % len(terms)
             value = tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[d] / mean))
-            n = first[at + 1] - first[at]
-            row = np.repeat(np.arange(len(cells)), n)
-            ask = np.repeat(first[at], n) + np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-            pair = d[row] * len(ids) + asks[ask]
-            scores = [np.round(np.bincount(pair, weights=w, minlength=len(keys) * len(ids)).reshape(len(keys), len(ids)).T, DIGITS) for w in (value[row] * weighed[ask], plain[ask])]
-            fits = True
+            most, held = np.zeros(len(terms)), np.zeros(len(terms))
+            np.maximum.at(most, at, value)
+            held[at] = 1.0
+            # a document is looked at for a question if it has a term that the question can't do without, for either score
+            spare = optional(np.maximum(weights[0], 0) * most[term], best[0].floor()) & optional(np.maximum(weights[1], 0) * held[term], best[1].floor())
+            n = np.add.reduceat(np.r_[~spare, False].astype(np.int64), first[:-1])
+            n[first[1:] == first[:-1]] = 0
+            needed = np.flatnonzero(~spare)
+            begin = np.cumsum(n) - n
+            ask = needed[np.repeat(begin[at], n[at]) + _runs(n[at])]
+            pairs = np.unique(np.repeat(d, n[at]) * len(ids) + q[ask])
             if cell:
-                at_cell = pc.fill_null(pc.index_in(batch.column(cell), value_set=pa.array(wanted, pa.string())), -1).to_numpy(zero_copy_only=False)
-                fits = open_to[:, at_cell]
+                at_cell = np.asarray(pc.fill_null(pc.index_in(batch.column(cell), value_set=pa.array(wanted, pa.string())), -1))
+                pairs = pairs[open_to[pairs % len(ids), at_cell[pairs // len(ids)]]]
+            scores = np.zeros((2, len(pairs)))
+            dense = np.full(len(keys) * len(ids), -1, np.int64)
+            dense[pairs] = np.arange(len(pairs))
+            wide = first[at + 1] - first[at]
+            for lo in range(0, len(cells), 65_536):  # the expansion of so many cells at a time
+                some = slice(lo, lo + 65_536)
+                ask = np.repeat(first[at[some]], wide[some]) + _runs(wide[some])
+                to = dense[np.repeat(d[some], wide[some]) * len(ids) + q[ask]]
+                ok = to >= 0
+                ask, to, v = ask[ok], to[ok], np.repeat(value[some], wide[some])[ok]
+                scores[0] += np.bincount(to, v * weights[0][ask], len(pairs))
+                scores[1] += np.bincount(to, weights[1][ask], len(pairs))
+            scores = np.round(scores, DIGITS)
             for arm in (0, 1):
-                mine, other = scores[arm], scores[1 - arm]
-                both = np.concatenate([best[arm][:, :, 0], np.where((mine > 0) & fits, mine, -np.inf)], axis=1)
-                others = np.concatenate([best[arm][:, :, 1], other], axis=1)
-                names = np.concatenate([held[arm], np.broadcast_to(keys, mine.shape)], axis=1)
-                top_ = np.lexsort((names, -both), axis=1)[:, :k]
-                best[arm][:, :, 0], best[arm][:, :, 1], held[arm] = (np.take_along_axis(x, top_, 1) for x in (both, others, names))
+                best[arm].put(pairs % len(ids), keys[pairs // len(ids)], scores[arm], scores[1 - arm])
         out: dict[tuple[int, int], tuple[float, float]] = {}
         for arm in (0, 1):
-            for i, j in zip(*np.nonzero(best[arm][:, :, 0] > -np.inf), strict=True):
-                pair_ = best[arm][i, j, :2].tolist()
-                out[(int(ids[i]), int(held[arm][i, j]))] = tuple(pair_ if arm == 0 else pair_[::-1])
+            for i, j in zip(*np.nonzero(best[arm].score > -np.inf), strict=True):
+                both = float(best[arm].score[i, j]), float(best[arm].other[i, j])
+                out[int(ids[i]), int(best[arm].name[i, j])] = both if arm == 0 else both[::-1]
         yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[0] for x in out.values()], pa.float64()), pa.array([x[1] for x in out.values()], pa.float64())], [qkey, key, "score", "cover"])
 
     return documents.mapInArrow(run, f"{qkey} long, {key} long, score double, cover double")
