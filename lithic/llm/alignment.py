@@ -24,6 +24,7 @@ import hashlib
 import json
 import os
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +36,7 @@ from lithic.llm.common import discard, give_back, sliced, text_rows, with_small_
 from lithic.llm.token_counts import byte_alphabet
 
 #: Remembered parts and their bytes: beyond, all are forgotten, which changes speed and not results.
-PARTS, PART_BYTES = 200_000, 32 << 20
+PARTS, PART_BYTES = 300_000, 32 << 20
 #: Links that are expanded at a time, and batches of texts whose counts of a pair meet in a group.
 LINKS, BATCHES = 4 << 20, 512
 
@@ -78,6 +79,31 @@ def summed(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return keys[first], np.add.reduceat(values, first)
 
 
+def counts(lists: list) -> np.ndarray:
+    return np.fromiter(map(len, lists), np.int64, len(lists))
+
+
+def flat(lists: list[list[int]]) -> np.ndarray:
+    return np.fromiter(chain.from_iterable(lists), np.int64)
+
+
+def joined(values: pa.Array) -> np.ndarray:
+    """The bytes of all values of a new binary or string array, one after the other."""
+    size = int(pc.sum(pc.binary_length(values)).as_py() or 0)
+    return np.frombuffer(values.buffers()[2], np.uint8)[:size] if size else np.zeros(0, np.uint8)
+
+
+def listed(values: pa.Array, sizes: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)], pa.int32()), values)
+
+
+def shown(in_a: np.ndarray, ids_a: np.ndarray, in_b: np.ndarray, ids_b: np.ndarray, n_groups: np.ndarray) -> pa.Array:
+    """The groups of each part as text: ids of both sides, in order."""
+    total = int(n_groups.sum())
+    sides = [pc.binary_join(listed(pa.array(ids).cast(pa.string()), np.bincount(group, minlength=total)), ",") for group, ids in ((in_a, ids_a), (in_b, ids_b))]
+    return pc.binary_join(listed(pc.binary_join_element_wise(*sides, "|"), n_groups), ";")
+
+
 def grouped(a_len: np.ndarray, b_len: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The common ends of tokens of these lengths, and the group of each token."""
     a_end, b_end = np.cumsum(a_len), np.cumsum(b_len)
@@ -126,6 +152,7 @@ class Aligner:
         self.a.no_padding()
         self.a_bytes, self.b_bytes = byte_pieces(path_a), model_pieces(self.b)
         self.a_len, self.b_len = (np.array(list(map(len, x)), np.int64) for x in (self.a_bytes, self.b_bytes))
+        self.a_held, self.b_held = (pa.array(x, pa.binary()) for x in (self.a_bytes, self.b_bytes))
         self.n_b = len(self.b_bytes)
         self.n_pairs = len(self.a_bytes) * self.n_b
         self.forget()
@@ -133,7 +160,7 @@ class Aligner:
     def forget(self) -> None:
         self.known: dict[bytes, int] = {}
         self.bytes = 0
-        self.shown: list[str] = []
+        self.shown = pa.array([], pa.string())
         #: of each part: whether it is restored, tokens of both, groups, links, where its pairs begin and how many there are
         self.facts = np.zeros((0, 7), np.int64)
         self.pairs, self.times = np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -148,35 +175,35 @@ class Aligner:
 
     def learn(self, parts: list[bytes]) -> None:
         texts = [p.decode() for p in parts]
-        a = [e.ids for e in self.a.encode_batch(texts, add_special_tokens=False)]
+        a = [e.ids for e in self.a.encode_batch_fast(texts, add_special_tokens=False)]
         b = self.b.encode([t[1:] for t in texts], num_threads=1)  # the model puts a space before each
-        good = np.array([b"".join(map(self.a_bytes.__getitem__, x)) == p == b"".join(map(self.b_bytes.__getitem__, y)) for p, x, y in zip(parts, a, b, strict=True)], bool)
-        a, b = ([ids if fine else [] for ids, fine in zip(side, good, strict=True)] for side in (a, b))
-        n_a, n_b = (np.array(list(map(len, side)), np.int64) for side in (a, b))
-        flat_a, flat_b = (np.fromiter((i for ids in side for i in ids), np.int64, n.sum()) for side, n in ((a, n_a), (b, n_b)))
+        good = self._restored(parts, a, b)
+        if not good.all():
+            a, b = ([ids if fine else [] for ids, fine in zip(side, good, strict=True)] for side in (a, b))
+        n_a, n_b, flat_a, flat_b = *map(counts, (a, b)), *map(flat, (a, b))
         cuts, in_a, in_b = grouped(self.a_len[flat_a], self.b_len[flat_b])
-        ends = np.cumsum(np.array(list(map(len, parts)), np.int64) * good)
+        ends = np.cumsum(counts(parts) * good)
         part = np.searchsorted(ends, cuts)  # parts that aren't restored take no bytes, and come after an end
         keys, times = linked(in_a, flat_a, in_b, flat_b, self.n_b, part, self.n_pairs)
         owner = keys // self.n_pairs
         n_groups, n_links, n_pairs = np.bincount(part, minlength=len(parts)), np.bincount(owner, times, len(parts)).astype(np.int64), np.bincount(owner, minlength=len(parts))
         begin = len(self.pairs) + np.cumsum(n_pairs) - n_pairs
-        self.shown += self._shown(in_a, flat_a, in_b, flat_b, n_groups)
+        self.shown = pa.concat_arrays([self.shown, shown(in_a, flat_a, in_b, flat_b, n_groups)])
         self.known |= {p: len(self.facts) + i for i, p in enumerate(parts)}
         self.facts = np.concatenate([self.facts, np.stack([good, n_a, n_b, n_groups, n_links, begin, n_pairs], 1)])
         self.pairs, self.times = np.concatenate([self.pairs, keys % self.n_pairs]), np.concatenate([self.times, times])
         self.bytes += sum(map(len, parts))
 
-    def _shown(self, in_a: np.ndarray, ids_a: np.ndarray, in_b: np.ndarray, ids_b: np.ndarray, n_groups: np.ndarray) -> list[str]:
-        """Groups of each part as text: ids of both sides, in order."""
-        total = int(n_groups.sum())
-        sides = []
-        for group, ids in ((in_a, ids_a), (in_b, ids_b)):
-            names, ends = list(map(str, ids.tolist())), np.cumsum(np.bincount(group, minlength=total)).tolist()
-            sides.append([",".join(names[i:j]) for i, j in zip([0, *ends], ends, strict=False)])
-        made = list(map("|".join, zip(*sides, strict=True)))
-        ends = np.cumsum(n_groups).tolist()
-        return [";".join(made[i:j]) for i, j in zip([0, *ends], ends, strict=False)]
+    def _restored(self, parts: list[bytes], a: list[list[int]], b: list[list[int]]) -> np.ndarray:
+        """Whether the tokens of both make the bytes of each part."""
+        size, whole = counts(parts), b"".join(parts)
+        good = np.ones(len(parts), bool)
+        for ids, lengths, held, pieces in ((a, self.a_len, self.a_held, self.a_bytes), (b, self.b_len, self.b_held, self.b_bytes)):
+            n, tokens = counts(ids), flat(ids)
+            made = np.bincount(np.repeat(np.arange(len(parts)), n), lengths[tokens], len(parts))
+            if not ((made == size).all() and joined(held.take(pa.array(tokens))).tobytes() == whole):
+                good &= np.array([b"".join(map(pieces.__getitem__, x)) == p for p, x in zip(parts, ids, strict=True)], bool)
+        return good
 
     def batch(self, number: int, ids: pa.Array, texts: pa.Array) -> pa.RecordBatch:
         """A row of ALIGNED for each text; the batch's pairs stand in its first row."""
@@ -187,20 +214,19 @@ class Aligner:
         bad = np.bincount(doc, self.facts[part, 0] == 0, n) > 0
         part, doc = part[~bad[doc]], doc[~bad[doc]]
         sums = [np.bincount(doc, self.facts[part, k], n).astype(np.int64) for k in range(1, 5)]
-        ends = np.cumsum(np.bincount(doc, minlength=n)).tolist()
-        shown = np.array([*self.shown, ""], object)[part]
-        hashes = [hashlib.sha256(";".join(shown[i:j]).encode()).hexdigest() if j > i else "" for i, j in zip([0, *ends], ends, strict=False)]
+        texts_ = pc.binary_join(listed(self.shown.take(pa.array(part)), np.bincount(doc, minlength=n)), ";")
+        hashes = [hashlib.sha256(x.encode()).hexdigest() if x else "" for x in texts_.to_pylist()]
         once, many = np.unique(doc * len(self.facts) + part, return_counts=True)
         part, doc = once % max(1, len(self.facts)), once // max(1, len(self.facts))
         wide = self.facts[part, 6]
         at = np.repeat(self.facts[part, 5], wide) + runs(wide)
         keys, times = summed(np.repeat(doc, wide) * self.n_pairs + self.pairs[at], np.repeat(many, wide) * self.times[at])
         pairs, used = np.unique(keys % self.n_pairs, return_inverse=True)
-        listed = pa.array(np.searchsorted(keys // self.n_pairs, np.arange(n + 1)), pa.int32())
+        own = pa.array(np.searchsorted(keys // self.n_pairs, np.arange(n + 1)), pa.int32())
         whole = pa.array([0, *[len(pairs)] * n], pa.int32())
         columns = [
             pa.array([number] * n, pa.int64()), ids, *map(pa.array, sums), pa.array(hashes, pa.string()),
-            pa.ListArray.from_arrays(listed, pa.array(used.astype(np.int32))), pa.ListArray.from_arrays(listed, pa.array(times)),
+            pa.ListArray.from_arrays(own, pa.array(used.astype(np.int32))), pa.ListArray.from_arrays(own, pa.array(times)),
             pa.ListArray.from_arrays(whole, pa.array(pairs)), pa.ListArray.from_arrays(whole, pa.array(np.bincount(used, minlength=len(pairs)).astype(np.int32))),
         ]
         return pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in ALIGNED.split(", ")])
@@ -211,9 +237,9 @@ def cut(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     end); the text of each part. A part begins with a text, or at a space after no white space."""
     held = texts.filter(pc.fill_null(pc.greater(pc.binary_length(texts), 0), False))
     which = np.flatnonzero(np.asarray(pc.fill_null(pc.binary_length(texts), 0)))
-    spaced = pc.binary_join_element_wise(pa.scalar(" "), held, pa.scalar("")) if len(held) else held
-    data = np.frombuffer(b"".join(x.as_py().encode() for x in spaced), np.uint8) if len(spaced) else np.zeros(0, np.uint8)
-    starts = np.cumsum(np.r_[0, np.asarray(pc.binary_length(spaced)).astype(np.int64)]) if len(spaced) else np.zeros(1, np.int64)
+    spaced = pc.binary_join_element_wise(pa.scalar(" "), held, pa.scalar("")) if len(held) else pa.array([], pa.string())
+    data = joined(spaced)
+    starts = np.r_[0, np.cumsum(np.asarray(pc.binary_length(spaced)).astype(np.int64))]
     first = np.zeros(len(data) + 1, bool)
     first[starts] = True
     at = np.flatnonzero(data == 32)
