@@ -9,24 +9,37 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lithic.functions.text import content_tokens, overlap
+from lithic.functions.text import content_tokens, overlap, strip
 
 FLOOR, MARGIN, WEAK, UNIT_CHARS = 0.65, 0.05, 0.45, 40
 
 
-def paragraph_units(passages: DataFrame, text: str, prefix: Column) -> DataFrame:
-    """Paragraphs of 40 characters or more, with prefix and marker where one opens them (A-GE11)."""
-    parts = passages.select("qid", "label", prefix.alias("prefix_"), F.posexplode(F.split(text, r"\n\s*\n")).alias("pos", "part"))
+def paragraph_units(passages: DataFrame, children: DataFrame, text: str) -> DataFrame:
+    """(qid, label, pos, locator, text) of each passage's units (A-GE11).
+
+    Units are paragraphs of 40 characters or more; one that a marker opens has the marker for a
+    locator, after the letters of the first child's locator that has such letters. A passage none of
+    whose paragraphs gets a locator takes its children that have one instead, if there are any.
+    ``passages``: qid, label and the text; ``children``: qid, label, pos, locator, text.
+    """
+    place = ["qid", "label"]
+    lettered = F.regexp_extract(strip(F.coalesce("locator", F.lit(""))), r"^([A-Z]{2,6})\d+\.\d+[a-z]?$", 1)
+    prefix = children.withColumn("prefix_", lettered).filter("prefix_ != ''").groupBy(*place).agg(F.min_by("prefix_", "pos").alias("prefix_"))
+    parts = passages.select(*place, F.posexplode(F.split(text, r"\n\s*\n")).alias("pos", "part")).withColumn("text", strip(F.col("part"))).filter(F.length("text") >= UNIT_CHARS)
     own = F.regexp_extract("text", r"^(\d+\.\d+[a-z]?)\b", 1)
-    whole = parts.withColumn("text", F.trim("part")).filter(F.length("text") >= UNIT_CHARS)
-    return whole.select("qid", "label", "pos", F.when((own != "") & (F.col("prefix_") != ""), F.concat("prefix_", own)).otherwise("").alias("locator"), "text")
+    units = parts.join(prefix, place, "left").select(*place, "pos", F.when((own != "") & F.col("prefix_").isNotNull(), F.concat("prefix_", own)).otherwise("").alias("locator"), "text")
+    kids = children.filter(strip(F.coalesce("locator", F.lit(""))) != "").select(*place, "pos", "locator", F.coalesce("text", F.lit("")).alias("text"))
+    told = units.filter("locator != ''").select(*place).distinct()
+    of_children = kids.join(told, place, "left_anti")
+    return units.join(of_children.select(*place).distinct(), place, "left_anti").unionByName(of_children)
 
 
 def similarities(claims: DataFrame, units: DataFrame) -> DataFrame:
-    """(qid, claim_no, label, pos, locator, score): weighted share of a claim's tokens in each unit.
+    """(qid, claim_no, label, pos, score): weighted share of a claim's tokens in each unit that has any.
 
     Weights are inverse frequencies within the passage; a token that no unit has weighs 1 and a
-    claim's repeated tokens count each time (A-GE9, A-GE10).
+    claim's repeated tokens count each time (A-GE9, A-GE10). Units without a token in common score
+    0 and make no row.
     """
     have = units.select("qid", "label", "pos", F.explode(F.array_distinct(content_tokens(F.col("text")))).alias("token"))
     n = units.groupBy("qid", "label").agg(F.count("*").alias("n"))
@@ -35,23 +48,28 @@ def similarities(claims: DataFrame, units: DataFrame) -> DataFrame:
     weighed = said.join(idf, ["qid", "label", "token"], "left").withColumn("w", F.coalesce("w", F.lit(1.0)) * F.col("times"))
     whole = weighed.groupBy("qid", "claim_no", "label").agg(F.sum("w").alias("den"))
     hit = weighed.join(have, ["qid", "label", "token"]).groupBy("qid", "claim_no", "label", "pos").agg(F.sum("w").alias("num"))
-    pairs = claims.select("qid", "claim_no", "label").join(units.select("qid", "label", "pos", "locator"), ["qid", "label"])
-    scored = pairs.join(whole, ["qid", "claim_no", "label"], "left").join(hit, ["qid", "claim_no", "label", "pos"], "left")
-    share = F.coalesce(F.try_divide(F.coalesce("num", F.lit(0.0)), "den"), F.lit(0.0))
-    return scored.select("qid", "claim_no", "label", "pos", "locator", F.round(share, 6).alias("score"))
+    share = F.coalesce(F.try_divide("num", "den"), F.lit(0.0))
+    return hit.join(whole, ["qid", "claim_no", "label"]).select("qid", "claim_no", "label", "pos", F.round(share, 6).alias("score"))
 
 
 def align(claims: DataFrame, units: DataFrame, floor: float = FLOOR, margin: float = MARGIN) -> DataFrame:
-    """Each claim's verdict, score and runner-up: EMPTY, FLOOR, TIE, NOLOC or MATCH (A-GE12)."""
+    """Each claim's verdict, score and runner-up: EMPTY, FLOOR, TIE, NOLOC or MATCH (A-GE12).
+
+    A claim that shares no token with its passage stands with the passage's first unit, at 0.
+    """
+    place = ["qid", "label"]
     order = Window.partitionBy("qid", "claim_no").orderBy(F.desc("score"), "pos")
-    ranked = similarities(claims, units).withColumns({"n_": F.row_number().over(order), "second_": F.lead("score").over(order)}).filter("n_ = 1")
-    best = claims.select("qid", "claim_no").join(ranked, ["qid", "claim_no"], "left")
-    second = F.coalesce("second_", F.lit(0.0))
+    ranked = similarities(claims, units).withColumns({"n_": F.row_number().over(order), "second_": F.lead("score").over(order)}).filter("n_ = 1").drop("n_", "label")
+    held = units.groupBy(*place).agg(F.count("*").alias("n_units"), F.min("pos").alias("first_"))
+    met = claims.select("qid", "claim_no", "label").join(held, place, "left").join(ranked, ["qid", "claim_no"], "left")
+    met = met.withColumn("pos", F.coalesce("pos", "first_")).join(units.select(*place, "pos", "locator"), [*place, "pos"], "left")
+    empty, alone = F.col("n_units").isNull(), F.col("n_units") == 1
+    best, second = F.coalesce("score", F.lit(0.0)), F.coalesce("second_", F.lit(0.0))
     verdict = (
-        F.when(F.col("score").isNull(), "EMPTY").when(F.col("score") < floor, "FLOOR").when(F.col("second_").isNotNull() & (F.col("score") - F.col("second_") < margin), "TIE")
+        F.when(empty, "EMPTY").when(best < floor, "FLOOR").when(~alone & (best - second < margin), "TIE")
         .when(F.coalesce("locator", F.lit("")) == "", "NOLOC").otherwise("MATCH")
     )
-    return best.select("qid", "claim_no", verdict.alias("verdict"), F.coalesce("score", F.lit(0.0)).alias("best"), second.alias("runner_up"), F.when(verdict == "MATCH", F.col("locator")).alias("moved_to"))
+    return met.select("qid", "claim_no", verdict.alias("verdict"), F.when(empty, 0.0).otherwise(best).alias("best"), F.when(empty, 0.0).otherwise(second).alias("runner_up"), F.when(verdict == "MATCH", F.col("locator")).alias("moved_to"))
 
 
 def marked(text: Column, mark: Column) -> Column:

@@ -88,6 +88,85 @@ def floor_sweep(spark, sf):
     return rows.groupBy("floor").agg(F.count("*").alias("n"), F.count_if((F.col("best") >= F.col("floor")) & ~F.col("tied")).alias("aligned"))
 
 
+#: Turns as passages: their sentences are paragraphs, marked in a third of the conversations, with numbered
+#: children in another third; every fourth one ends with its first paragraph once more. Sentences are also the claims.
+SENTENCES_SQL = """said AS (SELECT conv_id * 1000 + turn AS qid, conv_id, (generate_subscripts(l, 1) - 1)::INT AS pos, unnest(l) AS text, len(l) AS n, l[1] AS opening FROM (SELECT conv_id, turn, string_split(coalesce(text, ''), '. ') AS l FROM conversations)),
+marked AS (SELECT qid, conv_id, pos, CASE WHEN conv_id % 3 = 0 THEN '5.' || (pos + 1) || ' ' ELSE '' END || text AS text FROM said UNION ALL SELECT qid, conv_id, n::INT, CASE WHEN conv_id % 3 = 0 THEN '5.' || (n + 1) || ' ' ELSE '' END || opening FROM said WHERE pos = 0 AND conv_id % 4 = 0),
+paragraphs AS (SELECT qid, pos, CASE WHEN conv_id % 3 = 0 THEN 'CRE5.' || (pos + 1) ELSE '' END AS locator, trim(text, ' ' || chr(10) || chr(9)) AS text FROM marked WHERE length(trim(text, ' ' || chr(10) || chr(9))) >= 40),
+children AS (SELECT qid, pos, CASE conv_id % 3 WHEN 0 THEN 'CRE5.1' ELSE 'Principle ' || pos END AS locator, text FROM said WHERE (conv_id % 3 = 1 AND pos % 2 = 0) OR (conv_id % 3 = 0 AND pos = 0)),
+numbered AS (SELECT * FROM children WHERE qid NOT IN (SELECT qid FROM paragraphs WHERE locator <> '')),
+units AS (SELECT * FROM paragraphs WHERE qid NOT IN (SELECT qid FROM numbered) UNION ALL SELECT * FROM numbered),
+claims AS (SELECT qid, pos AS claim_no, text FROM said)"""
+
+
+def turn_sentences(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(claims, passages, children) of conversation turns, as SENTENCES_SQL states them."""
+    t = table(spark, sf, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("qid"), F.lit("S1").alias("label"), "conv_id", F.split(F.coalesce("text", F.lit("")), r"\. ").alias("l"))
+    c = F.col("conv_id")
+    shown = F.concat("l", F.when(c % 4 == 0, F.array(F.col("l")[0])).otherwise(F.array().cast("array<string>")))
+    number = F.transform(shown, lambda x, i: F.when(c % 3 == 0, F.concat(F.lit("5."), (i + 1).cast("string"), F.lit(" "), x)).otherwise(x))
+    said = t.select("qid", "label", "conv_id", F.posexplode("l").alias("pos", "text"))
+    lettered = said.filter((c % 3 == 0) & (F.col("pos") == 0)).withColumn("locator", F.lit("CRE5.1"))
+    principles = said.filter((c % 3 == 1) & (F.col("pos") % 2 == 0)).withColumn("locator", F.concat(F.lit("Principle "), F.col("pos").cast("string")))
+    return said.withColumnRenamed("pos", "claim_no"), t.select("qid", "label", F.array_join(number, "\n\n").alias("passage")), lettered.unionByName(principles)
+
+
+def locator_alignment(spark: SparkSession, sf: str) -> DataFrame:
+    said, passages_, children = turn_sentences(spark, sf)
+    return cl.align(said, cl.paragraph_units(passages_, children, "passage"))
+
+
+LOCATED_SQL = f"""{SENTENCES_SQL},
+have AS (SELECT DISTINCT qid, pos, unnest({CONTENT_SQL.format(t='text')}) AS token FROM units),
+cnt AS (SELECT qid, count(*) AS n, min(pos) AS first_pos FROM units GROUP BY qid),
+idf AS (SELECT qid, token, ln((n + 1) / (count(*) + 0.5)) AS w FROM have JOIN cnt USING (qid) GROUP BY qid, token, n),
+toks AS (SELECT qid, claim_no, token, count(*) AS times FROM (SELECT qid, claim_no, unnest({CONTENT_SQL.format(t='text')}) AS token FROM claims) GROUP BY ALL),
+ws AS (SELECT qid, claim_no, token, coalesce(w, 1.0) * times AS w FROM toks LEFT JOIN idf USING (qid, token)),
+den AS (SELECT qid, claim_no, sum(w) AS den FROM ws GROUP BY ALL),
+num AS (SELECT qid, claim_no, pos, sum(w) AS num FROM ws JOIN have USING (qid, token) GROUP BY ALL),
+sim AS (SELECT c.qid, c.claim_no, u.pos, u.locator, round(coalesce(num / den, 0), 6) AS score FROM claims c JOIN units u ON c.qid = u.qid LEFT JOIN den ON den.qid = c.qid AND den.claim_no = c.claim_no LEFT JOIN num ON num.qid = c.qid AND num.claim_no = c.claim_no AND num.pos = u.pos),
+best AS (SELECT *, lead(score) OVER w AS second, row_number() OVER w AS k FROM sim WINDOW w AS (PARTITION BY qid, claim_no ORDER BY score DESC, pos)),
+judged AS (SELECT c.qid, c.claim_no, CASE WHEN score IS NULL THEN 'EMPTY' WHEN score < 0.65 THEN 'FLOOR' WHEN second IS NOT NULL AND score - second < 0.05 THEN 'TIE' WHEN locator = '' THEN 'NOLOC' ELSE 'MATCH' END AS verdict, coalesce(score, 0)::DOUBLE AS best, locator
+  FROM claims c LEFT JOIN best b ON b.qid = c.qid AND b.claim_no = c.claim_no AND k = 1)"""
+
+
+@query("aligned_locators", f"WITH {LOCATED_SQL} SELECT qid, claim_no, verdict, best, CASE WHEN verdict = 'MATCH' THEN locator END AS moved_to FROM judged")
+def aligned_locators(spark, sf):
+    """Where claims move to: markers of paragraphs, or children's locators where none opens one (A-GE11, A-GE12)."""
+    return locator_alignment(spark, sf).select("qid", "claim_no", "verdict", "best", "moved_to")
+
+
+@query("alignment_tally", f"WITH {LOCATED_SQL} SELECT verdict, count(*) AS n FROM judged GROUP BY 1")
+def alignment_tally(spark, sf):
+    """Claims by verdict: all five are reached."""
+    return locator_alignment(spark, sf).groupBy("verdict").agg(F.count("*").alias("n"))
+
+
+@query("answers_of_turns", f"""WITH {LOCATED_SQL},
+cited AS (SELECT c.qid, c.claim_no, trim(c.text) AS t, 'turn' || CASE WHEN verdict = 'MATCH' THEN ', ' || locator ELSE '' END AS citation FROM claims c JOIN judged j ON j.qid = c.qid AND j.claim_no = c.claim_no WHERE trim(c.text) <> ''),
+nums AS (SELECT qid, citation, row_number() OVER (PARTITION BY qid ORDER BY min(claim_no), citation) AS no FROM cited GROUP BY 1, 2),
+l AS (SELECT qid, claim_no, t, no::VARCHAR AS m FROM cited JOIN nums USING (qid, citation))
+SELECT b.qid, sha256(b.body) AS body_sha, sources FROM (SELECT qid, string_agg(CASE WHEN right(t, 1) IN ('.', '!', '?') THEN left(t, length(t) - 1) || ' [' || m || ']' || right(t, 1) ELSE t || ' [' || m || '].' END, ' ' ORDER BY claim_no) AS body FROM l GROUP BY qid) b JOIN (SELECT qid, string_agg('[' || no || '] ' || citation, chr(10) ORDER BY no) AS sources FROM nums GROUP BY qid) USING (qid)""")
+def answers_of_turns(spark, sf):
+    """From claims to numbered answers, cited by the paragraphs that they moved to (A-GE15)."""
+    said, passages_, children = turn_sentences(spark, sf)
+    cites = passages_.select("qid", "label", F.lit("turn").alias("citation"))
+    return cl.answers(said, cl.paragraph_units(passages_, children, "passage"), cites).select("qid", F.sha2("body", 256).alias("body_sha"), "sources")
+
+
+@query("prompts_of_turns", """WITH p AS (SELECT conv_id, string_agg('[S' || (turn + 1) || '] ' || role || chr(10) || coalesce(text, ''), chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY turn) AS c, min_by(text, turn) AS q FROM conversations GROUP BY 1),
+m AS (SELECT conv_id, 'EXCERPTS' || chr(10) || chr(10) || c || chr(10) || chr(10) || '---' || chr(10) || chr(10) || 'QUESTION' || chr(10) || coalesce(q, '') AS m FROM p)
+SELECT conv_id, sha256(m) AS message_sha, length(m) // 4 >= 1000 - 64 AS truncated FROM m""")
+def prompts_of_turns(spark, sf):
+    """The message that each conversation's turns and first turn make, and whether its end may be lost (A-GE3, A-GE16)."""
+    t = table(spark, sf, "conversations")
+    rows = t.select(F.col("conv_id").alias("qid"), F.col("turn").alias("o"), "role", F.coalesce("text", F.lit("")).alias("text"))
+    first = t.groupBy(F.col("conv_id").alias("qid")).agg(F.coalesce(F.min_by("text", "turn"), F.lit("")).alias("q"))
+    message = cl.user_message(F.col("q"), F.col("context"))
+    made = cl.render_context(rows, "o", "role", "text").join(first, "qid").select(F.col("qid").alias("conv_id"), message.alias("m"))
+    return made.select("conv_id", F.sha2("m", 256).alias("message_sha"), cl.truncated(F.floor(F.length("m") / 4), 1000).alias("truncated"))
+
+
 MARK_SQL = "CASE WHEN right(t, 1) IN ('.', '!', '?') THEN left(t, length(t) - 1) || ' [' || m || ']' || right(t, 1) ELSE t || ' [' || m || '].' END"
 ANSWER_SQL = f"""said AS (SELECT conv_id AS qid, turn AS claim_no, trim(split_part(text, chr(10), 1)) AS t, CASE WHEN turn % 3 <> 2 THEN role || ' ' || (turn % 4)::VARCHAR END AS citation FROM conversations),
 s AS (SELECT * FROM said WHERE t <> ''),
