@@ -53,8 +53,10 @@ def reach(x: np.ndarray, distance: np.ndarray, sign: int) -> np.ndarray:
     """The farthest value on one side that is nearer than ``distance`` as doubles subtract; itself at distance 0."""
     x = x + 0.0  # no negative zero
     near, far = _ordered(x), _ordered(x + sign * (2 * distance + 1e-300) + 0.0)
-    while (np.abs(far - near) > 1).any():
-        mid = near + (far - near) // 2
+    while True:
+        mid = (near >> 1) + (far >> 1) + (near & far & 1)  # their difference may be beyond a whole number
+        if ((mid == near) | (mid == far)).all():
+            break
         inside = np.abs(_double(mid) - x) < distance
         near, far = np.where(inside, mid, near), np.where(inside, far, mid)
     return _double(near)
@@ -65,11 +67,12 @@ def _with_borders(rows: DataFrame, k: int) -> DataFrame:
     ranged = rows.repartitionByRange("y", "x", "id").withColumn("part", F.spark_partition_id())
     placed = stored(ranged)
     # the k values before a part are the last ones of earlier parts of its class, whatever their sizes; a few rows a part
-    in_order = Window.partitionBy("y").orderBy("part", "x")
+    in_order = Window.partitionBy("y").orderBy("part", "x", "id")
     borrowed = []
-    for order, span, edge in ((F.desc("x"), (-k, -1), F.asc("x")), (F.asc("x"), (1, k), F.desc("x"))):
-        ends = placed.withColumn("n_", F.row_number().over(Window.partitionBy("y", "part").orderBy(order))).filter(F.col("n_") <= k).select("y", "part", "x")
-        beside = ends.withColumns({"beside": F.collect_list("x").over(in_order.rowsBetween(*span)), "n_": F.row_number().over(Window.partitionBy("y", "part").orderBy(edge))})
+    up, down = [F.asc("x"), F.asc("id")], [F.desc("x"), F.desc("id")]
+    for order, span, edge in ((down, (-k, -1), up), (up, (1, k), down)):
+        ends = placed.withColumn("n_", F.row_number().over(Window.partitionBy("y", "part").orderBy(*order))).filter(F.col("n_") <= k).select("y", "part", "x", "id")
+        beside = ends.withColumns({"beside": F.collect_list("x").over(in_order.rowsBetween(*span)), "n_": F.row_number().over(Window.partitionBy("y", "part").orderBy(*edge))})
         borrowed.append(beside.filter("n_ = 1").select("y", "part", F.explode("beside").alias("x"), F.lit(False).alias("own"), F.lit(None).cast("long").alias("id")))
     own = placed.select("y", "part", "x", F.lit(True).alias("own"), "id")
     return own.unionByName(borrowed[0]).unionByName(borrowed[1])

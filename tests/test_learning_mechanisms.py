@@ -42,7 +42,8 @@ def test_neighbour_information(spark, ties):
     for i in range(900):
         y = "a" if i % 3 else ("b" if i % 2 else "c")
         x = rng.gauss({"a": 0.0, "b": 1.0, "c": 3.0}[y], 1.0)
-        rows.append((round(x, 1) if ties else x, y))
+        x *= 1e5 if i % 7 else 1e-5
+        rows.append((float(round(x, -4)) if ties else x, y))
     rows += [(5.0, "alone"), (None, "a"), (float("nan"), "b"), (0.1, "two"), (0.30000000000000004, "two")]
     got = information.neighbour_information(spark.createDataFrame(rows, "v double, c string"), "v", "c").first()["mi"]
     assert abs(got - plain_information(rows, 3)) < 1e-9
