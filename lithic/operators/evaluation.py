@@ -208,3 +208,11 @@ def fusion_trace(fused: DataFrame, qid: str, ranks: Sequence[str]) -> DataFrame:
     whole = sum(parts.values(), F.lit(0.0))
     arms = F.concat_ws("+", *(F.when(F.col(r).isNotNull(), F.lit(r.removesuffix("_rank"))) for r in ranks))
     return fused.withColumns({"arms": arms} | {f"{r.removesuffix('_rank')}_share": F.round(p / whole, 6) for r, p in parts.items()})
+
+
+def read_rates(runs: DataFrame, tokens: Column, reported: Column, wall: Column, expected: Column) -> DataFrame:
+    """``runs`` with their rates by the reported and by the wall time, whether the prompt came from a
+    cache (the rates are more than three apart) and whether it was cut (E45)."""
+    rate, honest = F.try_divide(tokens, reported), tokens / F.greatest(wall, F.lit(1e-6))
+    out = runs.withColumns({"reported_rate": rate, "rate": honest})
+    return out.withColumns({"cached": F.coalesce("reported_rate", F.lit(0.0)) / F.greatest("rate", F.lit(1e-6)) > 3, "cut": tokens < 0.6 * expected})

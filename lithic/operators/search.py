@@ -243,6 +243,34 @@ def _lexical_block(rows: list, documents: DataFrame, mean: float, k: int, qkey:
     return documents.mapInArrow(run, f"{qkey} long, {key} long, score double, cover double")
 
 
+def located_ranks(questions: DataFrame, corpus: DataFrame, wanted: DataFrame, qkey: str, qtext: str, key: str, text: str, locator: str) -> DataFrame:
+    """(qkey, before, after): the rank from 0 of the wanted document of each question by BM25 over
+    texts, and over locators and texts; null where it shares no token (E25).
+
+    Texts are tokenised once. What locators add is a few postings a document; they are added to
+    the postings of texts, and only postings of tokens that a question asks for are scored.
+    """
+    from lithic.sources.shared import stored
+
+    whole = stored(tokenised(corpus, text, key))
+    more = stored(tokenised(corpus, locator, key))
+    asked = questions.select(qkey, F.explode(tokens(F.coalesce(F.col(qtext), F.lit("")))).alias("token")).groupBy(qkey, "token").agg(F.count("*").alias("times"))
+    listed = lambda df: df.select(key, F.explode(F.arrays_zip("terms", "times")).alias("t")).select(key, F.col("t.terms").alias("token"), F.col("t.times").alias("tf"))
+    lengths = {"before": whole.select(key, "dl"), "after": whole.select(key, "dl").unionByName(more.select(key, "dl")).groupBy(key).agg(F.sum("dl").alias("dl"))}
+    posted = {"before": listed(whole), "after": listed(whole).unionByName(listed(more)).groupBy(key, "token").agg(F.sum("tf").alias("tf"))}
+    out = wanted.select(qkey)
+    for name in ("before", "after"):
+        stats = lengths[name].agg(F.count("*").alias("N"), F.avg("dl").alias("avgdl"))
+        weights = term_weights(posted[name].groupBy("token").agg(F.count("*").alias("df")), stats, counted=True)
+        met = posted[name].join(asked, "token").join(weights, "token").join(lengths[name], key).join(F.broadcast(stats))
+        part = F.col("times") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+        scored = stored(met.groupBy(qkey, key).agg(F.round(F.sum(part), DIGITS).alias("score")))
+        own = scored.join(wanted, [qkey, key]).select(qkey, F.col("score").alias("own_"), F.col(key).alias("key_"))
+        ahead = (F.col("score") > F.col("own_")) | ((F.col("score") == F.col("own_")) & (F.col(key) < F.col("key_")))
+        out = out.join(scored.join(own, qkey).groupBy(qkey).agg(F.count_if(ahead).alias(name)), qkey, "left")
+    return out
+
+
 def lexical_top(scores: DataFrame, qkey: str, key: str, k: int = 20) -> DataFrame:
     """The best k of each question, none with a score of 0 or less (A-LX4)."""
     return top(scores.filter("score > 0"), [qkey], [F.desc("score"), F.col(key)], k)

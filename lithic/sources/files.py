@@ -129,26 +129,45 @@ def listing(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
     return files.select(F.element_at(F.split("path", "/"), -1).alias("file"), "path", "length")
 
 
-def replaced(df: DataFrame, path: str, keep: int = 2) -> str:
-    """Write a whole new version beside the old ones and name it last, so that readers see one or the
-    other and never a part (S6, S13)."""
+def replaced(df: DataFrame, path: str, keep: int = 2, by: tuple[str, ...] | list[str] = ()) -> str:
+    """Write a whole new version beside the old ones, then name it.
+
+    Rows go to a folder of the writer's own first; one rename makes it a version, so readers see
+    the old version or the new one and never a part, and a writer that fails leaves what was there.
+    Of two writers that meet, the one whose name is taken takes the next. ``keep`` versions stay
+    for readers that began before.
+    """
+    import uuid
+
     spark = df.sparkSession
     hadoop = spark._jvm.org.apache.hadoop.fs
     root = hadoop.Path(path)
     fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
-    held = _versions(fs, root)
-    target = f"{path}/v{(held[-1] if held else 0) + 1:06d}"
-    df.write.mode("error").parquet(target)  # its _SUCCESS file is the name that readers look for
+    own = hadoop.Path(f"{path}/_writing-{uuid.uuid4().hex}")
+    try:
+        writer = df.write.mode("error")
+        (writer.partitionBy(*by) if by else writer).parquet(own.toString())
+        while True:
+            held = _versions(fs, root)
+            target = f"{path}/v{(held[-1] if held else 0) + 1:06d}"
+            if not fs.exists(hadoop.Path(target)) and fs.rename(own, hadoop.Path(target)):
+                break
+    finally:
+        fs.delete(own, True)
     for old in held[: max(0, len(held) + 1 - keep)]:
         fs.delete(hadoop.Path(f"{path}/v{old:06d}"), True)
     return target
 
 
+def versions(spark: SparkSession, path: str) -> list[int]:
+    """The numbers of the whole versions of a table that ``replaced`` writes."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return _versions(root.getFileSystem(spark._jsc.hadoopConfiguration()), root)
+
+
 def latest(spark: SparkSession, path: str) -> DataFrame:
     """The last whole version of a table that ``replaced`` writes."""
-    hadoop = spark._jvm.org.apache.hadoop.fs
-    root = hadoop.Path(path)
-    held = _versions(root.getFileSystem(spark._jsc.hadoopConfiguration()), root)
+    held = versions(spark, path)
     if not held:
         raise FileNotFoundError(path)
     return spark.read.parquet(f"{path}/v{held[-1]:06d}")
@@ -157,9 +176,8 @@ def latest(spark: SparkSession, path: str) -> DataFrame:
 def _versions(fs, root) -> list[int]:
     if not fs.exists(root):
         return []
-    names = [x.getPath() for x in fs.listStatus(root)]
-    whole = [p.getName() for p in names if p.getName().startswith("v") and fs.exists(p.suffix("/_SUCCESS"))]
-    return sorted(int(n[1:]) for n in whole)
+    names = [x.getPath().getName() for x in fs.listStatus(root)]
+    return sorted(int(n[1:]) for n in names if n.startswith("v") and n[1:].isdigit())
 
 
 def prompt_text(spark: SparkSession, path: str, labels: tuple[str, ...] = (), **vocabulary: str) -> tuple[str, str]:
