@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lithic.functions.text import long_words
+from lithic.functions.text import is_bin, long_words
 from lithic.operators.features import exact_quantiles
 
 AGREED, LOST, SPREAD = 0.85, 0.05, (0.1, 0.9)
@@ -148,10 +148,8 @@ def claim_gaps(scored: DataFrame, qid: str, score: str, margin: float = GAP) ->
 def rank_quartiles(rows: DataFrame, value: str) -> DataFrame:
     """Nearest-rank quartiles of the values above 0: positions 0, n/4, n/2, 3n/4 and n-1."""
     some = rows.filter(F.col(value) > 0)
-    counted = some.groupBy(value).agg(F.count("*").alias("n_"))
-    runs = counted.withColumn("upto_", F.sum("n_").over(Window.orderBy(value))).join(F.broadcast(some.agg(F.count("*").alias("total_"))))  # distinct gaps of rounded scores
-    at = {"least": F.lit(0), "p25": F.floor(F.col("total_") / 4), "p50": F.floor(F.col("total_") / 2), "p75": F.floor(3 * F.col("total_") / 4), "most": F.col("total_") - 1}
-    return runs.agg(F.max("total_").alias("n"), *(F.min(F.when(F.col("upto_") > k, F.col(value))).alias(name) for name, k in at.items()))
+    found = exact_quantiles(some, value, {"least": 0.0, "p25": 0.25, "p50": 0.5, "p75": 0.75, "most": 1.0}, nearest=True)
+    return some.agg(F.nullif(F.count("*"), F.lit(0)).alias("n")).join(F.broadcast(found))
 
 
 def judged_metrics(rows: DataFrame, metrics: Sequence[str]) -> DataFrame:
@@ -216,3 +214,17 @@ def read_rates(runs: DataFrame, tokens: Column, reported: Column, wall: Column,
     rate, honest = F.try_divide(tokens, reported), tokens / F.greatest(wall, F.lit(1e-6))
     out = runs.withColumns({"reported_rate": rate, "rate": honest})
     return out.withColumns({"cached": F.coalesce("reported_rate", F.lit(0.0)) / F.greatest("rate", F.lit(1e-6)) > 3, "cut": tokens < 0.6 * expected})
+
+
+#: What a paragraph number and a bracketed marker at the start of a chunk look like.
+DOTTED, BRACKET = r"^\s*\(?\d{1,3}(?:\.\d{1,3}){1,3}\)?[\s.:)]", r"^\s*\((?:[a-zA-Z]|\d{1,2}|[ivxIVX]{1,4})\)\s"
+
+
+def locator_buckets(chunks: DataFrame, parents: DataFrame, kind: str, text: str) -> DataFrame:
+    """``chunks`` (with parent_id) with ``dotted`` and, for those cited by their section only, why:
+    A1 a number in the text, A2 a marker, B a parent that names nothing, C a parent that does (E23)."""
+    met = chunks.join(parents.select("parent_id", "heading"), "parent_id", "left")
+    dotted = F.coalesce(F.col(text).rlike(DOTTED), F.lit(False))
+    nameless = F.col("heading").isNull() | (F.trim("heading") == "?") | is_bin(F.col("heading"))
+    why = F.when(dotted, "A1").when(F.col(text).rlike(BRACKET), "A2").when(nameless, "B").otherwise("C")
+    return met.withColumns({"dotted": dotted, "bucket": F.when(F.col(kind) == "section", why)}).drop("heading")

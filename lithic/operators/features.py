@@ -45,8 +45,9 @@ def class_means(df: DataFrame, y: str, cols: Sequence[str]) -> DataFrame:
 SKETCH = 10_000
 
 
-def exact_quantiles(df: DataFrame, value: str, named: dict[str, float], by: Sequence[str] = ()) -> DataFrame:
-    """Interpolated quantiles of each group, a column each; NULLs and NaN are left out.
+def exact_quantiles(df: DataFrame, value: str, named: dict[str, float], by: Sequence[str] = (), nearest: bool = False) -> DataFrame:
+    """Interpolated quantiles of each group, a column each, or with ``nearest`` the value at position
+    n * q; NULLs and NaN are left out.
 
     A sketch of bounded size brackets each quantile. One more pass counts the values between and
     beside brackets, and each value within one, so that only brackets are shuffled and sorted,
@@ -77,7 +78,7 @@ def exact_quantiles(df: DataFrame, value: str, named: dict[str, float], by: Sequ
     before = Window.partitionBy(*by, F.lit(0)).orderBy("zone_").rowsBetween(Window.unboundedPreceding, -1)  # two zones a quantile
     offsets = sums.select(*by, "zone_", F.coalesce(F.sum("in_").over(before), F.lit(0)).alias("before_"))
     run = _joined(counted.withColumn("upto_", F.sum("n_").over(within)), offsets, [*by, "zone_"]).withColumn("upto_", F.col("upto_") + F.col("before_"))
-    rank = {n: (F.col("all_") - 1) * F.lit(float(q)) for n, q in named.items()}
+    rank = {n: F.floor(F.col("all_") * F.lit(float(q))) if nearest else (F.col("all_") - 1) * F.lit(float(q)) for n, q in named.items()}
     at = lambda r, k: F.least(F.floor(r) + k, F.col("all_") - 1)
     hit = lambda r, k: (F.col("upto_") > at(r, k)) & (F.col("upto_") - F.col("n_") <= at(r, k))
     found = run.groupBy(*by, "all_").agg(*(F.max(F.when(hit(r, k), F.col("v_"))).alias(f"{n}_{k}_") for n, r in rank.items() for k in (0, 1)))

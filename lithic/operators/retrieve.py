@@ -39,7 +39,9 @@ def searched(questions: DataFrame, facets: DataFrame, chunks: DataFrame, k: int
 
     ``dense``: (qid, facet_ord, chunk_id, rank) of an embedding arm; without one, the weighted share of
     a question's tokens stands in its place."""
-    number = (F.col("qid") * FACETS + F.col("facet_ord")).alias("fid")
+    beyond = F.raise_error(F.lit(f"a plan has at most {FACETS} facets, and question ids lie below 2 ** 53 / {FACETS}")).cast("long")
+    fits = (F.col("facet_ord") < FACETS) & (F.abs("qid") < 2**53 // FACETS)
+    number = F.when(fits, F.col("qid") * FACETS + F.col("facet_ord")).otherwise(beyond).alias("fid")
     asked = facets.join(questions.select("qid", "text"), "qid").select(number, "qid", "facet", "facet_ord", "text", "cells")
     both = se.lexical_arms(asked, chunks, "fid", "text", "chunk_id", "text", k, "cell", "cells").withColumn("bm25", F.col("score"))
     if dense is None:

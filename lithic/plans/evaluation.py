@@ -286,6 +286,27 @@ def locator_audit(spark, sf):
     return table(spark, sf, "documents").groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n"))
 
 
+LINE_CHUNKS_SQL = f"""lines AS (SELECT doc_id AS parent_id, source, (generate_subscripts(l, 1) - 1)::INT AS k, unnest(l) AS line, l[1] AS opening FROM (SELECT doc_id, source, string_split(coalesce(text, ''), chr(10)) AS l FROM documents)),
+chunks AS (SELECT parent_id, source, CASE k % 3 WHEN 0 THEN 'paragraph' WHEN 1 THEN 'section' ELSE 'other' END AS kind, CASE k % 5 WHEN 0 THEN '36.' || k || ' ' || line WHEN 1 THEN '(a) ' || line ELSE line END AS text,
+  CASE parent_id % 4 WHEN 0 THEN 'Notes.' WHEN 1 THEN NULL ELSE left(opening, 100) END AS heading FROM lines),
+buckets AS (SELECT *, regexp_matches(text, '{ev.DOTTED}') AS dotted, CASE WHEN kind = 'section' THEN CASE WHEN regexp_matches(text, '{ev.DOTTED}') THEN 'A1' WHEN regexp_matches(text, '{ev.BRACKET}') THEN 'A2'
+  WHEN heading IS NULL OR length(heading) > 90 OR trim(regexp_replace(lower(heading), '[^a-z0-9 ]+', ' ', 'g')) IN ('footnotes', 'footnote', 'notes', 'table', 'tables', '') THEN 'B' ELSE 'C' END END AS bucket FROM chunks)"""
+
+
+@query("locator_buckets", f"WITH {LINE_CHUNKS_SQL} SELECT source, count(*) AS n, count(*) FILTER (kind = 'paragraph') AS precise, count(*) FILTER (dotted) AS dotted, count(*) FILTER (bucket = 'A1') AS a1, count(*) FILTER (bucket = 'A2') AS a2, count(*) FILTER (bucket = 'B') AS b, count(*) FILTER (bucket = 'C') AS c FROM buckets GROUP BY 1")
+def locator_buckets(spark, sf):
+    """How precisely each source's lines can be cited, and why the coarse ones lack a number."""
+    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("parent_id"), "source", F.split(F.coalesce("text", F.lit("")), "\n").alias("l"))
+    k, p = F.col("k"), F.col("parent_id")
+    lines = docs.select("parent_id", "source", F.posexplode("l").alias("k", "line"))
+    text = F.when(k % 5 == 0, F.concat(F.lit("36."), k.cast("string"), F.lit(" "), "line")).when(k % 5 == 1, F.concat(F.lit("(a) "), "line")).otherwise(F.col("line"))
+    chunks = lines.select("parent_id", "source", F.when(k % 3 == 0, "paragraph").when(k % 3 == 1, "section").otherwise("other").alias("kind"), text.alias("text"))
+    parents = docs.select("parent_id", F.when(p % 4 == 0, "Notes.").when(p % 4 != 1, F.substring(F.col("l")[0], 1, 100)).alias("heading"))
+    met = ev.locator_buckets(chunks, parents, "kind", "text")
+    of = lambda name: F.count_if(F.col("bucket") == name).alias(name.lower())
+    return met.groupBy("source").agg(F.count("*").alias("n"), F.count_if(F.col("kind") == "paragraph").alias("precise"), F.count_if("dotted").alias("dotted"), of("A1"), of("A2"), of("B"), of("C"))
+
+
 @query("fell_out", f"WITH {BM}, want AS (SELECT item_id, min(doc_id) AS doc_id FROM bm WHERE score > 0 GROUP BY 1) SELECT item_id, CASE WHEN w.doc_id IN (SELECT chunk_id FROM turns t WHERE t.qid = w.item_id) THEN 'delivered' WHEN w.doc_id IN (SELECT chunk_id FROM kept k WHERE k.qid = w.item_id AND (above OR rescued)) THEN 'quota' WHEN w.doc_id IN (SELECT chunk_id FROM hits h WHERE h.qid = w.item_id) THEN 'cut' ELSE 'not found' END AS stage FROM want w")
 def fell_out(spark, sf):
     """The stage at which a wanted document was lost."""
