@@ -228,3 +228,39 @@ def locator_buckets(chunks: DataFrame, parents: DataFrame, kind: str, text: str)
     nameless = F.col("heading").isNull() | (F.trim("heading") == "?") | is_bin(F.col("heading"))
     why = F.when(dotted, "A1").when(F.col(text).rlike(BRACKET), "A2").when(nameless, "B").otherwise("C")
     return met.withColumns({"dotted": dotted, "bucket": F.when(F.col(kind) == "section", why)}).drop("heading")
+
+
+#: Settings of the cuts: whether scores are used at all, whether facets are held to the margin, hits to the floor.
+SETTINGS = {"all_cuts": (True, True, True), "no_margin": (True, False, True), "no_floor": (True, True, False), "neither": (True, False, False), "unranked": (False, True, True)}
+
+
+def ablated(hits: DataFrame, family: str, least: int = 3) -> DataFrame:
+    """Families that each question still delivers under five settings of the cuts, and what costs one
+    that needs ``least`` of them: the floor, the margin, or the order of the scores (E40)."""
+    from lithic.operators import assembly as asm
+
+    rows = None
+    for name, (scored, margin, floor) in SETTINGS.items():
+        left = hits if scored else hits.withColumn("rerank", F.lit(None).cast("double"))
+        left = asm.facet_margin(left).filter("in_margin") if margin else left
+        left = asm.floor_and_rescue(left).filter("above or rescued") if floor else left
+        named, pooled = asm.quota(left.filter("not inferred")), asm.pool(left.filter("inferred"))
+        one = named.select("qid", family).unionByName(pooled.select("qid", family)).select("qid", family, F.lit(name).alias("setting"))
+        rows = one if rows is None else rows.unionByName(one)
+    counts = rows.groupBy("qid").agg(*(F.count_distinct(F.when(F.col("setting") == name, F.col(family))).alias(name) for name in SETTINGS))
+    lost = (F.col("unranked") >= least) & (F.col("all_cuts") < least)
+    return counts.withColumn("culprit", F.when(lost, F.when(F.col("no_floor") >= least, "floor").when(F.col("no_margin") >= least, "margin").otherwise("order")))
+
+
+def citation_sets(arms: dict[str, DataFrame], expected: DataFrame, key: str, item: str) -> DataFrame:
+    """(key, found_*, shared_*_*): whether each arm holds a question's expected citation, and how many
+    citations each two arms share (E39). ``expected``: key and item, both null-free."""
+    names = list(arms)
+    held = None
+    for name, arm in arms.items():
+        one = arm.select(key, item, *(F.lit(n == name).alias(n) for n in names))
+        held = one if held is None else held.unionByName(one)
+    sets = held.groupBy(key, item).agg(*(F.bool_or(n).alias(n) for n in names)).join(expected.withColumn("wanted", F.lit(True)), [key, item], "left")
+    found = [F.coalesce(F.bool_or(F.col("wanted") & F.col(n)), F.lit(False)).alias(f"found_{n}") for n in names]
+    shared = [F.count_if(F.col(a) & F.col(b)).alias(f"shared_{a}_{b}") for i, a in enumerate(names) for b in names[i + 1 :]]
+    return sets.groupBy(key).agg(*found, *shared)

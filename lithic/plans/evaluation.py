@@ -338,6 +338,49 @@ def filter_ablation(spark, sf):
     return wide.select(F.explode(F.array(*(F.struct(F.lit(c).alias("setting"), F.col(c).alias("families")) for c in ("all", "named", "above", "first")))).alias("x")).select("x.*")
 
 
+def _setting_sql(name: str, scored: bool, margin: bool, floor: bool) -> str:
+    """Families a question under one setting: the chain of BM25_SQL with some of its cuts left out."""
+    above = "(rerank IS NULL OR rerank >= 0)" if floor else "true"
+    value = "rerank" if scored else "NULL::DOUBLE AS rerank"
+    return f"""{name}_h AS (SELECT * EXCLUDE (rerank), {value} FROM hits),
+{name}_m AS (SELECT *, {'true' if not margin else 'NOT inferred OR n_facets = 1 OR best IS NULL OR coalesce(facet_best >= best - 6, false)'} AS in_margin
+  FROM (SELECT *, max(rerank) OVER (PARTITION BY qid, facet) AS facet_best, max(rerank) OVER (PARTITION BY qid) AS best, len(list_distinct(list(facet) OVER (PARTITION BY qid))) AS n_facets FROM {name}_h)),
+{name}_k AS (SELECT *, NOT inferred AND lefts = 0 AND ord <= 2 AS rescued FROM (SELECT *, count(*) FILTER (above) OVER (PARTITION BY qid, facet) AS lefts, row_number() OVER (PARTITION BY qid, facet ORDER BY coalesce(rerank, rrf) DESC, pos) AS ord
+  FROM (SELECT *, {above} AS above FROM {name}_m WHERE in_margin))),
+{name}_p AS (SELECT qid, parent_id FROM {name}_k WHERE (above OR rescued) AND NOT inferred QUALIFY row_number() OVER (PARTITION BY qid, facet ORDER BY pos) <= 5
+  UNION ALL SELECT qid, parent_id FROM {name}_k WHERE (above OR rescued) AND inferred QUALIFY row_number() OVER (PARTITION BY qid ORDER BY coalesce(rerank, 0) DESC, facet_ord, pos) <= 5),
+{name}_n AS (SELECT qid, count(DISTINCT parent_id) AS {name} FROM {name}_p GROUP BY 1)"""
+
+
+_SETTING_CTES = ", ".join(_setting_sql(name, *flags) for name, flags in ev.SETTINGS.items())
+_COUNTS = ", ".join(f"coalesce({name}, 0) AS {name}" for name in ev.SETTINGS)
+
+
+@query("cut_ablation", f"WITH {BM}, {_SETTING_CTES}, c AS (SELECT qid, {_COUNTS} FROM (SELECT DISTINCT qid FROM hits) " + " ".join(f"LEFT JOIN {name}_n USING (qid)" for name in ev.SETTINGS) + ") SELECT *, CASE WHEN unranked >= 3 AND all_cuts < 3 THEN CASE WHEN no_floor >= 3 THEN 'floor' WHEN no_margin >= 3 THEN 'margin' ELSE 'order' END END AS culprit FROM c WHERE greatest(all_cuts, no_margin, no_floor, neither, unranked) > 0")
+def cut_ablation(spark, sf):
+    """Families of documents that each question delivers with cuts left out, and the cut that costs them."""
+    from lithic.sources.shared import stored
+
+    return ev.ablated(stored(retrieval.hits(spark, sf)), "parent_id")
+
+
+@query("citation_sets", f"""WITH {BM}, want AS (SELECT item_id, min(doc_id) AS doc_id FROM lex WHERE rank = item_id % 9 GROUP BY 1),
+s AS (SELECT item_id, doc_id, bool_or(a = 'fused') AS fused, bool_or(a = 'lexical') AS lexical, bool_or(a = 'cover') AS cover FROM (SELECT item_id, doc_id, 'fused' AS a FROM fused WHERE rank < 6 UNION ALL SELECT item_id, doc_id, 'lexical' FROM lex WHERE rank < 6 UNION ALL SELECT item_id, doc_id, 'cover' FROM cover WHERE rank < 6) GROUP BY 1, 2)
+SELECT s.item_id, bool_or(w.doc_id IS NOT NULL AND fused) AS found_fused, bool_or(w.doc_id IS NOT NULL AND lexical) AS found_lexical, bool_or(w.doc_id IS NOT NULL AND cover) AS found_cover,
+  count(*) FILTER (fused AND lexical) AS shared_fused_lexical, count(*) FILTER (fused AND cover) AS shared_fused_cover, count(*) FILTER (lexical AND cover) AS shared_lexical_cover
+FROM s LEFT JOIN want w ON w.item_id = s.item_id AND w.doc_id = s.doc_id GROUP BY 1""")
+def citation_sets(spark, sf):
+    """The six first citations of three arms: what they share, and whether they hold an expected one."""
+    from lithic.operators import search as se
+    from lithic.sources.shared import stored
+
+    both = stored(retrieval.arms(spark, sf).withColumn("bm25", F.col("score")))
+    lexical, cover = se.lexical_top(both, "item_id", "doc_id"), se.lexical_top(both.withColumn("score", F.col("cover")), "item_id", "doc_id")
+    fused = se.fuse({"cover": cover, "lexical": lexical}, ["item_id"], "doc_id", carry=["bm25"])
+    want = lexical.filter(F.col("rank") == F.col("item_id") % 9).select("item_id", "doc_id")
+    return ev.citation_sets({"fused": fused.filter("rank < 6"), "lexical": lexical.filter("rank < 6"), "cover": cover.filter("rank < 6")}, want, "item_id", "doc_id")
+
+
 @query("judge_metrics", "WITH r AS (SELECT unnest([{'metric': 'recall', 'value': CASE WHEN event_id % 10 = 0 THEN NULL WHEN event_id % 10 = 1 THEN 'nan'::DOUBLE ELSE value END}, {'metric': 'faith', 'value': CASE WHEN event_id % 4 = 0 THEN NULL ELSE value / 2 END}], recursive := true) FROM events) SELECT metric, count(*) FILTER (value IS NOT NULL AND NOT isnan(value)) AS n, round(avg(value) FILTER (NOT isnan(value)), 6) AS mean, round(median(value) FILTER (NOT isnan(value)), 6) AS median, count(*) FILTER (isnan(value)) AS n_nan, count(*) FILTER (value IS NULL) AS n_absent FROM r GROUP BY 1")
 def judge_metrics(spark, sf):
     """Mean and median of what a judge measured; NaN and absent values are counted apart."""
