@@ -1,23 +1,18 @@
-"""Removal of long repeated byte strings by doubling names at growing lengths.
+"""Removal of long repeated byte strings: repeated anchors choose positions, prefix doubling decides.
 
-Names take the place of ranks: a string's name is a 64-bit key put together from the names of its
-halves, so names of strings of 2, 4, 8 ... bytes double from those before, and Spark groups
-the names (where a rank array would be sorted and numbered anew) to see which occur again.
 Lengths grow from ``passage`` to ``length`` bytes; texts without a repeated string of the shorter
-length are dropped before the longer one is looked at, and so are positions found unique.
+length are dropped before the longer one is looked at.
 
-Not every position takes part until the last round. Every string of a level's length has one
-anchor: the first of the least names of BLOCK bytes in it (the greatest power of two within two
-thirds of the length). Neighbouring starts with the same anchor are a *stretch*; ``inner`` names the
-anchor's bytes and ``outer`` all bytes that the strings of the stretch cover together.
+A row for every byte would be 24 times the input in each sort, so anchors leave out what cannot
+occur again. Every string of a level's length has one anchor: the first of the least names of BLOCK
+bytes in it (the greatest power of two within two thirds of the length). Neighbouring starts with
+the same anchor are a *stretch*; ``inner`` names the anchor's bytes and ``outer`` all bytes that the
+strings of the stretch cover together. Names are 64-bit keys put together from those of halves.
 
 1. inner unique: no string that starts in the stretch occurs again; dropped.
-2. outer found twice: all of them do.
-3. else the stretch is open, and is looked at again in runs of at most GRAIN starts, and at last
-   start by start. Of the stretches with one outer only one text's is carried on.
-
-A run's own inner and outer are again what all its strings share and what they cover; runs are
-cut by their distance from the anchor, so equal strings fall in equal runs.
+2. outer found twice: all of them do, and one text's stretch stands for the others.
+3. all positions of the other stretches, and of those that stand for others, go to distributed
+   prefix doubling (``prefix_doubling``), which ranks them at a half and then the whole of the length.
 
 One of equal texts stands for all of them, so copies cost a row each and no more. All steps count
 names with partial sums; names found twice are written before rows are joined with them, by
@@ -40,9 +35,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lithic.llm.common import discard, map_batches, shared_folder, written
+from lithic.llm.common import give_back, map_batches, shared_folder, with_small_batches, written
+from lithic.llm.prefix_doubling import halved, repeated_positions
 
-GRAIN = 12
 #: Tables of names or found places are broadcast up to so many entries (16 to 40 bytes each).
 BROADCAST_ENTRIES = 1_000_000
 
@@ -141,33 +136,6 @@ def _is_least(block: np.ndarray, low: np.ndarray, window: int) -> np.ndarray:
     return highest == block
 
 
-def finer_runs(texts: list[bytes], rows: pa.RecordBatch, size: int, length: int) -> tuple[np.ndarray, ...]:
-    """The same values for runs cut into at most ``size`` starts, by distance from the anchor.
-
-    Only the bytes that the runs' strings cover are named, laid end to end.
-    """
-    runs = rows.column("runs")
-    text = np.repeat(np.arange(len(texts)), runs.value_lengths().to_numpy())
-    first, count, back, inner = (x.to_numpy() for x in runs.flatten().flatten())
-    ends = first + count - 1 + length
-    pieces = [texts[i][f:e] for i, f, e in zip(text.tolist(), first.tolist(), ends.tolist(), strict=True)]
-    sizes = np.array([len(x) for x in pieces], np.int64)
-    moved = np.cumsum(sizes) - sizes - first  # from a place in the text to one in the pieces
-    lo, hi = (back - count + 1) // size, back // size
-    many = hi - lo + 1
-    of = np.repeat(np.arange(len(pieces)), many)
-    k = ranges(many) + lo[of]
-    far, near = np.minimum(k * size + size - 1, back[of]), np.maximum(k * size, (back - count + 1)[of])
-    anchor = (first + back)[of]
-    begin, n = anchor - far, far - near + 1
-    names = Names(b"".join(pieces), block_of(length))
-    # What all strings of the uncut run share, which lies within any of them.
-    share = names.at(anchor - k * size + moved[of], np.full(len(k), length - size + 1))
-    mixed = _paired(_paired(inner[of].view(np.uint64), share), k.astype(np.uint64))
-    outer = _paired(names.at(begin + moved[of], n - 1 + length), far.astype(np.uint64))
-    return text[of], begin, n, far, mixed.view(np.int64), outer.view(np.int64)
-
-
 def merged(of: np.ndarray, first: np.ndarray, count: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(text, start, stop) of the maximal covered byte runs of runs (text, first start, starts)."""
     order = np.lexsort((first, of))
@@ -254,7 +222,7 @@ def resolved(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     told = written(mixed.join(few(outers, outers.count()), ["inner", "outer"], "left"))
     place = [*CONTENT, "first", "starts", "cross"]
     sure = written(again.filter("one").select(*place).union(told.filter("sample is not null").select(*place)).distinct(), again, outers)
-    still = written(told.filter("sample is null or content = sample").select(*CONTENT, "first", "starts", "back", "inner").distinct(), told)
+    still = written(told.filter("sample is null or content = sample").select(*CONTENT, "first", "starts", "inner").distinct(), told)
     return sure, still
 
 
@@ -265,23 +233,55 @@ def unsettled(still: DataFrame, sure: DataFrame) -> DataFrame:
     return written(still.join(few(names, names.count()), "inner", "left_semi"), still, names)
 
 
+def named_positions(met: DataFrame, length: int) -> DataFrame:
+    """What ``repeated_positions`` takes, of the starts in ``runs`` of each text.
+
+    Only the bytes that the runs' strings cover are named, a bounded number of them at a time.
+    """
+    half, quarter = halved(length)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                key, data = batch.column("text")[row].as_py(), batch.column("data")[row].as_py()
+                first, count = (x.to_numpy() for x in batch.column("runs")[row].values.flatten())
+                group = np.cumsum(count + length) // TOGETHER
+                for mine in np.split(np.arange(len(first)), np.flatnonzero(np.diff(group)) + 1):
+                    yield quarters(key, data, first[mine], count[mine])
+        give_back()
+
+    def quarters(key: int, data: bytes, first: np.ndarray, count: np.ndarray) -> pa.RecordBatch:
+        sizes = count - 1 + length
+        names = Names(b"".join(data[f : f + n] for f, n in zip(first.tolist(), sizes.tolist(), strict=True)), 1 << (quarter.bit_length() - 1))
+        moved = np.repeat(np.cumsum(sizes) - sizes - first, count)
+        starts = np.repeat(first, count) + ranges(count)
+        at, place = np.unique(np.concatenate([starts, starts + length - half]), return_index=True)
+        inside = at + np.concatenate([moved, moved])[place]
+        full = np.full(len(at), quarter)
+        r1, r2 = names.at(inside, full), names.at(inside + half - quarter, full)
+        flags = [pa.array(np.isin(at, starts)), pa.array(np.isin(at, starts + length - half))]
+        columns = [pa.array(np.full(len(at), key)), pa.array(at), pa.array(r1.view(np.int64)), pa.array(r2.view(np.int64)), *flags]
+        return pa.RecordBatch.from_arrays(columns, ["text", "pos", "r1", "r2", "starts", "ends"])
+
+    return with_small_batches(met.select("text", "data", "runs")).mapInArrow(run, "text long, pos long, r1 long, r2 long, starts boolean, ends boolean")
+
+
 def repeated_runs(texts: Texts, rows: DataFrame, length: int, flags: bool = False) -> DataFrame:
     """CONTENT, first, starts, cross: starts of strings that also start anywhere else.
 
     With ``flags``, runs of a text that is known to share a string with another may be left out.
     """
     sure, still = resolved(run_rows(rows.filter(F.octet_length("data") >= length), lambda data, _: stretches(data, None, length), ["data"]))
-    for size in (min(GRAIN, length - block_of(length) + 1), 1):
-        if flags:
-            still = unsettled(still, sure)
-        by_text = written(still.groupBy(*CONTENT).agg(F.collect_list(F.struct("first", "starts", "back", "inner")).alias("runs")), still)
-        entries = by_text.agg(F.sum(F.size("runs"))).first()[0] or 0
-        met = texts.met(by_text, entries)
-        more, still = resolved(run_rows(met, lambda data, runs, size=size: finer_runs(data, runs, size, length), ["data", "runs"]))
-        discard(by_text)
-        sure = written(sure.union(more), sure, more)
-    discard(still)
-    return sure
+    if flags:
+        still = unsettled(still, sure)
+    runs = still.groupBy(*CONTENT).agg(F.collect_list(F.struct("first", "starts")).alias("runs"))
+    by_text = written(runs.withColumn("text", F.monotonically_increasing_id()), still)
+    entries = by_text.agg(F.sum(F.size("runs"))).first()[0] or 0
+    found = repeated_positions(written(named_positions(texts.met(by_text, entries), length)), length)
+    places = found.groupBy("text").agg(F.collect_list("pos").alias("places"), F.max("crossed").alias("cross"))
+    keys = by_text.select("text", *CONTENT)
+    more = places.join(keys, "text").select(*CONTENT, F.explode("places").alias("first"), F.lit(1).cast("long").alias("starts"), "cross")
+    return written(sure.union(more), sure, found, by_text)
 
 
 def covered_spans(docs: DataFrame, length: int = 400, passage: int = 256, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
