@@ -11,7 +11,10 @@ strings of the stretch cover together. Names are 64-bit keys put together from t
 
 1. inner unique: no string that starts in the stretch occurs again; dropped.
 2. outer found twice: all of them do, and one text's stretch stands for the others.
-3. all positions of the other stretches, and of those that stand for others, go to distributed
+3. else the stretch is open: it and those that stand for others are cut into runs of at most GRAIN
+   starts, by their distance from the anchor, so that equal strings fall in equal runs. A run's
+   inner and outer are again what all its strings share and what they cover; steps 1 and 2 are done again.
+4. all positions of the runs that are still open, and of those that stand for others, go to distributed
    prefix doubling (``prefix_doubling``), which ranks them at a half and then the whole of the length.
 
 One of equal texts stands for all of them, so copies cost a row each and no more. All steps count
@@ -35,9 +38,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lithic.llm.common import give_back, map_batches, shared_folder, with_small_batches, written
+from lithic.llm.common import discard, give_back, map_batches, shared_folder, with_small_batches, written
 from lithic.llm.prefix_doubling import halved, repeated_positions
 
+#: Open stretches are cut into runs of so many starts, at most, before positions are ranked.
+GRAIN = 12
 #: Tables of names or found places are broadcast up to so many entries (16 to 40 bytes each).
 BROADCAST_ENTRIES = 1_000_000
 
@@ -136,6 +141,33 @@ def _is_least(block: np.ndarray, low: np.ndarray, window: int) -> np.ndarray:
     return highest == block
 
 
+def finer_runs(texts: list[bytes], rows: pa.RecordBatch, size: int, length: int) -> tuple[np.ndarray, ...]:
+    """The same values for runs cut into at most ``size`` starts, by distance from the anchor.
+
+    Only the bytes that the runs' strings cover are named, laid end to end.
+    """
+    runs = rows.column("runs")
+    text = np.repeat(np.arange(len(texts)), runs.value_lengths().to_numpy())
+    first, count, back, inner = (x.to_numpy() for x in runs.flatten().flatten())
+    ends = first + count - 1 + length
+    pieces = [texts[i][f:e] for i, f, e in zip(text.tolist(), first.tolist(), ends.tolist(), strict=True)]
+    sizes = np.array([len(x) for x in pieces], np.int64)
+    moved = np.cumsum(sizes) - sizes - first  # from a place in the text to one in the pieces
+    lo, hi = (back - count + 1) // size, back // size
+    many = hi - lo + 1
+    of = np.repeat(np.arange(len(pieces)), many)
+    k = ranges(many) + lo[of]
+    far, near = np.minimum(k * size + size - 1, back[of]), np.maximum(k * size, (back - count + 1)[of])
+    anchor = (first + back)[of]
+    begin, n = anchor - far, far - near + 1
+    names = Names(b"".join(pieces), block_of(length))
+    # What all strings of the uncut run share, which lies within any of them.
+    share = names.at(anchor - k * size + moved[of], np.full(len(k), length - size + 1))
+    mixed = _paired(_paired(inner[of].view(np.uint64), share), k.astype(np.uint64))
+    outer = _paired(names.at(begin + moved[of], n - 1 + length), far.astype(np.uint64))
+    return text[of], begin, n, far, mixed.view(np.int64), outer.view(np.int64)
+
+
 def merged(of: np.ndarray, first: np.ndarray, count: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(text, start, stop) of the maximal covered byte runs of runs (text, first start, starts)."""
     order = np.lexsort((first, of))
@@ -222,7 +254,7 @@ def resolved(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     told = written(mixed.join(few(outers, outers.count()), ["inner", "outer"], "left"))
     place = [*CONTENT, "first", "starts", "cross"]
     sure = written(again.filter("one").select(*place).union(told.filter("sample is not null").select(*place)).distinct(), again, outers)
-    still = written(told.filter("sample is null or content = sample").select(*CONTENT, "first", "starts", "inner").distinct(), told)
+    still = written(told.filter("sample is null or content = sample").select(*CONTENT, "first", "starts", "back", "inner").distinct(), told)
     return sure, still
 
 
@@ -272,6 +304,13 @@ def repeated_runs(texts: Texts, rows: DataFrame, length: int, flags: bool = Fals
     With ``flags``, runs of a text that is known to share a string with another may be left out.
     """
     sure, still = resolved(run_rows(rows.filter(F.octet_length("data") >= length), lambda data, _: stretches(data, None, length), ["data"]))
+    if flags:
+        still = unsettled(still, sure)
+    by_text = written(still.groupBy(*CONTENT).agg(F.collect_list(F.struct("first", "starts", "back", "inner")).alias("runs")), still)
+    size, entries = min(GRAIN, length - block_of(length) + 1), by_text.agg(F.sum(F.size("runs"))).first()[0] or 0
+    more, still = resolved(run_rows(texts.met(by_text, entries), lambda data, runs: finer_runs(data, runs, size, length), ["data", "runs"]))
+    discard(by_text)
+    sure = written(sure.union(more), sure, more)
     if flags:
         still = unsettled(still, sure)
     runs = still.groupBy(*CONTENT).agg(F.collect_list(F.struct("first", "starts")).alias("runs"))
