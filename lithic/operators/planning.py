@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lithic.functions.text import terms_in
+from lithic.functions.text import has_term
 
 #: What each vocabulary reads in a question, in the order in which it is reported.
 JURISDICTIONS = {
@@ -109,7 +109,7 @@ def alias_index(registry: DataFrame) -> DataFrame:
 
 def named_in(lowered: Column, tables: dict[str, Sequence[str]]) -> Column:
     """The entries of a term table that a text mentions, in the table's order."""
-    each = [F.when(F.size(terms_in(lowered, terms)) > 0, F.lit(name)) for name, terms in tables.items()]
+    each = [F.when(has_term(lowered, terms), F.lit(name)) for name, terms in tables.items()]
     return F.array_compact(F.array(*each))
 
 
@@ -120,13 +120,14 @@ def plan_modes(questions: DataFrame, key: str, text: str, documents: DataFrame |
     words of change together with a word for a document also ask for versions.
     """
     q = F.lower(F.col(text))
-    version = F.size(terms_in(q, STRONG_VERSION)) > 0
+    says = lambda terms: F.coalesce(has_term(q, terms), F.lit(False))
+    version = says(STRONG_VERSION)
     if weak_version:
-        version = version | ((F.size(terms_in(q, WEAK_VERSION)) > 0) & (F.size(terms_in(q, DOC_WORDS)) > 0))
+        version = version | (says(WEAK_VERSION) & says(DOC_WORDS))
     read = questions.select(
         key, named_in(q, JURISDICTIONS).alias("jurisdictions"), named_in(q, SUBJECTS).alias("subjects"),
         version.alias("version"),
-        (F.size(terms_in(q, RECENCY)) > 0).alias("recency"))
+        says(RECENCY).alias("recency"))
     if documents is not None:
         read = read.join(documents, key, "left")
     named = F.coalesce("n_documents", F.lit(0)) if documents is not None else F.lit(0)
