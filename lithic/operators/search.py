@@ -66,6 +66,8 @@ def bm25(questions: DataFrame, corpus: DataFrame, qkey: str, qtext: str, key: st
 
 #: Terms of a block of questions that every task holds, and documents whose bounds are taken together.
 BLOCK_TERMS, BLOCK_DOCS = 200_000, 512
+#: Scores of documents for questions that a task holds at once where all of them are ranked.
+BLOCK_CELLS = 1_000_000
 
 
 def tokenised(corpus: DataFrame, text: str, *keep: str) -> DataFrame:
@@ -247,28 +249,92 @@ def located_ranks(questions: DataFrame, corpus: DataFrame, wanted: DataFrame, qk
     """(qkey, before, after): the rank from 0 of the wanted document of each question by BM25 over
     texts, and over locators and texts; null where it shares no token (E25).
 
-    Texts are tokenised once. What locators add is a few postings a document; they are added to
-    the postings of texts, and only postings of tokens that a question asks for are scored.
+    Every document that shares a token with a question is scored, and neither postings nor pairs are
+    shuffled: tasks hold a block of questions with the scores of their wanted documents, and hand on how
+    many of their documents stand before these.
     """
+    out = wanted.select(qkey)
+    for name, read in (("before", F.col(text)), ("after", F.concat_ws(" ", locator, text))):
+        out = out.join(_ranked(questions, corpus.select(key, read.alias("read_")), wanted, qkey, qtext, key, "read_").withColumnRenamed("rank", name), qkey, "left")
+    return out
+
+
+def _ranked(questions: DataFrame, corpus: DataFrame, wanted: DataFrame, qkey: str, qtext: str, key: str, text: str) -> DataFrame:
+    """(qkey, rank) of the wanted document of each question that shares a token with it."""
     from lithic.sources.shared import stored
 
-    whole = stored(tokenised(corpus, text, key))
-    more = stored(tokenised(corpus, locator, key))
+    documents = stored(tokenised(corpus, text, key))
+    stats = documents.agg(F.count("*").alias("N"), F.avg("dl").alias("avgdl"))
+    df = documents.select(F.explode("terms").alias("token")).groupBy("token").agg(F.count("*").alias("df"))
     asked = questions.select(qkey, F.explode(tokens(F.coalesce(F.col(qtext), F.lit("")))).alias("token")).groupBy(qkey, "token").agg(F.count("*").alias("times"))
-    listed = lambda df: df.select(key, F.explode(F.arrays_zip("terms", "times")).alias("t")).select(key, F.col("t.terms").alias("token"), F.col("t.times").alias("tf"))
-    lengths = {"before": whole.select(key, "dl"), "after": whole.select(key, "dl").unionByName(more.select(key, "dl")).groupBy(key).agg(F.sum("dl").alias("dl"))}
-    posted = {"before": listed(whole), "after": listed(whole).unionByName(listed(more)).groupBy(key, "token").agg(F.sum("tf").alias("tf"))}
-    out = wanted.select(qkey)
-    for name in ("before", "after"):
-        stats = lengths[name].agg(F.count("*").alias("N"), F.avg("dl").alias("avgdl"))
-        weights = term_weights(posted[name].groupBy("token").agg(F.count("*").alias("df")), stats, counted=True)
-        met = posted[name].join(asked, "token").join(weights, "token").join(lengths[name], key).join(F.broadcast(stats))
-        part = F.col("times") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-        scored = stored(met.groupBy(qkey, key).agg(F.round(F.sum(part), DIGITS).alias("score")))
-        own = scored.join(wanted, [qkey, key]).select(qkey, F.col("score").alias("own_"), F.col(key).alias("key_"))
-        ahead = (F.col("score") > F.col("own_")) | ((F.col("score") == F.col("own_")) & (F.col(key) < F.col("key_")))
-        out = out.join(scored.join(own, qkey).groupBy(qkey).agg(F.count_if(ahead).alias(name)), qkey, "left")
-    return out
+    weights = term_weights(df, stats, counted=True)
+    told = stored(asked.join(weights, "token").join(wanted.select(qkey, F.col(key).alias("want")), qkey).select(qkey, "want", "token", "times", "idf"))
+    mean = stats.first()["avgdl"]
+    out = None
+    for low, high in _blocks(told.groupBy(qkey).agg(F.count("*").alias("n")), qkey):
+        rows = told.filter(F.col(qkey).between(low, high)).orderBy(qkey, "token").collect()  # at most BLOCK_TERMS, or one question's
+        found = _rank_block(rows, documents, float(mean), qkey, key)
+        out = found if out is None else out.union(found)
+    return out if out is not None else questions.sparkSession.createDataFrame([], f"{qkey} long, rank long")
+
+
+def _rank_block(rows: list, documents: DataFrame, mean: float, qkey: str, key: str) -> DataFrame:
+    ids, opens, q = np.unique(np.array([r[qkey] for r in rows], np.int64), return_index=True, return_inverse=True)
+    want = np.array([rows[i]["want"] for i in opens], np.int64)
+    terms = sorted({r["token"] for r in rows})
+    number = {x: i for i, x in enumerate(terms)}
+    term, weight = np.array([number[r["token"]] for r in rows]), np.array([r["idf"] * r["times"] for r in rows])
+    order = np.lexsort((q, term))
+    term, q, weight = term[order], q[order], weight[order]
+    first = np.searchsorted(term, np.arange(len(terms) + 1))
+    wide = np.diff(first)
+    step = max(1, BLOCK_CELLS // len(ids))
+
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Keys of some documents and their scores for all questions, -inf where no token is shared."""
+        import pyarrow.compute as pc
+
+        vocabulary = pa.array(terms)
+        for batch in (b.slice(i, step) for b in batches for i in range(0, b.num_rows, step)):
+            lists, keys, length = batch.column("terms"), batch.column(key).to_numpy(), np.asarray(batch.column("dl"))
+            found = np.asarray(pc.fill_null(pc.index_in(lists.flatten(), value_set=vocabulary), -1)).astype(np.int64)
+            doc, tf = np.repeat(np.arange(len(keys)), np.asarray(lists.value_lengths())), np.asarray(batch.column("times").flatten())
+            doc, tf, at = doc[found >= 0], tf[found >= 0], found[found >= 0]
+            by = np.lexsort((at, doc))  # a document's terms always in the same order, so that equal scores are equal
+            doc, tf, at = doc[by], tf[by], at[by]
+            value = tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[doc] / mean))
+            total, met = np.zeros(len(keys) * len(ids)), np.zeros(len(keys) * len(ids), bool)
+            held = np.cumsum(wide[at])
+            lo = 0
+            while lo < len(at):  # the expansion of BLOCK_CELLS at a time, or of one term's questions
+                hi = max(lo + 1, int(np.searchsorted(held, (held[lo - 1] if lo else 0) + BLOCK_CELLS, "right")))
+                n = wide[at[lo:hi]]
+                ask = np.repeat(first[at[lo:hi]], n) + _runs(n)
+                to = np.repeat(doc[lo:hi], n) * len(ids) + q[ask]
+                np.add.at(total, to, np.repeat(value[lo:hi], n) * weight[ask])
+                met[to] = True
+                lo = hi
+            yield keys, np.where(met, np.round(total, DIGITS), -np.inf).reshape(len(keys), len(ids))
+
+    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for keys, scores in scored(batches):
+            d, i = np.nonzero((keys[:, None] == want[None, :]) & (scores > -np.inf))
+            yield pa.RecordBatch.from_arrays([pa.array(i, pa.int64()), pa.array(scores[d, i], pa.float64())], ["at", "score"])
+
+    spark = documents.sparkSession
+    named = spark.createDataFrame([(int(x),) for x in np.unique(want)], f"{key} long")
+    floor = np.full(len(ids), np.inf)
+    for r in documents.join(F.broadcast(named), key, "left_semi").mapInArrow(own, "at long, score double").collect():  # a row a question
+        floor[r["at"]] = r["score"]
+
+    def ahead(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(len(ids), np.int64)
+        for keys, scores in scored(batches):
+            n += ((scores > floor) | ((scores == floor) & (keys[:, None] < want[None, :]))).sum(axis=0)
+        open_ = floor < np.inf
+        yield pa.RecordBatch.from_arrays([pa.array(ids[open_]), pa.array(n[open_])], [qkey, "n"])
+
+    return documents.mapInArrow(ahead, f"{qkey} long, n long").groupBy(qkey).agg(F.sum("n").alias("rank"))
 
 
 def lexical_top(scores: DataFrame, qkey: str, key: str, k: int = 20) -> DataFrame:

@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from lithic.operators import retrieve as rt
 from lithic.operators.tracing import Tracer
@@ -47,3 +48,26 @@ def test_tracers():
     with pytest.raises(KeyError), on.span("a"), on.span("b", "inner"):
         raise KeyError("x")
     assert [(r[2], r[3], r[4], r[5]) for r in on.rows] == [(None, "a", 3, "KeyError"), (0, "b", 1, "KeyError")]
+
+
+def test_ranks_before_and_after_locators_in_blocks_of_any_size(spark, monkeypatch):
+    """Ranks do not depend on how questions and documents are cut; no pair of a question and a document is shuffled."""
+    from lithic.operators import search
+
+    rows = [(i, None if i == 5 else f"rule {'of' if i % 2 else 'on'} {'capital' if i % 3 else 'risk'}", f"CRE{i % 4}.{i}") for i in range(40)]
+    corpus = spark.createDataFrame(rows, "d long, text string, loc string")
+    asks = corpus.filter("d % 5 = 0").select(F.col("d").alias("q"), F.concat(F.lit("what of "), F.when(F.col("d") == 10, "").otherwise(F.col("loc"))).alias("t"))
+    wanted = asks.select("q", F.col("q").alias("d"))
+
+    def ranks():
+        df = search.located_ranks(asks, corpus, wanted, "q", "t", "d", "text", "loc")
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert "explode" not in plan and "ahead" in plan
+        return {r["q"]: (r["before"], r["after"]) for r in df.collect()}
+
+    whole = ranks()
+    # texts of even documents hold no word of the questions; document 25 shares "of" and is tied with the odd ones before it
+    assert whole[0] == (None, 0) and whole[5] == (None, 0) and whole[10] == (None, None) and whole[25][1] == 0 and whole[25][0] == 11
+    monkeypatch.setattr(search, "BLOCK_CELLS", 3)
+    monkeypatch.setattr(search, "BLOCK_TERMS", 4)
+    assert ranks() == whole
