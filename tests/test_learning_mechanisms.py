@@ -120,6 +120,22 @@ def test_net_learns_and_stops_early(spark):
     assert len(short["losses"]) < 9
 
 
+def test_a_step_reads_the_files_of_its_own_mini_batch(spark, monkeypatch):
+    df = spark.range(3000).select(F.col("id"), (F.col("id") % 7).cast("double").alias("a"), (F.col("id") % 2).cast("int").alias("y"))
+    read, summed = [], nets._summed
+
+    def seen(rows, work, width, tasks):
+        read.append((tuple(sorted(rows.inputFiles())), rows.count()))
+        return summed(rows, work, width, tasks)
+
+    monkeypatch.setattr(nets, "_summed", seen)
+    nets.fit_net(df, ["a"], "y", "id", (4,), batch_rows=600, rounds=2)
+    steps, again = read[:4], read[5:9]  # each round ends with the rows that are held out
+    files = [f for names, _ in steps for f in names]
+    assert len(files) == len(set(files)) and again == steps
+    assert sum(n for _, n in steps) + df.filter(F.pmod(F.xxhash64(F.lit(42), F.col("id")), F.lit(5)) == 0).count() == 3000
+
+
 def test_elimination_equals_refits(spark):
     rng = np.random.default_rng(8)
     x = rng.normal(size=(500, 20))
