@@ -21,6 +21,8 @@ K1, B, FLOOR = 1.5, 0.75, 0.25
 DIGITS = 6
 #: Query vectors that are held by every task at once.
 QUERY_BLOCK = 2048
+#: Scores of queries with rows that a task holds at once.
+SCORE_CELLS = 1_000_000
 
 
 def top(df: DataFrame, part: Sequence[str], order: Sequence[Column], k: int, rank: str = "rank") -> DataFrame:
@@ -346,7 +348,7 @@ def dense_top(queries: DataFrame, corpus: DataFrame, k: int = 20, same: Sequence
     """(qkey, key, score, rank): exact largest dot products among rows that agree on ``same`` (A-EM5).
 
     Queries are taken in blocks of QUERY_BLOCK; a task holds a block, scores its rows with matrix
-    products and hands on its best k a query, so what is shuffled is k rows a query and task.
+    products of SCORE_CELLS cells and hands on its best k a query, so what is shuffled is k rows a query and task.
     """
     ordered = queries.select(qkey, *same, vector).orderBy(qkey)
     out = None
@@ -365,10 +367,11 @@ def _score_block(rows: list, corpus: DataFrame, k: int, same: Sequence[str], qke
     groups: dict[tuple, list[int]] = {}
     for i, r in enumerate(rows):
         groups.setdefault(tuple(r[c] for c in same), []).append(i)
+    step = max(1, SCORE_CELLS // len(ids))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best_s, best_i = np.full((len(ids), k), -np.inf), np.zeros((len(ids), k), np.int64)
-        for batch in batches:
+        for batch in (b.slice(i, step) for b in batches for i in range(0, b.num_rows, step)):
             vectors = np.array(batch.column(vector).to_pylist(), np.float64)
             keys = batch.column(key).to_numpy()
             held = list(zip(*(batch.column(c).to_pylist() for c in same), strict=True)) if same else [()] * len(keys)

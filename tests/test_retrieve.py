@@ -71,3 +71,15 @@ def test_ranks_before_and_after_locators_in_blocks_of_any_size(spark, monkeypatc
     monkeypatch.setattr(search, "BLOCK_CELLS", 3)
     monkeypatch.setattr(search, "BLOCK_TERMS", 4)
     assert ranks() == whole
+
+
+def test_dense_scores_in_cells_of_any_number(spark, monkeypatch):
+    """The best rows do not depend on how many are scored at once, ties and groups included."""
+    from lithic.operators import search
+
+    rows = spark.range(60).select("id", (F.col("id") % 2).alias("g"), F.array((F.col("id") % 5).cast("double"), (F.col("id") % 3).cast("double")).alias("vec")).coalesce(2)
+    asked = rows.filter("id % 7 = 0").withColumnRenamed("id", "qid")
+    best = lambda: sorted(map(tuple, search.dense_top(asked, rows, 4, ["g"]).select("qid", "id", "score", "rank").collect()))
+    whole = best()
+    monkeypatch.setattr(search, "SCORE_CELLS", 20)
+    assert best() == whole and len(whole) == 36
