@@ -196,3 +196,17 @@ def test_audit_stream(spark, tmp_path):
     w = audit.to_table(audit.decisions_by_window(audit.read_audit(spark, str(tmp_path / "log"), "parquet")), "audit_windows", str(tmp_path / "cp2"), "complete")
     w.awaitTermination(120)
     assert spark.table("audit_windows").agg(F.sum("n")).first()[0] == events.count() + 50
+
+
+def test_brackets_go_to_rows(spark, monkeypatch):
+    """Rows of a group are never broadcast or held for its brackets, however sizes are estimated."""
+    rows = [(None if i % 3 == 0 else f"g{i % 3}", float(i * i % 101)) for i in range(900)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    plan = ft.exact_quantiles(df, "v", {"m": 0.5}, ["g"])
+    assert "rightHint=(strategy=broadcast)" in plan._jdf.queryExecution().optimizedPlan().toString()
+    want = {g: np.quantile([v for h, v in rows if h == g], 0.5) for g in (None, "g1", "g2")}
+    assert {r["g"]: r["m"] for r in plan.collect()} == want
+    monkeypatch.setattr(ft, "HELD_GROUPS", 1)  # as with more groups than a task may hold
+    plan = ft.exact_quantiles(df, "v", {"m": 0.5}, ["g"])
+    assert "rightHint=(strategy=merge)" in plan._jdf.queryExecution().optimizedPlan().toString()
+    assert {r["g"]: r["m"] for r in plan.collect()} == want
