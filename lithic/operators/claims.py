@@ -6,8 +6,17 @@ Claims are rows (qid, claim_no, text, label); units are the paragraphs of a labe
 
 from __future__ import annotations
 
+import math
+from collections import Counter
+from collections.abc import Iterator
+from decimal import ROUND_HALF_UP, Decimal
+from heapq import nsmallest
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lithic.functions.text import content_tokens, overlap, strip
 
@@ -34,42 +43,80 @@ def paragraph_units(passages: DataFrame, children: DataFrame, text: str) -> Data
     return units.join(of_children.select(*place).distinct(), place, "left_anti").unionByName(of_children)
 
 
-def similarities(claims: DataFrame, units: DataFrame) -> DataFrame:
-    """(qid, claim_no, label, pos, score): weighted share of a claim's tokens in each unit that has any.
+def half_up(x: float) -> float:
+    """``x`` to six digits, halves upwards, as SQL rounds: binary fractions are exact halves now and then."""
+    y = x * 1e6
+    down = math.floor(y)
+    if abs(y - down - 0.5) < 1e-4:
+        return float(Decimal(repr(x)).quantize(Decimal("0.000001"), ROUND_HALF_UP))
+    return (down + (y - down > 0.5)) / 1e6
 
-    Weights are inverse frequencies within the passage; a token that no unit has weighs 1 and a
-    claim's repeated tokens count each time (A-GE9, A-GE10). Units without a token in common score
-    0 and make no row.
+
+def similarities(said: list[str], held: list[str]) -> list[tuple[float, int, float]]:
+    """(score, unit, second score) of each claim: the weighted share of its tokens in the unit that has most.
+
+    Texts are tokens with spaces between. Weights are inverse frequencies within the passage; a
+    token that no unit has weighs 1, and a claim's repeated tokens count each time (A-GE9, A-GE10). Of
+    equal scores the first unit's stands; a claim without a token in common has the first unit, at 0.
     """
-    have = units.select("qid", "label", "pos", F.explode(F.array_distinct(content_tokens(F.col("text")))).alias("token"))
-    n = units.groupBy("qid", "label").agg(F.count("*").alias("n"))
-    idf = have.groupBy("qid", "label", "token").agg(F.count("*").alias("df")).join(n, ["qid", "label"]).select("qid", "label", "token", F.ln((F.col("n") + 1) / (F.col("df") + 0.5)).alias("w"))
-    said = claims.select("qid", "claim_no", "label", F.explode(content_tokens(F.col("text"))).alias("token")).groupBy("qid", "claim_no", "label", "token").agg(F.count("*").alias("times"))
-    weighed = said.join(idf, ["qid", "label", "token"], "left").withColumn("w", F.coalesce("w", F.lit(1.0)) * F.col("times"))
-    whole = weighed.groupBy("qid", "claim_no", "label").agg(F.sum("w").alias("den"))
-    hit = weighed.join(have, ["qid", "label", "token"]).groupBy("qid", "claim_no", "label", "pos").agg(F.sum("w").alias("num"))
-    share = F.coalesce(F.try_divide("num", "den"), F.lit(0.0))
-    return hit.join(whole, ["qid", "claim_no", "label"]).select("qid", "claim_no", "label", "pos", F.round(share, 6).alias("score"))
+    holders: dict[str, list[int]] = {}
+    for i, unit in enumerate(held):
+        for token in set(unit.split()):
+            holders.setdefault(token, []).append(i)
+    weight = {token: math.log((len(held) + 1) / (len(units) + 0.5)) for token, units in holders.items()}
+    out = []
+    for claim in said:
+        whole, shares = 0.0, {}
+        for token, times in Counter(claim.split()).items():
+            w = weight.get(token, 1.0) * times
+            whole += w
+            for i in holders.get(token, ()):
+                shares[i] = shares.get(i, 0.0) + w
+        ranked = nsmallest(2, ((half_up(x / whole), i) for i, x in shares.items()), key=lambda x: (-x[0], x[1]))
+        (best, at), (second, _) = [*ranked, (0.0, 0), (0.0, 0)][:2]
+        out.append((best, at, second))
+    return out
+
+
+#: Answers that are Python objects in a task at a time.
+SLICE = 64
 
 
 def align(claims: DataFrame, units: DataFrame, floor: float = FLOOR, margin: float = MARGIN) -> DataFrame:
     """Each claim's verdict, score and runner-up: EMPTY, FLOOR, TIE, NOLOC or MATCH (A-GE12).
 
-    A claim that shares no token with its passage stands with the passage's first unit, at 0.
+    Tokens meet as one row an answer and passage, so each text is shuffled once and pairs of tokens
+    never are. A claim that shares no token with its passage stands with the passage's first unit, at 0.
     """
     place = ["qid", "label"]
-    order = Window.partitionBy("qid", "claim_no").orderBy(F.desc("score"), "pos")
-    ranked = similarities(claims, units).withColumns({"n_": F.row_number().over(order), "second_": F.lead("score").over(order)}).filter("n_ = 1").drop("n_", "label")
-    held = units.groupBy(*place).agg(F.count("*").alias("n_units"), F.min("pos").alias("first_"))
-    met = claims.select("qid", "claim_no", "label").join(held, place, "left").join(ranked, ["qid", "claim_no"], "left")
-    met = met.withColumn("pos", F.coalesce("pos", "first_")).join(units.select(*place, "pos", "locator"), [*place, "pos"], "left")
-    empty, alone = F.col("n_units").isNull(), F.col("n_units") == 1
-    best, second = F.coalesce("score", F.lit(0.0)), F.coalesce("second_", F.lit(0.0))
+    words = F.coalesce(F.array_join(content_tokens(F.col("text")), " "), F.lit("")).alias("words")
+    said = claims.groupBy(*place).agg(F.collect_list(F.struct("claim_no", words)).alias("said"))
+    held = units.groupBy(*place).agg(F.sort_array(F.collect_list(F.struct("pos", "locator", words))).alias("held"))
+    kinds = claims.schema
+    schema = T.StructType([kinds["qid"], kinds["claim_no"], T.StructField("n_units", T.IntegerType()), T.StructField("best_", T.DoubleType()), T.StructField("second_", T.DoubleType()), T.StructField("locator", T.StringType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in (b.slice(i, SLICE) for b in batches for i in range(0, b.num_rows, SLICE)):
+            each = part.column("said").flatten()
+            rows, ends = [], np.cumsum([0, *part.column("said").value_lengths().to_pylist()])
+            told = each.field("words").to_pylist()
+            for k, there in enumerate(part.column("held").to_pylist()):
+                mine = told[ends[k] : ends[k + 1]]
+                if there is None:
+                    rows += [(None, 0.0, 0.0, None)] * len(mine)
+                else:
+                    rows += [(len(there), best, second, there[i]["locator"]) for best, i, second in similarities(mine, [u["words"] for u in there])]
+            qid = part.column("qid").take(pa.array(np.repeat(np.arange(part.num_rows), np.diff(ends))))
+            made = zip(zip(*rows, strict=True), (pa.int32(), pa.float64(), pa.float64(), pa.string()), strict=True)
+            yield pa.RecordBatch.from_arrays([qid, each.field("claim_no"), *(pa.array(c, t) for c, t in made)], schema.names)
+
+    met = said.join(held, place, "left").select("qid", "said", "held").mapInArrow(run, schema)
+    empty, alone, best, second = F.col("n_units").isNull(), F.col("n_units") == 1, F.col("best_"), F.col("second_")
     verdict = (
         F.when(empty, "EMPTY").when(best < floor, "FLOOR").when(~alone & (best - second < margin), "TIE")
         .when(F.coalesce("locator", F.lit("")) == "", "NOLOC").otherwise("MATCH")
     )
-    return met.select("qid", "claim_no", verdict.alias("verdict"), F.when(empty, 0.0).otherwise(best).alias("best"), F.when(empty, 0.0).otherwise(second).alias("runner_up"), F.when(verdict == "MATCH", F.col("locator")).alias("moved_to"))
+    return met.select("qid", "claim_no", verdict.alias("verdict"), best.alias("best"), second.alias("runner_up"), F.when(verdict == "MATCH", F.col("locator")).alias("moved_to"))
 
 
 def marked(text: Column, mark: Column) -> Column:

@@ -1,7 +1,9 @@
 import math
+import random
 from collections import Counter
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from lithic.operators import assembly as asm
@@ -95,6 +97,26 @@ def test_alignment_verdicts(spark):
     assert tie.first()["verdict"] == "TIE"
 
 
+def test_alignment_shuffles_answers_and_no_pairs(spark):
+    """Claims are grouped once and units once; scores equal all pairs scored one by one."""
+    rng = random.Random(5)
+    words = [f"word{i}" for i in range(12)]
+    some = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    units = [(q, "S1", p, f"{p}.1", some(8)) for q in range(6) for p in range(q)]
+    said = [(q, c, some(5) if c else None, "S1") for q in range(6) for c in range(7)]
+    claims_ = spark.createDataFrame(said, "qid long, claim_no int, text string, label string")
+    found = cl.align(claims_, spark.createDataFrame(units, "qid long, label string, pos int, locator string, text string"))
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Aggregate") == 2
+    got = {(r["qid"], r["claim_no"]): (r["best"], r["runner_up"]) for r in found.collect()}
+    for q, c, text, _ in said:
+        held = [set(t.split()) for i, _, _, _, t in units if i == q]
+        w = {t: math.log((len(held) + 1) / (sum(t in u for u in held) + 0.5)) if any(t in u for u in held) else 1.0 for t in words}
+        mine = (text or "").split()
+        scores = sorted([sum(w[t] for t in mine if t in u) / sum(w[t] for t in mine) if mine else 0.0 for u in held] + [0.0, 0.0], reverse=True)
+        assert got[q, c] == pytest.approx(tuple(scores[:2]), abs=1e-6)
+    assert [cl.half_up(x) for x in (1 / 128, 0.0, 1.0, 2 / 3)] == [0.007813, 0.0, 1.0, 0.666667]
+
+
 def test_answers_are_numbered_by_citation(spark):
     rows = [(1, 0, "First point.", "B"), (1, 1, "Second", "A"), (1, 2, "Third?", "B"), (1, 3, "Fourth!", None), (1, 4, " ", "A")]
     got = cl.format_answers(spark.createDataFrame(rows, "qid long, claim_no int, text string, citation string")).first()
