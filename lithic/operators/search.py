@@ -68,7 +68,9 @@ def bm25(questions: DataFrame, corpus: DataFrame, qkey: str, qtext: str, key: st
 
 #: Terms of a block of questions that every task holds, and documents whose bounds are taken together.
 BLOCK_TERMS, BLOCK_DOCS = 200_000, 512
-#: Scores of documents for questions that a task holds at once where all of them are ranked.
+#: Documents whose tokens are Python objects in a task at a time.
+SLICE_DOCS = 256
+#: Scores of documents for questions, or terms of documents beside questions, that a task holds at once.
 BLOCK_CELLS = 1_000_000
 
 
@@ -83,7 +85,7 @@ def tokenised(corpus: DataFrame, text: str, *keep: str) -> DataFrame:
         from collections import Counter
 
         find, split = re.compile(TOKEN).findall, re.compile(r"[.\-/]").split
-        for batch in batches:
+        for batch in (b.slice(i, SLICE_DOCS) for b in batches for i in range(0, b.num_rows, SLICE_DOCS)):
             lengths, ends, terms, times = [], [0], [], []
             for t in batch.column("text_").to_pylist():
                 found = find(t.lower()) if t else []
@@ -148,6 +150,16 @@ def _runs(n: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - n, n)
 
 
+def _pieces(n: np.ndarray, most: int) -> Iterator[slice]:
+    """Stretches of ``n`` that each sum up to ``most``, or hold one entry."""
+    held = np.cumsum(n)
+    lo = 0
+    while lo < len(n):
+        hi = max(lo + 1, int(np.searchsorted(held, (held[lo - 1] if lo else 0) + most, "right")))
+        yield slice(lo, hi)
+        lo = hi
+
+
 class _Best:
     """The k best documents of each question by one score, with the other score."""
 
@@ -199,7 +211,8 @@ def _lexical_block(rows: list, documents: DataFrame, mean: float, k: int, qkey:
         import pyarrow.compute as pc
 
         vocabulary, best = pa.array(terms), (_Best(len(ids), k), _Best(len(ids), k))
-        for batch in (b.slice(i, BLOCK_DOCS) for b in batches for i in range(0, b.num_rows, BLOCK_DOCS)):
+        step = min(BLOCK_DOCS, max(1, BLOCK_CELLS // len(ids)))
+        for batch in (b.slice(i, step) for b in batches for i in range(0, b.num_rows, step)):
             lists, keys, length = batch.column("terms"), batch.column(key).to_numpy(), np.asarray(batch.column("dl"))
             found = np.asarray(pc.fill_null(pc.index_in(lists.flatten(), value_set=vocabulary), -1)).astype(np.int64)
             doc, tf = np.repeat(np.arange(len(keys)), np.asarray(lists.value_lengths())), np.asarray(batch.column("times").flatten())
@@ -217,8 +230,11 @@ def _lexical_block(rows: list, documents: DataFrame, mean: float, k: int, qkey:
             n[first[1:] == first[:-1]] = 0
             needed = np.flatnonzero(~spare)
             begin = np.cumsum(n) - n
-            ask = needed[np.repeat(begin[at], n[at]) + _runs(n[at])]
-            pairs = np.unique(np.repeat(d, n[at]) * len(ids) + q[ask])
+            looked = np.zeros(len(keys) * len(ids), bool)
+            for some in _pieces(n[at], BLOCK_CELLS):
+                wide = n[at[some]]
+                looked[np.repeat(d[some], wide) * len(ids) + q[needed[np.repeat(begin[at[some]], wide) + _runs(wide)]]] = True
+            pairs = np.flatnonzero(looked)
             if cell:
                 at_cell = np.asarray(pc.fill_null(pc.index_in(batch.column(cell), value_set=pa.array(wanted, pa.string())), -1))
                 pairs = pairs[open_to[pairs % len(ids), at_cell[pairs // len(ids)]]]
@@ -226,8 +242,7 @@ def _lexical_block(rows: list, documents: DataFrame, mean: float, k: int, qkey:
             dense = np.full(len(keys) * len(ids), -1, np.int64)
             dense[pairs] = np.arange(len(pairs))
             wide = first[at + 1] - first[at]
-            for lo in range(0, len(cells), 65_536):  # the expansion of so many cells at a time
-                some = slice(lo, lo + 65_536)
+            for some in _pieces(wide, BLOCK_CELLS):
                 ask = np.repeat(first[at[some]], wide[some]) + _runs(wide[some])
                 to = dense[np.repeat(d[some], wide[some]) * len(ids) + q[ask]]
                 ok = to >= 0
@@ -306,16 +321,12 @@ def _rank_block(rows: list, documents: DataFrame, mean: float, qkey: str, key: s
             doc, tf, at = doc[by], tf[by], at[by]
             value = tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[doc] / mean))
             total, met = np.zeros(len(keys) * len(ids)), np.zeros(len(keys) * len(ids), bool)
-            held = np.cumsum(wide[at])
-            lo = 0
-            while lo < len(at):  # the expansion of BLOCK_CELLS at a time, or of one term's questions
-                hi = max(lo + 1, int(np.searchsorted(held, (held[lo - 1] if lo else 0) + BLOCK_CELLS, "right")))
-                n = wide[at[lo:hi]]
-                ask = np.repeat(first[at[lo:hi]], n) + _runs(n)
-                to = np.repeat(doc[lo:hi], n) * len(ids) + q[ask]
-                np.add.at(total, to, np.repeat(value[lo:hi], n) * weight[ask])
+            for some in _pieces(wide[at], BLOCK_CELLS):
+                n = wide[at[some]]
+                ask = np.repeat(first[at[some]], n) + _runs(n)
+                to = np.repeat(doc[some], n) * len(ids) + q[ask]
+                np.add.at(total, to, np.repeat(value[some], n) * weight[ask])
                 met[to] = True
-                lo = hi
             yield keys, np.where(met, np.round(total, DIGITS), -np.inf).reshape(len(keys), len(ids))
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -339,6 +350,62 @@ def _rank_block(rows: list, documents: DataFrame, mean: float, qkey: str, key: s
     return documents.mapInArrow(ahead, f"{qkey} long, n long").groupBy(qkey).agg(F.sum("n").alias("rank"))
 
 
+def first_found(questions: DataFrame, corpus: DataFrame, qkey: str, qtext: str, key: str, text: str) -> DataFrame:
+    """(qkey, key): the least key of the documents whose BM25 is above 0, of each question that has one.
+
+    Tasks hold a block of questions and leave a question alone while their documents' keys lie above
+    what they have found for it, so neither postings nor pairs are shuffled."""
+    from lithic.sources.shared import stored
+
+    documents = stored(tokenised(corpus, text, key))
+    stats = documents.agg(F.count("*").alias("N"), F.avg("dl").alias("avgdl"))
+    df = documents.select(F.explode("terms").alias("token")).groupBy("token").agg(F.count("*").alias("df"))
+    asked = questions.select(qkey, F.explode(tokens(F.coalesce(F.col(qtext), F.lit("")))).alias("token")).groupBy(qkey, "token").agg(F.count("*").alias("times"))
+    told = stored(asked.join(term_weights(df, stats, counted=True), "token").select(qkey, "token", "times", "idf"))
+    mean = stats.first()["avgdl"]
+    out = None
+    for low, high in _blocks(told.groupBy(qkey).agg(F.count("*").alias("n")), qkey):
+        rows = told.filter(F.col(qkey).between(low, high)).orderBy(qkey, "token").collect()  # at most BLOCK_TERMS, or one question's
+        found = _first_block(rows, documents, float(mean), qkey, key)
+        out = found if out is None else out.union(found)
+    return out if out is not None else questions.sparkSession.createDataFrame([], f"{qkey} long, {key} long")
+
+
+def _first_block(rows: list, documents: DataFrame, mean: float, qkey: str, key: str) -> DataFrame:
+    ids, q = np.unique(np.array([r[qkey] for r in rows], np.int64), return_inverse=True)
+    terms = sorted({r["token"] for r in rows})
+    number = {x: i for i, x in enumerate(terms)}
+    term, weight = np.array([number[r["token"]] for r in rows]), np.array([r["idf"] * r["times"] for r in rows])
+    order = np.lexsort((q, term))
+    term, q, weight = term[order], q[order], weight[order]
+    step, far = max(1, BLOCK_CELLS // len(ids)), np.iinfo(np.int64).max
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import pyarrow.compute as pc
+
+        vocabulary, best = pa.array(terms), np.full(len(ids), far)
+        for batch in (b.slice(i, step) for b in batches for i in range(0, b.num_rows, step)):
+            lists, keys, length = batch.column("terms"), batch.column(key).to_numpy(), np.asarray(batch.column("dl"))
+            live = best[q] > keys.min()
+            t, asks, w = term[live], q[live], weight[live]
+            first = np.searchsorted(t, np.arange(len(terms) + 1))
+            found = np.asarray(pc.fill_null(pc.index_in(lists.flatten(), value_set=vocabulary), -1)).astype(np.int64)
+            doc, tf = np.repeat(np.arange(len(keys)), np.asarray(lists.value_lengths())), np.asarray(batch.column("times").flatten())
+            doc, tf, at = doc[found >= 0], tf[found >= 0], found[found >= 0]
+            value = tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[doc] / mean))
+            total, wide = np.zeros(len(keys) * len(ids)), np.diff(first)
+            for some in _pieces(wide[at], BLOCK_CELLS):
+                n = wide[at[some]]
+                ask = np.repeat(first[at[some]], n) + _runs(n)
+                np.add.at(total, np.repeat(doc[some], n) * len(ids) + asks[ask], np.repeat(value[some], n) * w[ask])
+            hit = np.round(total, DIGITS).reshape(len(keys), len(ids)) > 0
+            best = np.minimum(best, np.where(hit, keys[:, None], far).min(axis=0))
+        some = best < far
+        yield pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(best[some])], [qkey, key])
+
+    return documents.mapInArrow(run, f"{qkey} long, {key} long").groupBy(qkey).agg(F.min(key).alias(key))
+
+
 def lexical_top(scores: DataFrame, qkey: str, key: str, k: int = 20) -> DataFrame:
     """The best k of each question, none with a score of 0 or less (A-LX4)."""
     return top(scores.filter("score > 0"), [qkey], [F.desc("score"), F.col(key)], k)

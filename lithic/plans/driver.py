@@ -8,6 +8,7 @@ from lithic.operators import retrieve as rt
 from lithic.operators.tracing import Tracer
 from lithic.plans.base import query, table
 from lithic.plans.retrieval import BM25_SQL, questions
+from lithic.sources.shared import stored
 
 _HEAD, _REST = BM25_SQL[: BM25_SQL.index("lex AS")], BM25_SQL[BM25_SQL.index("margin AS") :]
 FACETS_SQL = f"""{_HEAD}
@@ -41,7 +42,7 @@ def retrieved(spark, sf: str, tracer: Tracer | None = None) -> rt.Retrieved:
     facets = asked.select("qid").join(F.broadcast(langs)).select("qid", F.inline("all_")).withColumn("cells", F.array("facet"))
     chunks = docs.select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("parent_id"), lang.alias("cell"), "text")
     rescore = lambda hits: hits.withColumn("rerank", F.round(F.coalesce("bm25", F.lit(0.0)) * 0.125 - 3, 9))
-    return rt.retrieve(asked, facets, chunks, rescore=rescore, tracer=tracer)
+    return rt.retrieve(asked, facets, chunks, rescore=rescore, hold=stored, tracer=tracer)
 
 
 @query("retrieved_passages", f"WITH {FACETS_SQL} SELECT qid, parent_id, place::INT AS place, n_children::INT AS n_children, length(text) AS full_chars, greatest(5000, 25000 // count(*) OVER (PARTITION BY qid))::INT AS cap FROM apart")
