@@ -9,6 +9,7 @@ from lithic.operators import evaluation as ev
 from lithic.operators.features import exact_quantiles
 from lithic.plans import answers, retrieval
 from lithic.plans.base import query, table
+from lithic.sources.shared import stored
 
 BM, UNITS = retrieval.BM25_SQL, answers.UNITS_SQL
 
@@ -228,7 +229,8 @@ def claim_margin(spark, sf):
 def claim_gap_quartiles(spark, sf):
     """Nearest-rank quartiles of the gaps above 0."""
     best = answers.cl.align(answers.claims(spark, sf), answers.units(spark, sf)).withColumn("score", F.col("best") * 10)
-    return ev.rank_quartiles(ev.claim_gaps(best, "qid", "score").select(F.round("gap", 4).alias("gap")), "gap")
+    gaps = stored(ev.claim_gaps(best, "qid", "score").select(F.round("gap", 4).alias("gap")))  # read three times
+    return ev.rank_quartiles(gaps, "gap")
 
 
 @query("vocabulary_check", "SELECT count(*) AS n, count(*) FILTER (event_type IN ('click', 'view', 'purchase')) AS in_vocabulary, count(*) FILTER (json_valid(props)) AS parsed FROM events")
@@ -310,9 +312,11 @@ def locator_buckets(spark, sf):
 @query("fell_out", f"WITH {BM}, want AS (SELECT item_id, min(doc_id) AS doc_id FROM bm WHERE score > 0 GROUP BY 1) SELECT item_id, CASE WHEN w.doc_id IN (SELECT chunk_id FROM turns t WHERE t.qid = w.item_id) THEN 'delivered' WHEN w.doc_id IN (SELECT chunk_id FROM kept k WHERE k.qid = w.item_id AND (above OR rescued)) THEN 'quota' WHEN w.doc_id IN (SELECT chunk_id FROM hits h WHERE h.qid = w.item_id) THEN 'cut' ELSE 'not found' END AS stage FROM want w")
 def fell_out(spark, sf):
     """The stage at which a wanted document was lost."""
-    want = retrieval.scores(spark, sf).filter("score > 0").groupBy("item_id").agg(F.min("doc_id").alias("doc_id"))
+    want = retrieval.first_found(spark, sf)
     key = lambda df, name: df.select(F.col("qid").alias("item_id"), F.col("chunk_id").alias("doc_id"), F.lit(True).alias(name)).distinct()
-    found = want.join(key(retrieval.served(spark, sf), "a"), ["item_id", "doc_id"], "left").join(key(retrieval.kept(spark, sf).filter("above or rescued"), "b"), ["item_id", "doc_id"], "left").join(key(retrieval.hits(spark, sf), "c"), ["item_id", "doc_id"], "left")
+    hits = stored(retrieval.hits(spark, sf))
+    left = retrieval.kept_of(hits)
+    found = want.join(key(retrieval.served_of(left), "a"), ["item_id", "doc_id"], "left").join(key(left.filter("above or rescued"), "b"), ["item_id", "doc_id"], "left").join(key(hits, "c"), ["item_id", "doc_id"], "left")
     return found.select("item_id", F.when(F.col("a"), "delivered").when(F.col("b"), "quota").when(F.col("c"), "cut").otherwise("not found").alias("stage"))
 
 

@@ -14,6 +14,7 @@ from lithic.functions import text as tx
 from lithic.operators import assembly as asm
 from lithic.operators import search as se
 from lithic.plans.base import query, table
+from lithic.sources.shared import stored
 
 TOKENS_SQL = """list_filter(flatten(list_transform(regexp_extract_all(lower({t}), '[a-z0-9]+(?:[.\\-/][a-z0-9]+)*'),
   lambda x: CASE WHEN regexp_matches(x, '[.\\-/]') THEN list_concat([x], list_filter(string_split_regex(x, '[.\\-/]'), lambda p: p <> '')) ELSE [x] END)), lambda y: y IS NOT NULL)"""
@@ -86,13 +87,26 @@ def hits(spark: SparkSession, sf: str) -> DataFrame:
     return found.select(F.col("item_id").alias("qid"), F.col("lang").alias("facet"), order.alias("facet_ord"), F.col("doc_id").alias("chunk_id"), F.col("source").alias("parent_id"), F.col("rank").alias("pos"), "rrf", F.round(F.coalesce("bm25", F.lit(0.0)) * 0.125 - 3, 9).alias("rerank"), (F.col("item_id") % 2 == 0).alias("inferred"))
 
 
+def first_found(spark: SparkSession, sf: str) -> DataFrame:
+    """(item_id, doc_id): the first document, by its id, that BM25 finds for each question."""
+    return se.first_found(questions(spark, sf), table(spark, sf, "documents"), "item_id", "text", "doc_id", "text")
+
+
+def kept_of(found: DataFrame) -> DataFrame:
+    return asm.floor_and_rescue(asm.facet_margin(found).filter("in_margin"))
+
+
 def kept(spark: SparkSession, sf: str) -> DataFrame:
-    return asm.floor_and_rescue(asm.facet_margin(hits(spark, sf)).filter("in_margin"))
+    return kept_of(hits(spark, sf))
 
 
 def served(spark: SparkSession, sf: str) -> DataFrame:
+    return served_of(kept(spark, sf))
+
+
+def served_of(left: DataFrame) -> DataFrame:
     """Hits that pass every cut before assembly, with their turn."""
-    left = kept(spark, sf).filter("above or rescued")
+    left = left.filter("above or rescued")
     pooled = asm.pool(left.filter("inferred")).withColumnRenamed("rank_in_pool", "rank_in_facet")
     return asm.round_robin(asm.quota(left.filter("not inferred")).unionByName(pooled))
 
@@ -186,12 +200,12 @@ def refused_questions(spark, sf):
 FAIR_SQL = f"WITH {BM25_SQL}, sized AS (SELECT qid, parent_id, child, place, length(text) AS full_chars, greatest(5000, 25000 // count(*) OVER (PARTITION BY qid)) AS cap FROM passages JOIN documents ON doc_id = child), used AS (SELECT *, least(full_chars, cap) AS chars FROM sized)"
 
 
-def sized(spark, sf):
+def sized(spark, sf, turns: DataFrame | None = None):
     """Delivered passages: the first child's text up to a fair share."""
     from pyspark.sql import Window
 
     docs = table(spark, sf, "documents").select(F.col("doc_id").alias("child"), "text")
-    found = asm.parents(served(spark, sf)).withColumn("child", F.col("children")[0]).join(docs, "child")
+    found = asm.parents(served(spark, sf) if turns is None else turns).withColumn("child", F.col("children")[0]).join(docs, "child")
     cap = asm.fair_share(F.count("*").over(Window.partitionBy("qid")))
     full = F.length("text")
     return found.withColumn("cap", cap).select("qid", "parent_id", "child", "place", "text", full.cast("long").alias("full_chars"), F.col("cap").cast("long").alias("cap"), F.least(full, F.col("cap")).cast("long").alias("chars"))
@@ -218,7 +232,9 @@ def containment_drop(spark, sf):
 @query("drop_ledger", f"WITH {BM25_SQL} SELECT qid, chunk_id, 'facet_margin' AS cut FROM margin WHERE NOT in_margin UNION ALL SELECT qid, chunk_id, 'relevance_floor' FROM kept WHERE NOT above AND NOT rescued UNION ALL SELECT qid, chunk_id, CASE WHEN inferred THEN 'fallback_pool' ELSE 'quota' END FROM kept WHERE (above OR rescued) AND (qid, chunk_id) NOT IN (SELECT (qid, chunk_id) FROM turns)")
 def drop_ledger(spark, sf):
     """Every hit that was cut before assembly and the cut that took it (A-AS16)."""
-    margin, left, end = asm.facet_margin(hits(spark, sf)), kept(spark, sf), served(spark, sf)
+    found = stored(hits(spark, sf))  # at most 20 a question, read for every cut
+    margin, left = asm.facet_margin(found), kept_of(found)
+    end = served_of(left)
     late = left.filter("above or rescued").join(end.select("qid", "chunk_id"), ["qid", "chunk_id"], "left_anti")
     row = lambda df, cut: df.select("qid", "chunk_id", cut.alias("cut"))
     return row(margin.filter("not in_margin"), F.lit("facet_margin")).union(row(left.filter("not above and not rescued"), F.lit("relevance_floor"))).union(row(late, F.when(F.col("inferred"), "fallback_pool").otherwise("quota")))
@@ -227,9 +243,10 @@ def drop_ledger(spark, sf):
 @query("loss_resolution", f"WITH {FAIR_SQL[5:]}, gone AS (SELECT qid, chunk_id, parent_id FROM kept WHERE (above OR rescued) AND (qid, chunk_id) NOT IN (SELECT (qid, chunk_id) FROM turns)), sent AS (SELECT qid, parent_id, trim(regexp_replace(text, '[ \\t\\n\\r\\f\\v]+', ' ', 'g')) AS t FROM used JOIN documents ON doc_id = child) SELECT g.qid, g.chunk_id, CASE WHEN s.t IS NULL THEN 'absent' WHEN contains(s.t, substr(trim(regexp_replace(d.text, '[ \\t\\n\\r\\f\\v]+', ' ', 'g')), 1, 120)) THEN 'none' ELSE 'windowed_out' END AS loss FROM gone g JOIN documents d ON doc_id = chunk_id LEFT JOIN sent s ON g.qid = s.qid AND g.parent_id = s.parent_id")
 def loss_resolution(spark, sf):
     docs = table(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("own"))
-    end = served(spark, sf).select("qid", "chunk_id")
-    gone = kept(spark, sf).filter("above or rescued").join(end, ["qid", "chunk_id"], "left_anti").select("qid", "chunk_id", "parent_id").join(docs, "chunk_id")
-    sent = sized(spark, sf).select("qid", "parent_id", F.col("text").alias("sent"))
+    left = kept_of(stored(hits(spark, sf)))  # at most 20 hits a question, read for every cut
+    end = served_of(left)
+    gone = left.filter("above or rescued").join(end.select("qid", "chunk_id"), ["qid", "chunk_id"], "left_anti").select("qid", "chunk_id", "parent_id").join(docs, "chunk_id")
+    sent = sized(spark, sf, end).select("qid", "parent_id", F.col("text").alias("sent"))
     return gone.join(sent, ["qid", "parent_id"], "left").select("qid", "chunk_id", asm.loss(F.col("own"), F.col("sent")).alias("loss"))
 
 

@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 
 from lithic.operators import assembly as asm
 from lithic.operators import claims as cl
+from lithic.operators import evaluation as ev
 from lithic.operators import search as se
+from lithic.plans import catalog
 
 
 def plain_bm25(docs, q):
@@ -122,3 +124,51 @@ def test_answers_are_numbered_by_citation(spark):
     got = cl.format_answers(spark.createDataFrame(rows, "qid long, claim_no int, text string, citation string")).first()
     assert got["body"] == "First point [1]. Second [2]. Third [1]? Fourth [unattributed]!"
     assert got["sources"] == "[1] B\n[2] A"
+
+
+SMALL = "/root/testdata/sf0.001"
+
+
+def counted(monkeypatch, module, name):
+    calls, real = [], getattr(module, name)
+    monkeypatch.setattr(module, name, lambda *a, **k: (calls.append(1), real(*a, **k))[1])
+    return calls
+
+
+@pytest.mark.parametrize("name", ["drop_ledger", "loss_resolution", "fell_out"])
+def test_questions_search_once(spark, monkeypatch, name):
+    calls, pairs = counted(monkeypatch, se, "lexical_arms"), counted(monkeypatch, se, "bm25")
+    assert catalog.QUERIES[name](spark, SMALL).count() > 0
+    assert (len(calls), len(pairs)) == (1, 0)
+
+
+def test_gaps_are_made_once(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(ev, "rank_quartiles", lambda rows, value: seen.append(rows._jdf.queryExecution().optimizedPlan().toString()))
+    catalog.QUERIES["claim_gap_quartiles"](spark, SMALL)
+    assert "Window" not in seen[0] and "MapInArrow" not in seen[0]
+
+
+def test_first_found_is_the_least_key_with_a_score(spark, monkeypatch):
+    rng = random.Random(8)
+    docs = [(rng.randrange(10**6), " ".join(rng.choice("abcdefghijklmnop") * 2 for _ in range(rng.randrange(0, 9)))) for _ in range(300)]
+    asks = [(i, " ".join(rng.choice("abcdefghijklmnopz") * 2 for _ in range(3))) for i in range(20)] + [(99, "zz"), (100, None)]
+    corpus, questions = spark.createDataFrame(docs, "id long, t string"), spark.createDataFrame(asks, "q long, t string")
+    want = {r["q"]: r["id"] for r in se.bm25(questions, corpus, "q", "t", "id", "t").filter("score > 0").groupBy("q").agg(F.min("id").alias("id")).collect()}
+    for cells in (1_000_000, 7):  # as with more questions than a task holds scores for
+        monkeypatch.setattr(se, "BLOCK_CELLS", cells)
+        assert {r["q"]: r["id"] for r in se.first_found(questions, corpus, "q", "t", "id", "t").collect()} == want
+
+
+def test_lexical_blocks_are_bounded_in_cells(spark, monkeypatch):
+    wide = np.array([3, 1, 9, 0, 2, 2, 5])
+    parts = list(se._pieces(wide, 4))
+    assert [x for s in parts for x in wide[s]] == wide.tolist() and all(wide[s].sum() <= 4 or s.stop - s.start == 1 for s in parts)
+    rng = random.Random(9)
+    corpus = spark.createDataFrame([(i, " ".join(rng.choice("abcdefghijkl") * 2 for _ in range(6))) for i in range(200)], "id long, t string")
+    questions = spark.createDataFrame([(i, " ".join(rng.choice("abcdefghijkl") * 2 for _ in range(2))) for i in range(10)], "q long, t string")
+    best = lambda: sorted(map(tuple, se.lexical_top(se.lexical_arms(questions, corpus, "q", "t", "id", "t", 5), "q", "id", 5).select("q", "id", "score", "rank").collect()))
+    want = best()
+    monkeypatch.setattr(se, "BLOCK_CELLS", 9)
+    monkeypatch.setattr(se, "SLICE_DOCS", 3)
+    assert best() == want
