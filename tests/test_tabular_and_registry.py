@@ -210,3 +210,19 @@ def test_brackets_go_to_rows(spark, monkeypatch):
     plan = ft.exact_quantiles(df, "v", {"m": 0.5}, ["g"])
     assert "rightHint=(strategy=merge)" in plan._jdf.queryExecution().optimizedPlan().toString()
     assert {r["g"]: r["m"] for r in plan.collect()} == want
+
+
+def test_columns_are_dealt_within_blocks_without_a_shuffle(spark, monkeypatch):
+    monkeypatch.setattr(learning, "DEAL_ROWS", 100)
+    df = spark.range(2000).select("id", (F.col("id") * 2).alias("x"), F.when(F.col("id") % 7 > 0, F.col("id").cast("string")).alias("s"))
+    blocks = learning.dealt_blocks(df, "id")
+    assert 10 <= blocks.count() <= 20
+    one, two = (learning.dealt(blocks, "x", seed) for seed in (1, 2))
+    assert "Aggregate" not in one._jdf.queryExecution().optimizedPlan().toString() and "Join" not in one._jdf.queryExecution().optimizedPlan().toString()
+    a, b = ({r["id"]: r for r in d.collect()} for d in (one, two))
+    for rows in (a, b):
+        assert sorted(r["x"] for r in rows.values()) == [2 * i for i in range(2000)]
+        assert all(r["s"] == (str(i) if i % 7 else None) for i, r in rows.items())
+        assert sum(r["x"] == 2 * i for i, r in rows.items()) < 20
+    assert sum(a[i]["x"] == b[i]["x"] for i in a) < 100
+    assert {r["id"]: r["x"] for r in learning.dealt(learning.dealt_blocks(df.repartition(5), "id"), "x", 1).collect()} == {i: r["x"] for i, r in a.items()}
