@@ -13,6 +13,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lithic.functions import text as tx
 
@@ -142,19 +143,28 @@ def accepted_letters(markers: list[str | None]) -> list[bool]:
     return out
 
 
+@F.pandas_udf(T.ArrayType(T.BooleanType()))
+def opened(marks: pd.Series) -> pd.Series:
+    """Which lines of each document continue its sequence; '' is a line without a letter."""
+
+    def one(found: list[str | None]) -> list[bool]:
+        live = [i for i, m in enumerate(found) if m != ""]
+        out = [False] * len(found)
+        for i, ok in zip(live, accepted_letters([found[i] for i in live]), strict=True):
+            out[i] = ok
+        return out
+
+    return marks.map(one)
+
+
 def letter_parents(items: DataFrame, reset: str = "is_heading") -> DataFrame:
-    """``items`` with ``opens``: lines whose letter continues the sequence of their document (A-CH2)."""
-
-    def decide(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("idx")
-        markers = [None if head else (m[0] if (m := re.match(r"\([a-z]\)", t or "")) else "") for t, head in zip(pdf["text"], pdf[reset], strict=True)]
-        live = [i for i, m in enumerate(markers) if m != ""]
-        opened = [False] * len(markers)
-        for i, ok in zip(live, accepted_letters([markers[i] for i in live]), strict=True):
-            opened[i] = ok
-        return pdf.assign(opens=opened)
-
-    return items.groupBy("doc_id").applyInPandas(decide, items.schema.simpleString()[7:-1] + ", opens: boolean")
+    """``items`` with ``opens``: lines whose letter continues the sequence of their document (A-CH2).
+
+    Only letters go to Python, many documents at a time."""
+    mark = F.when(F.coalesce(reset, F.lit(False)), None).otherwise(F.regexp_extract(F.coalesce("text", F.lit("")), r"^\([a-z]\)", 0))
+    rows = items.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("idx", mark.alias("mark_"), F.struct(*items.columns).alias("row_")))).alias("rows_"))
+    told = rows.select(F.col("rows_.row_").alias("row_"), opened(F.col("rows_.mark_")).alias("opens"))
+    return told.select(F.explode(F.arrays_zip("row_", "opens")).alias("x_")).select("x_.row_.*", "x_.opens")
 
 
 def repair(parts: list[str], ceiling: int = MERGE_CEILING) -> list[str]:

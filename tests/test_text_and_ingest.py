@@ -105,3 +105,16 @@ def test_repair_and_splits():
 def test_quantiles_of_three_kinds(spark):
     df = spark.createDataFrame([(v,) for v in (1, 2, 3, 4)], "v int").agg(F.collect_list("v").alias("v"))
     assert df.select(ingest.upper_median(F.col("v")), ingest.nearest_rank(F.col("v"), 0.9), ingest.nearest_rank(F.col("v"), 0.5)).first()[:] == (3, 4, 3)
+
+
+def test_letters_of_many_documents_go_to_python_at_once(spark):
+    rows = [(d, i, f"({'abcde'[i % 5]}) x" if i % 4 else None, None if i == 2 else i % 7 == 6) for d in (1, 2, 3) for i in range(20)]
+    found = ingest.letter_parents(spark.createDataFrame(rows, "doc_id long, idx int, text string, is_heading boolean"))
+    assert "FlatMapGroups" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert found.columns == ["doc_id", "idx", "text", "is_heading", "opens"]
+    got = {(r["doc_id"], r["idx"]): r["opens"] for r in found.collect()}
+    for d in (1, 2, 3):
+        marks = [None if head else (text or "")[:3] for e, _, text, head in rows if e == d]
+        live = [i for i, m in enumerate(marks) if m != ""]
+        want = dict(zip(live, ingest.accepted_letters([marks[i] for i in live]), strict=True))
+        assert [got[d, i] for i in range(20)] == [want.get(i, False) for i in range(20)]
