@@ -8,10 +8,12 @@ knows how many names own a token.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lithic.functions.text import has_term
 from lithic.operators.gate import generic_tokens
@@ -23,6 +25,8 @@ ANY = ""
 GRAM = 3
 #: Rows of an index, a few dozen bytes each, that every task may hold.
 HELD_ROWS = 1_000_000
+#: Names of gaps that the driver and every task may hold, and texts that are Python objects in a task at a time.
+HELD_NAMES, SLICE = 50_000, 256
 
 
 def sent_if_small(rows: DataFrame) -> DataFrame:
@@ -68,8 +72,11 @@ def letter_gram(name: Column) -> Column:
 def candidates(texts: DataFrame, patterns: DataFrame, key: str, grams: Column) -> DataFrame:
     """``texts`` beside those ``patterns`` (with ``gram``) whose gram they show.
 
-    Grams that no pattern has leave before anything is shuffled by text; texts are joined back by key.
+    Grams that no pattern has leave before anything is shuffled by text. Where every task may hold the
+    patterns, texts stay where they are and a pair may stand twice; else they are joined back by key.
     """
+    if patterns.limit(HELD_ROWS + 1).count() <= HELD_ROWS:
+        return texts.select(*texts.columns, F.explode(grams).alias("gram")).join(F.broadcast(patterns), "gram").drop("gram")
     shown = texts.select(key, F.explode(grams).alias("gram")).join(sent_if_small(patterns.select("gram").distinct()), "gram", "left_semi")
     return shown.join(patterns, "gram").drop("gram").distinct().join(texts, key)
 
@@ -90,10 +97,36 @@ def gaps_mentioned(texts: DataFrame, gaps: DataFrame, key: str, text: str) -> Da
     sizes = sorted({r[0] for r in filed.select(F.length("gram").alias("n")).distinct().limit(GRAM + 1).collect()} - {0})  # at most GRAM + 1 of them
     if not sizes:
         sizes = [GRAM]
+    if filed.limit(HELD_NAMES + 1).count() <= HELD_NAMES:
+        return _held_gaps(lowered, filed, key, sizes).distinct()
     met = candidates(lowered, filed, key, letter_grams(F.col("t_"), sizes))
     return met.filter(F.contains("t_", F.col("name_"))).select(key, "instrument").distinct()
 
 
+def _held_gaps(lowered: DataFrame, filed: DataFrame, key: str, sizes: list[int]) -> DataFrame:
+    """(key, instrument) where every task holds the names: a text's grams fetch those that it may hold."""
+    named: dict[str, list[tuple[str, str | None]]] = {}
+    for r in filed.select("gram", "name_", "instrument").collect():  # at most HELD_NAMES
+        named.setdefault(r["gram"], []).append((r["name_"], r["instrument"]))
+    shared = lowered.sparkSession.sparkContext.broadcast(named)
+    schema = T.StructType([lowered.schema[key], T.StructField("instrument", T.StringType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = shared.value
+        for part in (b.slice(i, SLICE) for b in batches for i in range(0, b.num_rows, SLICE)):
+            at, found = [], []
+            for k, text in enumerate(part.column("t_").to_pylist()):
+                if text is None:
+                    continue
+                shown = {text[i : i + n] for n in sizes for i in range(len(text) - n + 1)} | {ANY}
+                hits = {instrument for gram in shown & held.keys() for name, instrument in held[gram] if name in text}
+                at += [k] * len(hits)
+                found += hits
+            yield pa.RecordBatch.from_arrays([part.column(key).take(pa.array(at, pa.int64())), pa.array(found, pa.string())], schema.names)
+
+    return lowered.select(key, "t_").mapInArrow(run, schema)
+
+
 def name_index(names: DataFrame, name: str = "short_name", order: str = "row_ord") -> DataFrame:
     """(token, name, row_ord, owners): how many names own each token of each name (A-GA1)."""
     once = names.groupBy(F.lower(name).alias("low_")).agg(F.min_by(name, order).alias("name"), F.min(order).alias("row_ord"))

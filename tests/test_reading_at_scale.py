@@ -69,3 +69,25 @@ def test_terms_are_literal_patterns(spark):
     assert got[1] == ("stress_testing", "US", True)
     planned = {r["q"]: (r["mode"], r["version"], r["recency"]) for r in pl.plan_modes(spark.createDataFrame([(1, "formerly new"), (2, None)], "q int, t string"), "q", "t").collect()}
     assert planned == {1: ("version_fanout", True, True), 2: ("fallback", False, False)}
+
+
+def test_texts_stay_where_they_are_beside_a_held_index(spark, monkeypatch):
+    texts = spark.range(1, 201).select(F.col("id").alias("q"), F.concat(F.lit("doc "), (F.col("id") % 40 + 1).cast("string"), F.lit(" says, doc "), F.col("id").cast("string")).alias("t"))
+    found = reading.documents_named(texts, pl.alias_index(registry(spark, 100)), "q", "t")
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftSemi" not in plan and "rightHint=(strategy=broadcast)" in plan
+    want = {(r["q"], r["doc_id"]) for r in found.collect()}
+    assert want == {(q, str(d)) for q in range(1, 201) for d in {q % 40 + 1, q} if d <= 100}
+    monkeypatch.setattr(reading, "HELD_ROWS", 5)  # as with an index that no task may hold
+    apart = reading.documents_named(texts, pl.alias_index(registry(spark, 100)), "q", "t")
+    assert {(r["q"], r["doc_id"]) for r in apart.collect()} == want
+
+
+def test_held_gaps_are_those_of_the_joined_grams(spark, monkeypatch):
+    gaps = spark.createDataFrame([("Reg Z", "Z rule"), ("Ox", "é"), ("", "none"), (None, "late"), ("no such", None)], "instrument string, short_name string")
+    texts = spark.createDataFrame([(1, "of REG Z and z RULE"), (2, "foxes"), (3, "CAFÉ late"), (4, None), (5, "")], "q long, t string")
+    found = lambda: reading.gaps_mentioned(texts, gaps, "q", "t")
+    assert "MapInArrow" in found()._jdf.queryExecution().optimizedPlan().toString()
+    got = sorted(map(str, found().collect()))
+    monkeypatch.setattr(reading, "HELD_NAMES", 0)
+    assert got == sorted(map(str, found().collect())) and len(got) == 8
