@@ -10,7 +10,7 @@ the same anchor are a *stretch*; ``inner`` names the anchor's bytes and ``outer`
 strings of the stretch cover together. Names are 64-bit keys put together from those of halves.
 
 1. inner unique: no string that starts in the stretch occurs again; dropped.
-2. outer found twice: all of them do, and one text's stretch stands for the others.
+2. outer found twice: all of them do, and one stretch stands for the others, those of its own text as well.
 3. else the stretch is open: it and those that stand for others are cut into runs of at most GRAIN
    starts, by their distance from the anchor, so that equal strings fall in equal runs. A run's
    inner and outer are again what all its strings share and what they cover; steps 1 and 2 are done again.
@@ -250,11 +250,12 @@ def resolved(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     twice = written(every.groupBy("inner").agg(F.count("*").alias("times"), (F.min("outer") == F.max("outer")).alias("one"), cross).filter("times > 1").select("inner", "one", "cross"))
     again = written(every.join(few(twice, twice.count()), "inner"), every, twice)
     mixed = again.filter("not one").drop("one", "cross")
-    outers = written(mixed.groupBy("inner", "outer").agg(F.count("*").alias("times"), F.min("content").alias("sample"), cross).filter("times > 1").drop("times"))
+    at = F.xxhash64(*CONTENT, "first")  # one run stands for all; if hashes agree by chance, two do
+    outers = written(mixed.groupBy("inner", "outer").agg(F.count("*").alias("times"), F.min(at).alias("sample"), cross).filter("times > 1").drop("times"))
     told = written(mixed.join(few(outers, outers.count()), ["inner", "outer"], "left"))
     place = [*CONTENT, "first", "starts", "cross"]
     sure = written(again.filter("one").select(*place).union(told.filter("sample is not null").select(*place)).distinct(), again, outers)
-    still = written(told.filter("sample is null or content = sample").select(*CONTENT, "first", "starts", "back", "inner").distinct(), told)
+    still = written(told.filter(F.col("sample").isNull() | (at == F.col("sample"))).select(*CONTENT, "first", "starts", "back", "inner").distinct(), told)
     return sure, still
 
 

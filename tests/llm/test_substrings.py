@@ -94,3 +94,12 @@ def test_query_and_empty_table(spark):
     assert all((r["kept_sha256"] == empty) == (r["n_removed"] == r["n_bytes"]) for r in rows)
     assert substrings.remove_repeats(nothing(spark)).count() == 0
     assert len(odd_rows()) == substrings.remove_repeats(odd(spark)).count()
+
+
+def test_one_run_stands_for_all_that_are_equal(spark):
+    """A text that repeats itself asks for the positions of one of its equal runs, not of each."""
+    rows = [(1, 1, 60 * i, 12, 11, 7, 70) for i in range(40)] + [(2, 2, 5, 12, 11, 7, 71), (3, 3, 5, 12, 11, 7, 70), (4, 4, 5, 12, 11, 8, 80)]
+    sure, still = substrings.resolved(spark.createDataFrame(rows, ", ".join(f"{c} long" for c in [*substrings.CONTENT, *substrings.RUN])))
+    assert sorted((r.content, r.first) for r in sure.collect()) == [*((1, 60 * i) for i in range(40)), (3, 5)]
+    left = [(r.content, r.first) for r in still.collect()]
+    assert len(left) == 2 and (2, 5) in left
