@@ -214,6 +214,7 @@ class Search:
     """What a task needs to find the leaks of one block of items in whole texts."""
 
     def __init__(self, numbers: dict[bytes, int], items: list[Item], weight: np.ndarray, latent: np.ndarray, limits: Limits):
+        items = sorted(items, key=lambda x: reach_of(len(x.words)))  # so that items of one span are neighbours
         self.numbers, self.items, self.weight, self.limits = numbers, items, weight.astype(np.float32), limits
         self.latent = (latent * weight[:, None]).astype(np.float32)
         folded = np.zeros((len(items), latent.shape[1]), np.float32)
@@ -222,6 +223,7 @@ class Search:
             folded[i] = v @ latent[t]
         length = np.linalg.norm(folded, axis=1, keepdims=True)
         self.folded = np.divide(folded, length, out=np.zeros_like(folded), where=length > 0).T
+        self.shorten = np.divide(1, length, out=np.zeros_like(length), where=length > 0).T
         # Products need the items as they are; one column more of ``holds`` stands for words of no item.
         self.plain = folded.T
         self.holds = np.zeros((len(items), len(numbers) + 1), bool)
@@ -235,6 +237,8 @@ class Search:
             norm = math.sqrt(float((item_vector_values(item, weight) ** 2).sum())) or 1.0
             self.bound[i] = float(squares.sum()) / norm * 0.999 - 1e-6
             self.spans[i] = (reach_of(n) - 2) // STRIDE + 2
+        ends = np.flatnonzero(np.diff(self.spans, append=-1)) + 1
+        self.alike = [(int(self.spans[e - 1]), slice(int(b), int(e))) for b, e in zip([0, *ends[:-1]], ends, strict=True)]
 
     def leaks(self, ids: np.ndarray) -> list[tuple[int, int, int, float]]:
         """(item, first word, words in common, cosine) of each item's best leak in a text."""
@@ -245,55 +249,66 @@ class Search:
         at = at[self.weight[ids[at]] > 0]
         opens = np.flatnonzero(np.diff(at // STRIDE, prepend=-1))
         parts = np.add.reduceat(self.latent[ids[at]], opens, axis=0) if len(at) else self.latent[:0]
+        here, product = at[opens] // STRIDE, parts @ self.plain
         if len(at):
-            self.by_cosine(ids, at, opens, parts, found)
-        self.by_bound(ids, at[opens] // STRIDE, parts, found)
+            self.by_cosine(ids, at, opens, here, parts, product, found)
+        self.by_bound(ids, here, product, found)
         return [(int(i), *found[i]) for i in sorted(found)]
 
-    def by_cosine(self, ids: np.ndarray, at: np.ndarray, opens: np.ndarray, parts: np.ndarray, found: dict[int, tuple[int, int, float]]) -> None:
+    def near(self, ids: np.ndarray, at: np.ndarray, opens: np.ndarray, here: np.ndarray, product: np.ndarray) -> np.ndarray:
+        """Windows of two stretches whose cosine with an item may be high enough.
+
+        A vector is no shorter than if each occurrence of a word were a term of its own.
+        """
+        n = -(-len(ids) // STRIDE)
+        most, squares = np.zeros((n + 1, len(self.items)), np.float32), np.zeros(n + 1, np.float32)
+        most[here], squares[here] = product, np.add.reduceat(self.weight[ids[at]] ** 2, opens)
+        least = np.sqrt(squares[:-1] + squares[1:])
+        most = ((most[:-1] + most[1:]) * self.shorten).max(axis=1)
+        return np.flatnonzero((least > 0) & (most >= (self.limits.cosine - 1e-3) * least))
+
+    def by_cosine(self, ids: np.ndarray, at: np.ndarray, opens: np.ndarray, here: np.ndarray, parts: np.ndarray, product: np.ndarray, found: dict[int, tuple[int, int, float]]) -> None:
         """Leaks around windows of two stretches whose cosine with an item is high."""
+        window = self.near(ids, at, opens, here, product)
+        if not len(window):
+            return
         # A window is two neighbouring stretches: a word lies in the one that its stretch begins,
         # and in the one before, if there is one.
+        n = -(-len(ids) // STRIDE)
+        asked, place = np.zeros(n + 1, bool), np.full(n + 1, len(here))
+        asked[window], place[here] = True, np.arange(len(here))
         stretch, term = at // STRIDE, ids[at]
-        here = stretch[opens]
-        later = stretch > 0
-        keys, times = np.unique(np.concatenate([stretch, stretch[later] - 1]) * len(self.weight) + np.concatenate([term, term[later]]), return_counts=True)
-        window = keys // len(self.weight)
-        first = np.flatnonzero(np.diff(window, prepend=-1))
+        own, later = asked[stretch], asked[stretch - 1]  # the last of ``asked`` stands before the first
+        keys, times = np.unique(np.concatenate([stretch[own], stretch[later] - 1]) * len(self.weight) + np.concatenate([term[own], term[later]]), return_counts=True)
+        first = np.flatnonzero(np.diff(keys // len(self.weight), prepend=-1))
         norm = np.sqrt(np.add.reduceat((times * self.weight[keys % len(self.weight)]) ** 2, first))
-        window = window[first]
-        vectors = np.zeros((len(window), parts.shape[1]), np.float32)
-        vectors[np.searchsorted(window, here)] = parts
-        vectors[np.searchsorted(window, here[here > 0] - 1)] += parts[here > 0]
-        scores = (vectors @ self.folded) / norm[:, None]
+        padded = np.concatenate([parts, np.zeros_like(parts[:1])])
+        scores = ((padded[place[window]] + padded[place[window + 1]]) @ self.folded) / norm[:, None]
         for w, i in zip(*np.nonzero(scores >= self.limits.cosine), strict=True):
             start = int(window[w]) * STRIDE
-            hit = self.verified(ids, start, self.items[i])
+            hit = self.verified(ids, start, int(i))
             if hit and (i not in found or hit[1] > found[i][1]):
                 found[i] = (*hit, float(scores[w, i]))
 
-    def by_bound(self, ids: np.ndarray, here: np.ndarray, parts: np.ndarray, found: dict[int, tuple[int, int, float]]) -> None:
+    def by_bound(self, ids: np.ndarray, here: np.ndarray, product: np.ndarray, found: dict[int, tuple[int, int, float]]) -> None:
         """Leaks of items not found yet, in windows of each item's own length that reach its bound."""
         n = -(-len(ids) // STRIDE)
         summed = np.zeros((n + 1, len(self.items)))
         if len(here):
-            summed[here + 1] = parts @ self.plain
+            summed[here + 1] = product
             summed = summed.cumsum(axis=0)
         first = np.arange(n)
-        for span in np.unique(self.spans):
-            some = np.flatnonzero(self.spans == span)
-            product = summed[np.minimum(first + span, n)][:, some] - summed[:n, some]
-            over = product >= self.bound[some]
+        for span, some in self.alike:
+            over = summed[np.minimum(first + span, n), some] - summed[:n, some] >= self.bound[some]
             for k in np.flatnonzero(over.any(axis=0)):
-                i = int(some[k])
+                i = some.start + int(k)
                 if i in found:
                     continue
-                item = self.items[i]
                 inside = np.concatenate([[0], np.cumsum(self.holds[i][ids])])
                 held = inside[np.minimum((first + span) * STRIDE, len(ids))] - inside[first * STRIDE]
                 for w in np.flatnonzero(over[:, k] & (held >= self.asked[i] - 1e-9)):
                     start = int(w) * STRIDE
-                    hit = self.held_in(ids, start, start + int(span) * STRIDE, item)
+                    hit = self.held_in(ids, start, start + span * STRIDE, i)
                     if hit and (i not in found or hit[1] > found[i][1]):
                         found[i] = (*hit, self.cosine_at(ids, hit[0], i))
 
@@ -304,20 +319,24 @@ class Search:
         norm = float(np.sqrt(((times * self.weight[terms]) ** 2).sum()))
         return float((times @ self.latent[terms]) @ self.folded[:, i]) / norm if norm else 0.0
 
-    def verified(self, ids: np.ndarray, start: int, item: Item) -> tuple[int, int] | None:
+    def verified(self, ids: np.ndarray, start: int, i: int) -> tuple[int, int] | None:
         """(first word, words in common) if the text around a window holds the item."""
-        reach = reach_of(len(item.words))
+        reach = reach_of(len(self.items[i].words))
         low = max(0, start - reach)
-        return self.held_in(ids, low, start + 2 * STRIDE + reach, item)
+        return self.held_in(ids, low, start + 2 * STRIDE + reach, i)
 
-    def held_in(self, ids: np.ndarray, low: int, stop: int, item: Item) -> tuple[int, int] | None:
+    def held_in(self, ids: np.ndarray, low: int, stop: int, i: int) -> tuple[int, int] | None:
         """(first word, words in common) if the best stretch of ids[low:stop] holds the item."""
+        item = self.items[i]
         n = len(item.words)
         reach = reach_of(n)
         region = ids[low:stop]
-        inside = np.concatenate([[0], np.cumsum(np.isin(region, item.words))])
+        inside = np.concatenate([[0], np.cumsum(self.holds[i][region])])
         starts = np.arange(max(1, len(region) - reach + 1))
-        best = int(np.argmax(inside[np.minimum(starts + reach, len(region))] - inside[starts]))
+        held = inside[np.minimum(starts + reach, len(region))] - inside[starts]
+        best = int(np.argmax(held))
+        if held[best] < self.asked[i] - 1e-9:  # no common subsequence is longer
+            return None
         words = region[best : best + reach].tolist()
         common = common_length(words, item.words)
         if common >= self.limits.copied * n:

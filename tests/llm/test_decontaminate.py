@@ -121,3 +121,40 @@ def test_odd_rows(spark):
     assert dc.drop_leaks(odd(spark), benchmark).columns == odd(spark).columns
     assert dc.find_leaks(nothing(spark), benchmark).count() == 0
     assert dc.find_leaks(odd(spark), benchmark.limit(0)).count() == 0
+
+
+def test_only_windows_that_may_hold_an_item_are_looked_at(monkeypatch):
+    """Windows are left out by a bound that no cosine passes, and stretches with too few words are not compared."""
+    rng = random.Random(17)
+    numbers = {}
+    items = dc.number_items([(i, " ".join(f"w{rng.randrange(300)}" for _ in range(rng.choice([20, 45])))) for i in range(30)], numbers)
+    weight = np.random.default_rng(17).random(len(numbers)) + 0.01
+    search = dc.Search(numbers, items, weight, np.eye(len(numbers)), dc.Limits())
+    compared, plain = [], dc.common_length
+    monkeypatch.setattr(dc, "common_length", lambda a, b: compared.append(b) or plain(a, b))
+    left_out = near_items = 0
+    for k in range(60):
+        words = [rng.randrange(len(numbers)) if rng.random() < 0.3 else -1 for _ in range(rng.choice([3, 32, 200]))]
+        item = rng.choice(items)
+        words[10:10] = item.words if k % 3 == 0 else item.words[: len(item.words) // 2] if k % 3 == 1 else []
+        ids = np.array(words, np.int32)
+        at = np.flatnonzero(ids >= 0)
+        if not len(at):
+            continue
+        opens = np.flatnonzero(np.diff(at // dc.STRIDE, prepend=-1))
+        parts = np.add.reduceat(search.latent[ids[at]], opens, axis=0)
+        near = set(search.near(ids, at, opens, at[opens] // dc.STRIDE, parts @ search.plain).tolist())
+        for w in range(-(-len(ids) // dc.STRIDE)):
+            counts = np.zeros(len(numbers))
+            held = ids[w * dc.STRIDE : (w + 2) * dc.STRIDE]
+            np.add.at(counts, held[held >= 0], 1)
+            vector = counts * weight
+            high = max((float(vector[t] @ v) / (np.linalg.norm(vector) or 1) for t, v in (dc.item_vector(x, weight) for x in items)), default=0)
+            assert high < 0.45 or w in near
+            left_out += w not in near
+            near_items += high >= 0.45
+        compared.clear()
+        found = {search.items[i].item_id for i, *_ in search.leaks(ids)}
+        assert k % 3 or item.item_id in found
+        assert k % 3 != 1 or not compared
+    assert left_out and near_items
